@@ -106,3 +106,4 @@ def with_sales(sql: str) -> str:
 # Import the query groups so their @register calls run.
 from tablelens.plans import queries_monthly  # noqa: E402,F401
 from tablelens.plans import queries_breakdown  # noqa: E402,F401
+from tablelens.plans import queries_distribution  # noqa: E402,F401
