@@ -107,3 +107,4 @@ def with_sales(sql: str) -> str:
 from tablelens.plans import queries_monthly  # noqa: E402,F401
 from tablelens.plans import queries_breakdown  # noqa: E402,F401
 from tablelens.plans import queries_distribution  # noqa: E402,F401
+from tablelens.plans import queries_quality  # noqa: E402,F401
