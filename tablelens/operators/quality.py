@@ -158,3 +158,17 @@ def export_summary(health_df: DataFrame) -> DataFrame:
                             for m, c in [("Rows", "rows"), ("Columns", "columns"),
                                          ("Missing Cells", "missing_cells"),
                                          ("Duplicate Rows", "dup_rows"), ("Health Score", "score")]])
+
+
+def metadata(health_df: DataFrame, role_counts: dict[str, int]) -> DataFrame:
+    """(metric, value) dataset facts from the health row and the role
+    counts of the profile."""
+    h = health_df
+    specs = [("Rows", F.col("rows")), ("Columns", F.col("columns")),
+             ("Numeric Cols", F.lit(role_counts.get("numeric", 0))),
+             ("Categorical Cols", F.lit(role_counts.get("categorical", 0))),
+             ("Date Cols", F.lit(role_counts.get("date", 0))), ("Health Score", F.col("score")),
+             ("Missing Cells", F.col("missing_cells")), ("Missing %", F.col("missing_pct")),
+             ("Duplicate Rows", F.col("dup_rows")), ("Duplicate %", F.col("dup_pct")),
+             ("Unique Rows", F.col("rows") - F.col("dup_rows"))]
+    return _struct_rows(h, [F.struct(F.lit(m).alias("metric"), e.cast("double").alias("value")) for m, e in specs])

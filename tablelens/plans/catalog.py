@@ -109,3 +109,4 @@ from tablelens.plans import queries_breakdown  # noqa: E402,F401
 from tablelens.plans import queries_distribution  # noqa: E402,F401
 from tablelens.plans import queries_quality  # noqa: E402,F401
 from tablelens.plans import queries_filters  # noqa: E402,F401
+from tablelens.plans import queries_composite  # noqa: E402,F401
