@@ -145,7 +145,8 @@ def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values:
     keep = [i for i in range(len(cols)) if st[f"n{i}"] >= min_values]
     if not keep:
         return empty
-    q = column_quantiles(df, [cols[i] for i in keep], [0.25, 0.75])
+    q = column_quantiles(df, [cols[i] for i in keep], [0.25, 0.75],
+                         counts={cols[i]: int(st[f"n{i}"]) for i in keep})
     counts = []
     for i in keep:
         v, d = vals[i], q[cols[i]]
@@ -166,34 +167,35 @@ def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values:
 
 
 # -------------------------------------------------------------------------- A11
-def _pair_aggs(df: DataFrame, a: str, b: str, tag: str):
-    va, vb = as_double(df, a), as_double(df, b)
-    both = va.isNotNull() & vb.isNotNull()
-    pa, pb = F.when(both, va), F.when(both, vb)
-    return F.try_divide(F.covar_pop(pa, pb), F.stddev_pop(pa) * F.stddev_pop(pb)).alias(tag)
-
-
-def corr_pairs(df: DataFrame, cols: Sequence[str], batch: int = 200) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair i < j of ``cols``
-    (null when a column is constant over the shared rows). Pairs are
-    aggregated in batches, one fused aggregate (one scan) per batch."""
+def _corr_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(p, r) for each pair index p: pairwise-complete Pearson r, null when
+    a side is constant over the shared rows. Columns are projected to double
+    once, pairs are exploded to rows and grouped by pair id: the aggregate
+    stays three functions whatever the number of pairs (small generated
+    code, partial aggregation in every task)."""
+    names = sorted({c for pr in pairs for c in pr}, key=lambda c: df.columns.index(c))
+    slot = {c: f"v{i}" for i, c in enumerate(names)}
+    v = df.select(*[as_double(df, c).alias(slot[c]) for c in names])
+    items = [F.struct(F.lit(p).alias("p"), F.when(F.col(slot[b]).isNotNull(), F.col(slot[a])).alias("a"),
+                      F.when(F.col(slot[a]).isNotNull(), F.col(slot[b])).alias("b"))
+             for p, (a, b) in enumerate(pairs)]
+    long_df = v.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    g = long_df.groupBy("p").agg(F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"),
+                                 F.stddev_pop("b").alias("sb"))
+    return g.select("p", F.try_divide(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))
+
+
+def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson r for every pair i < j of ``cols``."""
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     spark = df.sparkSession
-    parts = []
-    for s in range(0, len(pairs), batch):
-        chunk = pairs[s:s + batch]
-        row = df.agg(*[_pair_aggs(df, cols[i], cols[j], f"p{i}_{j}") for i, j in chunk])
-        parts.append(row.select(F.explode(F.array(*[
-            F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                     F.lit(i).cast("long").alias("pos_a"), F.lit(j).cast("long").alias("pos_b"),
-                     F.col(f"p{i}_{j}").alias("r")) for i, j in chunk])).alias("p")).select("p.*"))
-    if not parts:
-        return spark.createDataFrame([], "col_a string, col_b string, pos_a long, pos_b long, r double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    meta = spark.createDataFrame([(p, cols[i], cols[j], i, j) for p, (i, j) in enumerate(pairs)],
+                                 "p int, col_a string, col_b string, pos_a long, pos_b long")
+    if not pairs:
+        return meta.select("col_a", "col_b", "pos_a", "pos_b", F.lit(None).cast("double").alias("r"))
+    r = _corr_long(df, [(cols[i], cols[j]) for i, j in pairs])  # one row per pair
+    return meta.join(F.broadcast(r), "p", "left").select("col_a", "col_b", "pos_a", "pos_b", "r")
 
 
 def corr_top(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
@@ -205,14 +207,13 @@ def corr_top(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
 def strongest_corr(df: DataFrame, primary: str, cols: Sequence[str]) -> DataFrame:
     """The column most correlated (by |r|) with ``primary``."""
     others = [c for c in cols if c != primary]
+    spark = df.sparkSession
     if not others:
-        return df.sparkSession.createDataFrame([], "column string, r double")
-    row = df.agg(*[_pair_aggs(df, primary, c, f"c{i}") for i, c in enumerate(others)])
-    long_df = row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("pos"), F.col(f"c{i}").alias("r"))
-        for i, c in enumerate(others)])).alias("p")).select("p.*")
-    return (long_df.where(F.col("r").isNotNull() & ~F.isnan("r"))
-            .orderBy(F.abs("r").desc(), "pos").limit(1).select("column", "r"))
+        return spark.createDataFrame([], "column string, r double")
+    meta = spark.createDataFrame([(i, c) for i, c in enumerate(others)], "p int, column string")
+    r = _corr_long(df, [(primary, c) for c in others])
+    return (meta.join(F.broadcast(r), "p").where(F.col("r").isNotNull() & ~F.isnan("r"))
+            .orderBy(F.abs("r").desc(), "p").limit(1).select("column", "r"))
 
 
 # -------------------------------------------------------------------------- A21

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.columns import FRACTIONAL, NUMERIC, is_supported, present
+from tablelens.functions.columns import INTEGRAL, NUMERIC, is_supported, present
 
 # Candidate hashes above this many rows are not broadcast; the exact pass
 # then groups all rows by value instead of semi-joining the candidates.
@@ -96,10 +96,19 @@ def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> D
                                            F.col(f"d{i}").alias("nunique")) for i, c in enumerate(cols)])
     vals = []
     for i, c in enumerate(cols):
+        dt = df.schema[c].dataType
         v = F.col(c)
-        if isinstance(df.schema[c].dataType, FRACTIONAL):
-            v = F.when(v == 0, F.lit(0.0)).otherwise(v)  # -0.0 and 0.0 are one value
-        vals.append(F.when(present(df, c), v.cast("string")).alias(f"c{i}"))
+        # One struct type for every column, the value in its own slot: no
+        # number-to-text formatting, and floats keep Spark's -0.0/NaN
+        # normalisation in grouping keys.
+        if isinstance(dt, INTEGRAL + (T.BooleanType,)):
+            parts = (v.cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+        elif isinstance(dt, NUMERIC):
+            parts = (F.lit(None).cast("long"), v.cast("double"), F.lit(None).cast("string"))
+        else:
+            parts = (F.lit(None).cast("long"), F.lit(None).cast("double"), v.cast("string"))
+        sv = F.struct(parts[0].alias("l"), parts[1].alias("d"), parts[2].alias("s"))
+        vals.append(F.when(present(df, c), sv).alias(f"c{i}"))
     long_df = df.select(*vals).unpivot([], [f"c{i}" for i in range(len(cols))], "k", "v")
     g = long_df.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"),
                                  F.count_distinct("v").alias("nunique"))

@@ -43,7 +43,7 @@ def _interp(lo: float, hi: float, frac: float) -> float:
 
 def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
                     band_limit: int = BAND_LIMIT, accuracy: int = ACCURACY,
-                    max_keys: int = MAX_KEYS) -> dict:
+                    max_keys: int = MAX_KEYS, counts: dict | None = None) -> dict:
     """Quantiles of ``value`` per ``key`` (keys: a bounded set such as column
     names or top-k categories). Returns ``{key: {"n": n, p: q, ...}}``;
     nulls are ignored, keys with no values are absent."""
@@ -51,21 +51,27 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[fl
     data = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
 
-    # Pass 1: n per key and a rank sketch.
+    spark = long_df.sparkSession
+    key_type = long_df.schema[key].dataType
+    if counts is None:
+        counts = {r["k"]: int(r["n"]) for r in
+                  data.groupBy("k").agg(F.count("v").alias("n")).limit(max_keys + 1).collect()}
+    if len(counts) > max_keys:
+        raise ValueError(f"exact_quantiles: more than {max_keys} keys")
+    out: dict = {k: {"n": int(n)} for k, n in counts.items() if n > 0}
+    if not out:
+        return out
+    if all(d["n"] <= band_limit for d in out.values()):
+        return _select_small(data, out, probs)
+
+    # Pass 1: a rank sketch per key.
     delta = 3.0 / accuracy
     grid = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1, 1)})
-    stats = (data.groupBy("k")
-             .agg(F.count("v").alias("n"),
-                  F.percentile_approx("v", grid, accuracy).alias("a"))
-             .limit(max_keys + 1).collect())
-    if len(stats) > max_keys:
-        raise ValueError(f"exact_quantiles: more than {max_keys} keys")
-    out: dict = {}
+    stats = (data.groupBy("k").agg(F.percentile_approx("v", grid, accuracy).alias("a")).collect())
     targets = []  # (key, rank) ranks 0-based over the whole key
-    bands = {}    # key -> [lo, hi, below]
+    bands = {}    # key -> [lo, hi]
     for r in stats:
-        n = int(r["n"])
-        out[r["k"]] = {"n": n}
+        n = out[r["k"]]["n"]
         gmap = dict(zip(grid, r["a"]))
         lo_v = min(gmap[min(1.0, max(0.0, p - delta))] for p in probs)
         hi_v = max(gmap[min(1.0, max(0.0, p + delta))] for p in probs)
@@ -75,17 +81,12 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[fl
         for p in probs:
             pos = (n - 1) * p
             targets += [(r["k"], int(math.floor(pos))), (r["k"], int(math.ceil(pos)))]
-    if not stats:
-        return out
 
-    spark = long_df.sparkSession
-    key_type = long_df.schema[key].dataType
     bschema = T.StructType([T.StructField("k", key_type), T.StructField("lo", T.DoubleType()),
                             T.StructField("hi", T.DoubleType())])
 
     info = {k: (0, out[k]["n"], out[k]["n"]) for k in out}
-    small = all(d["n"] <= band_limit for d in out.values())
-    for it in range(0 if small else 8):
+    for it in range(8):
         bdf = spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in bands.items()], bschema)
         # Pass 2: below/band counts per key.
         j = data.join(F.broadcast(bdf), "k")
@@ -123,6 +124,7 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[fl
                              max(gm[min(1.0, max(0.0, q + delta))] for q in qs)]
 
     # Pass 3: exact selection inside the bands.
+    spark = long_df.sparkSession
     bdf = spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in bands.items()], bschema)
     tschema = T.StructType([T.StructField("k", key_type), T.StructField("rank", T.LongType())])
     below = {k: info[k][0] for k in info}
@@ -145,6 +147,38 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[fl
     return out
 
 
+def _select_small(data: DataFrame, out: dict, probs: list[float]) -> dict:
+    """Every key has at most ``band_limit`` values: one job. Values are
+    reduced to (key, value, count), a window per key gives each value's
+    rank range and the rows holding the target ranks are collected."""
+    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    counted = data.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = counted.select("k", "v", "c", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("start"),
+                            F.sum("c").over(Window.partitionBy("k")).alias("n"))
+    hit = F.lit(False)
+    for p in probs:
+        pos = (F.col("n") - 1) * F.lit(p)
+        for r in (F.floor(pos), F.ceil(pos)):
+            hit = hit | ((r >= F.col("start")) & (r < F.col("start") + F.col("c")))
+    rows = ranked.where(hit).select("k", "v", "c", "start").collect()
+    by_key: dict = {}
+    for r in rows:
+        by_key.setdefault(r["k"], []).append((int(r["start"]), int(r["c"]), float(r["v"])))
+
+    def at(k, rank):
+        for start, c, v in by_key[k]:
+            if start <= rank < start + c:
+                return v
+        raise KeyError((k, rank))
+    for k, d in out.items():
+        n = d["n"]
+        for p in probs:
+            pos = (n - 1) * p
+            lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
+            d[p] = _interp(at(k, lo_r), at(k, hi_r), pos - lo_r)
+    return out
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict:
     """Exact quantiles of several numeric columns of ``df`` (one shared scan
     per pass: the columns are unpivoted to ``(column, value)``)."""
@@ -153,6 +187,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return {}
     wide = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
     long_df = wide.unpivot([], [f"c{i}" for i in range(len(cols))], "key", "val")
+    if kw.get("counts") is not None:
+        kw["counts"] = {f"c{i}": kw["counts"][c] for i, c in enumerate(cols)}
     res = exact_quantiles(long_df, "key", "val", probs, **kw)
     return {cols[int(k[1:])]: v for k, v in res.items()}
 

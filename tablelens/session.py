@@ -47,6 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a frame read from fewer splits than the cluster has cores
+    (a small file, one row group) over all cores before heavy reuse. On a
+    large input this is a no-op: it already has more partitions."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def stage(df: DataFrame, mode: str | None = "persist") -> DataFrame:
     """Materialise a base frame that several jobs of one report re-read.
 
@@ -55,6 +65,7 @@ def stage(df: DataFrame, mode: str | None = "persist") -> DataFrame:
     ``None``: keep the lazy plan (every job rescans the source)."""
     if mode is None:
         return df
+    df = spread(df)
     if mode == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
