@@ -77,44 +77,71 @@ def duplicate_rows(df: DataFrame, limit: int = 50, cols: list[str] | None = None
     return (g.select(*cols, F.explode(copies).alias("_i")).orderBy(*cols).limit(limit).drop("_i"))
 
 
-def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
-    """(column, position, rows, n, nunique): row count, non-missing count and
-    distinct non-missing values of every supported column.
-
-    Exact: the table is unpivoted to (position, value as text) and grouped,
-    so one shuffle of the distinct (column, value) pairs serves all columns;
-    the map side drops repeats first. ``approx=True`` uses HyperLogLog
-    sketches in a single aggregate instead (no value shuffle)."""
-    cols = supported_columns(df)
-    if approx:
-        row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count(F.when(present(df, c), F.col(c))).alias(f"n{i}") for i, c in enumerate(cols)],
-                     *[F.approx_count_distinct(F.when(present(df, c), F.col(c)), rsd).alias(f"d{i}")
-                       for i, c in enumerate(cols)])
-        return _struct_rows(row, [F.struct(F.lit(c).alias("column"), F.lit(i).cast("long").alias("position"),
-                                           F.col("_rows").alias("rows"), F.col(f"n{i}").alias("n"),
-                                           F.col(f"d{i}").alias("nunique")) for i, c in enumerate(cols)])
-    vals = []
-    for i, c in enumerate(cols):
-        dt = df.schema[c].dataType
-        v = F.col(c)
-        # One struct type for every column, the value in its own slot: no
-        # number-to-text formatting, and floats keep Spark's -0.0/NaN
-        # normalisation in grouping keys.
-        if isinstance(dt, INTEGRAL + (T.BooleanType,)):
-            parts = (v.cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string"))
-        elif isinstance(dt, NUMERIC):
-            parts = (F.lit(None).cast("long"), v.cast("double"), F.lit(None).cast("string"))
-        else:
-            parts = (F.lit(None).cast("long"), F.lit(None).cast("double"), v.cast("string"))
-        sv = F.struct(parts[0].alias("l"), parts[1].alias("d"), parts[2].alias("s"))
-        vals.append(F.when(present(df, c), sv).alias(f"c{i}"))
-    long_df = df.select(*vals).unpivot([], [f"c{i}" for i in range(len(cols))], "k", "v")
+def _typed_value(df: DataFrame, c: str):
+    """One struct type for every column with the value in its own slot: no
+    number-to-text formatting, and floats keep Spark's -0.0/NaN
+    normalisation in grouping keys. Missing values are a null struct."""
+    dt = df.schema[c].dataType
+    v = F.col(c)
+    none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, INTEGRAL + (T.BooleanType,)):
+        parts = (v.cast("long"), none_d, none_s)
+    elif isinstance(dt, T.TimestampNTZType):
+        # microseconds since the epoch by wall-clock arithmetic (no zone)
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        parts = (F.timestamp_diff("MICROSECOND", epoch, v), none_d, none_s)
+    elif isinstance(dt, T.TimestampType):
+        parts = (F.unix_micros(v), none_d, none_s)
+    elif isinstance(dt, T.DateType):
+        parts = (F.unix_date(v).cast("long"), none_d, none_s)
+    elif isinstance(dt, NUMERIC):
+        parts = (none_l, v.cast("double"), none_s)
+    else:
+        parts = (none_l, none_d, v.cast("string"))
+    sv = F.struct(parts[0].alias("l"), parts[1].alias("d"), parts[2].alias("s"))
+    return F.when(present(df, c), sv)
+
+
+def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: bool = False,
+                 rsd: float = 0.02) -> DataFrame:
+    """One job for every supported column: (column, position, rows, n,
+    nunique, numeric_text, <meta fields>).
+
+    Exact: rows are unpivoted to (column key, typed value) and grouped by
+    column; Spark plans the distinct count as one shuffle of the distinct
+    (column, value) pairs, repeats dropped on the map side first. Per-column
+    metadata (``meta``: name -> {field: literal}) rides in the grouping key,
+    so no join is needed afterwards. ``numeric_text``: every non-missing text
+    value is a number once currency, percent and separator characters are
+    removed (blank counts as missing). ``approx=True``: HyperLogLog sketches
+    (``approx_count_distinct``) instead of the exact count."""
+    from tablelens.operators.ingest import MONEY_STRIP, NUMBER_SHAPE
+    cols = df.columns  # positions count every column; only supported ones are read
+    keys = [(i, c) for i, c in enumerate(cols) if is_supported(df, c)]
+    meta = meta or {}
+    fields = sorted({f for m in meta.values() for f in m})
+    # Unpivot (an Expand: no arrays built per row) keyed by short names c<i>.
+    wide = df.select(*[_typed_value(df, c).alias(f"c{i}") for i, c in keys])
+    long_df = wide.unpivot([], [f"c{i}" for i, _ in keys], "k", "v")
+    cleaned = F.regexp_replace(F.col("v.s"), MONEY_STRIP, "")
+    text_ok = F.when(F.col("v.s").isNotNull(), (cleaned == "") | cleaned.rlike(NUMBER_SHAPE))
+    nd = F.approx_count_distinct("v", rsd) if approx else F.count_distinct("v")
     g = long_df.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"),
-                                 F.count_distinct("v").alias("nunique"))
-    names = df.sparkSession.createDataFrame(
-        [(f"c{i}", c, i) for i, c in enumerate(cols)], "k string, column string, position long")
-    return F.broadcast(names).join(g, "k").select("column", "position", "rows", "n", "nunique")
+                                 nd.alias("nunique"), F.count("v.s").alias("n_text"),
+                                 F.bool_and(text_ok).alias("text_ok"))
+    # Column name and metadata by position: a literal array lookup, no join.
+    pos = F.substring("k", 2, 10).cast("long")
+    info = F.element_at(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.lit(meta.get(c, {}).get(f)).alias(f) for f in fields])
+        for c in cols]), (pos + 1).cast("int"))
+    return g.select(info["column"].alias("column"), pos.alias("position"),
+                    *[info[f].alias(f) for f in fields], "rows", "n", "nunique",
+                    ((F.col("n_text") > 0) & F.coalesce(F.col("text_ok"), F.lit(False))).alias("numeric_text"))
+
+
+def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
+    """(column, position, rows, n, nunique) for every supported column."""
+    return column_stats(df, approx=approx, rsd=rsd).select("column", "position", "rows", "n", "nunique")
 
 
 def uniqueness(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -29,7 +29,10 @@ def _distinct_row(df: DataFrame, cols: list[str]) -> DataFrame:
     return g.groupBy().pivot("k", [f"d_{i}" for i in range(len(cols))]).agg(F.first("nd"))
 
 
-def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8) -> DataFrame:
+def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_counts: bool = False) -> DataFrame:
+    """K1. ``profile_counts=True`` when ``df`` holds exactly the profiled
+    rows: distinct counts are then taken from the profile instead of being
+    recounted."""
     schema, roles = profile.schema, profile.semantic_roles
     date_col = schema["date"][0] if schema["date"] else None
     primary = profile.primary_measure
@@ -97,9 +100,16 @@ def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8) -> DataFrame:
         add("Avg Order Value", ("aov", f"sum_{rev}", denom),
             sub_text="per order" if order_cols else "per record")
     growth = None
+    trend_rows: dict[str, tuple] = {}
+
+    def trend_row(c):
+        if c not in trend_rows:
+            r = mom_trend_kpi(df, date_col, c).select("trend_pct", "trend_up").collect()
+            trend_rows[c] = (r[0]["trend_pct"], r[0]["trend_up"]) if r else (None, None)
+        return trend_rows[c]
+
     if primary and date_col and len(cards) < max_kpis:
-        g = mom_trend_kpi(df, date_col, primary).select("trend_pct", "trend_up").collect()
-        if g and g[0]["trend_pct"] is not None:
+        if trend_row(primary)[0] is not None:
             growth = trend(primary)
             add("Growth %", ("growth", growth), sub_text=f"{primary} vs. previous period", trend=growth)
     for c in schema["numeric"]:
@@ -124,15 +134,18 @@ def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8) -> DataFrame:
         add("Date Range", ("days",), sub_text=("dates",))
     cards = cards[:max_kpis]
 
-    # One fused aggregate, the distinct row and one row per trend measure.
+    # One fused aggregate; distinct counts from the profile or one grouped
+    # pass; trends are one-row results (a month series each), inlined.
     base = df.agg(*[e.alias(k) for k, e in scalars.items()])
-    base = base.crossJoin(_distinct_row(df, distinct))
+    if profile_counts:
+        base = base.select("*", *[F.lit(profile.nunique[c]).cast("long").alias(f"d_{i}")
+                                  for i, c in enumerate(distinct)])
+    else:
+        base = base.crossJoin(_distinct_row(df, distinct))
     for c, tag in trends.items():
-        t = mom_trend_kpi(df, date_col, c).select(F.col("trend_pct").alias(f"{tag}_pct"),
-                                                 F.col("trend_up").alias(f"{tag}_up"))
-        # one row even when the series is empty (max over no rows is null)
-        base = base.crossJoin(t.agg(F.max(f"{tag}_pct").alias(f"{tag}_pct"),
-                                    F.max(f"{tag}_up").alias(f"{tag}_up")))
+        pct, up = trend_row(c)
+        base = base.select("*", F.lit(pct).cast("double").alias(f"{tag}_pct"),
+                           F.lit(up).cast("boolean").alias(f"{tag}_up"))
 
     def val(spec):
         if spec is None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablelens.functions import names as N
 from tablelens.functions.columns import is_boolean, is_numeric, is_string, is_supported, is_temporal
 from tablelens.operators import ingest as I
-from tablelens.operators.quality import distinct_counts
+from tablelens.operators.quality import column_stats
 
 ROLES = ["date", "numeric", "categorical", "id", "boolean"]
 
@@ -118,37 +118,40 @@ def pick_primary_measure(df: DataFrame, numeric_cols: list[str], template: str |
 
 
 def role_frame(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """(column, position, rows, n, nuniq, role) for every column: the
-    distinct-count pass joined with the per-column name/text tests."""
+    """(column, position, rows, n, nuniq, role) for every column. One
+    job computes counts, distinct counts and the numeric-text test for all
+    columns (``quality.column_stats``); name tests ride along as literals.
+    Date-named text columns get a 50-row probe each first."""
     cols = df.columns
     kinds = {c: column_kind(df, c) for c in cols}
-    numeric_text = set(I.numeric_text_columns(df, [c for c in cols if kinds[c] == "string"]))
     date_ok = {c for c in cols if kinds[c] == "string" and N.matches(c, N.DATE_HINTS)
                and I.detect_date_format(df, c) is not None}
-    meta = df.sparkSession.createDataFrame(
-        [(c, i, kinds[c], N.matches(c, N.ID_HINTS), c in date_ok, c in numeric_text)
-         for i, c in enumerate(cols)],
-        "column string, position long, kind string, id_name boolean, date_ok boolean, numeric_text boolean")
-    d = distinct_counts(df, approx=approx_distinct).drop("position")
-    rows = d.agg(F.max("rows").alias("_rows"))
-    j = (F.broadcast(meta).join(d, "column", "left").crossJoin(rows)
-         .select("column", "position", "kind", "id_name", "date_ok", "numeric_text",
-                 F.coalesce(F.col("rows"), F.col("_rows"), F.lit(0)).alias("rows"),
-                 F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-                 F.coalesce(F.col("nunique"), F.lit(0)).alias("nuniq")))
-    return j.select("column", "position", "rows", "n", "nuniq", role_expr().alias("role"))
+    meta = {c: {"kind": kinds[c], "id_name": N.matches(c, N.ID_HINTS), "date_ok": c in date_ok} for c in cols}
+    st = column_stats(df, meta, approx=approx_distinct).withColumnRenamed("nunique", "nuniq")
+    out = st.select("column", "position", "rows", "n", "nuniq", role_expr().alias("role"))
+    unsupported = [c for c in cols if kinds[c] == "unsupported"]
+    if unsupported:
+        rows = st.agg(F.max("rows").alias("rows"))
+        extra = rows.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(cols.index(c)).cast("long").alias("position"))
+            for c in unsupported])).alias("u"), "rows").select(
+            "u.column", "u.position", F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("nuniq"),
+            F.lit("unsupported").alias("role"))
+        out = out.unionByName(extra)
+    return out
 
 
 def build_profile(df: DataFrame, template: str | None = None, approx_distinct: bool = False) -> Profile:
     """P1+P3+P4+P6 in one call (the role frame has one row per column)."""
     cols = df.columns
     rf = {r["column"]: r for r in role_frame(df, approx_distinct).collect()}
-    rows = int(rf[cols[0]]["rows"]) if cols else 0
+    rows = max([int(r["rows"]) for r in rf.values()], default=0)
     if rows == 0 and cols:
         rows = df.count()
-    roles = {c: rf[c]["role"] for c in cols}
-    n = {c: int(rf[c]["n"]) for c in cols}
-    nuniq = {c: int(rf[c]["nuniq"]) for c in cols}
+    roles = {c: (rf[c]["role"] if c in rf else None) for c in cols}
+    n = {c: (int(rf[c]["n"]) if c in rf else 0) for c in cols}
+    nuniq = {c: (int(rf[c]["nuniq"]) if c in rf else 0) for c in cols}
     missing = {c: round((rows - n[c]) / rows * 100, 2) if rows else 0.0 for c in cols}
     schema = {r: [c for c in cols if roles[c] == r] for r in ROLES}
     primary, _ = pick_primary_measure(df, schema["numeric"], template)

@@ -1,12 +1,15 @@
 """Run-everything entry: profile a table once, then compute its KPI cards,
-chart datasets and insight report (Entry A-C of the reference's flow)."""
+chart datasets and insight report (the reference's upload -> dashboard ->
+insight flow)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from tablelens.operators.ingest import normalize_missing
 from tablelens.plans import charts as C
 from tablelens.plans import insights as IN
 from tablelens.plans import kpi as K
@@ -22,20 +25,35 @@ class Dashboard:
     charts: DataFrame
     insights: DataFrame | None
 
+    def frames(self) -> dict[str, DataFrame]:
+        out = {"kpis": self.kpis, "charts": self.charts}
+        if self.insights is not None:
+            out["insights"] = self.insights
+        return out
+
 
 def dashboard(df: DataFrame, persist: str | None = "persist", template: str | None = None,
               with_insights: bool = True, filtered: DataFrame | None = None) -> Dashboard:
-    """Profile ``df`` (S14: the profile is of the unfiltered rows), then
-    build KPIs, charts and insights over ``filtered`` (default: ``df``).
+    """Profile ``df`` (S14: the profile describes the unfiltered rows), then
+    plan KPIs, charts and insights over ``filtered`` (default: ``df``).
 
-    ``persist``: how the prepared base is kept across the report's jobs
-    ("persist", "checkpoint" or None); see ``session.stage``."""
-    from tablelens.operators.ingest import normalize_missing
+    ``persist`` keeps the normalised rows for the report's jobs ("persist",
+    "checkpoint" or None; see ``session.stage``). The returned frames are
+    lazy; ``collect_all`` runs them."""
     raw = stage(normalize_missing(df), persist)
     prof = P.build_profile(raw, template=template)
-    src = raw if filtered is None else stage(normalize_missing(filtered), persist)
+    same = filtered is None
+    src = raw if same else stage(normalize_missing(filtered), persist)
     base = P.prepare(src, prof)  # projections over the staged rows
-    kpis = K.build_kpis(base, prof)
-    charts = C.auto_charts(base, prof)
+    kpis = K.build_kpis(base, prof, profile_counts=same)
+    charts = C.auto_charts(base, prof, profile_counts=same)
     ins = IN.insight_report(base, prof) if with_insights else None
     return Dashboard(prof, base, kpis, charts, ins)
+
+
+def collect_all(frames: dict[str, DataFrame], threads: int = 4) -> dict[str, list]:
+    """Run independent result frames as concurrent Spark jobs (one driver
+    thread each); their stages share the executors."""
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(frames)))) as ex:
+        futures = {k: ex.submit(v.collect) for k, v in frames.items()}
+        return {k: f.result() for k, f in futures.items()}
