@@ -88,3 +88,10 @@ def label(c: Column) -> Column:
     """Group key rendered as text, so breakdowns over any key type share one
     output schema."""
     return c.cast("string")
+
+
+def scalars(one_row: DataFrame) -> dict:
+    """Values of a one-row result (an aggregate without grouping) as a dict,
+    for use as literals in later plans; {} if it has no row."""
+    r = one_row.limit(1).collect()
+    return r[0].asDict(recursive=True) if r else {}

@@ -92,21 +92,25 @@ def concentration(df: DataFrame, x: str, y: str) -> DataFrame:
     """Total, number of groups, leader's share and the top-3 share (when
     there are at least 3 groups); ``concentrated`` when the leader's share of
     the total exceeds one half."""
-    g = group_sum(df, x, y)
+    return concentration_of(group_sum(df, x, y))
+
+
+def concentration_of(g: DataFrame) -> DataFrame:
+    """A16 over ready (label, value) group sums. The top three sums are a
+    three-row top-k, taken to the driver and used as a literal."""
+    from tablelens.functions.columns import scalars
+    t3 = scalars(g.orderBy(F.col("value").desc(), F.col("label").asc()).limit(3)
+                 .agg(F.sum("value").alias("t3"))).get("t3")
     ranked = g.withColumn("desc_key", F.struct(F.negative("value").alias("nv"), "label"))
     a = ranked.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("value").alias("total"),
                    F.min("desc_key").alias("top1"))
-    top3 = _top(g, 3).agg(F.sum("value").alias("top3_value"))
-    return a.crossJoin(top3).select(
-        "n_groups", "total", F.col("top1.label").alias("top_label"),
-        F.negative(F.col("top1.nv")).alias("top_value"),
-        F.when(F.col("total") != 0, F.negative(F.col("top1.nv")) / F.col("total") * 100).otherwise(0.0)
-        .alias("top_share_pct"),
-        F.when(F.col("n_groups") >= 3,
-               F.when(F.col("total") != 0, F.col("top3_value") / F.col("total") * 100).otherwise(0.0))
+    top, total = F.negative(F.col("top1.nv")), F.col("total")
+    return a.where(F.col("n_groups") > 0).select(
+        "n_groups", "total", F.col("top1.label").alias("top_label"), top.alias("top_value"),
+        F.when(total != 0, top / total * 100).otherwise(0.0).alias("top_share_pct"),
+        F.when(F.col("n_groups") >= 3, F.when(total != 0, F.lit(t3).cast("double") / total * 100).otherwise(0.0))
         .alias("top3_share_pct"),
-        (F.coalesce(F.try_divide(F.negative(F.col("top1.nv")), F.col("total")), F.lit(0.0)) > 0.5)
-        .alias("concentrated"))
+        (F.coalesce(F.try_divide(top, total), F.lit(0.0)) > 0.5).alias("concentrated"))
 
 
 def top_record(df: DataFrame, x: str, y: str) -> DataFrame:

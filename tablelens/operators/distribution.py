@@ -32,18 +32,19 @@ def _bin_expr(v, mn, mx, bins: int):
 def histogram(df: DataFrame, y: str, bins: int = 30) -> DataFrame:
     """(bin, lo, hi, count) for ``bins`` equal-width bins between the min and
     max of the non-missing values; empty bins are listed with 0."""
+    from tablelens.functions.columns import scalars
     v = df.select(as_double(df, y).alias("v")).where(F.col("v").isNotNull())
-    b = v.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    counts = (v.crossJoin(F.broadcast(b))
-              .groupBy(_bin_expr(F.col("v"), F.col("mn"), F.col("mx"), bins).alias("bin"))
-              .agg(F.count(F.lit(1)).alias("count")))
-    nb = F.when(F.col("mx") > F.col("mn"), F.lit(bins)).otherwise(F.lit(1))
-    spine = (b.where(F.col("mn").isNotNull())
-             .select("mn", "mx", F.explode(F.sequence(F.lit(1).cast("long"), nb.cast("long"))).alias("bin")))
-    width = (F.col("mx") - F.col("mn")) / nb
-    return (spine.join(F.broadcast(counts), "bin", "left")
-            .select("bin", (F.col("mn") + (F.col("bin") - 1) * width).alias("lo"),
-                    (F.col("mn") + F.col("bin") * width).alias("hi"),
+    b = scalars(v.agg(F.min("v").alias("mn"), F.max("v").alias("mx")))  # two scalars
+    spark = df.sparkSession
+    if b.get("mn") is None:
+        return spark.createDataFrame([], "bin long, lo double, hi double, count long")
+    mn, mx = F.lit(b["mn"]).cast("double"), F.lit(b["mx"]).cast("double")
+    nb = bins if b["mx"] > b["mn"] else 1
+    counts = v.groupBy(_bin_expr(F.col("v"), mn, mx, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    width = (mx - mn) / F.lit(nb)
+    return (spark.range(1, nb + 1).withColumnRenamed("id", "bin")
+            .join(F.broadcast(counts), "bin", "left")  # <= bins rows
+            .select("bin", (mn + (F.col("bin") - 1) * width).alias("lo"), (mn + F.col("bin") * width).alias("hi"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
@@ -230,9 +231,10 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: str, color: str | None =
     s = df.select(*cols, h.alias("_h")).orderBy("_h").limit(n).drop("_h")
     if not color:
         return s.withColumn("color", F.lit(None).cast("string"))
-    nc = s.agg(F.count_distinct("color").alias("nc"))
-    return (s.crossJoin(nc).select("key", "x", "y",
-                                   F.when(F.col("nc") <= max_colors, F.col("color")).alias("color")))
+    # colours in the sample: a window over the n sampled rows only
+    from pyspark.sql import Window
+    nc = F.size(F.collect_set("color").over(Window.partitionBy()))
+    return s.select("key", "x", "y", F.when(nc <= max_colors, F.col("color")).alias("color"))
 
 
 # --------------------------------------------------------------------------- P7
@@ -264,10 +266,13 @@ def describe_date(df: DataFrame, c: str) -> DataFrame:
 def describe_categorical(df: DataFrame, c: str, top: int = 5) -> DataFrame:
     """P7 (other): distinct count, missing and the ``top`` most frequent
     values (count desc, value asc), one row per listed value."""
-    stats = df.agg(F.count_distinct(F.col(c)).alias("nunique"),
-                   F.count_if(~present(df, c)).alias("missing"),
-                   (F.count_if(~present(df, c)) / F.count(F.lit(1)) * 100).alias("missing_pct"))
+    from tablelens.functions.columns import scalars
+    st = scalars(df.agg(F.count_distinct(F.col(c)).alias("nunique"),
+                        F.count_if(~present(df, c)).alias("missing"),
+                        (F.count_if(~present(df, c)) / F.count(F.lit(1)) * 100).alias("missing_pct")))
     top_df = category_frequency(df, c, top)
-    return top_df.crossJoin(stats).select(F.lit(c).alias("column"), "nunique", "missing", "missing_pct",
-                                          "rank", F.col("label").alias("value"), "count")
+    return top_df.select(F.lit(c).alias("column"), F.lit(st["nunique"]).cast("long").alias("nunique"),
+                         F.lit(st["missing"]).cast("long").alias("missing"),
+                         F.lit(st["missing_pct"]).cast("double").alias("missing_pct"),
+                         "rank", F.col("label").alias("value"), "count")
 

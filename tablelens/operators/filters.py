@@ -102,10 +102,13 @@ def filter_all(df: DataFrame, date_col: str | None = None, date_range: tuple | N
     return out
 
 
-def shown_of_total(filtered: DataFrame, total: DataFrame) -> DataFrame:
-    """F4 status line: rows shown after filtering and rows before."""
-    return filtered.agg(F.count(F.lit(1)).alias("shown")).crossJoin(
-        total.agg(F.count(F.lit(1)).alias("total")))
+def shown_of_total(filtered: DataFrame, total: DataFrame, **extra) -> DataFrame:
+    """F4 status line: rows shown after filtering and rows before (plus any
+    ``extra`` aggregates of the shown rows)."""
+    from tablelens.functions.columns import scalars
+    n = scalars(total.agg(F.count(F.lit(1)).alias("n")))["n"]
+    return filtered.agg(F.count(F.lit(1)).alias("shown"), *extra.values()).select(
+        "*", F.lit(n).cast("long").alias("total"))
 
 
 def drop_missing(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -32,8 +32,11 @@ def month_sums(df: DataFrame, date_col: str, measure: str) -> DataFrame:
 
 
 def monthly_sum(df: DataFrame, date_col: str, measure: str) -> DataFrame:
-    """Dense monthly sum (month date, value double); gap months are 0."""
-    sums = month_sums(df, date_col, measure)
+    """Dense monthly sum (month date, value double); gap months are 0.
+
+    The sparse sums (one row per month with data) are cached: the spine and
+    the join both read them, so the table is scanned once."""
+    sums = month_sums(df, date_col, measure).cache()
     spine = (sums.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
              .where(F.col("lo").isNotNull())
              .select(F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"),

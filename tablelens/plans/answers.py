@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import scalars
 from tablelens.plans.insights import ReportInputs
 
 # Keyword stems of each intent, in the reference's order.
@@ -36,41 +37,35 @@ def _plain1(c):
     return F.regexp_replace(F.format_number(c, 1), ",", "")
 
 
-def facts(ri: ReportInputs) -> DataFrame:
-    """One row: leaders, trend, first outlier column and shape figures."""
-    spark = ri.df.sparkSession
+def facts(ri: ReportInputs) -> dict:
+    """Facts every answer may quote, computed once per data table: leaders
+    (a two-row top-k and the minimum), the last month-over-month change, the
+    first outlier column and the table shape. All bounded, small results."""
     s = ri.profile.schema
-    row = ri.health.select(F.col("rows").alias("rows"), F.col("columns").alias("cols"))
+    h = scalars(ri.health.select("rows", "columns"))
+    f = {"rows": h.get("rows"), "cols": h.get("columns"), "best_label": None, "best_value": None,
+         "second_label": None, "worst_label": None, "worst_value": None, "trend_pct": None,
+         "o_col": None, "o_n": None, "o_pct": None, "o_max": None,
+         "n_num": len(s["numeric"]), "n_cat": len(s["categorical"]), "n_date": len(s["date"])}
     if ri.gsum is not None:
-        g = ri.gsum
-        top2 = g.orderBy(F.col("value").desc(), F.col("label").asc()).limit(2).agg(
-            F.min(F.struct(F.negative("value").alias("nv"), "label")).alias("b1"),
-            F.max(F.struct(F.negative("value").alias("nv"), "label")).alias("b2"),
-            F.count(F.lit(1)).alias("ng"))
-        low = g.agg(F.min(F.struct("value", "label")).alias("w1"))
-        row = row.crossJoin(top2.select(F.col("b1.label").alias("best_label"),
-                                        F.negative(F.col("b1.nv")).alias("best_value"),
-                                        F.when(F.col("ng") > 1, F.col("b2.label")).alias("second_label"))) \
-                 .crossJoin(low.select(F.col("w1.label").alias("worst_label"), F.col("w1.value").alias("worst_value")))
-    else:
-        row = row.select("*", *[F.lit(None).cast(t).alias(c) for c, t in
-                                [("best_label", "string"), ("best_value", "double"), ("second_label", "string"),
-                                 ("worst_label", "string"), ("worst_value", "double")]])
+        top2 = ri.gsum.orderBy(F.col("value").desc(), F.col("label").asc()).limit(2).collect()
+        if top2:
+            f["best_label"], f["best_value"] = top2[0]["label"], top2[0]["value"]
+            f["second_label"] = top2[1]["label"] if len(top2) > 1 else None
+        lo = ri.gsum.orderBy(F.col("value").asc(), F.col("label").asc()).limit(1).collect()
+        if lo:
+            f["worst_label"], f["worst_value"] = lo[0]["label"], lo[0]["value"]
     if ri.monthly is not None:
         from pyspark.sql import Window
-        w = Window.orderBy("month")
-        lt = (ri.monthly.select("month", "value", F.lag("value").over(w).alias("prev"))
-              .orderBy(F.col("month").desc()).limit(1).where(F.col("prev").isNotNull())
-              .select(((F.col("value") - F.col("prev")) / (F.abs(F.col("prev")) + 1e-9) * 100).alias("pct")))
-        row = row.crossJoin(lt.agg(F.max("pct").alias("trend_pct")))
-    else:
-        row = row.withColumn("trend_pct", F.lit(None).cast("double"))
-    o = ri.outliers.orderBy("position").limit(1).agg(
-        F.max("column").alias("o_col"), F.max("iqr_outliers").alias("o_n"),
-        F.max("pct_of_rows").alias("o_pct"), F.max("max").alias("o_max"))
-    row = row.crossJoin(o)
-    return row.select("*", F.lit(len(s["numeric"])).alias("n_num"), F.lit(len(s["categorical"])).alias("n_cat"),
-                      F.lit(len(s["date"])).alias("n_date"))
+        lt = (ri.monthly.select("month", "value", F.lag("value").over(Window.orderBy("month")).alias("prev"))
+              .orderBy(F.col("month").desc()).limit(1).collect())
+        if lt and lt[0]["prev"] is not None:
+            cur, prev = lt[0]["value"], lt[0]["prev"]
+            f["trend_pct"] = (cur - prev) / (abs(prev) + 1e-9) * 100
+    o = ri.outliers.orderBy("position").limit(1).collect()
+    if o:
+        f.update(o_col=o[0]["column"], o_n=o[0]["iqr_outliers"], o_pct=o[0]["pct_of_rows"], o_max=o[0]["max"])
+    return f
 
 
 def answer_questions(questions: DataFrame, qid: list[str], text_col: str, ri: ReportInputs) -> DataFrame:
@@ -79,8 +74,13 @@ def answer_questions(questions: DataFrame, qid: list[str], text_col: str, ri: Re
     primary = ri.primary
     cat = s["categorical"][0] if s["categorical"] else None
     q = F.lower(F.col(text_col))
-    f = F.broadcast(facts(ri))  # one row
-    j = questions.select(*qid, q.alias("_q")).crossJoin(f)
+    types = {"rows": "long", "cols": "long", "best_label": "string", "best_value": "double",
+             "second_label": "string", "worst_label": "string", "worst_value": "double", "trend_pct": "double",
+             "o_col": "string", "o_n": "long", "o_pct": "double", "o_max": "double", "n_num": "long",
+             "n_cat": "long", "n_date": "long"}
+    fx = facts(ri)
+    # the facts are literals on every question row (no join)
+    j = questions.select(*qid, q.alias("_q"), *[F.lit(fx[k]).cast(t).alias(k) for k, t in types.items()])
     qq = F.col("_q")
     can_rank = bool(primary and cat)
     can_trend = bool(primary and s["date"])
@@ -113,4 +113,4 @@ def answer_questions(questions: DataFrame, qid: list[str], text_col: str, ri: Re
     it = F.col("intent")
     answer = (F.when(it == "best", best).when(it == "worst", worst).when(it == "trend", trend)
               .when(it == "outliers", outl).when(it == "summary", summary).otherwise(fallback))
-    return j.select(*qid, intent.alias("intent"), *[c for c in f.columns]).select(*qid, "intent", answer.alias("answer"))
+    return j.select(*qid, intent.alias("intent"), *types).select(*qid, "intent", answer.alias("answer"))

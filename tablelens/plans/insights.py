@@ -138,16 +138,7 @@ def business_insights(ri: ReportInputs) -> DataFrame:
 
 def _concentration(g: DataFrame) -> DataFrame:
     """A16 over ready group sums (same columns as ``breakdown.concentration``)."""
-    ranked = g.withColumn("k", F.struct(F.negative("value").alias("nv"), "label"))
-    a = ranked.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("value").alias("total"),
-                   F.min("k").alias("top1"))
-    top3 = g.orderBy(F.col("value").desc(), F.col("label").asc()).limit(3).agg(F.sum("value").alias("t3"))
-    top = F.negative(F.col("top1.nv"))
-    return a.crossJoin(top3).select(
-        "n_groups", "total", F.col("top1.label").alias("top_label"), top.alias("top_value"),
-        F.when(F.col("total") != 0, top / F.col("total") * 100).otherwise(0.0).alias("top_share_pct"),
-        F.when(F.col("total") != 0, F.col("t3") / F.col("total") * 100).otherwise(0.0).alias("top3_share_pct"),
-        (F.coalesce(F.try_divide(top, F.col("total")), F.lit(0.0)) > 0.5).alias("concentrated"))
+    return B.concentration_of(g)
 
 
 # ------------------------------------------------------------------------ I3

@@ -18,15 +18,14 @@ from tablelens.operators.monthly import mom_trend_kpi
 from tablelens.plans.profile import Profile
 
 
-def _distinct_row(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row with ``d_<i>`` = exact distinct count of cols[i]: unpivot +
-    one grouped pass (no per-column Expand of the whole table)."""
+def _distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Exact distinct counts of ``cols``: one grouped pass over the
+    unpivoted columns (no per-column Expand of the whole table)."""
     if not cols:
-        return df.sparkSession.range(1).select(F.lit(0).alias("_none"))
-    long_df = df.select(*[F.col(c).cast("string").alias(f"d_{i}") for i, c in enumerate(cols)]).unpivot(
-        [], [f"d_{i}" for i in range(len(cols))], "k", "v")
-    g = long_df.groupBy("k").agg(F.count_distinct("v").alias("nd"))
-    return g.groupBy().pivot("k", [f"d_{i}" for i in range(len(cols))]).agg(F.first("nd"))
+        return {}
+    from tablelens.operators.quality import column_stats
+    sub = df.select(*cols)
+    return {r["column"]: int(r["nunique"]) for r in column_stats(sub).select("column", "nunique").collect()}
 
 
 def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_counts: bool = False) -> DataFrame:
@@ -137,11 +136,10 @@ def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_count
     # One fused aggregate; distinct counts from the profile or one grouped
     # pass; trends are one-row results (a month series each), inlined.
     base = df.agg(*[e.alias(k) for k, e in scalars.items()])
-    if profile_counts:
-        base = base.select("*", *[F.lit(profile.nunique[c]).cast("long").alias(f"d_{i}")
-                                  for i, c in enumerate(distinct)])
-    else:
-        base = base.crossJoin(_distinct_row(df, distinct))
+    counts = ({c: profile.nunique[c] for c in distinct} if profile_counts
+              else _distinct_counts(df, distinct))
+    base = base.select("*", *[F.lit(counts.get(c, 0)).cast("long").alias(f"d_{i}")
+                              for i, c in enumerate(distinct)])
     for c, tag in trends.items():
         pct, up = trend_row(c)
         base = base.select("*", F.lit(pct).cast("double").alias(f"{tag}_pct"),

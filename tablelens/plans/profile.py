@@ -199,20 +199,24 @@ def profile_columns(df: DataFrame, profile: Profile | None = None) -> DataFrame:
 def profile_json(df: DataFrame, profile: Profile | None = None, max_cols: int = 20,
                  sample_rows: int = 10) -> DataFrame:
     """One-row JSON summary capped at ``max_cols`` columns and
-    ``sample_rows`` rows (rows in the order of all columns)."""
+    ``sample_rows`` rows (the first rows in the order of all columns: a
+    top-k, so each task keeps only ``sample_rows``)."""
+    import json
+
+    from tablelens.sources.files import preview
     p = profile or build_profile(df)
     cols = p.columns[:max_cols]
-    meta = profile_columns(df, p).where(F.col("position") < max_cols)
-    sample = (df.select(*[F.col(c).cast("string").alias(c) if is_temporal(df, c) else F.col(c)
-                          for c in cols if is_supported(df, c)])
-              .orderBy(*[c for c in cols if is_supported(df, c)]).limit(sample_rows))
-    samp = sample.agg(F.collect_list(F.struct(*sample.columns)).alias("sample_rows"))
-    m = meta.agg(F.collect_list(F.struct("column", "dtype", "missing_pct")).alias("columns"))
-    schema_lit = F.create_map(*[x for r in ROLES for x in (F.lit(r), F.array(*[F.lit(c) for c in
-                                                                                 p.schema[r][:max_cols]])
-                                                                 .cast("array<string>"))])
-    return m.crossJoin(samp).select(F.to_json(F.struct(
-        F.struct(F.lit(p.rows).alias("rows"), F.lit(len(p.columns)).alias("columns")).alias("shape"),
-        F.lit(p.dataset_type).alias("dataset_type"), F.col("columns"), schema_lit.alias("schema"),
-        F.lit(p.primary_measure).alias("primary_measure"), F.col("sample_rows"),
-        F.lit(max(0, len(p.columns) - max_cols)).alias("truncated_columns"))).alias("json"))
+    sample = [json.loads(x) for x in
+              preview(df.select(*cols), sample_rows).select(F.to_json(F.struct("*")).alias("j"))
+              .toPandas()["j"]]
+    doc = {
+        "shape": {"rows": p.rows, "columns": len(p.columns)},
+        "dataset_type": p.dataset_type,
+        "columns": [{"name": c, "dtype": p.dtypes[c], "missing_pct": p.missing_pct[c]} for c in cols],
+        "schema": {r: p.schema[r][:max_cols] for r in ROLES},
+        "semantic_roles": p.semantic_roles,
+        "primary_measure": p.primary_measure,
+        "sample_rows": sample,
+        "truncated_columns": max(0, len(p.columns) - max_cols),
+    }
+    return df.sparkSession.createDataFrame([(json.dumps(doc, default=str),)], "json string")

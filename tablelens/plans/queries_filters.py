@@ -21,8 +21,7 @@ from events, b""")
 def filter_date(spark, sf):
     ev = table(spark, sf, "events")
     f = FL.filter_date(ev, "ts")
-    return finish(f.agg(F.count(F.lit(1)).alias("shown"), F.sum("value").alias("value"))
-                  .crossJoin(ev.agg(F.count(F.lit(1)).alias("total"))))
+    return finish(FL.shown_of_total(f, ev, value=F.sum("value").alias("value")))
 
 
 @register("filter_date_eod", """
