@@ -312,3 +312,39 @@ from lineitem""" for c, t in [("l_orderkey", "bigint"), ("l_partkey", "bigint"),
                                ("l_linenumber", "int")]))
 def narrow_types(spark, sf):
     return I.narrow_plan(table(spark, sf, "lineitem"))
+
+
+@register("normalize_missing", """
+select count(*) filter (where l_discount is null) as discount_missing,
+       count(*) filter (where l_tax is null) as tax_missing, count(*) as rows
+from (select case when l_discount = 0 then null else l_discount end as l_discount,
+             case when l_tax = 0 then null else l_tax end as l_tax from lineitem)""")
+def normalize_missing(spark, sf):
+    # NaN planted where the value is 0 (a derived input); T1 must count it as missing
+    li = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_discount")).alias("l_discount"),
+        F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("l_tax"))
+    n = I.normalize_missing(li)
+    return n.agg(F.count_if(F.col("l_discount").isNull()).alias("discount_missing"),
+                 F.count_if(F.col("l_tax").isNull()).alias("tax_missing"), F.count(F.lit(1)).alias("rows"))
+
+
+def _semantic_sql() -> str:
+    fields = _sales_fields()
+    lits = []
+    for c, _ in fields:
+        for role, kws in N.SEMANTIC_ROLE_HINTS.items():
+            if N.matches(c, kws):
+                lits.append(f"select '{role}' as semantic_role, '{c}' as \"column\"")
+    order = "case role when 'numeric' then 0 when 'categorical' then 1 when 'date' then 2 when 'id' then 3 else 4 end"
+    return (with_sales(roles_cte("sales_wide", fields) + ",\nm as (" + "\nunion all\n".join(lits) + ")") + f"""
+select semantic_role, cast(row_number() over (partition by semantic_role order by {order}, position) as bigint) as rank,
+       "column"
+from m join roles using ("column") where role in ('numeric', 'categorical', 'date', 'id', 'boolean')""")
+
+
+@register("semantic_roles_sales", _semantic_sql())
+def semantic_roles_sales(spark, sf):
+    prof = P.build_profile(sales_wide(spark, sf))
+    rows = [(role, i + 1, c) for role, cols in prof.semantic_roles.items() for i, c in enumerate(cols)]
+    return spark.createDataFrame(rows, "semantic_role string, rank long, column string")

@@ -1 +1,5 @@
-
+"""Structured Streaming: the reference processes one uploaded table at a
+time and has no streams, windows over event time, state or late data, so no
+streaming operator is built here. Every operator is a batch
+``DataFrame -> DataFrame`` function; one applied to a micro-batch inside
+``foreachBatch`` behaves the same."""
