@@ -77,66 +77,82 @@ def duplicate_rows(df: DataFrame, limit: int = 50, cols: list[str] | None = None
     return (g.select(*cols, F.explode(copies).alias("_i")).orderBy(*cols).limit(limit).drop("_i"))
 
 
-def _typed_value(df: DataFrame, c: str):
-    """One struct type for every column with the value in its own slot: no
-    number-to-text formatting, and floats keep Spark's -0.0/NaN
-    normalisation in grouping keys. Missing values are a null struct."""
+def _family_value(df: DataFrame, c: str) -> tuple[str, F.Column]:
+    """(family, value) of a column for distinct counting: integers, dates and
+    timestamps as bigint (timestamps as microseconds by wall-clock
+    arithmetic, no zone), other numbers as double (Spark normalises -0.0 and
+    NaN in grouping keys), everything else as text. No number is formatted
+    as text. Missing values (NaN too) are null."""
     dt = df.schema[c].dataType
     v = F.col(c)
-    none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(dt, INTEGRAL + (T.BooleanType,)):
-        parts = (v.cast("long"), none_d, none_s)
+        out = ("l", v.cast("long"))
     elif isinstance(dt, T.TimestampNTZType):
-        # microseconds since the epoch by wall-clock arithmetic (no zone)
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        parts = (F.timestamp_diff("MICROSECOND", epoch, v), none_d, none_s)
+        out = ("l", F.timestamp_diff("MICROSECOND", epoch, v))
     elif isinstance(dt, T.TimestampType):
-        parts = (F.unix_micros(v), none_d, none_s)
+        out = ("l", F.unix_micros(v))
     elif isinstance(dt, T.DateType):
-        parts = (F.unix_date(v).cast("long"), none_d, none_s)
+        out = ("l", F.unix_date(v).cast("long"))
     elif isinstance(dt, NUMERIC):
-        parts = (none_l, v.cast("double"), none_s)
+        out = ("d", v.cast("double"))
     else:
-        parts = (none_l, none_d, v.cast("string"))
-    sv = F.struct(parts[0].alias("l"), parts[1].alias("d"), parts[2].alias("s"))
-    return F.when(present(df, c), sv)
+        out = ("s", v.cast("string"))
+    return out[0], F.when(present(df, c), out[1])
 
 
 def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: bool = False,
                  rsd: float = 0.02) -> DataFrame:
-    """One job for every supported column: (column, position, rows, n,
-    nunique, numeric_text, <meta fields>).
-
-    Exact: rows are unpivoted to (column key, typed value) and grouped by
-    column; Spark plans the distinct count as one shuffle of the distinct
-    (column, value) pairs, repeats dropped on the map side first. Per-column
-    metadata (``meta``: name -> {field: literal}) rides in the grouping key,
-    so no join is needed afterwards. ``numeric_text``: every non-missing text
-    value is a number once currency, percent and separator characters are
-    removed (blank counts as missing). ``approx=True``: HyperLogLog sketches
-    (``approx_count_distinct``) instead of the exact count."""
+    """One job for every supported column: (column, position, <meta fields>,
+    rows, n, nunique, numeric_text).
+
+    Exact: columns are unpivoted (an Expand, no per-row arrays) into one
+    (column key, value) stream per value family (bigint, double, text) and
+    each stream is grouped by column; Spark plans each distinct count as one
+    shuffle of the distinct (column, value) pairs, repeats dropped on the map
+    side first. Per-column metadata (``meta``: name -> {field: literal}) is
+    attached by position from a literal array afterwards (no join).
+    ``numeric_text``: every non-missing text value is a number once currency,
+    percent and separator characters are removed (blank counts as missing).
+    ``approx=True``: HyperLogLog sketches instead of exact distinct counts."""
     from tablelens.operators.ingest import MONEY_STRIP, NUMBER_SHAPE
     cols = df.columns  # positions count every column; only supported ones are read
-    keys = [(i, c) for i, c in enumerate(cols) if is_supported(df, c)]
     meta = meta or {}
     fields = sorted({f for m in meta.values() for f in m})
-    # Unpivot (an Expand: no arrays built per row) keyed by short names c<i>.
-    wide = df.select(*[_typed_value(df, c).alias(f"c{i}") for i, c in keys])
-    long_df = wide.unpivot([], [f"c{i}" for i, _ in keys], "k", "v")
-    cleaned = F.regexp_replace(F.col("v.s"), MONEY_STRIP, "")
-    text_ok = F.when(F.col("v.s").isNotNull(), (cleaned == "") | cleaned.rlike(NUMBER_SHAPE))
-    nd = F.approx_count_distinct("v", rsd) if approx else F.count_distinct("v")
-    g = long_df.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"),
-                                 nd.alias("nunique"), F.count("v.s").alias("n_text"),
-                                 F.bool_and(text_ok).alias("text_ok"))
+    families: dict[str, list] = {}
+    for i, c in enumerate(cols):
+        if is_supported(df, c):
+            fam, val = _family_value(df, c)
+            families.setdefault(fam, []).append((i, val))
+    parts = []
+    for fam, items in families.items():
+        wide = df.select(*[val.alias(f"c{i}") for i, val in items])
+        long_df = wide.unpivot([], [f"c{i}" for i, _ in items], "k", "v")
+        if fam == "s":
+            cleaned = F.regexp_replace(F.col("v"), MONEY_STRIP, "")
+            text_ok = F.bool_and(F.when(F.col("v").isNotNull(), (cleaned == "") | cleaned.rlike(NUMBER_SHAPE)))
+        else:
+            text_ok = F.lit(None).cast("boolean")
+        nd = F.approx_count_distinct("v", rsd) if approx else F.count_distinct("v")
+        parts.append(long_df.groupBy("k").agg(
+            F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), nd.alias("nunique"),
+            F.lit(fam == "s").alias("is_text"), text_ok.alias("text_ok")))
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "column string, position long, " + "".join(f"{f} string, " for f in fields)
+            + "rows long, n long, nunique long, numeric_text boolean")
+    g = parts[0]
+    for p in parts[1:]:
+        g = g.unionByName(p)
     # Column name and metadata by position: a literal array lookup, no join.
     pos = F.substring("k", 2, 10).cast("long")
     info = F.element_at(F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.lit(meta.get(c, {}).get(f)).alias(f) for f in fields])
         for c in cols]), (pos + 1).cast("int"))
+    numeric_text = F.col("is_text") & (F.col("n") > 0) & F.coalesce(F.col("text_ok"), F.lit(False))
     return g.select(info["column"].alias("column"), pos.alias("position"),
                     *[info[f].alias(f) for f in fields], "rows", "n", "nunique",
-                    ((F.col("n_text") > 0) & F.coalesce(F.col("text_ok"), F.lit(False))).alias("numeric_text"))
+                    numeric_text.alias("numeric_text"))
 
 
 def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
