@@ -59,6 +59,13 @@ class ReportInputs:
     outliers: DataFrame
     gsum: DataFrame | None
     monthly: DataFrame | None
+    _conc: DataFrame | None = None
+
+    def concentration(self) -> DataFrame:
+        """A16 over the group sums, planned once per report."""
+        if self._conc is None:
+            self._conc = B.concentration_of(self.gsum)
+        return self._conc
 
     @property
     def cat(self):
@@ -122,7 +129,7 @@ def business_insights(ri: ReportInputs) -> DataFrame:
     sec = "business_insights"
     parts = []
     if ri.gsum is not None:
-        c = _concentration(ri.gsum)
+        c = ri.concentration()
         parts.append(_fact(c, sec, 1, "Best Category", F.col("top_label"), "share_pct", F.col("top_share_pct")))
         low = ri.gsum.agg(F.min(F.struct("value", "label")).alias("lo"))
         parts.append(_fact(low, sec, 2, "Lowest Performance", F.col("lo.label"), ri.primary, F.col("lo.value")))
@@ -136,11 +143,6 @@ def business_insights(ri: ReportInputs) -> DataFrame:
     return _union(df.sparkSession, parts)
 
 
-def _concentration(g: DataFrame) -> DataFrame:
-    """A16 over ready group sums (same columns as ``breakdown.concentration``)."""
-    return B.concentration_of(g)
-
-
 # ------------------------------------------------------------------------ I3
 def trend_analysis(ri: ReportInputs) -> DataFrame:
     spark = ri.df.sparkSession
@@ -189,7 +191,7 @@ def risks(ri: ReportInputs) -> DataFrame:
                             F.col("column").alias("subject"), F.lit("max_to_mean").alias("metric"),
                             ratio.alias("value")))
     if ri.gsum is not None:
-        c = _concentration(ri.gsum).where((F.col("total") != 0) & F.col("concentrated"))
+        c = ri.concentration().where((F.col("total") != 0) & F.col("concentrated"))
         parts.append(_fact(c, sec, 100, "Concentration Risk", F.col("top_label"), "share_pct",
                            F.col("top_share_pct")))
     found = _union(spark, parts)

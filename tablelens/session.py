@@ -33,15 +33,20 @@ def get_spark(master: str = "local[8]", app: str = "tablelens", shuffle_partitio
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only when it
-    is unset (tests, local runs) fall back to a fresh local scratch folder."""
+    """Use the shared folder named in ``spark.checkpoint.dir``. Only a local
+    session (tests, a laptop) may fall back to a fresh local scratch folder;
+    on a cluster a machine-local folder would not survive executor loss, so
+    an unset setting is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3) for checkpoints")
         path = tempfile.mkdtemp(prefix="tablelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
