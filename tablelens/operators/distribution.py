@@ -76,29 +76,30 @@ def _box_finish(long_df: DataFrame, stats: DataFrame) -> DataFrame:
                     F.coalesce(F.col("outliers"), F.lit(0)).cast("long").alias("outliers")))
 
 
-def box_by_category(df: DataFrame, x: str, y: str, k: int = 8) -> DataFrame:
+def box_by_category(df: DataFrame, x: str, y: str, k: int = 8, exact: bool = True) -> DataFrame:
     """Five-number summary of ``y`` for each of the ``k`` most frequent
-    values of ``x``."""
+    values of ``x`` (``exact=False``: sketch quartiles, one pass)."""
     top = category_frequency(df, x, k).select(F.col("label").alias("_k"))
     long_df = (df.join(F.broadcast(top), F.col(x).cast("string") == F.col("_k"), "left_semi")
                .select(F.col(x).cast("string").alias("label"), as_double(df, y).alias("v"))
                .where(F.col("v").isNotNull()))
-    q = exact_quantiles(long_df, "label", "v", [0.25, 0.5, 0.75])
+    q = exact_quantiles(long_df, "label", "v", [0.25, 0.5, 0.75], exact=exact)
     stats = _box_frame(df.sparkSession, [(lab, d["n"], d[0.25], d[0.5], d[0.75]) for lab, d in q.items()])
     return _box_finish(long_df, stats)
 
 
-def box_columns(df: DataFrame, cols: Sequence[str], top: int = 2) -> DataFrame:
+def box_columns(df: DataFrame, cols: Sequence[str], top: int = 2, exact: bool = True) -> DataFrame:
     """A8 (per column): summaries of the ``top`` columns with the most IQR
     outliers (column order on ties)."""
-    o = outliers(df, cols, max_cols=len(cols)).orderBy(F.col("iqr_outliers").desc(), "position").limit(top)
+    o = outliers(df, cols, max_cols=len(cols), exact=exact).orderBy(F.col("iqr_outliers").desc(),
+                                                                     "position").limit(top)
     chosen = [r["column"] for r in o.select("column").collect()]
     if not chosen:
         return _box_finish(df.sparkSession.createDataFrame([], "label string, v double"),
                            _box_frame(df.sparkSession, []))
     wide = df.select(*[as_double(df, c).alias(c) for c in chosen])
     long_df = wide.unpivot([], chosen, "label", "v").where(F.col("v").isNotNull())
-    q = exact_quantiles(long_df, "label", "v", [0.25, 0.5, 0.75])
+    q = exact_quantiles(long_df, "label", "v", [0.25, 0.5, 0.75], exact=exact)
     stats = _box_frame(df.sparkSession, [(c, d["n"], d[0.25], d[0.5], d[0.75]) for c, d in q.items()])
     return _box_finish(long_df, stats)
 
@@ -127,10 +128,12 @@ def violin_bins(df: DataFrame, x: str, y: str, k: int = 6, bins: int = 30) -> Da
 
 
 # -------------------------------------------------------------------------- A10
-def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values: int = 5) -> DataFrame:
+def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values: int = 5,
+             exact: bool = True) -> DataFrame:
     """A10: per numeric column (first ``max_cols``, at least ``min_values``
     values): IQR-fence and |z|>3 outlier counts, min/max/mean/std (2 dp) and
-    the IQR outliers as a percent of the column's values (2 dp)."""
+    the IQR outliers as a percent of the column's values (2 dp).
+    ``exact=False``: sketch quartiles (one pass instead of two)."""
     cols = list(cols)[:max_cols]
     spark = df.sparkSession
     empty = spark.createDataFrame([], "column string, position long, iqr_outliers long, "
@@ -147,7 +150,7 @@ def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values:
     if not keep:
         return empty
     q = column_quantiles(df, [cols[i] for i in keep], [0.25, 0.75],
-                         counts={cols[i]: int(st[f"n{i}"]) for i in keep})
+                         counts={cols[i]: int(st[f"n{i}"]) for i in keep}, exact=exact)
     counts = []
     for i in keep:
         v, d = vals[i], q[cols[i]]
@@ -238,10 +241,10 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: str, color: str | None =
 
 
 # --------------------------------------------------------------------------- P7
-def describe_numeric(df: DataFrame, c: str) -> DataFrame:
+def describe_numeric(df: DataFrame, c: str, exact: bool = True) -> DataFrame:
     """P7 (numeric): count, missing, min, max, mean, std, median, p25, p75."""
     v = as_double(df, c)
-    q = column_quantiles(df, [c], [0.25, 0.5, 0.75]).get(c, {})
+    q = column_quantiles(df, [c], [0.25, 0.5, 0.75], exact=exact).get(c, {})
     return df.agg(F.lit(c).alias("column"), F.count(v).alias("n"),
                   F.count_if(v.isNull()).alias("missing"),
                   (F.count_if(v.isNull()) / F.count(F.lit(1)) * 100).alias("missing_pct"),

@@ -43,13 +43,21 @@ def _interp(lo: float, hi: float, frac: float) -> float:
 
 def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
                     band_limit: int = BAND_LIMIT, accuracy: int = ACCURACY,
-                    max_keys: int = MAX_KEYS, counts: dict | None = None) -> dict:
+                    max_keys: int = MAX_KEYS, counts: dict | None = None, exact: bool = True) -> dict:
     """Quantiles of ``value`` per ``key`` (keys: a bounded set such as column
     names or top-k categories). Returns ``{key: {"n": n, p: q, ...}}``;
-    nulls are ignored, keys with no values are absent."""
+    nulls are ignored, keys with no values are absent. ``exact=False``: one
+    pass of GK sketches (rank error at most n/accuracy, values not
+    interpolated) for very large inputs where that is acceptable."""
     probs = [float(p) for p in probs]
     data = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
+    if not exact:
+        rows = (data.groupBy("k").agg(F.count("v").alias("n"), F.percentile_approx("v", probs, accuracy).alias("a"))
+                .limit(max_keys + 1).collect())
+        if len(rows) > max_keys:
+            raise ValueError(f"exact_quantiles: more than {max_keys} keys")
+        return {r["k"]: {"n": int(r["n"]), **dict(zip(probs, r["a"]))} for r in rows}
 
     spark = long_df.sparkSession
     key_type = long_df.schema[key].dataType

@@ -84,3 +84,14 @@ def test_scatter_sample_is_repeatable_and_bounded(spark):
     b = D.scatter_sample(df, "x", "y", "id", "c", n=100).collect()
     assert len(a) == 100 and sorted(r["key"] for r in a) == sorted(r["key"] for r in b)
     assert all(r["color"] is None for r in a)  # 20 colours > 12
+
+
+def test_sketch_quantiles_are_close(spark):
+    rng = np.random.default_rng(5)
+    vals = rng.normal(0, 1, 5000)
+    df = spark.createDataFrame([("k", float(v)) for v in vals], "k string, v double")
+    got = exact_quantiles(df, "k", "v", [0.25, 0.5, 0.75], exact=False)["k"]
+    for p in (0.25, 0.5, 0.75):
+        assert abs(got[p] - np.quantile(vals, p)) < 0.01
+    o = D.outliers(spark.createDataFrame([(float(v),) for v in vals], "v double"), ["v"], exact=False).collect()
+    assert o[0]["iqr_outliers"] >= 0
