@@ -79,17 +79,6 @@ def as_timestamp(df: DataFrame, c: str) -> Column:
     return col.try_cast("timestamp_ntz")
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """a / b that is null (not an ANSI error) when b is 0 or null."""
-    return F.try_divide(a, b)
-
-
-def label(c: Column) -> Column:
-    """Group key rendered as text, so breakdowns over any key type share one
-    output schema."""
-    return c.cast("string")
-
-
 def scalars(one_row: DataFrame) -> dict:
     """Values of a one-row result (an aggregate without grouping) as a dict,
     for use as literals in later plans; {} if it has no row."""

@@ -55,16 +55,17 @@ def filter_options(df: DataFrame, categorical: list[str], max_filters: int = 5,
                    min_values: int = 2, max_values: int = 100) -> DataFrame:
     """F2 options: (column, value) sorted distinct values of the first
     ``max_filters`` categorical columns that have 2..100 distinct values.
-    One distinct-count aggregate picks the columns; one grouped pass lists
-    their values (at most 100 per column)."""
+    One distinct-count pass picks the columns; one grouped pass lists their
+    values (at most 100 per column)."""
     if not categorical:
         return df.sparkSession.createDataFrame([], "column string, value string")
-    cnt = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(categorical)]).collect()[0]
+    from tablelens.operators.quality import column_stats
+    cnt = {r["column"]: r["nunique"] for r in column_stats(df.select(*categorical)).collect()}
     chosen = []
-    for i, c in enumerate(categorical):
+    for c in categorical:
         if len(chosen) >= max_filters:
             break
-        if min_values <= cnt[f"d{i}"] <= max_values:
+        if min_values <= cnt.get(c, 0) <= max_values:
             chosen.append(c)
     if not chosen:
         return df.sparkSession.createDataFrame([], "column string, value string")

@@ -22,9 +22,6 @@ from tablelens.operators import monthly as M
 from tablelens.operators import quality as Q
 from tablelens.plans.profile import Profile
 
-COLS = ["section", "ord", "title", "subject", "metric", "value"]
-
-
 def _fact(frame: DataFrame, section: str, ord_: int, title, subject, metric, value) -> DataFrame:
     def lit_or(c, cast):
         if isinstance(c, F.Column):

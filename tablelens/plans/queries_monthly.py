@@ -136,7 +136,7 @@ def date_range(spark, sf):
 @register("month_heatmap", """
 with p as (select year(o_orderdate) as year, month(o_orderdate) as mon, o_totalprice as v
            from orders where o_orderdate is not null and o_totalprice is not null)
-select cast(year as integer) as year,
+select cast(year as bigint) as year,
   round(sum(case when mon = 1 then v end), 2) as Jan, round(sum(case when mon = 2 then v end), 2) as Feb,
   round(sum(case when mon = 3 then v end), 2) as Mar, round(sum(case when mon = 4 then v end), 2) as Apr,
   round(sum(case when mon = 5 then v end), 2) as May, round(sum(case when mon = 6 then v end), 2) as Jun,

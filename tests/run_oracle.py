@@ -29,6 +29,8 @@ def main():
         status = {True: "OK  ", False: "FAIL", None: "ROWS"}[r["ok"]]
         bad += r["ok"] is False
         extra = "" if r["ok"] else " " + str({k: v for k, v in r.items() if k != "ok"})[:1500]
+        if r.get("type_mismatch"):
+            extra += " TYPES " + str(r["type_mismatch"])
         print(f"{status} {n:28s} {dt:6.2f}s rows={r.get('rows_spark', r.get('rows'))}{extra}", flush=True)
     print(f"failures: {bad}")
 
