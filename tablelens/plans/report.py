@@ -17,6 +17,10 @@ from tablelens.plans import profile as P
 from tablelens.session import stage
 
 
+class EmptyTableError(ValueError):
+    """IO2: the table has no rows, so there is nothing to analyse."""
+
+
 @dataclass
 class Dashboard:
     profile: P.Profile
@@ -42,6 +46,10 @@ def dashboard(df: DataFrame, persist: str | None = "persist", template: str | No
     lazy; ``collect_all`` runs them."""
     raw = stage(normalize_missing(df), persist)
     prof = P.build_profile(raw, template=template)
+    if prof.rows == 0:
+        if persist:
+            raw.unpersist()
+        raise EmptyTableError("the table has no rows")
     same = filtered is None
     src = raw if same else stage(normalize_missing(filtered), persist)
     base = P.prepare(src, prof)  # projections over the staged rows
