@@ -33,13 +33,19 @@ def filter_date(df: DataFrame, date_col: str, start=None, end=None, end_of_day:
             return df.where(F.lit(False))
         start = start or b[0]
         end = end or b[1]
-    lo = F.lit(dt.datetime.combine(start, dt.time()) if isinstance(start, dt.date) and not isinstance(
-        start, dt.datetime) else start).cast("timestamp_ntz")
-    hi_day = end if isinstance(end, dt.datetime) else dt.datetime.combine(end, dt.time())
+    def wall(x) -> F.Column:
+        # literal from ISO text: a wall-clock value, independent of any zone
+        if not isinstance(x, dt.datetime):
+            x = dt.datetime.combine(x, dt.time())
+        return F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+
+    start = start if isinstance(start, dt.date) else dt.date.fromisoformat(str(start))
+    end = end if isinstance(end, dt.date) else dt.date.fromisoformat(str(end))
     ts = as_timestamp(df, date_col)
     if end_of_day:
-        return df.where((ts >= lo) & (ts < F.lit(hi_day + dt.timedelta(days=1)).cast("timestamp_ntz")))
-    return df.where((ts >= lo) & (ts <= F.lit(hi_day).cast("timestamp_ntz")))
+        end_day = end.date() if isinstance(end, dt.datetime) else end
+        return df.where((ts >= wall(start)) & (ts < wall(end_day + dt.timedelta(days=1))))
+    return df.where((ts >= wall(start)) & (ts <= wall(end)))
 
 
 def filter_values(df: DataFrame, selections: dict[str, list]) -> DataFrame:

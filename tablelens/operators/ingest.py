@@ -85,7 +85,10 @@ def detect_date_format(df: DataFrame, col: str, sample: int = 50) -> str | None:
 
 
 def date_value(c, fmt: str) -> F.Column:
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    """Wall-clock timestamp (no zone) of text in layout ``fmt``; null when it
+    does not parse. The ANSI-raising parser only runs on values the try-form
+    accepted."""
+    return F.when(F.try_to_timestamp(c, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(c, F.lit(fmt)))
 
 
 def coerce_dates(df: DataFrame, formats: dict[str, str]) -> DataFrame:
