@@ -45,3 +45,23 @@ def test_export_summary_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "x long, y string")
     rows = {r["metric"]: r["value"] for r in Q.export_summary(Q.health(df)).collect()}
     assert rows["Rows"] == 3 and rows["Columns"] == 2 and rows["Duplicate Rows"] == 1 and rows["Missing Cells"] == 1
+
+
+def test_duplicates_without_broadcast(spark, monkeypatch):
+    # over the broadcast bound the exact pass groups all rows by value
+    monkeypatch.setattr(Q, "BROADCAST_HASHES", 0)
+    rows = [(i % 7, None if i % 5 == 0 else float(i % 3)) for i in range(100)]
+    df = spark.createDataFrame(rows, "a long, b double")
+    pdf = pd.DataFrame(rows, columns=["a", "b"])
+    assert Q.duplicate_count(df).collect()[0]["dup_rows"] == int(pdf.duplicated().sum())
+
+
+def test_stage_modes(spark):
+    from tablelens.session import stage
+    df = spark.range(1000).selectExpr("id", "id % 10 as k")
+    for mode in ("persist", "checkpoint", None):
+        s = stage(df, mode)
+        assert s.count() == 1000 and s.rdd.getNumPartitions() >= 1
+        if mode == "persist":
+            s.unpersist()
+    assert spark.conf.get("spark.checkpoint.dir")
