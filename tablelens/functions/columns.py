@@ -84,3 +84,22 @@ def scalars(one_row: DataFrame) -> dict:
     for use as literals in later plans; {} if it has no row."""
     r = one_row.limit(1).collect()
     return r[0].asDict(recursive=True) if r else {}
+
+
+def sql_literal(v) -> str:
+    """A Python value as a Spark SQL literal (text quoted and escaped)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def struct_array_sql(rows: list[dict]) -> str:
+    """``array(named_struct(...), ...)`` of literal rows, as one SQL string:
+    a lookup table inside an expression, built with a single call instead of
+    one call per value."""
+    return "array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{k}', {sql_literal(v)}" for k, v in r.items()) + ")" for r in rows) + ")"

@@ -180,10 +180,10 @@ def _corr_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     names = sorted({c for pr in pairs for c in pr}, key=lambda c: df.columns.index(c))
     slot = {c: f"v{i}" for i, c in enumerate(names)}
     v = df.select(*[as_double(df, c).alias(slot[c]) for c in names])
-    items = [F.struct(F.lit(p).alias("p"), F.when(F.col(slot[b]).isNotNull(), F.col(slot[a])).alias("a"),
-                      F.when(F.col(slot[a]).isNotNull(), F.col(slot[b])).alias("b"))
-             for p, (a, b) in enumerate(pairs)]
-    long_df = v.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    items = ", ".join(
+        f"named_struct('p', {p}, 'a', CASE WHEN {slot[b]} IS NOT NULL THEN {slot[a]} END, "
+        f"'b', CASE WHEN {slot[a]} IS NOT NULL THEN {slot[b]} END)" for p, (a, b) in enumerate(pairs))
+    long_df = v.selectExpr(f"explode(array({items})) AS x").select("x.*")
     g = long_df.groupBy("p").agg(F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"),
                                  F.stddev_pop("b").alias("sb"))
     return g.select("p", F.try_divide(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))

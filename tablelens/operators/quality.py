@@ -145,14 +145,13 @@ def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: boo
     for p in parts[1:]:
         g = g.unionByName(p)
     # Column name and metadata by position: a literal array lookup, no join.
-    pos = F.substring("k", 2, 10).cast("long")
-    info = F.element_at(F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.lit(meta.get(c, {}).get(f)).alias(f) for f in fields])
-        for c in cols]), (pos + 1).cast("int"))
+    from tablelens.functions.columns import struct_array_sql
+    table = struct_array_sql([{"column": c, **{f: meta.get(c, {}).get(f) for f in fields}} for c in cols])
+    info = F.expr(f"element_at({table}, cast(substring(k, 2) as int) + 1)")
     numeric_text = F.col("is_text") & (F.col("n") > 0) & F.coalesce(F.col("text_ok"), F.lit(False))
-    return g.select(info["column"].alias("column"), pos.alias("position"),
-                    *[info[f].alias(f) for f in fields], "rows", "n", "nunique",
-                    numeric_text.alias("numeric_text"))
+    return g.select(info.alias("info"), F.substring("k", 2, 10).cast("long").alias("position"), "rows", "n",
+                    "nunique", numeric_text.alias("numeric_text")).select(
+        "info.column", "position", *[f"info.{f}" for f in fields], "rows", "n", "nunique", "numeric_text")
 
 
 def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:

@@ -58,7 +58,7 @@ def spread(df: DataFrame) -> DataFrame:
     (a small file, one row group) over all cores before heavy reuse. On a
     large input this is a no-op: it already has more partitions."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if df._jdf.rdd().getNumPartitions() < target:  # JVM side: no Python RDD wrapper
         return df.repartition(target)
     return df
 
