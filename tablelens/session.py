@@ -33,7 +33,7 @@ def get_spark(master: str = "local[8]", app: str = "tablelens", shuffle_partitio
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.sparkContext.master.startswith("local"):
+    if _is_local(spark):
         ensure_checkpoint_dir(spark)
     return spark
 
@@ -45,20 +45,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     an unset setting is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3) for checkpoints")
         path = tempfile.mkdtemp(prefix="tablelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - Spark Connect: the server reads spark.checkpoint.dir
+        pass
     return path
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext.master.startswith("local")
+    except Exception:  # noqa: BLE001 - Spark Connect: treat as a cluster
+        return False
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a frame read from fewer splits than the cluster has cores
     (a small file, one row group) over all cores before heavy reuse. On a
     large input this is a no-op: it already has more partitions."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < target:  # JVM side: no Python RDD wrapper
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df._jdf.rdd().getNumPartitions()  # JVM side: no Python RDD wrapper
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave placement to the server
+        return df
+    if parts < target:
         return df.repartition(target)
     return df
 
