@@ -199,9 +199,3 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         kw["counts"] = {f"c{i}": kw["counts"][c] for i, c in enumerate(cols)}
     res = exact_quantiles(long_df, "key", "val", probs, **kw)
     return {cols[int(k[1:])]: v for k, v in res.items()}
-
-
-def frame_median(df: DataFrame, col: str) -> float | None:
-    """Exact median of one column of a (possibly large) frame."""
-    res = exact_quantiles(df.select(F.lit("m").alias("key"), F.col(col).alias("val")), "key", "val", [0.5])
-    return res["m"][0.5] if "m" in res else None

@@ -162,16 +162,6 @@ def roles_cte(src: str, fields) -> str:
     return "roles as (" + "\nunion all\n".join(parts) + ")"
 
 
-def _roles_query(name, tname, src_fn, cte_prefix=""):
-    def fn(spark, sf):
-        return finish(P.column_roles(src_fn(spark, sf)))
-
-    def sql_for(spark_schema):
-        pre = ("with " + cte_prefix + ",\n") if cte_prefix else "with "
-        return pre + roles_cte(tname, spark_schema) + "\nselect * from roles"
-    return fn, sql_for
-
-
 _SCHEMAS: dict = {}
 
 
