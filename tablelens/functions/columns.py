@@ -14,6 +14,12 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
+def qcol(name: str) -> Column:
+    """Column reference by its literal name: user columns may hold dots,
+    spaces or backticks, which a plain ``F.col`` would parse."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def dtype(df: DataFrame, c: str) -> T.DataType:
     return df.schema[c].dataType
 
@@ -40,7 +46,7 @@ def is_supported(df: DataFrame, c: str) -> bool:
 
 def present(df: DataFrame, c: str) -> Column:
     """True where the value is not missing; NaN counts as missing."""
-    col = F.col(c)
+    col = qcol(c)
     if isinstance(dtype(df, c), FRACTIONAL):
         return col.isNotNull() & ~F.isnan(col)
     return col.isNotNull()
@@ -48,7 +54,7 @@ def present(df: DataFrame, c: str) -> Column:
 
 def as_double(df: DataFrame, c: str) -> Column:
     """Numeric view of a column as double, NaN and unparseable text as null."""
-    col = F.col(c)
+    col = qcol(c)
     dt = dtype(df, c)
     if isinstance(dt, FRACTIONAL):
         return F.when(~F.isnan(col), col.cast("double"))
@@ -63,14 +69,14 @@ def as_date(df: DataFrame, c: str) -> Column:
     """Calendar date of a date/timestamp column (text is tried as a date).
     NTZ timestamps are cast straight to date, never through the session
     zone, so month bins do not shift."""
-    col = F.col(c)
+    col = qcol(c)
     if isinstance(dtype(df, c), TEMPORAL):
         return col.cast("date")
     return col.try_cast("timestamp_ntz").cast("date")
 
 
 def as_timestamp(df: DataFrame, c: str) -> Column:
-    col = F.col(c)
+    col = qcol(c)
     dt = dtype(df, c)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return col

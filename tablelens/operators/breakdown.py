@@ -15,20 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import as_double
+from tablelens.functions.columns import as_double, qcol
 
 
 def group_sum(df: DataFrame, x: str, y: str) -> DataFrame:
     """(label string, value double) for every non-null key."""
-    return (df.where(F.col(x).isNotNull())
-            .groupBy(F.col(x).cast("string").alias("label"))
+    return (df.where(qcol(x).isNotNull())
+            .groupBy(qcol(x).cast("string").alias("label"))
             .agg(F.coalesce(F.sum(as_double(df, y)), F.lit(0.0)).alias("value")))
 
 
 def group_count(df: DataFrame, x: str) -> DataFrame:
     """(label, count) value counts, null keys dropped."""
-    return (df.where(F.col(x).isNotNull())
-            .groupBy(F.col(x).cast("string").alias("label"))
+    return (df.where(qcol(x).isNotNull())
+            .groupBy(qcol(x).cast("string").alias("label"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -118,7 +118,7 @@ def top_record(df: DataFrame, x: str, y: str) -> DataFrame:
     category text among equal maxima: rows have no file order here)."""
     v = as_double(df, y)
     m = df.where(v.isNotNull()).agg(F.max(F.struct(v.alias("value"),
-                                                   F.col(x).cast("string").alias("label"))).alias("m"))
+                                                   qcol(x).cast("string").alias("label"))).alias("m"))
     return m.where(F.col("m").isNotNull()).select(F.col("m.label").alias("label"),
                                                   F.col("m.value").alias("value"))
 
@@ -127,7 +127,7 @@ def top_k_members(df: DataFrame, x: str, k: int) -> DataFrame:
     """rows whose ``x`` is one of the ``k`` most frequent values. The
     top-k frame has k rows, so it is broadcast into a left-semi join."""
     top = category_frequency(df, x, k).select(F.col("label").alias("_k"))
-    return df.join(F.broadcast(top), F.col(x).cast("string") == F.col("_k"), "left_semi")
+    return df.join(F.broadcast(top), qcol(x).cast("string") == F.col("_k"), "left_semi")
 
 
 def underserved(df: DataFrame, x: str, y: str, min_count: int = 3) -> DataFrame:
@@ -136,8 +136,8 @@ def underserved(df: DataFrame, x: str, y: str, min_count: int = 3) -> DataFrame:
     with the highest mean (smallest key on ties)."""
     from tablelens.operators.quantiles import exact_quantiles
     v = as_double(df, y)
-    g = (df.where(F.col(x).isNotNull())
-         .groupBy(F.col(x).cast("string").alias("label"))
+    g = (df.where(qcol(x).isNotNull())
+         .groupBy(qcol(x).cast("string").alias("label"))
          .agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.count(v).alias("n"))
          .where(F.col("n") >= min_count)
          .withColumn("avg_value", F.col("total") / F.col("n")))

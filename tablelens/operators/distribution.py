@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.columns import as_double, as_timestamp, present
+from tablelens.functions.columns import as_double, as_timestamp, present, qcol
 from tablelens.operators.breakdown import category_frequency
 from tablelens.operators.quantiles import column_quantiles, exact_quantiles
 
@@ -80,8 +80,8 @@ def box_by_category(df: DataFrame, x: str, y: str, k: int = 8, exact: bool = Tru
     """Five-number summary of ``y`` for each of the ``k`` most frequent
     values of ``x`` (``exact=False``: sketch quartiles, one pass)."""
     top = category_frequency(df, x, k).select(F.col("label").alias("_k"))
-    long_df = (df.join(F.broadcast(top), F.col(x).cast("string") == F.col("_k"), "left_semi")
-               .select(F.col(x).cast("string").alias("label"), as_double(df, y).alias("v"))
+    long_df = (df.join(F.broadcast(top), qcol(x).cast("string") == F.col("_k"), "left_semi")
+               .select(qcol(x).cast("string").alias("label"), as_double(df, y).alias("v"))
                .where(F.col("v").isNotNull()))
     q = exact_quantiles(long_df, "label", "v", [0.25, 0.5, 0.75], exact=exact)
     stats = _box_frame(df.sparkSession, [(lab, d["n"], d[0.25], d[0.5], d[0.75]) for lab, d in q.items()])
@@ -98,7 +98,7 @@ def box_columns(df: DataFrame, cols: Sequence[str], top: int = 2, exact: bool =
         return _box_finish(df.sparkSession.createDataFrame([], "label string, v double"),
                            _box_frame(df.sparkSession, []))
     wide = df.select(*[as_double(df, c).alias(c) for c in chosen])
-    long_df = wide.unpivot([], chosen, "label", "v").where(F.col("v").isNotNull())
+    long_df = wide.unpivot([], [qcol(c) for c in chosen], "label", "v").where(F.col("v").isNotNull())
     q = exact_quantiles(long_df, "label", "v", [0.25, 0.5, 0.75], exact=exact)
     stats = _box_frame(df.sparkSession, [(c, d["n"], d[0.25], d[0.5], d[0.75]) for c, d in q.items()])
     return _box_finish(long_df, stats)
@@ -110,8 +110,8 @@ def violin_bins(df: DataFrame, x: str, y: str, k: int = 6, bins: int = 30) -> Da
     min..max) for the ``k`` most frequent categories; the density curve is
     drawn by the client from these counts."""
     top = category_frequency(df, x, k).select(F.col("label").alias("_k"))
-    long_df = (df.join(F.broadcast(top), F.col(x).cast("string") == F.col("_k"), "left_semi")
-               .select(F.col(x).cast("string").alias("label"), as_double(df, y).alias("v"))
+    long_df = (df.join(F.broadcast(top), qcol(x).cast("string") == F.col("_k"), "left_semi")
+               .select(qcol(x).cast("string").alias("label"), as_double(df, y).alias("v"))
                .where(F.col("v").isNotNull()))
     b = long_df.groupBy("label").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
     counts = (long_df.join(F.broadcast(b), "label")
@@ -227,10 +227,10 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: str, color: str | None =
     md5(key || seed). Each task keeps its ``n`` best rows
     (TakeOrderedAndProject), so the sample never gathers the table. The colour
     is kept only if the sample has at most ``max_colors`` distinct values."""
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    cols = [F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y")]
+    h = F.md5(F.concat(qcol(key).cast("string"), F.lit(str(seed))))
+    cols = [qcol(key).alias("key"), qcol(x).alias("x"), qcol(y).alias("y")]
     if color:
-        cols.append(F.col(color).cast("string").alias("color"))
+        cols.append(qcol(color).cast("string").alias("color"))
     s = df.select(*cols, h.alias("_h")).orderBy("_h").limit(n).drop("_h")
     if not color:
         return s.withColumn("color", F.lit(None).cast("string"))
@@ -270,7 +270,7 @@ def describe_categorical(df: DataFrame, c: str, top: int = 5) -> DataFrame:
     """P7 (other): distinct count, missing and the ``top`` most frequent
     values (count desc, value asc), one row per listed value."""
     from tablelens.functions.columns import scalars
-    st = scalars(df.agg(F.count_distinct(F.col(c)).alias("nunique"),
+    st = scalars(df.agg(F.count_distinct(qcol(c)).alias("nunique"),
                         F.count_if(~present(df, c)).alias("missing"),
                         (F.count_if(~present(df, c)) / F.count(F.lit(1)) * 100).alias("missing_pct")))
     top_df = category_frequency(df, c, top)

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import as_double, as_timestamp
+from tablelens.functions.columns import as_double, as_timestamp, qcol
 
 
 def date_bounds(df: DataFrame, date_col: str) -> tuple[dt.date, dt.date] | None:
@@ -53,7 +53,7 @@ def filter_values(df: DataFrame, selections: dict[str, list]) -> DataFrame:
     out = df
     for c, vals in selections.items():
         if vals:
-            out = out.where(F.col(c).isin(list(vals)))
+            out = out.where(qcol(c).isin(list(vals)))
     return out
 
 
@@ -75,8 +75,8 @@ def filter_options(df: DataFrame, categorical: list[str], max_filters: int = 5,
             chosen.append(c)
     if not chosen:
         return df.sparkSession.createDataFrame([], "column string, value string")
-    long_df = (df.select(*[F.col(c).cast("string").alias(c) for c in chosen])
-               .unpivot([], chosen, "column", "value").where(F.col("value").isNotNull()))
+    long_df = (df.select(*[qcol(c).cast("string").alias(c) for c in chosen])
+               .unpivot([], [qcol(c) for c in chosen], "column", "value").where(F.col("value").isNotNull()))
     return long_df.select("column", "value").distinct().orderBy("column", "value")
 
 

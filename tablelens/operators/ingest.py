@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.columns import FRACTIONAL, INTEGRAL, is_string
+from tablelens.functions.columns import FRACTIONAL, INTEGRAL, is_string, qcol
 
 # ---------------------------------------------------------------------------
 # The characters stripped before a text value is read as a
@@ -30,8 +30,8 @@ DATE_FORMATS = [
 def normalize_missing(df: DataFrame) -> DataFrame:
     """NaN becomes null in float/double columns, so one test (null)
     means missing everywhere."""
-    return df.select(*[F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name)
-                       if isinstance(f.dataType, FRACTIONAL) else F.col(f.name) for f in df.schema.fields])
+    return df.select(*[F.when(~F.isnan(qcol(f.name)), qcol(f.name)).alias(f.name)
+                       if isinstance(f.dataType, FRACTIONAL) else qcol(f.name) for f in df.schema.fields])
 
 
 def money_clean(c) -> F.Column:
@@ -53,10 +53,10 @@ def numeric_text_columns(df: DataFrame, cols: list[str] | None = None) -> list[s
         return []
     aggs = []
     for i, c in enumerate(cols):
-        cleaned = money_clean(F.col(c))
+        cleaned = money_clean(qcol(c))
         ok = (cleaned == "") | cleaned.rlike(NUMBER_SHAPE)
-        aggs += [F.bool_and(F.when(F.col(c).isNotNull(), ok)).alias(f"ok{i}"),
-                 F.count(F.col(c)).alias(f"n{i}")]
+        aggs += [F.bool_and(F.when(qcol(c).isNotNull(), ok)).alias(f"ok{i}"),
+                 F.count(qcol(c)).alias(f"n{i}")]
     r = df.agg(*aggs).collect()[0]
     return [c for i, c in enumerate(cols) if r[f"n{i}"] > 0 and r[f"ok{i}"]]
 
@@ -65,7 +65,7 @@ def coerce_money(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFram
     """Replace numeric-looking text columns by doubles; returns the new
     frame and the columns converted."""
     conv = numeric_text_columns(df, cols)
-    out = df.select(*[money_value(F.col(c)).alias(c) if c in conv else F.col(c) for c in df.columns])
+    out = df.select(*[money_value(qcol(c)).alias(c) if c in conv else qcol(c) for c in df.columns])
     return out, conv
 
 
@@ -94,7 +94,7 @@ def date_value(c, fmt: str) -> F.Column:
 def coerce_dates(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     """T4: parse text date columns with their detected layout; values that do
     not parse become null."""
-    return df.select(*[date_value(F.col(c), formats[c]).alias(c) if c in formats else F.col(c)
+    return df.select(*[date_value(qcol(c), formats[c]).alias(c) if c in formats else qcol(c)
                        for c in df.columns])
 
 
@@ -113,7 +113,7 @@ def narrow_plan(df: DataFrame, floats: bool = False) -> DataFrame:
         return spark.createDataFrame([], "column string, from_type string, to_type string")
     aggs = [F.lit(0).alias("_z")]
     for i, c in enumerate(ints):
-        aggs += [F.min(c).cast("long").alias(f"lo{i}"), F.max(c).cast("long").alias(f"hi{i}")]
+        aggs += [F.min(qcol(c)).cast("long").alias(f"lo{i}"), F.max(qcol(c)).cast("long").alias(f"hi{i}")]
     row = df.agg(*aggs)
     specs = []
     for i, c in enumerate(ints):
@@ -133,4 +133,4 @@ def narrow_plan(df: DataFrame, floats: bool = False) -> DataFrame:
 def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:
     """Apply ``narrow_plan``: cast each column to its narrowed type."""
     plan = {r["column"]: r["to_type"] for r in narrow_plan(df, floats).collect()}
-    return df.select(*[F.col(c).cast(plan[c]).alias(c) if c in plan else F.col(c) for c in df.columns])
+    return df.select(*[qcol(c).cast(plan[c]).alias(c) if c in plan else qcol(c) for c in df.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import as_date, as_double
+from tablelens.functions.columns import as_date, as_double, qcol
 
 MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
@@ -49,7 +49,7 @@ def monthly_sum(df: DataFrame, date_col: str, measure: str) -> DataFrame:
 def monthly_sum_by(df: DataFrame, date_col: str, measure: str, color: str) -> DataFrame:
     """Month x colour sums, no gap filling, null colours dropped."""
     return (df.select(as_date(df, date_col).alias("d"), as_double(df, measure).alias("v"),
-                      F.col(color).cast("string").alias("color"))
+                      qcol(color).cast("string").alias("color"))
             .where(F.col("d").isNotNull() & F.col("v").isNotNull() & F.col("color").isNotNull())
             .groupBy(F.last_day("d").alias("month"), "color")
             .agg(F.sum("v").alias("value")))
@@ -148,7 +148,7 @@ def month_heatmap(df: DataFrame, date_col: str, measure: str) -> DataFrame:
            .groupBy("year").pivot("mon", list(range(1, 13))).agg(F.sum("v")))
     piv = piv.select("year", *[F.col(str(i)).alias(MONTH_ABBR[i - 1]) for i in range(1, 13)])
     # Which months occur: one tiny aggregate over the (years x 12) result.
-    seen = piv.agg(*[F.count(F.col(m)).alias(m) for m in MONTH_ABBR]).collect()[0]
+    seen = piv.agg(*[F.count(qcol(m)).alias(m) for m in MONTH_ABBR]).collect()[0]
     keep = [m for m in MONTH_ABBR if seen[m] > 0]
     return piv.select("year", *keep)
 

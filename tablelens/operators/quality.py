@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.columns import INTEGRAL, NUMERIC, is_supported, present
+from tablelens.functions.columns import INTEGRAL, NUMERIC, is_supported, present, qcol
 
 # Candidate hashes above this many rows are not broadcast; the exact pass
 # then groups all rows by value instead of semi-joining the candidates.
@@ -49,16 +49,16 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 def duplicate_groups(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Distinct rows that occur more than once, with their count ``_n``."""
     cols = cols or supported_columns(df)
-    h = F.xxhash64(*[F.col(c) for c in cols])
+    h = F.xxhash64(*[qcol(c) for c in cols])
     cand = (df.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
             .where(F.col("_c") > 1).select("_h"))
     n_cand = cand.count()
     if n_cand == 0:
-        return df.select(*cols).limit(0).withColumn("_n", F.lit(0).cast("long"))
-    rows = df.select(*cols)
+        return df.select(*[qcol(c) for c in cols]).limit(0).withColumn("_n", F.lit(0).cast("long"))
+    rows = df.select(*[qcol(c) for c in cols])
     if n_cand <= BROADCAST_HASHES:
         rows = rows.join(F.broadcast(cand), h == F.col("_h"), "left_semi")
-    return rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    return rows.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
 
 
 def duplicate_count(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -72,9 +72,9 @@ def duplicate_rows(df: DataFrame, limit: int = 50, cols: list[str] | None = None
     all columns (ascending, nulls first). Only ``limit`` groups are expanded,
     and each by at most ``limit`` copies."""
     cols = cols or supported_columns(df)
-    g = duplicate_groups(df, cols).orderBy(*cols).limit(limit)
+    g = duplicate_groups(df, cols).orderBy(*[qcol(c) for c in cols]).limit(limit)
     copies = F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(limit)).cast("int"))
-    return (g.select(*cols, F.explode(copies).alias("_i")).orderBy(*cols).limit(limit).drop("_i"))
+    return (g.select(*[qcol(c) for c in cols], F.explode(copies).alias("_i")).orderBy(*[qcol(c) for c in cols]).limit(limit).drop("_i"))
 
 
 def _family_value(df: DataFrame, c: str) -> tuple[str, F.Column]:
@@ -84,7 +84,7 @@ def _family_value(df: DataFrame, c: str) -> tuple[str, F.Column]:
     NaN in grouping keys), everything else as text. No number is formatted
     as text. Missing values (NaN too) are null."""
     dt = df.schema[c].dataType
-    v = F.col(c)
+    v = qcol(c)
     if isinstance(dt, INTEGRAL + (T.BooleanType,)):
         out = ("l", v.cast("long"))
     elif isinstance(dt, T.TimestampNTZType):
@@ -205,7 +205,7 @@ def health(df: DataFrame, dup_rows: int | None = None) -> DataFrame:
 def export_summary(health_df: DataFrame) -> DataFrame:
     """IO4: the summary sheet rows (Metric, Value) from a health row."""
     h = health_df
-    return _struct_rows(h, [F.struct(F.lit(m).alias("metric"), F.col(c).cast("long").alias("value"))
+    return _struct_rows(h, [F.struct(F.lit(m).alias("metric"), qcol(c).cast("long").alias("value"))
                             for m, c in [("Rows", "rows"), ("Columns", "columns"),
                                          ("Missing Cells", "missing_cells"),
                                          ("Duplicate Rows", "dup_rows"), ("Health Score", "score")]])

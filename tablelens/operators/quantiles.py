@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.functions.columns import qcol
+
 ACCURACY = 10000
 BAND_LIMIT = 1_000_000
 MAX_KEYS = 10_000
@@ -50,7 +52,7 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[fl
     pass of GK sketches (rank error at most n/accuracy, values not
     interpolated) for very large inputs where that is acceptable."""
     probs = [float(p) for p in probs]
-    data = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(
+    data = long_df.select(qcol(key).alias("k"), qcol(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
     if not exact:
         rows = (data.groupBy("k").agg(F.count("v").alias("n"), F.percentile_approx("v", probs, accuracy).alias("a"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.columns import qcol
+
 from tablelens.functions.scalar import number_tokens
 
 
@@ -15,9 +17,9 @@ def turn_pairs(conv: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     """Consecutive turns of each conversation as (id, turn, original,
     rewritten). An equi-join on (id, turn) = (id, turn - 1): rows are hashed
     on both keys, so one very long conversation still spreads over tasks."""
-    a = conv.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(text_col).alias("original"))
-    b = conv.select(F.col(id_col).alias("id"), (F.col(turn_col) - 1).alias("turn"),
-                    F.col(text_col).alias("rewritten"))
+    a = conv.select(qcol(id_col).alias("id"), qcol(turn_col).alias("turn"), qcol(text_col).alias("original"))
+    b = conv.select(qcol(id_col).alias("id"), (qcol(turn_col) - 1).alias("turn"),
+                    qcol(text_col).alias("rewritten"))
     return a.join(b, ["id", "turn"])
 
 
@@ -25,7 +27,7 @@ def numbers_preserved(pairs: DataFrame, original: str = "original", rewritten: s
     """Accept a rewrite only if it is not blank and its set of number
     tokens equals the original's; ``text`` is the rewrite if accepted, else
     the original."""
-    o, r = F.col(original), F.col(rewritten)
+    o, r = qcol(original), qcol(rewritten)
     same = F.coalesce(number_tokens(o) == number_tokens(r), F.lit(False))
     ok = r.isNotNull() & (F.trim(r) != "") & same
     return pairs.select("*", F.size(number_tokens(o)).cast("long").alias("original_numbers"),
@@ -41,10 +43,10 @@ def apply_rerank(base: DataFrame, decisions: DataFrame, group: str = "grp", inde
     title replaces the base title; items without a decision are dropped; a
     group with no valid decision keeps its base items unchanged.
     Output (group, ord, index, title, source)."""
-    d = decisions.select(F.col(group).alias("grp"), F.col(index).alias("idx"),
-                         F.struct(F.col(order).alias("ord"), F.col(title).alias("title")).alias("d"))
+    d = decisions.select(qcol(group).alias("grp"), qcol(index).alias("idx"),
+                         F.struct(qcol(order).alias("ord"), qcol(title).alias("title")).alias("d"))
     first = d.groupBy("grp", "idx").agg(F.min("d").alias("d"))  # partial agg, no window
-    b = base.select(F.col(group).alias("grp"), F.col(index).alias("idx"), F.col(title).alias("base_title"))
+    b = base.select(qcol(group).alias("grp"), qcol(index).alias("idx"), qcol(title).alias("base_title"))
     kept = first.join(b, ["grp", "idx"]).select(
         "grp", F.col("d.ord").alias("ord"), "idx",
         F.coalesce(F.when(F.trim(F.col("d.title")) != "", F.trim(F.col("d.title"))), F.col("base_title"))

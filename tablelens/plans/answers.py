@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import scalars
+from tablelens.functions.columns import scalars, qcol
 from tablelens.plans.insights import ReportInputs
 
 # Keyword stems of each intent, in the reference's order.
@@ -73,14 +73,14 @@ def answer_questions(questions: DataFrame, qid: list[str], text_col: str, ri: Re
     s = ri.profile.schema
     primary = ri.primary
     cat = s["categorical"][0] if s["categorical"] else None
-    q = F.lower(F.col(text_col))
+    q = F.lower(qcol(text_col))
     types = {"rows": "long", "cols": "long", "best_label": "string", "best_value": "double",
              "second_label": "string", "worst_label": "string", "worst_value": "double", "trend_pct": "double",
              "o_col": "string", "o_n": "long", "o_pct": "double", "o_max": "double", "n_num": "long",
              "n_cat": "long", "n_date": "long"}
     fx = facts(ri)
     # the facts are literals on every question row (no join)
-    j = questions.select(*qid, q.alias("_q"), *[F.lit(fx[k]).cast(t).alias(k) for k, t in types.items()])
+    j = questions.select(*[qcol(c) for c in qid], q.alias("_q"), *[F.lit(fx[k]).cast(t).alias(k) for k, t in types.items()])
     qq = F.col("_q")
     can_rank = bool(primary and cat)
     can_trend = bool(primary and s["date"])

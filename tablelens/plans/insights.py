@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import as_double, as_timestamp
+from tablelens.functions.columns import as_double, as_timestamp, qcol
 from tablelens.operators import breakdown as B
 from tablelens.operators import distribution as D
 from tablelens.operators import monthly as M
@@ -236,7 +236,7 @@ def insight_report(df: DataFrame, profile: Profile, ri: ReportInputs | None = No
     r = risks(ri)
     h = ri.health
     health_rows = _union(df.sparkSession, [
-        _fact(h, "health", i + 1, "Health", F.col("grade"), m, F.col(m))
+        _fact(h, "health", i + 1, "Health", F.col("grade"), m, qcol(m))
         for i, m in enumerate(["score", "missing_pct", "missing_cells", "dup_rows", "dup_pct", "total_cells"])])
     out_rows = ri.outliers.select(F.lit("outliers").alias("section"), F.col("position").alias("ord"),
                                   F.lit("Outliers").alias("title"), F.col("column").alias("subject"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import as_double, is_numeric
+from tablelens.functions.columns import as_double, is_numeric, qcol
 from tablelens.operators.monthly import mom_trend_kpi
 from tablelens.plans.profile import Profile
 
@@ -24,7 +24,7 @@ def _distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     if not cols:
         return {}
     from tablelens.operators.quality import column_stats
-    sub = df.select(*cols)
+    sub = df.select(*[qcol(c) for c in cols])
     return {r["column"]: int(r["nunique"]) for r in column_stats(sub).select("column", "nunique").collect()}
 
 
@@ -44,15 +44,19 @@ def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_count
     def num(c):
         return as_double(df, c)
 
+    def tag(c):
+        # aliases by column position: names may hold dots or spaces
+        return f"c{df.columns.index(c)}"
+
     def add(label, value, sub=None, trend=None, sub_text=None, col=None):
         cards.append(dict(label=label, value=value, sub=sub, trend=trend, sub_text=sub_text))
         if col:
             used.add(col)
 
     def sum_mean(c):
-        scalars[f"sum_{c}"] = F.coalesce(F.sum(num(c)), F.lit(0.0))
-        scalars[f"avg_{c}"] = F.avg(num(c))
-        return f"sum_{c}", f"avg_{c}"
+        scalars[f"sum_{tag(c)}"] = F.coalesce(F.sum(num(c)), F.lit(0.0))
+        scalars[f"avg_{tag(c)}"] = F.avg(num(c))
+        return f"sum_{tag(c)}", f"avg_{tag(c)}"
 
     def trend(c):
         if not date_col:
@@ -94,9 +98,9 @@ def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_count
     if cust and len(cards) < max_kpis:
         add("Total Customers", dcount(cust[0]), sub_text="unique customers", col=cust[0])
     if rev and len(cards) < max_kpis:
-        scalars[f"sum_{rev}"] = F.coalesce(F.sum(num(rev)), F.lit(0.0))
+        scalars[f"sum_{tag(rev)}"] = F.coalesce(F.sum(num(rev)), F.lit(0.0))
         denom = dcount(order_cols[0]) if order_cols else "rows"
-        add("Avg Order Value", ("aov", f"sum_{rev}", denom),
+        add("Avg Order Value", ("aov", f"sum_{tag(rev)}", denom),
             sub_text="per order" if order_cols else "per record")
     growth = None
     trend_rows: dict[str, tuple] = {}
@@ -116,9 +120,9 @@ def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_count
             break
         if c in used or c == primary:
             continue
-        scalars[f"avg_{c}"] = F.avg(num(c))
-        scalars[f"max_{c}"] = F.max(num(c))
-        add(f"Avg {c}", f"avg_{c}", f"max_{c}", col=c)
+        scalars[f"avg_{tag(c)}"] = F.avg(num(c))
+        scalars[f"max_{tag(c)}"] = F.max(num(c))
+        add(f"Avg {c}", f"avg_{tag(c)}", f"max_{tag(c)}", col=c)
     for c in schema["categorical"]:
         if len(cards) >= max_kpis:
             break
@@ -155,7 +159,7 @@ def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_count
                 return F.col(f"{spec[1]}_pct")
             if spec[0] == "days":
                 return F.expr("timestampdiff(DAY, date_lo, date_hi)").cast("double")
-        return F.col(spec).cast("double")
+        return qcol(spec).cast("double")
 
     def text(spec):
         if spec == ("dates",):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import names as N
-from tablelens.functions.columns import is_boolean, is_numeric, is_string, is_supported, is_temporal
+from tablelens.functions.columns import is_boolean, is_numeric, is_string, is_supported, is_temporal, qcol
 from tablelens.operators import ingest as I
 from tablelens.operators.quality import column_stats
 
@@ -106,7 +106,7 @@ def pick_primary_measure(df: DataFrame, numeric_cols: list[str], template: str |
     from tablelens.operators.ingest import money_value
     sums = []
     for i, c in enumerate(numeric_cols):
-        v = money_value(F.col(c)) if is_string(df, c) else as_double(df, c)
+        v = money_value(qcol(c)) if is_string(df, c) else as_double(df, c)
         sums.append(F.sum(v).alias(f"s{i}"))
     r = df.agg(*sums).collect()[0]
     best, best_v = None, None
@@ -178,7 +178,7 @@ def prepare(df: DataFrame, profile: Profile) -> DataFrame:
     """Apply the profile's coercions (S1: they stick): NaN -> null, numeric
     text -> double, date text -> timestamp."""
     out = I.normalize_missing(df)
-    out = out.select(*[I.money_value(F.col(c)).alias(c) if c in profile.numeric_text else F.col(c)
+    out = out.select(*[I.money_value(qcol(c)).alias(c) if c in profile.numeric_text else qcol(c)
                        for c in out.columns])
     return I.coerce_dates(out, profile.date_formats)
 
@@ -207,7 +207,7 @@ def profile_json(df: DataFrame, profile: Profile | None = None, max_cols: int =
     p = profile or build_profile(df)
     cols = p.columns[:max_cols]
     sample = [json.loads(x) for x in
-              preview(df.select(*cols), sample_rows).select(F.to_json(F.struct("*")).alias("j"))
+              preview(df.select(*[qcol(c) for c in cols]), sample_rows).select(F.to_json(F.struct("*")).alias("j"))
               .toPandas()["j"]]
     doc = {
         "shape": {"rows": p.rows, "columns": len(p.columns)},

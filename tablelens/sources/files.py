@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import is_supported, is_temporal
+from tablelens.functions.columns import is_supported, is_temporal, qcol
 
 # ---------------------------------------------------------------------------
 # Text read as missing in a CSV cell (the default NA words of
@@ -37,16 +37,16 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     if df.columns:
         bad = F.lit(False)
         for c in df.columns:
-            bad = bad | F.coalesce(F.col(c).contains("�"), F.lit(False))
+            bad = bad | F.coalesce(qcol(c).contains("�"), F.lit(False))
         if df.where(bad).limit(1).count() > 0:
             df = _read_text_csv(spark, path, "ISO-8859-1")
-    cleaned = df.select(*[F.when(~F.trim(F.col(c)).isin(NA_WORDS) & F.col(c).isNotNull(),
-                                 F.trim(F.col(c))).alias(c) for c in df.columns])
+    cleaned = df.select(*[F.when(~F.trim(qcol(c)).isin(NA_WORDS) & qcol(c).isNotNull(),
+                                 F.trim(qcol(c))).alias(c) for c in df.columns])
     if not cleaned.columns:
         return cleaned
     aggs = []
     for i, c in enumerate(cleaned.columns):
-        v = F.col(c)
+        v = qcol(c)
         aggs += [F.count(v).alias(f"n{i}"),
                  F.bool_and(F.when(v.isNotNull(), v.rlike(INT_SHAPE))).alias(f"i{i}"),
                  F.bool_and(F.when(v.isNotNull(), v.rlike(FLOAT_SHAPE))).alias(f"f{i}"),
@@ -54,7 +54,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     r = cleaned.agg(*aggs).collect()[0]
     out = []
     for i, c in enumerate(cleaned.columns):
-        v = F.col(c)
+        v = qcol(c)
         if r[f"n{i}"] == 0:
             out.append(v.cast("double").alias(c))  # all-missing column reads as float
         elif r[f"i{i}"]:
@@ -86,5 +86,5 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
     """IO5: first ``n`` rows in the order of all columns (nulls first), dates
     as text. Each task keeps its ``n`` best rows (TakeOrderedAndProject)."""
     cols = [c for c in df.columns if is_supported(df, c)]
-    out = df.select(*[F.col(c).cast("string").alias(c) if is_temporal(df, c) else F.col(c) for c in cols])
-    return out.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).limit(n)
+    out = df.select(*[qcol(c).cast("string").alias(c) if is_temporal(df, c) else qcol(c) for c in cols])
+    return out.orderBy(*[qcol(c).asc_nulls_first() for c in cols]).limit(n)

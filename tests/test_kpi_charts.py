@@ -61,3 +61,23 @@ def test_chart_specs_and_dispatch(staff):
     assert C.run_spec(df, {"type": "heatmap", "x": "hire_date", "y": "salary"}, prof).count() == 1
     assert C.run_spec(df, {"type": "box", "x": "dept", "y": "salary"}, prof).count() == 5
     assert C.run_spec(df, {"type": "line", "x": "hire_date", "y": "salary", "color": "nope"}, prof).count() == 12
+
+
+def test_kpis_with_awkward_column_names(spark):
+    df = spark.createDataFrame([(float(i), float(i % 4), f"g{i % 3}") for i in range(20)],
+                               "`Net.Sales` double, `unit cost` double, `grp.name` string")
+    prof = P.build_profile(df)
+    cards = {c["label"]: c["value"] for c in K.build_kpis(df, prof).collect()}
+    assert cards["Total Revenue"] == sum(range(20)) and cards["Avg unit cost"] == pytest.approx(1.5)
+
+
+def test_dashboard_with_awkward_column_names(spark):
+    from tablelens.plans.report import collect_all, dashboard
+    rows = [(float(i % 50), f"r{i % 4}", f"c`{i % 3}", dt.date(2023, 1 + i % 12, 1), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "`sales.usd` double, `the region` string, `odd``name` string, "
+                                     "`order date` date, `row.id` long")
+    d = dashboard(df, persist=None)
+    res = collect_all(d.frames())
+    assert d.profile.primary_measure == "sales.usd" and d.profile.schema["date"] == ["order date"]
+    assert res["kpis"][1]["label"] == "Total Revenue" and res["kpis"][1]["value"] == sum(r[0] for r in rows)
+    assert len(res["charts"]) > 0 and len(res["insights"]) > 0
