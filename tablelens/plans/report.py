@@ -36,19 +36,21 @@ class Dashboard:
         return out
 
 
-def dashboard(df: DataFrame, persist: str | None = "persist", template: str | None = None,
-              with_insights: bool = True, filtered: DataFrame | None = None) -> Dashboard:
+def dashboard(df: DataFrame, persist: str | None = "auto", template: str | None = None,
+              with_insights: bool = True, filtered: DataFrame | None = None,
+              approx_distinct: bool = False) -> Dashboard:
     """Profile ``df`` (S14: the profile describes the unfiltered rows), then
     plan KPIs, charts and insights over ``filtered`` (default: ``df``).
 
-    ``persist`` keeps the normalised rows for the report's jobs ("persist",
-    "checkpoint" or None; see ``session.stage``). The returned frames are
-    lazy; ``collect_all`` runs them."""
+    ``persist`` keeps the normalised rows for the report's jobs ("auto",
+    "persist", "checkpoint" or None; see ``session.stage``).
+    ``approx_distinct`` profiles with HyperLogLog distinct counts (no value
+    shuffle) for very large tables. The returned frames are lazy;
+    ``collect_all`` runs them."""
     raw = stage(normalize_missing(df), persist)
-    prof = P.build_profile(raw, template=template)
+    prof = P.build_profile(raw, template=template, approx_distinct=approx_distinct)
     if prof.rows == 0:
-        if persist:
-            raw.unpersist()
+        raw.unpersist()
         raise EmptyTableError("the table has no rows")
     same = filtered is None
     src = raw if same else stage(normalize_missing(filtered), persist)

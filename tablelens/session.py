@@ -77,12 +77,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def stage(df: DataFrame, mode: str | None = "persist") -> DataFrame:
+# Bases whose estimated size is above this are not cached by stage("auto"):
+# every operator reads only a few columns, and a columnar scan with pruning
+# is then cheaper than caching (and spilling) every column.
+PERSIST_MAX_BYTES = 10 * 1024 ** 3
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (file sizes for a scan)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect)
+        return None
+
+
+def stage(df: DataFrame, mode: str | None = "auto") -> DataFrame:
     """Materialise a base frame that several jobs of one report re-read.
 
     ``persist``: cached blocks, recomputed from the scan if an executor dies.
     ``checkpoint``: reliable copy in the checkpoint folder, lineage cut.
+    ``auto``: ``persist`` when the estimated size is at most
+    ``spark.tablelens.persistMaxBytes`` (default 10 GiB), else no caching.
     ``None``: keep the lazy plan (every job rescans the source)."""
+    if mode == "auto":
+        limit = int(df.sparkSession.conf.get("spark.tablelens.persistMaxBytes", str(PERSIST_MAX_BYTES)))
+        size = estimated_bytes(df)
+        mode = "persist" if size is not None and size <= limit else None
     if mode is None:
         return df
     df = spread(df)

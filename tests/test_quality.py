@@ -65,3 +65,18 @@ def test_stage_modes(spark):
         if mode == "persist":
             s.unpersist()
     assert spark.conf.get("spark.checkpoint.dir")
+
+
+def test_stage_auto_uses_size_bound(spark):
+    from tablelens import session as S
+    df = spark.range(1000).selectExpr("id", "id % 10 as k")
+    assert S.estimated_bytes(df) > 0
+    s = S.stage(df, "auto")
+    assert s.storageLevel.useMemory or s.storageLevel.useDisk  # small: cached
+    s.unpersist()
+    spark.conf.set("spark.tablelens.persistMaxBytes", "1")
+    try:
+        big = S.stage(df.selectExpr("id + 1 as id"), "auto")
+        assert not big.storageLevel.useMemory and not big.storageLevel.useDisk  # over the bound: lazy
+    finally:
+        spark.conf.unset("spark.tablelens.persistMaxBytes")
