@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from tablelens.operators import distribution as D
 from tablelens.plans.catalog import finish, register, sales_wide, table, with_sales
+from tablelens.session import stage
 
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax"]
@@ -55,7 +56,8 @@ top as (select label from g order by count desc, label asc limit 8),
 l as (select cast(p_brand as varchar) as label, cast(p_retailprice as double) as v from part
       where p_brand in (select label from top) and p_retailprice is not null)"""))
 def box_by_category(spark, sf):
-    return finish(D.box_by_category(table(spark, sf, "part"), "p_brand", "p_retailprice", 8), 4)
+    # multi-pass operators (counts, quartiles, fences) read a staged input
+    return finish(D.box_by_category(stage(table(spark, sf, "part")), "p_brand", "p_retailprice", 8), 4)
 
 
 def _outlier_sql(src: str, cols: list[str], with_prefix: str = "with ") -> str:
@@ -79,12 +81,12 @@ group by q1, q3, m, s having count(v) >= 5""")
 
 @register("outliers", _outlier_sql("lineitem", LINEITEM_NUM))
 def outliers(spark, sf):
-    return finish(D.outliers(table(spark, sf, "lineitem"), LINEITEM_NUM), 2, q1=4, q3=4)
+    return finish(D.outliers(stage(table(spark, sf, "lineitem")), LINEITEM_NUM), 2, q1=4, q3=4)
 
 
 @register("outliers_sales", with_sales("x as (select 1)\n" + _outlier_sql("sales_wide", SALES_NUM)))
 def outliers_sales(spark, sf):
-    return finish(D.outliers(sales_wide(spark, sf), SALES_NUM), 2, q1=4, q3=4)
+    return finish(D.outliers(stage(sales_wide(spark, sf)), SALES_NUM), 2, q1=4, q3=4)
 
 
 def _box_columns_sql() -> str:
@@ -101,7 +103,7 @@ l as (select * from allv where label in (select label from top))""")
 
 @register("box_columns", _box_columns_sql())
 def box_columns(spark, sf):
-    return finish(D.box_columns(table(spark, sf, "lineitem"), LINEITEM_NUM, 2), 4)
+    return finish(D.box_columns(stage(table(spark, sf, "lineitem")), LINEITEM_NUM, 2), 4)
 
 
 @register("violin_bins", """
@@ -176,7 +178,7 @@ select 'l_extendedprice' as "column", count(l_extendedprice) as n,
        round(quantile_cont(l_extendedprice, 0.75), 4) as p75
 from lineitem""")
 def describe_numeric(spark, sf):
-    return finish(D.describe_numeric(table(spark, sf, "lineitem"), "l_extendedprice"), 4)
+    return finish(D.describe_numeric(stage(table(spark, sf, "lineitem")), "l_extendedprice"), 4)
 
 
 @register("describe_date", """
