@@ -5,7 +5,9 @@ Spark's exact ``percentile`` keeps a value->count map per group and merges it
 in a single task; for a global quantile over a huge column, or a category that
 holds a third of all rows, that map is unbounded. Here:
 
-1. one aggregate per key gives ``n`` and a GK sketch (``percentile_approx``,
+0. counts per key first; keys with at most ``band_limit`` values use Spark's
+   exact ``percentile`` directly (its per-key value map is then bounded);
+1. otherwise one aggregate per key gives a GK sketch (``percentile_approx``,
    bounded memory, merged partially on the map side);
 2. the sketch brackets every target rank with a value band ``[lo, hi]`` that
    holds a small, known share of the rows; one scan counts the rows below
@@ -158,34 +160,14 @@ def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[fl
 
 
 def _select_small(data: DataFrame, out: dict, probs: list[float]) -> dict:
-    """Every key has at most ``band_limit`` values: one job. Values are
-    reduced to (key, value, count), a window per key gives each value's
-    rank range and the rows holding the target ranks are collected."""
-    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    counted = data.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = counted.select("k", "v", "c", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("start"),
-                            F.sum("c").over(Window.partitionBy("k")).alias("n"))
-    hit = F.lit(False)
-    for p in probs:
-        pos = (F.col("n") - 1) * F.lit(p)
-        for r in (F.floor(pos), F.ceil(pos)):
-            hit = hit | ((r >= F.col("start")) & (r < F.col("start") + F.col("c")))
-    rows = ranked.where(hit).select("k", "v", "c", "start").collect()
-    by_key: dict = {}
+    """Every key has at most ``band_limit`` values: Spark's exact
+    ``percentile`` (linear interpolation) in one grouped aggregate. Its
+    value->count map per key is bounded by the same limit, so the task that
+    merges a key's map holds at most ``band_limit`` entries."""
+    rows = data.groupBy("k").agg(F.percentile("v", probs).alias("q")).collect()
     for r in rows:
-        by_key.setdefault(r["k"], []).append((int(r["start"]), int(r["c"]), float(r["v"])))
-
-    def at(k, rank):
-        for start, c, v in by_key[k]:
-            if start <= rank < start + c:
-                return v
-        raise KeyError((k, rank))
-    for k, d in out.items():
-        n = d["n"]
-        for p in probs:
-            pos = (n - 1) * p
-            lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-            d[p] = _interp(at(k, lo_r), at(k, hi_r), pos - lo_r)
+        if r["k"] in out:
+            out[r["k"]].update(zip(probs, (float(x) for x in r["q"])))
     return out
 
 
