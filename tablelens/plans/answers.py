@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import scalars, qcol
+from tablelens.functions.columns import qcol
 from tablelens.plans.insights import ReportInputs
 
 # Keyword stems of each intent, in the reference's order.
@@ -38,31 +38,25 @@ def _plain1(c):
 
 
 def facts(ri: ReportInputs) -> dict:
-    """Facts every answer may quote, computed once per data table: leaders
-    (a two-row top-k and the minimum), the last month-over-month change, the
-    first outlier column and the table shape. All bounded, small results."""
+    """Facts every answer may quote, shared with the insight report (each a
+    bounded result computed once per report): leaders and tail of the
+    category sums, the last month-over-month change, the first outlier column
+    and the table shape."""
     s = ri.profile.schema
-    h = scalars(ri.health.select("rows", "columns"))
+    h = ri.health_row()
     f = {"rows": h.get("rows"), "cols": h.get("columns"), "best_label": None, "best_value": None,
          "second_label": None, "worst_label": None, "worst_value": None, "trend_pct": None,
          "o_col": None, "o_n": None, "o_pct": None, "o_max": None,
          "n_num": len(s["numeric"]), "n_cat": len(s["categorical"]), "n_date": len(s["date"])}
-    if ri.gsum is not None:
-        top2 = ri.gsum.orderBy(F.col("value").desc(), F.col("label").asc()).limit(2).collect()
-        if top2:
-            f["best_label"], f["best_value"] = top2[0]["label"], top2[0]["value"]
-            f["second_label"] = top2[1]["label"] if len(top2) > 1 else None
-        lo = ri.gsum.orderBy(F.col("value").asc(), F.col("label").asc()).limit(1).collect()
-        if lo:
-            f["worst_label"], f["worst_value"] = lo[0]["label"], lo[0]["value"]
-    if ri.monthly is not None:
-        from pyspark.sql import Window
-        lt = (ri.monthly.select("month", "value", F.lag("value").over(Window.orderBy("month")).alias("prev"))
-              .orderBy(F.col("month").desc()).limit(1).collect())
-        if lt and lt[0]["prev"] is not None:
-            cur, prev = lt[0]["value"], lt[0]["prev"]
-            f["trend_pct"] = (cur - prev) / (abs(prev) + 1e-9) * 100
-    o = ri.outliers.orderBy("position").limit(1).collect()
+    g = ri.group_facts()
+    if g:
+        f.update(best_label=g["top"][0], best_value=g["top"][1], second_label=g["second"],
+                 worst_label=g["low"][0], worst_value=g["low"][1])
+    m = ri.month_rows()
+    if len(m) >= 2:
+        cur, prev = m[-1][1], m[-2][1]
+        f["trend_pct"] = (cur - prev) / (abs(prev) + 1e-9) * 100
+    o = ri.outlier_rows()
     if o:
         f.update(o_col=o[0]["column"], o_n=o[0]["iqr_outliers"], o_pct=o[0]["pct_of_rows"], o_max=o[0]["max"])
     return f
