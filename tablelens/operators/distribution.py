@@ -29,12 +29,14 @@ def _bin_expr(v, mn, mx, bins: int):
     return F.when(mx > mn, F.least(raw, F.lit(bins))).otherwise(F.lit(1)).cast("long")
 
 
-def histogram(df: DataFrame, y: str, bins: int = 30) -> DataFrame:
+def histogram(df: DataFrame, y: str, bins: int = 30, bounds: tuple | None = None) -> DataFrame:
     """(bin, lo, hi, count) for ``bins`` equal-width bins between the min and
-    max of the non-missing values; empty bins are listed with 0."""
+    max of the non-missing values; empty bins are listed with 0. ``bounds``:
+    the (min, max) when already known (e.g. from the profile)."""
     from tablelens.functions.columns import scalars
     v = df.select(as_double(df, y).alias("v")).where(F.col("v").isNotNull())
-    b = scalars(v.agg(F.min("v").alias("mn"), F.max("v").alias("mx")))  # two scalars
+    b = ({"mn": bounds[0], "mx": bounds[1]} if bounds is not None
+         else scalars(v.agg(F.min("v").alias("mn"), F.max("v").alias("mx"))))  # two scalars
     spark = df.sparkSession
     if b.get("mn") is None:
         return spark.createDataFrame([], "bin long, lo double, hi double, count long")

@@ -104,7 +104,8 @@ def _family_value(df: DataFrame, c: str) -> tuple[str, F.Column]:
 def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: bool = False,
                  rsd: float = 0.02) -> DataFrame:
     """One job for every supported column: (column, position, <meta fields>,
-    rows, n, nunique, numeric_text).
+    rows, n, nunique, numeric_text, lo, hi); lo/hi are the numeric bounds
+    (null for text; timestamps as microseconds).
 
     Exact: columns are unpivoted (an Expand, no per-row arrays) into one
     (column key, value) stream per value family (bigint, double, text) and
@@ -134,13 +135,15 @@ def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: boo
         else:
             text_ok = F.lit(None).cast("boolean")
         nd = F.approx_count_distinct("v", rsd) if approx else F.count_distinct("v")
+        lo = F.min("v").cast("double") if fam != "s" else F.lit(None).cast("double")
+        hi = F.max("v").cast("double") if fam != "s" else F.lit(None).cast("double")
         parts.append(long_df.groupBy("k").agg(
             F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), nd.alias("nunique"),
-            F.lit(fam == "s").alias("is_text"), text_ok.alias("text_ok")))
+            F.lit(fam == "s").alias("is_text"), text_ok.alias("text_ok"), lo.alias("lo"), hi.alias("hi")))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "column string, position long, " + "".join(f"{f} string, " for f in fields)
-            + "rows long, n long, nunique long, numeric_text boolean")
+            + "rows long, n long, nunique long, numeric_text boolean, lo double, hi double")
     g = parts[0]
     for p in parts[1:]:
         g = g.unionByName(p)
@@ -150,8 +153,9 @@ def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: boo
     info = F.expr(f"element_at({table}, cast(substring(k, 2) as int) + 1)")
     numeric_text = F.col("is_text") & (F.col("n") > 0) & F.coalesce(F.col("text_ok"), F.lit(False))
     return g.select(info.alias("info"), F.substring("k", 2, 10).cast("long").alias("position"), "rows", "n",
-                    "nunique", numeric_text.alias("numeric_text")).select(
-        "info.column", "position", *[f"info.{f}" for f in fields], "rows", "n", "nunique", "numeric_text")
+                    "nunique", numeric_text.alias("numeric_text"), "lo", "hi").select(
+        "info.column", "position", *[f"info.{f}" for f in fields], "rows", "n", "nunique", "numeric_text",
+        "lo", "hi")
 
 
 def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:

@@ -37,6 +37,7 @@ class Profile:
     dataset_type: str
     numeric_text: list[str] = field(default_factory=list)
     date_formats: dict[str, str] = field(default_factory=dict)
+    bounds: dict[str, tuple] = field(default_factory=dict)  # numeric column -> (min, max)
 
     def role_counts(self) -> dict[str, int]:
         return {r: len(self.schema.get(r, [])) for r in ROLES}
@@ -128,7 +129,7 @@ def role_frame(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
                and I.detect_date_format(df, c) is not None}
     meta = {c: {"kind": kinds[c], "id_name": N.matches(c, N.ID_HINTS), "date_ok": c in date_ok} for c in cols}
     st = column_stats(df, meta, approx=approx_distinct).withColumnRenamed("nunique", "nuniq")
-    out = st.select("column", "position", "rows", "n", "nuniq", role_expr().alias("role"))
+    out = st.select("column", "position", "rows", "n", "nuniq", role_expr().alias("role"), "lo", "hi")
     unsupported = [c for c in cols if kinds[c] == "unsupported"]
     if unsupported:
         rows = st.agg(F.max("rows").alias("rows"))
@@ -137,7 +138,8 @@ def role_frame(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             for c in unsupported])).alias("u"), "rows").select(
             "u.column", "u.position", F.coalesce("rows", F.lit(0)).alias("rows"),
             F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("nuniq"),
-            F.lit("unsupported").alias("role"))
+            F.lit("unsupported").alias("role"), F.lit(None).cast("double").alias("lo"),
+            F.lit(None).cast("double").alias("hi"))
         out = out.unionByName(extra)
     return out
 
@@ -168,10 +170,12 @@ def build_profile(df: DataFrame, template: str | None = None, approx_distinct: b
     for c in schema["date"]:
         if is_string(df, c):
             date_formats[c] = I.detect_date_format(df, c)
+    bounds = {c: (rf[c]["lo"], rf[c]["hi"]) for c in cols
+              if c in rf and is_numeric(df, c) and rf[c]["lo"] is not None}
     return Profile(roles=roles, schema=schema, semantic_roles=semantic_roles(schema), rows=rows,
                    columns=list(cols), dtypes={f.name: f.dataType.simpleString() for f in df.schema.fields},
                    n=n, nunique=nuniq, missing_pct=missing, primary_measure=primary, dataset_type=dtype,
-                   numeric_text=numeric_text, date_formats=date_formats)
+                   numeric_text=numeric_text, date_formats=date_formats, bounds=bounds)
 
 
 def prepare(df: DataFrame, profile: Profile) -> DataFrame:

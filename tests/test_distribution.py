@@ -95,3 +95,13 @@ def test_sketch_quantiles_are_close(spark):
         assert abs(got[p] - np.quantile(vals, p)) < 0.01
     o = D.outliers(spark.createDataFrame([(float(v),) for v in vals], "v double"), ["v"], exact=False).collect()
     assert o[0]["iqr_outliers"] >= 0
+
+
+def test_histogram_with_known_bounds(spark):
+    from tablelens.plans import profile as P
+    df = _values(spark, [1.5, 2, 2, 3, 10, None, -4])
+    prof = P.build_profile(df)
+    assert prof.bounds["v"] == (-4.0, 10.0)
+    a = [tuple(r) for r in D.histogram(df, "v").orderBy("bin").collect()]
+    b = [tuple(r) for r in D.histogram(df, "v", bounds=prof.bounds["v"]).orderBy("bin").collect()]
+    assert a == b
