@@ -162,34 +162,33 @@ def roles_cte(src: str, fields) -> str:
     return "roles as (" + "\nunion all\n".join(parts) + ")"
 
 
-_SCHEMAS: dict = {}
+# Schemas of the driver tables (TESTDATA.md / FIXTURES.md §1), used only to
+# write the SQL side; stated here so that importing the catalogue reads no file.
+_DRIVER_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
 
 
 def _schema_of(name):
-    """Static schema of a driver table (read from the sf0.001 parquet footer)."""
-    if name not in _SCHEMAS:
-        import pyarrow.parquet as pq
-        import pyarrow as pa
-        s = pq.read_schema(f"/root/testdata/sf0.001/{name}.parquet")
-        from pyspark.sql import types as T
-        conv = []
-        for f in s:
-            t = f.type
-            if pa.types.is_floating(t):
-                dt = T.DoubleType()
-            elif pa.types.is_integer(t):
-                dt = T.LongType()
-            elif pa.types.is_timestamp(t) or pa.types.is_date(t):
-                dt = T.TimestampNTZType()
-            elif pa.types.is_boolean(t):
-                dt = T.BooleanType()
-            elif pa.types.is_list(t) or pa.types.is_struct(t) or pa.types.is_map(t):
-                dt = T.ArrayType(T.FloatType())
-            else:
-                dt = T.StringType()
-            conv.append((f.name, dt))
-        _SCHEMAS[name] = conv
-    return _SCHEMAS[name]
+    from pyspark.sql import types as T
+    kinds = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+             "timestamp_ntz": T.TimestampNTZType(), "array<float>": T.ArrayType(T.FloatType())}
+    out = []
+    for part in _DRIVER_SCHEMAS[name].split(", "):
+        col, typ = part.split(" ", 1)
+        out.append((col, kinds[typ]))
+    return out
 
 
 def _sales_fields():
