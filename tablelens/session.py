@@ -73,6 +73,10 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave placement to the server
         return df
     if parts < target:
+        # Round-robin: even sizes whatever the values (a hash of the row would
+        # send a heavily duplicated row to one task). Spark sorts before a
+        # round-robin repartition, so a retried task after executor loss gets
+        # the same rows.
         return df.repartition(target)
     return df
 
