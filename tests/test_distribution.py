@@ -105,3 +105,15 @@ def test_histogram_with_known_bounds(spark):
     a = [tuple(r) for r in D.histogram(df, "v").orderBy("bin").collect()]
     b = [tuple(r) for r in D.histogram(df, "v", bounds=prof.bounds["v"]).orderBy("bin").collect()]
     assert a == b
+
+
+def test_exact_quantiles_mixed_small_and_large_keys(spark):
+    rng = np.random.default_rng(11)
+    big = np.round(rng.exponential(5, 3000), 2)
+    small = np.round(rng.normal(0, 1, 20), 3)
+    rows = [("big", float(v)) for v in big] + [("small", float(v)) for v in small]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = exact_quantiles(df, "k", "v", [0.1, 0.5, 0.9], band_limit=50)
+    for key, vals in (("big", big), ("small", small)):
+        for p in (0.1, 0.5, 0.9):
+            assert got[key][p] == pytest.approx(np.quantile(vals, p), abs=1e-9)

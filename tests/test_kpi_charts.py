@@ -81,3 +81,19 @@ def test_dashboard_with_awkward_column_names(spark):
     assert d.profile.primary_measure == "sales.usd" and d.profile.schema["date"] == ["order date"]
     assert res["kpis"][1]["label"] == "Total Revenue" and res["kpis"][1]["value"] == sum(r[0] for r in rows)
     assert len(res["charts"]) > 0 and len(res["insights"]) > 0
+
+
+def test_every_chart_type_dispatches(staff):
+    df, _ = staff
+    prof = P.build_profile(df)
+    specs = {"line": ("hire_date", "salary"), "bar": ("dept", "salary"), "barh": ("dept", "salary"),
+             "pie": ("dept", "salary"), "scatter": ("salary", "salary"), "histogram": (None, "salary"),
+             "box": ("dept", "salary"), "heatmap": ("hire_date", "salary"), "treemap": ("dept", "salary"),
+             "funnel": ("dept", "salary"), "violin": ("dept", "salary"), "cumulative": ("hire_date", "salary"),
+             "rolling_avg": ("hire_date", "salary"), "pareto": ("dept", "salary")}
+    assert set(specs) == set(C.SUPPORTED)
+    for t, (x, y) in specs.items():
+        data = C.run_spec(df, {"type": t, "x": x, "y": y}, prof)
+        assert data is not None and data.count() > 0, t
+    charts = C.auto_charts(df, prof, [{"type": t, "x": x, "y": y} for t, (x, y) in specs.items()]).collect()
+    assert {r["type"] for r in charts} == set(specs)
