@@ -50,8 +50,10 @@ def duplicate_groups(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Distinct rows that occur more than once, with their count ``_n``."""
     cols = cols or supported_columns(df)
     h = F.xxhash64(*[qcol(c) for c in cols])
+    # Hashes seen more than once: computed once (persisted) for the count
+    # below and for the exact pass; only repeated hashes are kept.
     cand = (df.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
-            .where(F.col("_c") > 1).select("_h"))
+            .where(F.col("_c") > 1).select("_h").persist())
     n_cand = cand.count()
     if n_cand == 0:
         return df.select(*[qcol(c) for c in cols]).limit(0).withColumn("_n", F.lit(0).cast("long"))
