@@ -64,3 +64,20 @@ def test_csv_latin1_fallback(spark):
         f.write("name,v\nCaf\xe9,1\n".encode("latin-1"))
     r = IO.read_csv(spark, path).collect()[0]
     assert r["name"] == "Café" and r["v"] == 1
+
+
+def test_command_line_on_a_csv(spark, capsys):
+    import json as _json
+
+    from tablelens.__main__ import main
+    d = tempfile.mkdtemp(prefix="tl-cli-")
+    path = os.path.join(d, "sales.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("order_date,region,revenue\n")
+        for i in range(60):
+            f.write(f"2024-{1 + i % 12:02d}-{1 + i % 27:02d},{['N', 'S', 'E'][i % 3]},${100 + i},\n"[:-2] + "\n")
+    assert main([path, "--no-insights"]) == 0
+    out = _json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["profile"]["roles"] == {"order_date": "date", "region": "categorical", "revenue": "numeric"}
+    assert out["kpis"][1]["label"] == "Total Revenue" and out["kpis"][1]["value"] == sum(100 + i for i in range(60))
+    assert len(out["charts"]) > 0
