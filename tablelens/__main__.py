@@ -20,12 +20,13 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("path")
     ap.add_argument("--template", default=None, choices=["Sales", "Finance", "HR", "Marketing", "Auto"])
     ap.add_argument("--no-insights", action="store_true")
+    ap.add_argument("--quality", action="store_true", help="add the data-quality page")
     ap.add_argument("--master", default=None, help="Spark master when no session exists (default local[*])")
     a = ap.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
-    from tablelens.plans.report import EmptyTableError, collect_all, dashboard
+    from tablelens.plans.report import EmptyTableError, collect_all, dashboard, quality_page
     from tablelens.session import get_spark
     from tablelens.sources.files import read_csv, read_parquet
 
@@ -36,7 +37,10 @@ def main(argv: list[str] | None = None) -> int:
     except EmptyTableError as e:
         print(json.dumps({"error": str(e)}))
         return 1
-    res = collect_all(d.frames())
+    frames = d.frames()
+    if a.quality:
+        frames.update({f"quality_{k}": v for k, v in quality_page(d).items()})
+    res = collect_all(frames)
     p = d.profile
     out = {"profile": {"rows": p.rows, "columns": p.columns, "roles": p.roles, "dataset_type": p.dataset_type,
                        "primary_measure": p.primary_measure, "semantic_roles": p.semantic_roles,

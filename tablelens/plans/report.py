@@ -61,6 +61,34 @@ def dashboard(df: DataFrame, persist: str | None = "auto", template: str | None
     return Dashboard(prof, base, kpis, charts, ins)
 
 
+def quality_page(d: Dashboard, duplicate_listing: int = 50, top_pairs: int = 10) -> dict[str, DataFrame]:
+    """The data-quality page over the dashboard's rows: missing values per
+    column (A12), duplicate count and first duplicated rows (D1, D2),
+    uniqueness (A13), outlier table (A10), box summaries of the two columns
+    with most outliers (A8), strongest correlations (A11), metadata (A14),
+    the export summary (IO4) and a preview (IO5). Lazy frames; the health
+    row behind several of them is computed once."""
+    from tablelens.operators import distribution as D
+    from tablelens.operators import quality as Q
+    from tablelens.sources.files import preview
+
+    base, prof = d.base, d.profile
+    nums = prof.schema["numeric"]
+    health = Q.health(base).cache()
+    return {
+        "missing": Q.missing_by_column(base),
+        "duplicate_count": health.select("dup_rows", "dup_pct"),
+        "duplicate_rows": Q.duplicate_rows(base, duplicate_listing),
+        "uniqueness": Q.uniqueness(base),
+        "outliers": D.outliers(base, nums, 10),
+        "box_columns": D.box_columns(base, nums, 2),
+        "correlation": D.corr_top(base, nums, top_pairs),
+        "metadata": Q.metadata(health, prof.role_counts()),
+        "summary": Q.export_summary(health),
+        "preview": preview(base, 10),
+    }
+
+
 def collect_all(frames: dict[str, DataFrame], threads: int = 4) -> dict[str, list]:
     """Run independent result frames as concurrent Spark jobs (one driver
     thread each); their stages share the executors."""

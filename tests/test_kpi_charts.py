@@ -97,3 +97,17 @@ def test_every_chart_type_dispatches(staff):
         assert data is not None and data.count() > 0, t
     charts = C.auto_charts(df, prof, [{"type": t, "x": x, "y": y} for t, (x, y) in specs.items()]).collect()
     assert {r["type"] for r in charts} == set(specs)
+
+
+def test_quality_page(staff):
+    from tablelens.plans.report import collect_all, dashboard, quality_page
+    df, rows = staff
+    d = dashboard(df, with_insights=False)
+    res = collect_all(quality_page(d))
+    assert res["duplicate_count"][0]["dup_rows"] == 0 and res["duplicate_rows"] == []
+    assert {r["column"] for r in res["uniqueness"]} == {"employee_id", "dept", "salary", "hire_date"}
+    assert [r["column"] for r in res["outliers"]] == ["salary"]
+    assert {r["metric"] for r in res["summary"]} == {"Rows", "Columns", "Missing Cells", "Duplicate Rows",
+                                                     "Health Score"}
+    assert len(res["preview"]) == 10 and res["missing"] == []
+    d.base.unpersist()
