@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.functions import rules as R
 from tablelens.functions.columns import as_double, as_timestamp, present, qcol
 from tablelens.operators.breakdown import category_frequency
 from tablelens.operators.quantiles import column_quantiles, exact_quantiles
@@ -130,7 +131,7 @@ def violin_bins(df: DataFrame, x: str, y: str, k: int = 6, bins: int = 30) -> Da
 
 
 # -------------------------------------------------------------------------- A10
-def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values: int = 5,
+def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values: int = R.OUTLIER_MIN_VALUES,
              exact: bool = True) -> DataFrame:
     """A10: per numeric column (first ``max_cols``, at least ``min_values``
     values): IQR-fence and |z|>3 outlier counts, min/max/mean/std (2 dp) and
@@ -157,13 +158,13 @@ def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values:
     for i in keep:
         v, d = vals[i], q[cols[i]]
         q1, q3 = d[0.25], d[0.75]
-        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        lo, hi = q1 - R.IQR_FACTOR * (q3 - q1), q3 + R.IQR_FACTOR * (q3 - q1)
         mean, std = st[f"m{i}"], st[f"s{i}"]
-        z = F.abs((v - F.lit(mean)) / (F.lit(std) + F.lit(1e-9))) if std is not None else F.lit(None)
+        z = F.abs((v - F.lit(mean)) / (F.lit(std) + F.lit(R.EPSILON))) if std is not None else F.lit(None)
         counts.append(F.struct(
             F.lit(cols[i]).alias("column"), F.lit(i).cast("long").alias("position"),
             F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias("iqr_outliers"),
-            F.count_if(z > 3).alias("zscore_outliers"),
+            F.count_if(z > R.Z_CUT).alias("zscore_outliers"),
             F.round(F.min(v), 2).alias("min"), F.round(F.max(v), 2).alias("max"),
             F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"),
             F.round(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))) / F.count(v) * 100, 2)

@@ -12,19 +12,24 @@ from pyspark.sql import types as T
 from tablelens.functions.columns import FRACTIONAL, INTEGRAL, is_string, qcol
 
 # ---------------------------------------------------------------------------
-# The characters stripped before a text value is read as a
-# number (same set as the reference), and the number shape accepted after.
+# Fixed value: the characters stripped before a text value is read as a
+# number (same set as the reference).
 MONEY_STRIP = r"[,$€£¥%\s]"
+# End of fixed values.
+# ---------------------------------------------------------------------------
+
+# The number shape accepted after stripping (plain decimal or exponent form;
+# an engine's lenient cast would also accept e.g. "5d").
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-# Date layouts tried, in order, when a text column is named like a date.
+
+# Date layouts tried, in order, when a text column is named like a date (our
+# choice: the reference lets its table library guess the layout).
 DATE_FORMATS = [
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy",
     "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "dd.MM.yyyy", "yyyyMMdd",
     "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM",
 ]
-# End of fixed values.
-# ---------------------------------------------------------------------------
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.functions import rules as R
 from tablelens.functions.columns import INTEGRAL, NUMERIC, is_supported, present, qcol
 
 # Candidate hashes above this many rows are not broadcast; the exact pass
@@ -186,17 +187,19 @@ def health(df: DataFrame, dup_rows: int | None = None) -> DataFrame:
         dup_rows = duplicate_count(df).collect()[0]["dup_rows"]
     has_num = _has_type(df, NUMERIC)
     has_str = _has_type(df, (T.StringType,))
-    diversity = min(15, 5 * (int(has_num) + int(has_str) + int(ncols >= 4)))
+    diversity = min(R.HEALTH_DIVERSITY_MAX, R.HEALTH_DIVERSITY_STEP * (
+        int(has_num) + int(has_str) + int(ncols >= R.HEALTH_DIVERSITY_MIN_COLUMNS)))
     a = df.agg(F.count(F.lit(1)).alias("rows"),
                sum((F.count_if(~present(df, c)) for c in df.columns), F.lit(0)).alias("missing_cells"))
     rows, miss = F.col("rows"), F.col("missing_cells")
     total = rows * ncols
-    miss_pct = miss / (total + 1e-9)
+    miss_pct = miss / (total + R.EPSILON)
     dup = F.lit(int(dup_rows)).cast("long")
-    dup_pct = dup / (rows + 1e-9)
-    completeness = F.greatest(F.lit(0.0), 40 * (1 - miss_pct * 2))
-    uniq = F.greatest(F.lit(0.0), 30 * (1 - dup_pct * 3))
-    row_score = F.when(rows > 0, F.least(F.lit(15.0), 15 * F.least(rows / 500, F.lit(1.0)))).otherwise(0.0)
+    dup_pct = dup / (rows + R.EPSILON)
+    completeness = F.greatest(F.lit(0.0), R.HEALTH_COMPLETENESS * (1 - miss_pct * R.HEALTH_MISSING_FACTOR))
+    uniq = F.greatest(F.lit(0.0), R.HEALTH_UNIQUENESS * (1 - dup_pct * R.HEALTH_DUPLICATE_FACTOR))
+    row_score = F.when(rows > 0, F.least(F.lit(float(R.HEALTH_SIZE)), R.HEALTH_SIZE * F.least(
+        rows / R.HEALTH_SIZE_ROWS, F.lit(1.0)))).otherwise(0.0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), completeness + uniq + F.lit(float(diversity))
                                            + row_score)).cast("long")
     out = a.select(score.alias("score"), rows.alias("rows"), F.lit(ncols).cast("long").alias("columns"),
@@ -204,7 +207,9 @@ def health(df: DataFrame, dup_rows: int | None = None) -> DataFrame:
                    F.round(miss_pct * 100, 2).alias("missing_pct"), dup.alias("dup_rows"),
                    F.round(dup_pct * 100, 2).alias("dup_pct"))
     s = F.col("score")
-    grade = (F.when(s >= 85, "A").when(s >= 70, "B").when(s >= 55, "C").when(s >= 40, "D").otherwise("F"))
+    grade = F.lit("F")
+    for cut, g in reversed(R.GRADES):
+        grade = F.when(s >= cut, g).otherwise(grade)
     return out.withColumn("grade", grade)
 
 

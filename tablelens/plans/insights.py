@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions import rules as R
 from tablelens.functions.columns import as_double, as_timestamp, qcol, scalars
 from tablelens.operators import breakdown as B
 from tablelens.operators import distribution as D
@@ -210,21 +211,21 @@ def trend_rows(ri: ReportInputs) -> list[tuple]:
 # ------------------------------------------------------------------------ I4
 def risk_rows(ri: ReportInputs) -> list[tuple]:
     h, sec, rows = ri.health_row(), "risk_detection", []
-    if h["missing_pct"] > 5:
+    if h["missing_pct"] > R.RISK_MISSING_PCT:
         rows.append(_row(sec, 1, "Data Quality Risk", None, "missing_pct", h["missing_pct"]))
-    if h["dup_pct"] > 1:
+    if h["dup_pct"] > R.RISK_DUPLICATE_PCT:
         rows.append(_row(sec, 2, "Duplicate Records", None, "dup_rows", h["dup_rows"]))
     for o in ri.outlier_rows():
-        if o["pct_of_rows"] > 3:
+        if o["pct_of_rows"] > R.RISK_OUTLIER_PCT:
             rows.append(_row(sec, 10 + o["position"], f"Volatility in {o['column']}", o["column"], "pct_of_rows",
                              o["pct_of_rows"]))
         elif o["mean"] not in (0, None):
-            ratio = abs(o["max"]) / (abs(o["mean"]) + 1e-9)
-            if ratio > 10 and o["iqr_outliers"] > 0:
+            ratio = abs(o["max"]) / (abs(o["mean"]) + R.EPSILON)
+            if ratio > R.RISK_MAX_TO_MEAN and o["iqr_outliers"] > 0:
                 rows.append(_row(sec, 10 + o["position"], f"Extreme Value in {o['column']}", o["column"],
                                  "max_to_mean", ratio))
     g = ri.group_facts()
-    if g and g["total"] and g["top"][1] / g["total"] > 0.5:
+    if g and g["total"] and g["top"][1] / g["total"] > R.RISK_LEADER_SHARE:
         rows.append(_row(sec, 100, "Concentration Risk", g["top"][0], "share_pct", g["top"][1] / g["total"] * 100))
     return rows or [_row(sec, 1, "No Major Risks Detected")]
 
@@ -246,7 +247,7 @@ def opportunity_rows(ri: ReportInputs) -> list[tuple]:
 # ------------------------------------------------------------------------ I6
 def recommendation_rows(ri: ReportInputs, risks: list[tuple] | None = None) -> list[tuple]:
     h, sec, rows = ri.health_row(), "recommendations", []
-    if h["missing_pct"] > 5:
+    if h["missing_pct"] > R.RISK_MISSING_PCT:
         rows.append(_row(sec, 1, "Clean Missing Data", None, "missing_pct", h["missing_pct"]))
     if h["dup_rows"] > 0:
         rows.append(_row(sec, 2, "Deduplicate Records", None, "dup_rows", h["dup_rows"]))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import names as N
+from tablelens.functions import rules as R
 from tablelens.functions.columns import is_boolean, is_numeric, is_string, is_supported, is_temporal, qcol
 from tablelens.operators import ingest as I
 from tablelens.operators.quality import column_stats
@@ -56,12 +57,13 @@ def role_expr() -> F.Column:
             .when(k == "temporal", "date")
             .when((k == "string") & F.col("date_ok"), "date")
             .when(k == "boolean", "boolean")
-            .when((k == "numeric") & (u <= 2), "boolean")
-            .when((k == "numeric") & id_name & (u > 0.8 * n), "id")
+            .when((k == "numeric") & (u <= R.BOOLEAN_MAX_DISTINCT), "boolean")
+            .when((k == "numeric") & id_name & (u > R.NUMERIC_ID_MIN_SHARE * n), "id")
             .when(k == "numeric", "numeric")
             .when(F.col("numeric_text"), "numeric")
-            .when(id_name & (u > 0.5 * n), "id")
-            .when((u <= N.CAT_UNIQUE_LIMIT) | (u / F.greatest(n, F.lit(1)) < 0.15), "categorical")
+            .when(id_name & (u > R.TEXT_ID_MIN_SHARE * n), "id")
+            .when((u <= N.CAT_UNIQUE_LIMIT) | (u / F.greatest(n, F.lit(1)) < R.CATEGORICAL_MAX_SHARE),
+                  "categorical")
             .otherwise("id"))
 
 
