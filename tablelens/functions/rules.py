@@ -32,3 +32,34 @@ RISK_MAX_TO_MEAN = 10
 RISK_LEADER_SHARE = 0.5
 # End of fixed values.
 # ---------------------------------------------------------------------------
+
+# ---------------------------------------------------------------------------
+# Sizes of the catalogue's outputs, as the reference shows them.
+TOP_BAR = 15              # bars in a top-N bar chart
+TOP_FREQUENCY = 15        # values in a frequency chart
+TOP_SHARE = 10            # slices in a share (pie) chart
+TOP_FUNNEL = 8            # stages in a funnel
+TOP_PARETO = 15           # bars in a Pareto chart
+TOP_BOX = 8               # categories in a box chart
+TOP_VIOLIN = 6            # categories in a violin chart
+HISTOGRAM_BINS = 30
+ROLLING_MONTHS = 3
+SAMPLE_ROWS = 2000        # points in a scatter chart
+SAMPLE_SEED = 42
+MAX_COLORS = 12           # colours kept in a scatter chart
+PIE_MAX_DISTINCT = 12     # a share chart is drawn only up to this many values
+MAX_CHARTS = 8
+MAX_KPIS = 8
+OUTLIER_MAX_COLUMNS = 10
+UNDERSERVED_MIN_COUNT = 3
+SEASONAL_MIN_NAMES = 4
+BEST_MONTH_MIN_MONTHS = 3
+TRAJECTORY_MIN_MONTHS = 4
+DUPLICATE_LISTING = 50
+PREVIEW_ROWS = 10
+PROFILE_JSON_COLUMNS = 20
+MAX_FILTERS = 5
+FILTER_MAX_VALUES = 100
+MAX_RECOMMENDATIONS = 6
+# End of fixed values.
+# ---------------------------------------------------------------------------

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.functions import rules as R
+
 from tablelens.functions.columns import as_double, qcol
 
 
@@ -39,17 +41,17 @@ def _top(g: DataFrame, n: int, by: str = "value") -> DataFrame:
         Window.orderBy(F.col(by).desc(), F.col("label").asc())).cast("long"))
 
 
-def bar_top(df: DataFrame, x: str, y: str, n: int = 15) -> DataFrame:
+def bar_top(df: DataFrame, x: str, y: str, n: int = R.TOP_BAR) -> DataFrame:
     """A1: top ``n`` categories by summed measure."""
     return _top(group_sum(df, x, y), n)
 
 
-def category_frequency(df: DataFrame, x: str, n: int = 15) -> DataFrame:
+def category_frequency(df: DataFrame, x: str, n: int = R.TOP_FREQUENCY) -> DataFrame:
     """A2: the ``n`` most frequent values (count desc, value asc)."""
     return _top(group_count(df, x), n, by="count")
 
 
-def share(df: DataFrame, x: str, y: str | None = None, n: int = 10) -> DataFrame:
+def share(df: DataFrame, x: str, y: str | None = None, n: int = R.TOP_SHARE) -> DataFrame:
     """A3/A5: top ``n`` slices by sum (or by row count without ``y``) and each
     slice's percent of the slices shown."""
     g = group_sum(df, x, y) if y else group_count(df, x).select(
@@ -64,12 +66,12 @@ def treemap(df: DataFrame, x: str, y: str) -> DataFrame:
     return group_sum(df, x, y)
 
 
-def funnel(df: DataFrame, x: str, y: str, n: int = 8) -> DataFrame:
+def funnel(df: DataFrame, x: str, y: str, n: int = R.TOP_FUNNEL) -> DataFrame:
     """A5: top 8 stages by sum, percent of the stages shown."""
     return share(df, x, y, n)
 
 
-def pareto(df: DataFrame, x: str, y: str, n: int = 15) -> DataFrame:
+def pareto(df: DataFrame, x: str, y: str, n: int = R.TOP_PARETO) -> DataFrame:
     """Top ``n`` by sum with the cumulative percent of the shown total."""
     top = _top(group_sum(df, x, y), n)
     w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -130,7 +132,7 @@ def top_k_members(df: DataFrame, x: str, k: int) -> DataFrame:
     return df.join(F.broadcast(top), qcol(x).cast("string") == F.col("_k"), "left_semi")
 
 
-def underserved(df: DataFrame, x: str, y: str, min_count: int = 3) -> DataFrame:
+def underserved(df: DataFrame, x: str, y: str, min_count: int = R.UNDERSERVED_MIN_COUNT) -> DataFrame:
     """Groups with at least ``min_count`` rows whose count is below the
     median group count and whose mean is above the median group mean; the one
     with the highest mean (smallest key on ties)."""

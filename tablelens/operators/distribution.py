@@ -30,7 +30,7 @@ def _bin_expr(v, mn, mx, bins: int):
     return F.when(mx > mn, F.least(raw, F.lit(bins))).otherwise(F.lit(1)).cast("long")
 
 
-def histogram(df: DataFrame, y: str, bins: int = 30, bounds: tuple | None = None) -> DataFrame:
+def histogram(df: DataFrame, y: str, bins: int = R.HISTOGRAM_BINS, bounds: tuple | None = None) -> DataFrame:
     """(bin, lo, hi, count) for ``bins`` equal-width bins between the min and
     max of the non-missing values; empty bins are listed with 0. ``bounds``:
     the (min, max) when already known (e.g. from the profile)."""
@@ -79,7 +79,7 @@ def _box_finish(long_df: DataFrame, stats: DataFrame) -> DataFrame:
                     F.coalesce(F.col("outliers"), F.lit(0)).cast("long").alias("outliers")))
 
 
-def box_by_category(df: DataFrame, x: str, y: str, k: int = 8, exact: bool = True) -> DataFrame:
+def box_by_category(df: DataFrame, x: str, y: str, k: int = R.TOP_BOX, exact: bool = True) -> DataFrame:
     """Five-number summary of ``y`` for each of the ``k`` most frequent
     values of ``x`` (``exact=False``: sketch quartiles, one pass)."""
     top = category_frequency(df, x, k).select(F.col("label").alias("_k"))
@@ -108,7 +108,7 @@ def box_columns(df: DataFrame, cols: Sequence[str], top: int = 2, exact: bool =
 
 
 # -------------------------------------------------------------------------- A8b
-def violin_bins(df: DataFrame, x: str, y: str, k: int = 6, bins: int = 30) -> DataFrame:
+def violin_bins(df: DataFrame, x: str, y: str, k: int = R.TOP_VIOLIN, bins: int = R.HISTOGRAM_BINS) -> DataFrame:
     """Per-category ``bins``-bin histograms of ``y`` (each over its own
     min..max) for the ``k`` most frequent categories; the density curve is
     drawn by the client from these counts."""
@@ -131,7 +131,7 @@ def violin_bins(df: DataFrame, x: str, y: str, k: int = 6, bins: int = 30) -> Da
 
 
 # -------------------------------------------------------------------------- A10
-def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = 10, min_values: int = R.OUTLIER_MIN_VALUES,
+def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = R.OUTLIER_MAX_COLUMNS, min_values: int = R.OUTLIER_MIN_VALUES,
              exact: bool = True) -> DataFrame:
     """A10: per numeric column (first ``max_cols``, at least ``min_values``
     values): IQR-fence and |z|>3 outlier counts, min/max/mean/std (2 dp) and
@@ -225,7 +225,7 @@ def strongest_corr(df: DataFrame, primary: str, cols: Sequence[str]) -> DataFram
 
 # -------------------------------------------------------------------------- A21
 def scatter_sample(df: DataFrame, x: str, y: str, key: str, color: str | None = None,
-                   n: int = 2000, seed: int = 42, max_colors: int = 12) -> DataFrame:
+                   n: int = R.SAMPLE_ROWS, seed: int = R.SAMPLE_SEED, max_colors: int = R.MAX_COLORS) -> DataFrame:
     """A repeatable uniform sample of ``n`` rows: rows ordered by
     md5(key || seed). Each task keeps its ``n`` best rows
     (TakeOrderedAndProject), so the sample never gathers the table. The colour

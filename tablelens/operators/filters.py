@@ -10,6 +10,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions import rules as R
+
 from tablelens.functions.columns import as_double, as_timestamp, qcol
 
 
@@ -57,8 +59,8 @@ def filter_values(df: DataFrame, selections: dict[str, list]) -> DataFrame:
     return out
 
 
-def filter_options(df: DataFrame, categorical: list[str], max_filters: int = 5,
-                   min_values: int = 2, max_values: int = 100) -> DataFrame:
+def filter_options(df: DataFrame, categorical: list[str], max_filters: int = R.MAX_FILTERS,
+                   min_values: int = 2, max_values: int = R.FILTER_MAX_VALUES) -> DataFrame:
     """F2 options: (column, value) sorted distinct values of the first
     ``max_filters`` categorical columns that have 2..100 distinct values.
     One distinct-count pass picks the columns; one grouped pass lists their

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.functions import rules as R
+
 from tablelens.functions.columns import as_date, as_double, qcol
 
 MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -66,7 +68,7 @@ def cumulative_monthly(df: DataFrame, date_col: str, measure: str) -> DataFrame:
     return m.select("month", "value", F.sum("value").over(w).alias("cumulative"))
 
 
-def rolling_monthly(df: DataFrame, date_col: str, measure: str, window: int = 3) -> DataFrame:
+def rolling_monthly(df: DataFrame, date_col: str, measure: str, window: int = R.ROLLING_MONTHS) -> DataFrame:
     """Trailing mean over ``window`` months (a shorter window at the start)."""
     w = _ordered().rowsBetween(-(window - 1), Window.currentRow)
     m = monthly_sum(df, date_col, measure)
@@ -104,7 +106,7 @@ def mom_trend_insight(df: DataFrame, date_col: str, measure: str) -> DataFrame:
                     F.when(pct >= 0, "grew").otherwise("fell").alias("direction"))
 
 
-def best_worst_month(df: DataFrame, date_col: str, measure: str, min_months: int = 3) -> DataFrame:
+def best_worst_month(df: DataFrame, date_col: str, measure: str, min_months: int = R.BEST_MONTH_MIN_MONTHS) -> DataFrame:
     """Highest and lowest month of the dense series (earliest on ties)."""
     m = monthly_sum(df, date_col, measure)
     agg = m.agg(F.count(F.lit(1)).alias("n"),
@@ -118,7 +120,7 @@ def best_worst_month(df: DataFrame, date_col: str, measure: str, min_months: int
     return best.unionByName(worst)
 
 
-def trajectory(df: DataFrame, date_col: str, measure: str, min_months: int = 4) -> DataFrame:
+def trajectory(df: DataFrame, date_col: str, measure: str, min_months: int = R.TRAJECTORY_MIN_MONTHS) -> DataFrame:
     """Least-squares slope of the dense series against 0..n-1."""
     m = monthly_sum(df, date_col, measure)
     idx = m.select("value", (F.row_number().over(_ordered()) - 1).cast("double").alias("i"))
@@ -153,7 +155,7 @@ def month_heatmap(df: DataFrame, date_col: str, measure: str) -> DataFrame:
     return piv.select("year", *keep)
 
 
-def seasonal_low(df: DataFrame, date_col: str, measure: str, min_names: int = 4) -> DataFrame:
+def seasonal_low(df: DataFrame, date_col: str, measure: str, min_names: int = R.SEASONAL_MIN_NAMES) -> DataFrame:
     """Calendar month name with the lowest mean (alphabetical on ties),
     only when at least ``min_names`` month names occur."""
     p = _pairs(df, date_col, measure)

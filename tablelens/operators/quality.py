@@ -70,7 +70,7 @@ def duplicate_count(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("dup_rows"))
 
 
-def duplicate_rows(df: DataFrame, limit: int = 50, cols: list[str] | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame, limit: int = R.DUPLICATE_LISTING, cols: list[str] | None = None) -> DataFrame:
     """Every copy of every duplicated row, first ``limit`` in the order of
     all columns (ascending, nulls first). Only ``limit`` groups are expanded,
     and each by at most ``limit`` copies."""

@@ -256,7 +256,7 @@ def recommendation_rows(ri: ReportInputs, risks: list[tuple] | None = None) -> l
     risks = risks if risks is not None else risk_rows(ri)
     if any(r[2] == "Concentration Risk" for r in risks):
         rows.append(_row(sec, 4, "Diversify Dependency"))
-    return (rows or [_row(sec, 1, "Keep Monitoring")])[:6]
+    return (rows or [_row(sec, 1, "Keep Monitoring")])[:R.MAX_RECOMMENDATIONS]
 
 
 # ----------------------------------------------------------- section frames

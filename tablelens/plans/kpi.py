@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions import rules as R
+
 from tablelens.functions.columns import as_double, is_numeric, qcol
 from tablelens.operators.monthly import mom_trend_kpi
 from tablelens.plans.profile import Profile
@@ -28,7 +30,7 @@ def _distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return {r["column"]: int(r["nunique"]) for r in column_stats(sub).select("column", "nunique").collect()}
 
 
-def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = 8, profile_counts: bool = False) -> DataFrame:
+def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = R.MAX_KPIS, profile_counts: bool = False) -> DataFrame:
     """K1. ``profile_counts=True`` when ``df`` holds exactly the profiled
     rows: distinct counts are then taken from the profile instead of being
     recounted."""

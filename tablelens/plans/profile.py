@@ -202,8 +202,8 @@ def profile_columns(df: DataFrame, profile: Profile | None = None) -> DataFrame:
         "column string, position long, dtype string, role string, missing_pct double")
 
 
-def profile_json(df: DataFrame, profile: Profile | None = None, max_cols: int = 20,
-                 sample_rows: int = 10) -> DataFrame:
+def profile_json(df: DataFrame, profile: Profile | None = None, max_cols: int = R.PROFILE_JSON_COLUMNS,
+                 sample_rows: int = R.PREVIEW_ROWS) -> DataFrame:
     """One-row JSON summary capped at ``max_cols`` columns and
     ``sample_rows`` rows (the first rows in the order of all columns: a
     top-k, so each task keeps only ``sample_rows``)."""

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.functions import rules as R
+
 from tablelens.functions.columns import is_supported, is_temporal, qcol
 
 # ---------------------------------------------------------------------------
@@ -82,7 +84,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def preview(df: DataFrame, n: int = 10) -> DataFrame:
+def preview(df: DataFrame, n: int = R.PREVIEW_ROWS) -> DataFrame:
     """IO5: first ``n`` rows in the order of all columns (nulls first), dates
     as text. Each task keeps its ``n`` best rows (TakeOrderedAndProject)."""
     cols = [c for c in df.columns if is_supported(df, c)]
