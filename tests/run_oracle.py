@@ -1,5 +1,5 @@
 """CLI: compare registered queries with their DuckDB oracle.
-usage: python tests/run_oracle.py [sf_dir] [name ...]"""
+usage: python tests/run_oracle.py [sf_dir] [--json out.json] [name ...]"""
 import os
 import sys
 import time
@@ -11,8 +11,14 @@ from tests.oracle_compare import compare, duck  # noqa: E402
 
 def main():
     args = sys.argv[1:]
+    out_json = None
+    if "--json" in args:
+        i = args.index("--json")
+        out_json = args[i + 1]
+        args = args[:i] + args[i + 2:]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
+    record = {}
     import __spark_entry__ as E
     from tablelens.session import get_spark
     spark = get_spark()
@@ -32,7 +38,13 @@ def main():
         if r.get("type_mismatch"):
             extra += " TYPES " + str(r["type_mismatch"])
         print(f"{status} {n:28s} {dt:6.2f}s rows={r.get('rows_spark', r.get('rows'))}{extra}", flush=True)
+        record[n] = {"ok": r["ok"], "seconds": round(dt, 3), "rows": r.get("rows_spark", r.get("rows")),
+                     "type_mismatch": r.get("type_mismatch")}
     print(f"failures: {bad}")
+    if out_json:
+        import json
+        with open(out_json, "w") as f:
+            json.dump({"sf": sf, "failures": bad, "queries": record}, f, indent=1, default=str)
 
 
 if __name__ == "__main__":
