@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--template", default=None, choices=["Sales", "Finance", "HR", "Marketing", "Auto"])
     ap.add_argument("--no-insights", action="store_true")
     ap.add_argument("--quality", action="store_true", help="add the data-quality page")
+    ap.add_argument("--approx", action="store_true", help="sketch distinct counts and quartiles (huge tables)")
     ap.add_argument("--master", default=None, help="Spark master when no session exists (default local[*])")
     a = ap.parse_args(argv)
 
@@ -33,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.getActiveSession() or get_spark(master=a.master or "local[*]")
     df = read_csv(spark, a.path) if a.path.lower().endswith(".csv") else read_parquet(spark, a.path)
     try:
-        d = dashboard(df, template=a.template, with_insights=not a.no_insights)
+        d = dashboard(df, template=a.template, with_insights=not a.no_insights, approx=a.approx)
     except EmptyTableError as e:
         print(json.dumps({"error": str(e)}))
         return 1

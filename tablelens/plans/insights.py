@@ -115,11 +115,12 @@ class ReportInputs:
         return self._once("base", run)
 
 
-def report_inputs(df: DataFrame, profile: Profile, cache: bool = True) -> ReportInputs:
+def report_inputs(df: DataFrame, profile: Profile, cache: bool = True, exact: bool = True) -> ReportInputs:
     """Shared frames of a report; small ones are cached (recomputed from
-    lineage if a cached block is lost)."""
+    lineage if a cached block is lost). ``exact=False``: sketch quartiles
+    for the outlier table (one pass, for very large tables)."""
     health = Q.health(df)
-    outl = D.outliers(df, profile.schema["numeric"], 10)
+    outl = D.outliers(df, profile.schema["numeric"], R.OUTLIER_MAX_COLUMNS, exact=exact)
     s = profile.schema
     p = profile.primary_measure
     gsum = B.group_sum(df, s["categorical"][0], p) if (p and s["categorical"]) else None
@@ -285,10 +286,11 @@ def recommendations(ri: ReportInputs) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ I7
-def insight_report(df: DataFrame, profile: Profile, ri: ReportInputs | None = None) -> DataFrame:
+def insight_report(df: DataFrame, profile: Profile, ri: ReportInputs | None = None,
+                   exact: bool = True) -> DataFrame:
     """All sections plus the health figures and the outlier table, as one
     frame with a ``section`` column."""
-    ri = ri or report_inputs(df, profile)
+    ri = ri or report_inputs(df, profile, exact=exact)
     h = ri.health_row()
     rows = [_row("health", i + 1, "Health", h["grade"], m, h[m])
             for i, m in enumerate(["score", "missing_pct", "missing_cells", "dup_rows", "dup_pct", "total_cells"])]

@@ -38,17 +38,18 @@ class Dashboard:
 
 def dashboard(df: DataFrame, persist: str | None = "auto", template: str | None = None,
               with_insights: bool = True, filtered: DataFrame | None = None,
-              approx_distinct: bool = False) -> Dashboard:
+              approx_distinct: bool = False, approx: bool = False) -> Dashboard:
     """Profile ``df`` (S14: the profile describes the unfiltered rows), then
     plan KPIs, charts and insights over ``filtered`` (default: ``df``).
 
     ``persist`` keeps the normalised rows for the report's jobs ("auto",
     "persist", "checkpoint" or None; see ``session.stage``).
     ``approx_distinct`` profiles with HyperLogLog distinct counts (no value
-    shuffle) for very large tables. The returned frames are lazy;
+    shuffle); ``approx`` also switches the insight report's quartiles to
+    sketches: both for very large tables. The returned frames are lazy;
     ``collect_all`` runs them."""
     raw = stage(normalize_missing(df), persist)
-    prof = P.build_profile(raw, template=template, approx_distinct=approx_distinct)
+    prof = P.build_profile(raw, template=template, approx_distinct=approx_distinct or approx)
     if prof.rows == 0:
         raw.unpersist()
         raise EmptyTableError("the table has no rows")
@@ -57,7 +58,7 @@ def dashboard(df: DataFrame, persist: str | None = "auto", template: str | None
     base = P.prepare(src, prof)  # projections over the staged rows
     kpis = K.build_kpis(base, prof, profile_counts=same)
     charts = C.auto_charts(base, prof, profile_counts=same)
-    ins = IN.insight_report(base, prof) if with_insights else None
+    ins = IN.insight_report(base, prof, exact=not approx) if with_insights else None
     return Dashboard(prof, base, kpis, charts, ins)
 
 

@@ -111,3 +111,13 @@ def test_quality_page(staff):
                                                      "Health Score"}
     assert len(res["preview"]) == 10 and res["missing"] == []
     d.base.unpersist()
+
+
+def test_dashboard_approx_mode(staff):
+    from tablelens.plans.report import collect_all, dashboard
+    df, _ = staff
+    d = dashboard(df, approx=True)
+    res = collect_all(d.frames())
+    assert d.profile.roles["dept"] == "categorical" and res["kpis"][0]["value"] == 120
+    assert any(r["section"] == "outliers" for r in res["insights"])
+    d.base.unpersist()
