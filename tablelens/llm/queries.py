@@ -6,10 +6,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, sharding, simhash
+from . import bpe, near_dedup, packing, sharding, simhash
 from .common import table
 
 
+#: Place of the public vocabulary files; a parameter of the operators.
+WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=2, capacity=4096)
+    return rows.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    rows = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), public_tokenizers.PATTERN, with_ids=False)
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.document_fingerprints(table(spark, sf_dir, "documents"))
     c = F.col
@@ -33,5 +54,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op5_fingerprints, op6_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_fingerprints, op6_near_dedup, op10_sharding)}
 ORACLE: dict[str, str] = {}
