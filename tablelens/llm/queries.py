@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, sharding, simhash
+from . import bpe, near_dedup, packing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -31,6 +31,37 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.train(docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.judge(docs, quality_model(spark, sf_dir)).select("doc_id", "quality.*")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+                       (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+RULES = [urlfilter.Rule("net/", "block"), urlfilter.Rule("example.net/en/", "allow"),
+         urlfilter.Rule("example.com/de/", "block"), urlfilter.Rule("org/fr/", "allow")]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+    return rows.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "blocked_alias")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.document_fingerprints(table(spark, sf_dir, "documents"))
     c = F.col
@@ -46,6 +77,22 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                       F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    rows = warc.round_trip(pages).where("gap is null")
+    return rows.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                       "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -54,5 +101,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op5_fingerprints, op6_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_urls, op5_fingerprints, op6_near_dedup,
+                                op7_toxicity, op8_secrets, op9_warc, op10_sharding)}
 ORACLE: dict[str, str] = {}
