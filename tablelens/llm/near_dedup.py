@@ -11,7 +11,6 @@ forest is emitted, never all pairs: components are the same.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, ship, stage
 from .components import components
-from .simhash import fingerprints, hex16, plain_words
+from .simhash import fingerprints, plain_words
 
 #: Table rows of one segment value that one task compares with all probes; more are split.
 HEAVY = 2_000
@@ -160,28 +159,40 @@ def shingle_hashes(words, n: int):
         .otherwise(F.array().cast("array<long>"))
 
 
-def document_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def document_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, uid_col: str | None = None) -> DataFrame:
     """``id``, ``uid`` and ``fp`` (long) of every document. Words of whole texts
     with A-Z in lower case; a bit is one if it is set in over half of the
     shingles' hashes; no word (null, empty, blank): zero. Repeated rows keep a
-    row each."""
-    words = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"),
-                        plain_words(F.col(text_col), True).alias("w"))
+    row each; ``uid_col`` numbers the rows if given."""
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    words = docs.select(F.col(id_col).alias("id"), uid.alias("uid"), plain_words(F.col(text_col), True).alias("w"))
     hashed = words.select("id", "uid", shingle_hashes(F.col("w"), shingle).alias("h"))
     return fingerprints(hashed, ["uid", "id"], "h").select("id", "uid", F.col("f0").alias("fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                    radius: int = 4, segments: int = 3) -> DataFrame:
-    """``id``, ``uid``, ``fp`` and ``component_id``: the smallest id reachable
-    over links of at most ``radius`` differing bits, the document's own
-    included. Null ids are never the smallest; a component of null ids only has
-    a null component_id. Empty input: no rows."""
-    marked = cut(document_simhash(docs, id_col, text_col, shingle))
-    classes = marked.groupBy("fp").agg(F.min("id").alias("low"))
+                    radius: int = 4, segments: int = 3, uid_col: str | None = None) -> DataFrame:
+    """``id``, ``uid``, ``fp``, ``component_id`` (the smallest id reachable over
+    links of at most ``radius`` differing bits, the document's own included) and
+    ``keeper`` (the ``uid`` of a row that has it). Null ids are never the
+    smallest; a component of null ids only has a null component_id. Empty input:
+    no rows."""
+    marked = cut(document_simhash(docs, id_col, text_col, shingle, uid_col))
+    smallest = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
+    classes = marked.groupBy("fp").agg(F.min(smallest).alias("low"))
     roots = components(near_links(marked, "fp", radius, 64, segments))
     named = cut(classes.join(roots, classes["fp"] == roots["node"], "left")
                 .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = named.join(lows, "root").select("fp", "component_id")
-    return marked.join(final, "fp").select("id", "uid", "fp", "component_id")
+    lows = named.groupBy("root").agg(F.min("low").alias("least"))
+    final = named.join(lows, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.uid").alias("keeper"))
+    return marked.join(final, "fp").select("id", "uid", "fp", "component_id", "keeper")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (of
+    repeated rows, one). The rows are staged with a number each, so the two
+    passes over them agree."""
+    staged = stage(docs.withColumn("__tl_uid", F.monotonically_increasing_id()), "near-dedup")
+    rows = near_duplicates(staged.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__tl_uid"), "id", "text", shingle, radius, uid_col="__tl_uid")
+    kept = rows.where("uid = keeper").select(F.col("uid").alias("__tl_uid"))
+    return staged.join(kept, "__tl_uid", "left_semi").drop("__tl_uid")

@@ -142,7 +142,7 @@ def fit(slots: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, share:
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         b -= 0.1 * (mb / (1 - 0.9**k)) / (math.sqrt(vb / (1 - 0.99**k)) + 1e-8)
     margins = np.array([b + float(shares[i] @ w[slots[i]]) for i in np.flatnonzero(test)])
-    curve = fit_curve(margins[:, None], y[test], share, ridge=1e-3)
+    curve = fit_curve(margins[:, None], y[test], share, ridge=0.1)
     return Model(w.astype(np.float32), float(b), (curve[0], curve[1]))
 
 

@@ -116,14 +116,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2) -
     a = np.hstack([np.ones((len(x), 1)), x])
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     b, pull = np.zeros(a.shape[1]), ridge * np.r_[0.0, np.ones(x.shape[1])] + 1e-9
-    for _ in range(50):
+
+    def loss(b):
+        z = a @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (pull * b * b).sum())
+
+    now = loss(b)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         g = a.T @ (weight * (p - y)) + pull * b
         h = (a * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + np.diag(pull)
         step = np.linalg.solve(h, g)
-        b -= np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+        while (new := loss(b - step)) > now and np.abs(step).max() > 1e-10:
+            step = step / 2
+        if new > now or now - new < 1e-10:
             break
+        b, now = b - step, new
     return tuple(float(v) for v in b)
 
 
