@@ -12,6 +12,7 @@ place in the plan.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -131,6 +132,26 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known = Bounded(cache)
+        self._letters: dict[int, str] = {}
+        probe = ["the", "abandoned", "être", "größe", "señor", "x", "çà", "internationally"]
+        self.direct = self._stems(probe) == self._encode(probe)
+
+    def _stems(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of plain stems straight from the library's model, without the
+        steps that leave a lower-case Latin-1 word as it is."""
+        from tokenizers import pre_tokenizers
+        level, letters, tokenize = None, self._letters, self.tokenizer.model.tokenize
+        out = {}
+        for x in stems:
+            y = x
+            if not x.isascii():
+                for c in x:
+                    if ord(c) not in letters:
+                        level = level or pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+                        letters[ord(c)] = level.pre_tokenize_str(c)[0][0]
+                y = x.translate(letters)
+            out[x] = struct.pack(f"<{len(t)}I", *[i.id for i in t]) if (t := tokenize(y)) else b""
+        return out
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         out = {}
@@ -146,14 +167,17 @@ class WordTokenizer:
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
         """Words not met before. Latin-1 letters and ASCII signs after them are
         separate pieces, and the letters count in lower case."""
-        known, split, missing = self.known.get, {}, {}
+        known, split, missing, stems = self.known.get, {}, {}, {}
         for x in words:
             m = self._plain.match(x)
             split[x] = parts = (m[1].lower(), *([m[2]] if m[2] else [])) if m else (x,)
-            for p in parts:
+            if m and known(parts[0]) is None:
+                stems[parts[0]] = None
+            for p in parts[1:] if m else parts:
                 if known(p) is None:
                     missing[p] = None
         fresh = self._encode(list(missing))
+        fresh.update(self._stems(list(stems)) if self.direct else self._encode(list(stems)))
         for p, ids in fresh.items():
             if len(p) <= 64:
                 self.known.put(p, ids)
