@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import labelled_sample, ship
 from .toxicity import fit_curve
 
 #: Slots of the hashed word and character tables, one after the other.
@@ -146,19 +146,16 @@ def fit(slots: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, share:
     return Model(w.astype(np.float32), float(b), (curve[0], curve[1]))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000) -> Model:
-    """Learn from ``labelled`` rows; the sample is bounded by ``per_class`` rows
-    of each class (the first by a hash of the id). Without two classes the
-    probability is the share of ones."""
-    ship(labelled.sparkSession)
-    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
-                           F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    total = dict(rows.groupBy("y").count().collect())
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          per_class: int = 1000) -> Model:
+    """Learn from the documents that ``labels`` marks; the sample is bounded by
+    ``per_class`` rows of each class. Without two classes the probability is the
+    share of ones (without labels: one)."""
+    ship(docs.sparkSession)
+    sample, total = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     share = total.get(1, 0) / max(1, sum(total.values())) if total else 1.0
     if not total.get(0) or not total.get(1):
         return fit([], [], np.zeros(0), share)
-    sample = [cut(rows.where(F.col("y") == y).orderBy("k", "t").limit(per_class)) for y in (0, 1)]
-    sample = sample[0].unionByName(sample[1]).repartition(24, "k")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

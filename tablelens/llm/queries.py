@@ -32,8 +32,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.train(docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    return toxicity.train(toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import labelled_sample, ship
 
 # fixed values: look-alikes of Latin letters, and digits and signs that stand for letters
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛѡвкмнтгαβεικνορτυχ", "aeopcyxijshdqwbkmhtraeeiknoptux"))
@@ -135,27 +135,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2) -
     return tuple(float(v) for v in b)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           per_class: int = 1500, min_docs: int = 4, min_share: float = 0.015, max_terms: int = 2000, exceptions: list[str] | None = None) -> Model:
-    """Learn from ``labelled`` rows. The sample is bounded by ``per_class`` rows
-    of each class (the first by a hash of the id), whatever their number. A term
-    must stand in ``min_docs`` and ``min_share`` of the sampled toxic rows. Rows
-    without a label are left out; without two classes nothing is learned and the
-    score is the share of ones. ``exceptions``: phrases to spare beside those
-    learned (neighbouring words that the term shows mostly in clean rows)."""
-    spark = labelled.sparkSession
-    ship(spark)
-    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
-                           F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    total = dict(rows.groupBy("y").count().collect())
-    if not total.get(0) or not total.get(1):
-        p = 1.0 if total.get(1) else 0.0
+    """Learn from the documents that ``labels`` marks outside the held-out fifth.
+    The sample is bounded by ``per_class`` rows of each class, whatever their
+    number. A term must stand in ``min_docs`` and ``min_share`` of the sampled
+    toxic rows. Rows without a label are left out; without two classes nothing
+    is learned and the score is the share of ones. ``exceptions``: phrases to
+    spare beside those learned (neighbouring words that the term shows mostly in
+    clean rows)."""
+    ship(docs.sparkSession)
+    sample, total = labelled_sample(docs, labels.where(~held_out(F.col(id_col))), id_col, text_col, label_col, per_class)
+    n = {0: 0, 1: 0} | dict(sample.groupBy("y").count().collect())
+    if not n[0] or not n[1]:
+        p = total.get(1, 0) / max(1, sum(total.values()))
         return Model(curve=(math.log((p + 1e-6) / (1 - p + 1e-6)), 0.0, 0.0))
     share = total[1] / (total[0] + total[1])
-    sample = [cut(rows.where(F.col("y") == y).orderBy("k", "t").limit(per_class)) for y in (0, 1)]
-    # the sample lies in one partition after its limit; spread it again
-    sample = sample[0].unionByName(sample[1]).repartition(24, "k")
-    n = {y: min(per_class, total[y]) for y in (0, 1)}
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,11 +234,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.withColumn("toxicity", toxicity(F.col(text_col)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """Labelled rows outside the held-out fifth: crc32 of the id as text, mod 5, is not 0."""
-    own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias(label_col)).where(~held_out(F.col("__id")))
-    return docs.select(id_col, "text").join(own, F.col(id_col) == F.col("__id")).drop("__id")
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
