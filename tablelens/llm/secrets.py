@@ -222,28 +222,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def masked(text: str | None, spans, mark: str = "[SECRET]") -> str | None:
-    """The text with every span replaced, overlapping ones together."""
-    if not text or spans is None or not len(spans):
-        return text
-    out, at = [], 0
-    for start, end in spans:
-        if end <= at:
-            continue
-        out += [text[at:start], mark] if start >= at else []
-        at = end
-    return "".join(out) + text[at:]
-
-
-def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` (with ``secrets``) with the spans of ``text_col`` replaced."""
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def hide(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, starts, ends in batches:
-            yield pd.Series([masked(t, list(zip(a, b)) if a is not None else []) for t, a, b in zip(texts, starts, ends)], dtype=object)
-
-    own = F.transform("secrets", lambda s: s["start"]), F.transform("secrets", lambda s: s["end"])
-    hidden = F.when(F.size("secrets") > 0, hide(F.col(text_col), *own)).otherwise(F.col(text_col))
-    return docs.withColumn(text_col, hidden)
+def mask(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` (with ``secrets``) with the spans of ``text_col`` replaced by
+    ``mark``, overlapping ones together; texts without spans stay as they are."""
+    span = "array<struct<start:int,end:int>>"
+    merged = F.aggregate("secrets", F.array().cast(span), lambda done, s: F.when(
+        (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
+        F.concat(F.slice(done, 1, F.size(done) - 1),
+                 F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
+    ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).cast(span))
+    hidden = F.aggregate(F.reverse(merged), F.col(text_col), lambda t, s: F.overlay(t, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
+    return docs.withColumn(text_col, F.when(F.size("secrets") > 0, hidden).otherwise(F.col(text_col)))
