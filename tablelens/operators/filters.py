@@ -68,7 +68,7 @@ def filter_options(df: DataFrame, categorical: list[str], max_filters: int = R.M
     if not categorical:
         return df.sparkSession.createDataFrame([], "column string, value string")
     from tablelens.operators.quality import column_stats
-    cnt = {r["column"]: r["nunique"] for r in column_stats(df.select(*categorical)).collect()}
+    cnt = {r["column"]: r["nunique"] for r in column_stats(df.select(*[qcol(c) for c in categorical])).collect()}
     chosen = []
     for c in categorical:
         if len(chosen) >= max_filters:

@@ -74,10 +74,10 @@ def coerce_money(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFram
     return out, conv
 
 
-def detect_date_format(df: DataFrame, col: str, sample: int = 50) -> str | None:
-    """First layout under which every one of the first ``sample``
-    non-null values parses; None if no layout fits them all."""
-    s = df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull()).limit(sample)
+def detect_date_format(df: DataFrame, col: str) -> str | None:
+    """First layout under which every non-null value of the column parses;
+    None if no layout fits them all."""
+    s = df.select(qcol(col).cast("string").alias("v")).where(F.col("v").isNotNull())
     checks = [F.bool_and(F.try_to_timestamp(F.col("v"), F.lit(fmt)).isNotNull()).alias(f"f{i}")
               for i, fmt in enumerate(DATE_FORMATS)]
     r = s.agg(F.count(F.lit(1)).alias("n"), *checks).collect()[0]
