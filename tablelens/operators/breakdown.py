@@ -143,13 +143,16 @@ def underserved(df: DataFrame, x: str, y: str, min_count: int = R.UNDERSERVED_MI
          .agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.count(v).alias("n"))
          .where(F.col("n") >= min_count)
          .withColumn("avg_value", F.col("total") / F.col("n")))
-    g = g.cache()  # read by the median job and by the final filter
-    long_df = g.select(F.lit("n").alias("key"), F.col("n").cast("double").alias("val")).unionByName(
-        g.select(F.lit("avg").alias("key"), F.col("avg_value").alias("val")))
-    med = exact_quantiles(long_df, "key", "val", [0.5])
-    if "n" not in med:
-        return g.limit(0).select("label", "n", "avg_value")
-    mc, ma = med["n"][0.5], med["avg"][0.5]
-    return (g.where((F.col("n") < F.lit(mc)) & (F.col("avg_value") > F.lit(ma)))
-            .orderBy(F.col("avg_value").desc(), F.col("label").asc()).limit(1)
-            .select("label", F.col("n").cast("long").alias("n"), "avg_value"))
+    g = g.persist()  # read by the median jobs and by the final filter
+    try:
+        long_df = g.select(F.lit("n").alias("key"), F.col("n").cast("double").alias("val")).unionByName(
+            g.select(F.lit("avg").alias("key"), F.col("avg_value").alias("val")))
+        med = exact_quantiles(long_df, "key", "val", [0.5])
+        rows = []
+        if "n" in med:
+            below, above = F.col("n") < F.lit(med["n"][0.5]), F.col("avg_value") > F.lit(med["avg"][0.5])
+            rows = (g.where(below & above).orderBy(F.col("avg_value").desc(), F.col("label").asc()).limit(1)
+                    .select("label", F.col("n").cast("long"), "avg_value").collect())
+    finally:
+        g.unpersist()
+    return df.sparkSession.createDataFrame(rows, "label string, n long, avg_value double")

@@ -2,7 +2,7 @@
 bins, outliers, correlations, scatter sample, column descriptions
 (A7, A8, A8b, A10, A11, A18, A21, P7).
 
-Quantiles come from ``quantiles.exact_quantiles`` (sketch + bounded exact
+Quantiles come from ``quantiles.exact_quantiles`` (counting search, bounded
 band), never from a single-task value map. Per-column statistics are fused
 into one aggregate over all columns, so k columns cost one scan, not k.
 """
@@ -131,9 +131,9 @@ def violin_bins(df: DataFrame, x: str, y: str, k: int = R.TOP_VIOLIN, bins: int
 
 
 # -------------------------------------------------------------------------- A10
-def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = R.OUTLIER_MAX_COLUMNS, min_values: int = R.OUTLIER_MIN_VALUES,
+def outliers(df: DataFrame, cols: Sequence[str], max_cols: int | None = None, min_values: int = R.OUTLIER_MIN_VALUES,
              exact: bool = True) -> DataFrame:
-    """A10: per numeric column (first ``max_cols``, at least ``min_values``
+    """A10: per numeric column (all, or the first ``max_cols``; at least ``min_values``
     values): IQR-fence and |z|>3 outlier counts, min/max/mean/std (2 dp) and
     the IQR outliers as a percent of the column's values (2 dp).
     ``exact=False``: sketch quartiles (one pass instead of two)."""
@@ -147,13 +147,15 @@ def outliers(df: DataFrame, cols: Sequence[str], max_cols: int = R.OUTLIER_MAX_C
     vals = [as_double(df, c) for c in cols]
     aggs = []
     for i, v in enumerate(vals):
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
+        real = F.when(~F.isnan(v), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                 F.count(real).alias(f"r{i}"), F.min(real).alias(f"lo{i}"), F.max(real).alias(f"hi{i}")]
     st = df.agg(*aggs).collect()[0]
-    keep = [i for i in range(len(cols)) if st[f"n{i}"] >= min_values]
+    keep = [i for i in range(len(cols)) if st[f"n{i}"] >= min_values and st[f"r{i}"] > 0]
     if not keep:
         return empty
     q = column_quantiles(df, [cols[i] for i in keep], [0.25, 0.75],
-                         counts={cols[i]: int(st[f"n{i}"]) for i in keep}, exact=exact)
+                         bounds={cols[i]: (st[f"r{i}"], st[f"lo{i}"], st[f"hi{i}"]) for i in keep}, exact=exact)
     counts = []
     for i in keep:
         v, d = vals[i], q[cols[i]]
@@ -224,23 +226,43 @@ def strongest_corr(df: DataFrame, primary: str, cols: Sequence[str]) -> DataFram
 
 
 # -------------------------------------------------------------------------- A21
-def scatter_sample(df: DataFrame, x: str, y: str, key: str, color: str | None = None,
-                   n: int = R.SAMPLE_ROWS, seed: int = R.SAMPLE_SEED, max_colors: int = R.MAX_COLORS) -> DataFrame:
-    """A repeatable uniform sample of ``n`` rows: rows ordered by
-    md5(key || seed). Each task keeps its ``n`` best rows
-    (TakeOrderedAndProject), so the sample never gathers the table. The colour
-    is kept only if the sample has at most ``max_colors`` distinct values."""
-    h = F.md5(F.concat(qcol(key).cast("string"), F.lit(str(seed))))
-    cols = [qcol(key).alias("key"), qcol(x).alias("x"), qcol(y).alias("y")]
-    if color:
-        cols.append(qcol(color).cast("string").alias("color"))
-    s = df.select(*cols, h.alias("_h")).orderBy("_h").limit(n).drop("_h")
-    if not color:
-        return s.withColumn("color", F.lit(None).cast("string"))
+COPIES_PER_ROW = 100_000  # copies of one point numbered by one task row
+
+
+def scatter_sample(df: DataFrame, x: str, y: str, key: str | None = None, color: str | None = None,
+                   n: int = R.SAMPLE_ROWS, seed: int = R.SAMPLE_SEED, max_colors: int | None = R.MAX_COLORS) -> DataFrame:
+    """A repeatable uniform sample of ``n`` rows. The colour is kept only
+    if the sample has at most ``max_colors`` distinct values (None: always).
+
+    With ``key``, a column that identifies a row, rows are ordered by
+    md5(key || seed), without a shuffle. Without, equal points are counted,
+    their copies numbered, and every copy is ordered by the md5 of its columns
+    (nulls as ``~``), its number and the seed, so repeated, null or plain
+    floating-point rows are as likely as any other and need no key. Each task
+    keeps its ``n`` best rows (TakeOrderedAndProject)."""
+    shown = [qcol(x).alias("x"), qcol(y).alias("y")]
+    shown.append(qcol(color).cast("string").alias("color") if color else F.lit(None).cast("string").alias("color"))
+    if key:
+        rows = df.select(qcol(key).alias("key"), *shown,
+                         F.md5(F.concat(qcol(key).cast("string"), F.lit(str(seed)))).alias("_h"))
+    else:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        last = F.col("_n") - 1
+        runs = (df.select(*shown).groupBy("x", "y", "color").agg(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor(last / COPIES_PER_ROW))))
+                .repartition(parts, "x", "y", "color", "_run"))  # copies of a hot point over all tasks
+        first = F.col("_run") * COPIES_PER_ROW
+        copies = runs.withColumn("_copy", F.explode(F.sequence(first, F.least(first + COPIES_PER_ROW - 1, last))))
+        text = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("x", "y", "color")]
+        name = F.concat_ws("|", *text, F.col("_copy").cast("string"), F.lit(str(seed)))
+        rows = copies.select("x", "y", "color", F.md5(name).alias("_h"))
+    s = rows.orderBy(*["_h", *[c for c in ("key", "x", "y", "color") if c in rows.columns]]).limit(n).drop("_h")
+    if not color or max_colors is None:
+        return s
     # colours in the sample: a window over the n sampled rows only
     from pyspark.sql import Window
     nc = F.size(F.collect_set("color").over(Window.partitionBy()))
-    return s.select("key", "x", "y", F.when(nc <= max_colors, F.col("color")).alias("color"))
+    return s.withColumn("color", F.when(nc <= max_colors, F.col("color")))
 
 
 # --------------------------------------------------------------------------- P7

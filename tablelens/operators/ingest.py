@@ -5,6 +5,8 @@ columns at once)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,8 @@ DATE_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy",
     "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "dd.MM.yyyy", "yyyyMMdd",
     "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM",
+    "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "MM/dd/yyyy HH:mm", "dd/MM/yyyy HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ssXXX",
 ]
 
 
@@ -74,11 +78,26 @@ def coerce_money(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFram
     return out, conv
 
 
+# What a layout's fields look like, longest names first; other letters do not occur.
+FIELD_SHAPES = {"yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "SSSSSS": r"\d{1,6}",
+                "XXX": r"(Z|[+-]\d{2}:\d{2})", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}",
+                "ss": r"\d{2}", "d": r"\d{1,2}", "'T'": "T"}
+
+
+def layout_shape(fmt: str) -> str:
+    """Pattern of the texts that can have layout ``fmt``."""
+    names = "|".join(sorted(FIELD_SHAPES, key=len, reverse=True))
+    parts = re.findall(f"({names})|(.)", fmt)
+    return "^" + "".join(FIELD_SHAPES[field] if field else re.escape(char) for field, char in parts) + "$"
+
+
 def detect_date_format(df: DataFrame, col: str) -> str | None:
     """First layout under which every non-null value of the column parses;
     None if no layout fits them all."""
     s = df.select(qcol(col).cast("string").alias("v")).where(F.col("v").isNotNull())
-    checks = [F.bool_and(F.try_to_timestamp(F.col("v"), F.lit(fmt)).isNotNull()).alias(f"f{i}")
+    # Parsing sees only texts of the layout's shape: a failed parse is dear.
+    checks = [F.bool_and(F.try_to_timestamp(F.when(F.col("v").rlike(layout_shape(fmt)), F.col("v")), F.lit(fmt))
+                         .isNotNull()).alias(f"f{i}")
               for i, fmt in enumerate(DATE_FORMATS)]
     r = s.agg(F.count(F.lit(1)).alias("n"), *checks).collect()[0]
     if not r["n"]:

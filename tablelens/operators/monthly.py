@@ -35,17 +35,15 @@ def month_sums(df: DataFrame, date_col: str, measure: str) -> DataFrame:
 
 def monthly_sum(df: DataFrame, date_col: str, measure: str) -> DataFrame:
     """Dense monthly sum (month date, value double); gap months are 0.
-
-    The sparse sums (one row per month with data) are cached: the spine and
-    the join both read them, so the table is scanned once."""
-    sums = month_sums(df, date_col, measure).cache()
-    spine = (sums.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-             .where(F.col("lo").isNotNull())
-             .select(F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"),
-                                          F.expr("INTERVAL 1 MONTH"))).alias("m"))
-             .select(F.last_day("m").alias("month")))
-    return (spine.join(F.broadcast(sums), "month", "left")
-            .select("month", F.coalesce(F.col("value"), F.lit(0.0)).alias("value")))
+    Each month with rows also fills the gap up to the next one, so the table
+    is read once and nothing is joined."""
+    first = F.trunc("month", "MM")
+    last = F.coalesce(F.add_months(F.trunc(F.lead("month").over(_ordered()), "MM"), -1), first)
+    filled = month_sums(df, date_col, measure).select(
+        F.col("month").alias("own"), "value",
+        F.sequence(first, last, F.expr("INTERVAL 1 MONTH")).alias("months"))
+    return (filled.select("own", "value", F.explode("months").alias("m")).withColumn("month", F.last_day("m"))
+            .select("month", F.when(F.col("month") == F.col("own"), F.col("value")).otherwise(0.0).alias("value")))
 
 
 def monthly_sum_by(df: DataFrame, date_col: str, measure: str, color: str) -> DataFrame:

@@ -17,10 +17,6 @@ from pyspark.sql import types as T
 from tablelens.functions import rules as R
 from tablelens.functions.columns import INTEGRAL, NUMERIC, is_supported, present, qcol
 
-# Candidate hashes above this many rows are not broadcast; the exact pass
-# then groups all rows by value instead of semi-joining the candidates.
-BROADCAST_HASHES = 2_000_000
-
 
 def supported_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if is_supported(df, c)]
@@ -51,16 +47,10 @@ def duplicate_groups(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Distinct rows that occur more than once, with their count ``_n``."""
     cols = cols or supported_columns(df)
     h = F.xxhash64(*[qcol(c) for c in cols])
-    # Hashes seen more than once: computed once (persisted) for the count
-    # below and for the exact pass; only repeated hashes are kept.
-    cand = (df.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
-            .where(F.col("_c") > 1).select("_h").persist())
-    n_cand = cand.count()
-    if n_cand == 0:
-        return df.select(*[qcol(c) for c in cols]).limit(0).withColumn("_n", F.lit(0).cast("long"))
-    rows = df.select(*[qcol(c) for c in cols])
-    if n_cand <= BROADCAST_HASHES:
-        rows = rows.join(F.broadcast(cand), h == F.col("_h"), "left_semi")
+    # Only rows whose hash repeats are grouped by value; the join strategy is
+    # left to AQE, which broadcasts the hashes where they measure small.
+    repeated = df.groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_h")
+    rows = df.select(*[qcol(c) for c in cols]).join(repeated, h == F.col("_h"), "left_semi")
     return rows.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
 
 

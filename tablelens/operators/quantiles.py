@@ -1,23 +1,24 @@
-"""Exact linear-interpolated quantiles that never gather a whole column or a
-whole group into one task.
-
-Spark's exact ``percentile`` keeps a value->count map per group and merges it
-in a single task; for a global quantile over a huge column, or a category that
-holds a third of all rows, that map is unbounded. Here:
-
-0. counts per key first; keys with at most ``band_limit`` values use Spark's
-   exact ``percentile`` directly (its per-key value map is then bounded);
-1. otherwise one aggregate per key gives a GK sketch (``percentile_approx``,
-   bounded memory, merged partially on the map side);
-2. the sketch brackets every target rank with a value band ``[lo, hi]`` that
-   holds a small, known share of the rows; one scan counts the rows below
-   ``lo`` and the rows and distinct values inside the band; while a band still
-   holds too many distinct values it is narrowed with a sketch of the band
-   alone;
-3. the band values are reduced to ``(value, count)`` (map-side combine, so a
-   value repeated a billion times is one row) and a window per band finds the
-   values at the target ranks. A band holds at most ``band_limit`` distinct
-   values, so no task sorts more than that.
+"""Exact linear-interpolated quantiles that never gather a column, a group or a
+band of ranks into one task.
+
+Spark's exact ``percentile`` merges a value->count map per group in a single
+task, which is unbounded for a whole column or a category that holds a third of
+all rows. Here every (key, rank) is searched for by counting:
+
+1. one aggregate gives count, minimum and maximum per key;
+2. each round cuts the band ``[lo, hi]`` that holds a rank into ``BUCKETS``
+   value ranges (``lo`` and ``hi`` themselves are ranges of their own), counts
+   the band's rows per range with their smallest and largest value, and finds
+   the range that holds the rank by a running sum over at most ``BUCKETS`` rows;
+3. a rank is settled once its range holds one value, or the rank is the first
+   or last of its range; else the range is the band of the next round.
+
+Each rank has its own band, bands of the same key are equal or disjoint, and a
+round sends at most ``BUCKETS`` rows per band and task through the shuffle, so
+a value repeated a billion times is one of them. Bands always shrink (``lo`` and
+``hi`` leave them), by a factor of ``BUCKETS`` in value per round: two or three
+rounds on ordinary columns, more where values spread over many orders of
+magnitude.
 
 Interpolation follows the usual linear rule (numpy "linear", pandas
 ``quantile``, SQL ``quantile_cont``): ``pos = (n-1)·p``.
@@ -35,151 +36,107 @@ from pyspark.sql import types as T
 from tablelens.functions.columns import qcol
 
 ACCURACY = 10000
-BAND_LIMIT = 1_000_000
-MAX_KEYS = 10_000
+BUCKETS = 1 << 14
 
 
-def _interp(lo: float, hi: float, frac: float) -> float:
-    if frac == 0.0 or lo == hi:
-        return lo
-    return lo + (hi - lo) * frac
-
-
-def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float],
-                    band_limit: int = BAND_LIMIT, accuracy: int = ACCURACY,
-                    max_keys: int = MAX_KEYS, counts: dict | None = None, exact: bool = True) -> dict:
+def exact_quantiles(long_df: DataFrame, key: str, value: str, probs: Sequence[float], accuracy: int = ACCURACY,
+                    bounds: dict | None = None, exact: bool = True, buckets: int = BUCKETS) -> dict:
     """Quantiles of ``value`` per ``key`` (keys: a bounded set such as column
-    names or top-k categories). Returns ``{key: {"n": n, p: q, ...}}``;
-    nulls are ignored, keys with no values are absent. ``exact=False``: one
-    pass of GK sketches (rank error at most n/accuracy, values not
-    interpolated) for very large inputs where that is acceptable."""
+    names or top-k categories; the driver holds a few numbers per key).
+    Returns ``{key: {"n": n, p: q, ...}}``; nulls and NaN are ignored, keys with
+    no values are absent. ``bounds``: ``{key: (n, min, max)}`` where the caller
+    has them already. ``exact=False``: one pass of GK sketches (rank error at
+    most n/accuracy, values not interpolated)."""
     probs = [float(p) for p in probs]
     data = long_df.select(qcol(key).alias("k"), qcol(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
     if not exact:
-        rows = (data.groupBy("k").agg(F.count("v").alias("n"), F.percentile_approx("v", probs, accuracy).alias("a"))
-                .limit(max_keys + 1).collect())
-        if len(rows) > max_keys:
-            raise ValueError(f"exact_quantiles: more than {max_keys} keys")
-        return {r["k"]: {"n": int(r["n"]), **dict(zip(probs, r["a"]))} for r in rows}
-
-    spark = long_df.sparkSession
-    key_type = long_df.schema[key].dataType
-    if counts is None:
-        counts = {r["k"]: int(r["n"]) for r in
-                  data.groupBy("k").agg(F.count("v").alias("n")).limit(max_keys + 1).collect()}
-    if len(counts) > max_keys:
-        raise ValueError(f"exact_quantiles: more than {max_keys} keys")
-    out: dict = {k: {"n": int(n)} for k, n in counts.items() if n > 0}
-    if not out:
-        return out
-    if all(d["n"] <= band_limit for d in out.values()):
-        return _select_small(data, out, probs)
-
-    # Pass 1: a rank sketch per key.
-    delta = 3.0 / accuracy
-    grid = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1, 1)})
-    stats = (data.groupBy("k").agg(F.percentile_approx("v", grid, accuracy).alias("a")).collect())
-    targets = []  # (key, rank) ranks 0-based over the whole key
-    bands = {}    # key -> [lo, hi]
-    for r in stats:
-        n = out[r["k"]]["n"]
-        gmap = dict(zip(grid, r["a"]))
-        lo_v = min(gmap[min(1.0, max(0.0, p - delta))] for p in probs)
-        hi_v = max(gmap[min(1.0, max(0.0, p + delta))] for p in probs)
-        if n <= band_limit:
-            lo_v, hi_v = -math.inf, math.inf
-        bands[r["k"]] = [lo_v, hi_v]
-        for p in probs:
-            pos = (n - 1) * p
-            targets += [(r["k"], int(math.floor(pos))), (r["k"], int(math.ceil(pos)))]
-
-    bschema = T.StructType([T.StructField("k", key_type), T.StructField("lo", T.DoubleType()),
-                            T.StructField("hi", T.DoubleType())])
-
-    info = {k: (0, out[k]["n"], out[k]["n"]) for k in out}
-    for it in range(8):
-        bdf = spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in bands.items()], bschema)
-        # Pass 2: below/band counts per key.
-        j = data.join(F.broadcast(bdf), "k")
-        inb = F.when((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")), F.col("v"))
-        chk = (j.groupBy("k").agg(
-            F.count_if(F.col("v") < F.col("lo")).alias("below"),
-            F.count(inb).alias("band_n"),
-            F.approx_count_distinct(inb).alias("band_d"))
-            .collect())
-        info = {r["k"]: (int(r["below"]), int(r["band_n"]), int(r["band_d"])) for r in chk}
-        missed = {k for (k, rank) in targets
-                  if not (info[k][0] <= rank < info[k][0] + info[k][1])}
-        if missed:
-            # The sketch bracket missed (should not happen): widen and recount.
-            for k in missed:
-                bands[k] = [-math.inf, math.inf]
-            continue
-        wide = [k for k, (b, bn, bd) in info.items() if bd > band_limit]
-        if not wide or it == 7:
-            break
-        # Narrow the wide bands with a sketch of the band rows only.
-        rel = {}
-        for (k, rank) in targets:
-            if k in wide:
-                b, bn, _ = info[k]
-                rel.setdefault(k, []).append((rank - b) / max(bn - 1, 1))
-        rgrid = sorted({min(1.0, max(0.0, q + s * delta)) for qs in rel.values()
-                        for q in qs for s in (-1, 1)})
-        sk = (j.where(F.col("k").isin(wide) & inb.isNotNull())
-              .groupBy("k").agg(F.percentile_approx("v", rgrid, accuracy).alias("a")).collect())
-        for r in sk:
-            gm = dict(zip(rgrid, r["a"]))
-            qs = rel[r["k"]]
-            bands[r["k"]] = [min(gm[min(1.0, max(0.0, q - delta))] for q in qs),
-                             max(gm[min(1.0, max(0.0, q + delta))] for q in qs)]
-
-    # Pass 3: exact selection inside the bands.
-    spark = long_df.sparkSession
-    bdf = spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in bands.items()], bschema)
-    tschema = T.StructType([T.StructField("k", key_type), T.StructField("rank", T.LongType())])
-    below = {k: info[k][0] for k in info}
-    tdf = spark.createDataFrame([(k, int(rank - below.get(k, 0))) for (k, rank) in set(targets)], tschema)
-    counted = (data.join(F.broadcast(bdf), "k")
-               .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-               .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn("start", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    hits = (ranked.join(F.broadcast(tdf), "k")
-            .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
-            .select("k", "rank", "v").collect())
-    at = {(r["k"], int(r["rank"]) + below.get(r["k"], 0)): float(r["v"]) for r in hits}
-    for k, d in out.items():
-        n = d["n"]
+        rows = data.groupBy("k").agg(F.count("v").alias("n"), F.percentile_approx("v", probs, accuracy).alias("a"))
+        return {r["k"]: {"n": int(r["n"]), **dict(zip(probs, r["a"]))} for r in rows.collect()}
+    if bounds is None:
+        rows = data.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bounds = {r["k"]: (int(r["n"]), r["lo"], r["hi"]) for r in rows.collect()}
+    bounds = {k: b for k, b in bounds.items() if b[0] > 0}
+    ranks = {(k, r) for k, (n, _, _) in bounds.items() for p in probs for r in _neighbours(n, p)}
+    at = _values_at(data, long_df.schema[key].dataType, bounds, ranks, buckets)
+    out: dict = {}
+    for k, (n, _, _) in bounds.items():
+        out[k] = {"n": n}
         for p in probs:
-            pos = (n - 1) * p
-            lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-            d[p] = _interp(at[(k, lo_r)], at[(k, hi_r)], pos - lo_r)
-    return out
-
-
-def _select_small(data: DataFrame, out: dict, probs: list[float]) -> dict:
-    """Every key has at most ``band_limit`` values: Spark's exact
-    ``percentile`` (linear interpolation) in one grouped aggregate. Its
-    value->count map per key is bounded by the same limit, so the task that
-    merges a key's map holds at most ``band_limit`` entries."""
-    rows = data.groupBy("k").agg(F.percentile("v", probs).alias("q")).collect()
-    for r in rows:
-        if r["k"] in out:
-            out[r["k"]].update(zip(probs, (float(x) for x in r["q"])))
+            lo, hi = (at[(k, r)] for r in _neighbours(n, p))
+            frac = (n - 1) * p - math.floor((n - 1) * p)
+            out[k][p] = lo if frac == 0.0 or lo == hi else lo + (hi - lo) * frac
     return out
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict:
+def _neighbours(n: int, p: float) -> tuple[int, int]:
+    pos = (n - 1) * p
+    return math.floor(pos), math.ceil(pos)
+
+
+def _values_at(data: DataFrame, key_type: T.DataType, bounds: dict, ranks: set, buckets: int) -> dict:
+    """{(key, rank): value} for 0-based ranks within each key."""
+    spark = data.sparkSession
+    found: dict = {}
+    open_ranks = {}   # (key, rank) -> (lo, hi, values of the key below lo, values in the band)
+    for k, r in ranks:
+        n, lo, hi = bounds[k]
+        _settle(found, open_ranks, (k, r), (lo, hi, 0, n))
+    band_schema = T.StructType([T.StructField("k", key_type), T.StructField("band", T.IntegerType()),
+                                T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+                                T.StructField("width", T.DoubleType())])
+    while open_ranks:
+        bands: dict = {}
+        for (k, _), (lo, hi, below, _) in open_ranks.items():
+            bands.setdefault((k, lo, hi, below), len(bands))
+        # Halves keep the width of a band finite for any pair of doubles; a band
+        # that reaches infinity, or is too narrow to halve, has one inner range.
+        width = [hi / 2 - lo / 2 for _, lo, hi, _ in bands]
+        band_df = spark.createDataFrame(
+            [(k, i, lo, hi, w if 0 < w < math.inf else None) for ((k, lo, hi, _), i), w in zip(bands.items(), width)],
+            band_schema)
+        wanted = [(bands[(k, lo, hi, below)], r, r - below) for (k, r), (lo, hi, below, _) in open_ranks.items()]
+        wanted_df = spark.createDataFrame(wanted, "band int, rank long, inner long")
+        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+        inner = F.floor((v / 2 - lo / 2) / F.col("width") * (buckets - 2))
+        bucket = (F.when(v <= lo, 0).when(v >= hi, buckets)
+                  .otherwise(1 + F.coalesce(F.least(inner, F.lit(buckets - 2)), F.lit(0))).cast("int"))
+        counted = (data.join(F.broadcast(band_df), (data["k"] == band_df["k"]) & v.between(lo, hi))
+                   .groupBy("band", bucket.alias("bucket"))
+                   .agg(F.count("v").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")))
+        running = F.sum("c").over(Window.partitionBy("band").orderBy("bucket"))
+        hits = (counted.withColumn("start", running - F.col("c")).join(F.broadcast(wanted_df), "band")
+                .where((F.col("inner") >= F.col("start")) & (F.col("inner") < F.col("start") + F.col("c")))
+                .select("band", "rank", "start", "c", "mn", "mx").collect())
+        keys = list(bands)
+        open_ranks = {}
+        for h in hits:
+            k, _, _, below = keys[h["band"]]
+            _settle(found, open_ranks, (k, h["rank"]), (h["mn"], h["mx"], below + h["start"], h["c"]))
+    return found
+
+
+def _settle(found: dict, open_ranks: dict, target: tuple, band: tuple) -> None:
+    """Note the value of a rank whose band decides it, or keep it open."""
+    lo, hi, below, n = band
+    if lo == hi or target[1] == below:
+        found[target] = float(lo)
+    elif target[1] == below + n - 1:
+        found[target] = float(hi)
+    else:
+        open_ranks[target] = band
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bounds: dict | None = None,
+                     **kw) -> dict:
     """Exact quantiles of several numeric columns of ``df`` (one shared scan
-    per pass: the columns are unpivoted to ``(column, value)``)."""
+    per round: the columns are unpivoted to ``(column, value)``)."""
     from tablelens.functions.columns import as_double
     if not cols:
         return {}
     wide = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
     long_df = wide.unpivot([], [f"c{i}" for i in range(len(cols))], "key", "val")
-    if kw.get("counts") is not None:
-        kw["counts"] = {f"c{i}": kw["counts"][c] for i, c in enumerate(cols)}
-    res = exact_quantiles(long_df, "key", "val", probs, **kw)
+    if bounds is not None:
+        bounds = {f"c{i}": bounds[c] for i, c in enumerate(cols)}
+    res = exact_quantiles(long_df, "key", "val", probs, bounds=bounds, **kw)
     return {cols[int(k[1:])]: v for k, v in res.items()}

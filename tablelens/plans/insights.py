@@ -96,6 +96,12 @@ class ReportInputs:
                     "low": (a["lo"]["label"], a["lo"]["value"]), "t3": sum(r["value"] for r in top3)}
         return self._once("groups", run)
 
+    def release(self) -> None:
+        """Drop the cached inputs; the facts read so far stay."""
+        for frame in (self.health, self.outliers, self.gsum, self.monthly):
+            if frame is not None:
+                frame.unpersist()
+
     def base_facts(self) -> dict:
         """One aggregate over the rows: maximum of the primary measure, first
         and last date, and the top record (largest measure, largest category
@@ -120,7 +126,7 @@ def report_inputs(df: DataFrame, profile: Profile, cache: bool = True, exact: bo
     lineage if a cached block is lost). ``exact=False``: sketch quartiles
     for the outlier table (one pass, for very large tables)."""
     health = Q.health(df)
-    outl = D.outliers(df, profile.schema["numeric"], R.OUTLIER_MAX_COLUMNS, exact=exact)
+    outl = D.outliers(df, profile.schema["numeric"], exact=exact)
     s = profile.schema
     p = profile.primary_measure
     gsum = B.group_sum(df, s["categorical"][0], p) if (p and s["categorical"]) else None
@@ -261,28 +267,36 @@ def recommendation_rows(ri: ReportInputs, risks: list[tuple] | None = None) -> l
 
 
 # ----------------------------------------------------------- section frames
+def _section(ri: ReportInputs, rows) -> DataFrame:
+    """The frame of one section; the report's cached inputs are released."""
+    try:
+        return _frame(ri.df.sparkSession, rows(ri))
+    finally:
+        ri.release()
+
+
 def executive_summary(ri: ReportInputs) -> DataFrame:
-    return _frame(ri.df.sparkSession, executive_rows(ri))
+    return _section(ri, executive_rows)
 
 
 def business_insights(ri: ReportInputs) -> DataFrame:
-    return _frame(ri.df.sparkSession, business_rows(ri))
+    return _section(ri, business_rows)
 
 
 def trend_analysis(ri: ReportInputs) -> DataFrame:
-    return _frame(ri.df.sparkSession, trend_rows(ri))
+    return _section(ri, trend_rows)
 
 
 def risks(ri: ReportInputs) -> DataFrame:
-    return _frame(ri.df.sparkSession, risk_rows(ri))
+    return _section(ri, risk_rows)
 
 
 def opportunities(ri: ReportInputs) -> DataFrame:
-    return _frame(ri.df.sparkSession, opportunity_rows(ri))
+    return _section(ri, opportunity_rows)
 
 
 def recommendations(ri: ReportInputs) -> DataFrame:
-    return _frame(ri.df.sparkSession, recommendation_rows(ri))
+    return _section(ri, recommendation_rows)
 
 
 # ------------------------------------------------------------------------ I7
@@ -290,13 +304,15 @@ def insight_report(df: DataFrame, profile: Profile, ri: ReportInputs | None = No
                    exact: bool = True) -> DataFrame:
     """All sections plus the health figures and the outlier table, as one
     frame with a ``section`` column."""
-    ri = ri or report_inputs(df, profile, exact=exact)
+    return _section(ri or report_inputs(df, profile, exact=exact), report_rows)
+
+
+def report_rows(ri: ReportInputs) -> list[tuple]:
     h = ri.health_row()
     rows = [_row("health", i + 1, "Health", h["grade"], m, h[m])
             for i, m in enumerate(["score", "missing_pct", "missing_cells", "dup_rows", "dup_pct", "total_cells"])]
     r = risk_rows(ri)
     rows += executive_rows(ri) + business_rows(ri) + trend_rows(ri) + r + opportunity_rows(ri)
     rows += recommendation_rows(ri, r)
-    rows += [_row("outliers", o["position"], "Outliers", o["column"], "iqr_outliers", o["iqr_outliers"])
-             for o in ri.outlier_rows()]
-    return _frame(df.sparkSession, rows)
+    return rows + [_row("outliers", o["position"], "Outliers", o["column"], "iqr_outliers", o["iqr_outliers"])
+                   for o in ri.outlier_rows()]

@@ -3,19 +3,21 @@ detected business roles.
 
 The ladder is decided on the driver from column names and roles; every
 number comes from one fused aggregate (sums, means, maxima, date bounds),
-one distinct-count pass for the columns that need it, and the month-over-
-month trend frames (W5). The cards are rows of one Spark frame
+one distinct-count pass for the columns that need it, and one
+job for the month-over-month trends of all measures (W5). The cards are rows of one Spark frame
 ``(ord, label, value, sub_value, sub_text, trend_pct, trend_up)``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import rules as R
-
-from tablelens.functions.columns import as_double, is_numeric, qcol
+from tablelens.functions.columns import as_double, as_timestamp, is_numeric, qcol
 from tablelens.operators.monthly import mom_trend_kpi
 from tablelens.plans.profile import Profile
 
@@ -30,148 +32,154 @@ def _distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     return {r["column"]: int(r["nunique"]) for r in column_stats(sub).select("column", "nunique").collect()}
 
 
+class Facts:
+    """The figures behind the cards: aggregates of one fused pass and distinct
+    counts, each registered once and referred to by name."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.aggregates: dict[str, F.Column] = {"rows": F.count(F.lit(1))}
+        self.distinct: list[str] = []
+
+    def _add(self, kind: str, c: str, aggregate) -> F.Column:
+        # named by column position: column names may hold dots or spaces
+        name = f"{kind}_{self.df.columns.index(c)}"
+        self.aggregates[name] = aggregate
+        return F.col(name)
+
+    def rows(self) -> F.Column:
+        return F.col("rows")
+
+    def total(self, c: str) -> F.Column:
+        return self._add("sum", c, F.coalesce(F.sum(as_double(self.df, c)), F.lit(0.0)))
+
+    def mean(self, c: str) -> F.Column:
+        return self._add("avg", c, F.avg(as_double(self.df, c)))
+
+    def largest(self, c: str) -> F.Column:
+        return self._add("max", c, F.max(as_double(self.df, c)))
+
+    def values(self, c: str) -> F.Column:
+        self.distinct += [] if c in self.distinct else [c]
+        return F.col(f"d_{self.distinct.index(c)}")
+
+    def span(self, c: str) -> tuple[F.Column, F.Column]:
+        t = as_timestamp(self.df, c)
+        return self._add("lo", c, F.min(t)), self._add("hi", c, F.max(t))
+
+
+@dataclass(frozen=True)
+class Duties:
+    """Which column serves which business duty; a column serves one at most."""
+    revenue: str | None
+    main: str | None
+    profit: str | None
+    order: str | None
+    record: str | None
+    customer: str | None
+
+    def serving(self) -> set:
+        return {self.main, self.profit, self.order or self.record, self.customer}
+
+
+def duties(df: DataFrame, profile: Profile) -> Duties:
+    roles, taken = profile.semantic_roles, set()
+
+    def claim(candidates, summed: bool = False) -> str | None:
+        for c in candidates:
+            if c not in taken and not (summed and not is_numeric(df, c) and c not in profile.numeric_text):
+                taken.add(c)
+                return c
+        return None
+
+    revenue = claim(roles.get("revenue", []), summed=True)
+    main = revenue or claim(filter(None, [profile.primary_measure]))
+    profit = claim(roles.get("profit", []), summed=True)
+    order = claim(roles.get("order", []))
+    record = None if order else next(iter(profile.schema["id"]), None)
+    taken.add(record)
+    return Duties(revenue, main, profit, order, record, claim(roles.get("customer", [])))
+
+
+def _trends(df: DataFrame, date_col: str | None, measures: list[str]) -> dict[str, tuple]:
+    """{measure: (percent, up)} of the last month against the one before (W5):
+    one job for all measures."""
+    if not date_col or not measures:
+        return {}
+    frames = [mom_trend_kpi(df, date_col, c).select(F.lit(i).alias("i"), "trend_pct", "trend_up")
+              for i, c in enumerate(measures)]
+    return {measures[r["i"]]: (r["trend_pct"], r["trend_up"]) for r in reduce(DataFrame.unionByName, frames).collect()}
+
+
+# ---------------------------------------------------------------------------
+# The catalogue's cards, in their order. A card is shown when its
+# column ``c`` exists: (label, column's duty, sub text, value, sub value), the
+# last two as functions of (facts, c, duties).
+LADDER = [
+    ("Total Records", "any", "rows in dataset", lambda f, c, d: f.rows(), None),
+    ("Total Revenue", "revenue", None, lambda f, c, d: f.total(c), lambda f, c, d: f.mean(c)),
+    ("Total {c}", "main without revenue", None, lambda f, c, d: f.total(c), lambda f, c, d: f.mean(c)),
+    ("Total Profit", "profit", None, lambda f, c, d: f.total(c), lambda f, c, d: f.mean(c)),
+    ("Total Orders", "named order", "unique orders/transactions", lambda f, c, d: f.values(c), None),
+    ("Total Orders", "counted order", "unique orders/transactions", lambda f, c, d: f.rows(), None),
+    ("Total Orders", "record", "unique records", lambda f, c, d: f.values(c), None),
+    ("Total Customers", "customer", "unique customers", lambda f, c, d: f.values(c), None),
+    ("Avg Order Value", "revenue per order", "per order", lambda f, c, d: _ratio(f.total(c), f.values(d.order)), None),
+    ("Avg Order Value", "revenue per record", "per record", lambda f, c, d: _ratio(f.total(c), f.rows()), None),
+    ("Growth %", "growing", "{c} vs. previous period", None, None),
+    ("Avg {c}", "other numeric", None, lambda f, c, d: f.mean(c), lambda f, c, d: f.largest(c)),
+    ("Unique {c}", "other categorical", "distinct values", lambda f, c, d: f.values(c), None),
+    ("Date Range", "dated", None, lambda f, c, d: _days(*f.span(c)), None),
+]
+# End of fixed values.
+# ---------------------------------------------------------------------------
+
+
+def _ratio(total: F.Column, count: F.Column) -> F.Column:
+    return total / F.greatest(count.cast("double"), F.lit(1.0))
+
+
+def _days(lo: F.Column, hi: F.Column) -> F.Column:
+    return F.timestamp_diff("DAY", lo, hi)
+
+
 def build_kpis(df: DataFrame, profile: Profile, max_kpis: int = R.MAX_KPIS, profile_counts: bool = False) -> DataFrame:
     """K1. ``profile_counts=True`` when ``df`` holds exactly the profiled
     rows: distinct counts are then taken from the profile instead of being
     recounted."""
-    schema, roles = profile.schema, profile.semantic_roles
-    date_col = schema["date"][0] if schema["date"] else None
-    primary = profile.primary_measure
-    used: set[str] = set()
-    cards: list[dict] = []          # label, value expr key, sub key, trend key, sub_text
-    scalars: dict[str, F.Column] = {"rows": F.count(F.lit(1))}
-    distinct: list[str] = []
-    trends: dict[str, str] = {}     # measure -> trend tag
-
-    def num(c):
-        return as_double(df, c)
-
-    def tag(c):
-        # aliases by column position: names may hold dots or spaces
-        return f"c{df.columns.index(c)}"
-
-    def add(label, value, sub=None, trend=None, sub_text=None, col=None):
-        cards.append(dict(label=label, value=value, sub=sub, trend=trend, sub_text=sub_text))
-        if col:
-            used.add(col)
-
-    def sum_mean(c):
-        scalars[f"sum_{tag(c)}"] = F.coalesce(F.sum(num(c)), F.lit(0.0))
-        scalars[f"avg_{tag(c)}"] = F.avg(num(c))
-        return f"sum_{tag(c)}", f"avg_{tag(c)}"
-
-    def trend(c):
-        if not date_col:
-            return None
-        trends.setdefault(c, f"t{len(trends)}")
-        return trends[c]
-
-    def dcount(c):
-        if c not in distinct:
-            distinct.append(c)
-        return f"d_{distinct.index(c)}"
-
-    def first_numeric(cols):
-        return next((c for c in cols if is_numeric(df, c) or c in profile.numeric_text), None)
-
-    add("Total Records", "rows", sub_text="rows in dataset")
-    rev = first_numeric(roles.get("revenue", []))
-    if rev:
-        s, m = sum_mean(rev)
-        add("Total Revenue", s, m, trend(rev), col=rev)
-    elif primary and primary not in used:
-        s, m = sum_mean(primary)
-        add(f"Total {primary}", s, m, trend(primary), col=primary)
-    profit = first_numeric([c for c in roles.get("profit", []) if c not in used])
-    if profit and len(cards) < max_kpis:
-        s, m = sum_mean(profit)
-        add("Total Profit", s, m, trend(profit), col=profit)
-    order_cols = [c for c in roles.get("order", []) if c not in used]
-    if order_cols and len(cards) < max_kpis:
-        c = order_cols[0]
-        if c in schema["id"] or c in schema["categorical"]:
-            add("Total Orders", dcount(c), sub_text="unique orders/transactions", col=c)
-        else:
-            add("Total Orders", "rows", sub_text="unique orders/transactions", col=c)
-    elif schema["id"] and len(cards) < max_kpis:
-        c = schema["id"][0]
-        add("Total Orders", dcount(c), sub_text="unique records", col=c)
-    cust = [c for c in roles.get("customer", []) if c not in used]
-    if cust and len(cards) < max_kpis:
-        add("Total Customers", dcount(cust[0]), sub_text="unique customers", col=cust[0])
-    if rev and len(cards) < max_kpis:
-        scalars[f"sum_{tag(rev)}"] = F.coalesce(F.sum(num(rev)), F.lit(0.0))
-        denom = dcount(order_cols[0]) if order_cols else "rows"
-        add("Avg Order Value", ("aov", f"sum_{tag(rev)}", denom),
-            sub_text="per order" if order_cols else "per record")
-    growth = None
-    trend_rows: dict[str, tuple] = {}
-
-    def trend_row(c):
-        if c not in trend_rows:
-            r = mom_trend_kpi(df, date_col, c).select("trend_pct", "trend_up").collect()
-            trend_rows[c] = (r[0]["trend_pct"], r[0]["trend_up"]) if r else (None, None)
-        return trend_rows[c]
-
-    if primary and date_col and len(cards) < max_kpis:
-        if trend_row(primary)[0] is not None:
-            growth = trend(primary)
-            add("Growth %", ("growth", growth), sub_text=f"{primary} vs. previous period", trend=growth)
-    for c in schema["numeric"]:
-        if len(cards) >= max_kpis:
-            break
-        if c in used or c == primary:
-            continue
-        scalars[f"avg_{tag(c)}"] = F.avg(num(c))
-        scalars[f"max_{tag(c)}"] = F.max(num(c))
-        add(f"Avg {c}", f"avg_{tag(c)}", f"max_{tag(c)}", col=c)
-    for c in schema["categorical"]:
-        if len(cards) >= max_kpis:
-            break
-        if c in used:
-            continue
-        add(f"Unique {c}", dcount(c), sub_text="distinct values", col=c)
-    if date_col and len(cards) < max_kpis and profile.n.get(date_col, 0) > 0:
-        from tablelens.functions.columns import as_timestamp
-        t = as_timestamp(df, date_col)
-        scalars["date_lo"] = F.min(t)
-        scalars["date_hi"] = F.max(t)
-        add("Date Range", ("days",), sub_text=("dates",))
-    cards = cards[:max_kpis]
-
-    # One fused aggregate; distinct counts from the profile or one grouped
-    # pass; trends are one-row results (a month series each), inlined.
-    base = df.agg(*[e.alias(k) for k, e in scalars.items()])
-    counts = ({c: profile.nunique[c] for c in distinct} if profile_counts
-              else _distinct_counts(df, distinct))
-    base = base.select("*", *[F.lit(counts.get(c, 0)).cast("long").alias(f"d_{i}")
-                              for i, c in enumerate(distinct)])
-    for c, tag in trends.items():
-        pct, up = trend_row(c)
-        base = base.select("*", F.lit(pct).cast("double").alias(f"{tag}_pct"),
-                           F.lit(up).cast("boolean").alias(f"{tag}_up"))
-
-    def val(spec):
-        if spec is None:
-            return F.lit(None).cast("double")
-        if isinstance(spec, tuple):
-            if spec[0] == "aov":
-                return F.col(spec[1]) / F.greatest(F.col(spec[2]).cast("double"), F.lit(1.0))
-            if spec[0] == "growth":
-                return F.col(f"{spec[1]}_pct")
-            if spec[0] == "days":
-                return F.expr("timestampdiff(DAY, date_lo, date_hi)").cast("double")
-        return qcol(spec).cast("double")
-
-    def text(spec):
-        if spec == ("dates",):
-            return F.concat(F.date_format("date_lo", "MMM yyyy"), F.lit(" – "), F.date_format("date_hi", "MMM yyyy"))
-        return F.lit(spec).cast("string")
-
-    rows = [F.struct(F.lit(i + 1).cast("long").alias("ord"), F.lit(c["label"]).alias("label"),
-                     val(c["value"]).alias("value"), val(c["sub"]).alias("sub_value"),
-                     text(c["sub_text"]).alias("sub_text"),
-                     (F.col(f"{c['trend']}_pct") if c["trend"] else F.lit(None).cast("double")).alias("trend_pct"),
-                     (F.col(f"{c['trend']}_up") if c["trend"] else F.lit(None).cast("boolean")).alias("trend_up"))
-            for i, c in enumerate(cards)]
+    s, d = profile.schema, duties(df, profile)
+    date, primary = next(iter(s["date"]), None), profile.primary_measure
+    trends = _trends(df, date, list(dict.fromkeys(c for c in (d.main, d.profit, primary) if c)))
+    countable = d.order in s["id"] or d.order in s["categorical"]
+    columns = {
+        "any": [None], "revenue": [d.revenue], "main without revenue": [None if d.revenue else d.main],
+        "profit": [d.profit], "named order": [d.order if countable else None],
+        "counted order": [None if countable else d.order], "record": [d.record], "customer": [d.customer],
+        "revenue per order": [d.revenue if d.order else None], "revenue per record": [None if d.order else d.revenue],
+        "growing": [primary if trends.get(primary, (None,))[0] is not None else None],
+        "other numeric": [c for c in s["numeric"] if c not in d.serving() and c != primary],
+        "other categorical": [c for c in s["categorical"] if c not in d.serving()],
+        "dated": [date if date and profile.n.get(date, 0) > 0 else None],
+    }
+    shown = [(step, c) for step in LADDER for c in columns[step[1]] if c is not None or step[1] == "any"][:max_kpis]
+
+    facts, null = Facts(df), F.lit(None).cast("double")
+    rows = []
+    for i, ((label, duty, text, value, sub), c) in enumerate(shown):
+        trending = duty in ("revenue", "main without revenue", "profit", "growing")
+        pct, up = trends.get(c, (None, None)) if trending else (None, None)
+        text = F.lit(text.format(c=c) if text else None).cast("string")
+        if duty == "dated":
+            text = F.concat_ws(" – ", *[F.date_format(t, "MMM yyyy") for t in facts.span(c)])
+        rows.append(F.struct(
+            F.lit(i + 1).cast("long").alias("ord"), F.lit(label.format(c=c)).alias("label"),
+            (value(facts, c, d).cast("double") if value else F.lit(pct).cast("double")).alias("value"),
+            (sub(facts, c, d).cast("double") if sub else null).alias("sub_value"), text.alias("sub_text"),
+            F.lit(pct).cast("double").alias("trend_pct"), F.lit(up).cast("boolean").alias("trend_up")))
+
+    # One fused aggregate; distinct counts from the profile or one grouped pass.
+    counts = ({c: profile.nunique[c] for c in facts.distinct} if profile_counts
+              else _distinct_counts(df, facts.distinct))
+    base = df.agg(*[e.alias(name) for name, e in facts.aggregates.items()]).select(
+        "*", *[F.lit(counts.get(c, 0)).cast("long").alias(f"d_{i}") for i, c in enumerate(facts.distinct)])
     return base.select(F.explode(F.array(*rows)).alias("k")).select("k.*")

@@ -39,6 +39,7 @@ class Profile:
     numeric_text: list[str] = field(default_factory=list)
     date_formats: dict[str, str] = field(default_factory=dict)
     bounds: dict[str, tuple] = field(default_factory=dict)  # numeric column -> (min, max)
+    approx: bool = False  # distinct counts are sketches
 
     def role_counts(self) -> dict[str, int]:
         return {r: len(self.schema.get(r, [])) for r in ROLES}
@@ -177,7 +178,7 @@ def build_profile(df: DataFrame, template: str | None = None, approx_distinct: b
     return Profile(roles=roles, schema=schema, semantic_roles=semantic_roles(schema), rows=rows,
                    columns=list(cols), dtypes={f.name: f.dataType.simpleString() for f in df.schema.fields},
                    n=n, nunique=nuniq, missing_pct=missing, primary_measure=primary, dataset_type=dtype,
-                   numeric_text=numeric_text, date_formats=date_formats, bounds=bounds)
+                   numeric_text=numeric_text, date_formats=date_formats, bounds=bounds, approx=approx_distinct)
 
 
 def prepare(df: DataFrame, profile: Profile) -> DataFrame:

@@ -129,4 +129,4 @@ m as (select median(n) as mc, median(avg_value) as ma from a)
 select label, n, round(avg_value, 2) as avg_value from a, m
 where n < m.mc and avg_value > m.ma order by avg_value desc, label asc limit 1"""))
 def underserved(spark, sf):
-    return finish(B.underserved(stage(sales_wide(spark, sf)), "country", "revenue"))
+    return finish(B.underserved(stage(sales_wide(spark, sf), "table"), "country", "revenue"))

@@ -3,6 +3,8 @@ A18, A21, P7)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablelens.operators import distribution as D
 from tablelens.plans.catalog import finish, register, sales_wide, table, with_sales
 from tablelens.session import stage
@@ -57,7 +59,7 @@ l as (select cast(p_brand as varchar) as label, cast(p_retailprice as double) as
       where p_brand in (select label from top) and p_retailprice is not null)"""))
 def box_by_category(spark, sf):
     # multi-pass operators (counts, quartiles, fences) read a staged input
-    return finish(D.box_by_category(stage(table(spark, sf, "part")), "p_brand", "p_retailprice", 8), 4)
+    return finish(D.box_by_category(table(spark, sf, "part"), "p_brand", "p_retailprice", 8), 4)
 
 
 def _outlier_sql(src: str, cols: list[str], with_prefix: str = "with ") -> str:
@@ -81,12 +83,12 @@ group by q1, q3, m, s having count(v) >= 5""")
 
 @register("outliers", _outlier_sql("lineitem", LINEITEM_NUM))
 def outliers(spark, sf):
-    return finish(D.outliers(stage(table(spark, sf, "lineitem")), LINEITEM_NUM), 2, q1=4, q3=4)
+    return finish(D.outliers(table(spark, sf, "lineitem"), LINEITEM_NUM), 2, q1=4, q3=4)
 
 
 @register("outliers_sales", with_sales("x as (select 1)\n" + _outlier_sql("sales_wide", SALES_NUM)))
 def outliers_sales(spark, sf):
-    return finish(D.outliers(stage(sales_wide(spark, sf)), SALES_NUM), 2, q1=4, q3=4)
+    return finish(D.outliers(stage(sales_wide(spark, sf), "table"), SALES_NUM), 2, q1=4, q3=4)
 
 
 def _box_columns_sql() -> str:
@@ -103,7 +105,7 @@ l as (select * from allv where label in (select label from top))""")
 
 @register("box_columns", _box_columns_sql())
 def box_columns(spark, sf):
-    return finish(D.box_columns(stage(table(spark, sf, "lineitem")), LINEITEM_NUM, 2), 4)
+    return finish(D.box_columns(table(spark, sf, "lineitem"), LINEITEM_NUM, 2), 4)
 
 
 @register("violin_bins", """
@@ -168,6 +170,32 @@ def scatter_sample(spark, sf):
                                    "o_orderpriority"))
 
 
+def _sample_sql(x: str, y: str, color: str) -> str:
+    """A21 without a key: equal points numbered, ordered by the md5 of point and number."""
+    return f"""
+with p as (select {x} as x, {y} as y, {color} as color from lineitem),
+c as (select *, cast(row_number() over (partition by x, y, color) - 1 as varchar) as copy from p)
+select x, y, color from c
+order by md5(coalesce(cast(x as varchar), '~') || '|' || coalesce(cast(y as varchar), '~') || '|'
+             || coalesce(color, '~') || '|' || copy || '|42'), x, y, color limit 2000"""
+
+
+@register("scatter_repeated", _sample_sql("l_linenumber", "l_discount", "l_returnflag"))
+def scatter_repeated(spark, sf):
+    return D.scatter_sample(table(spark, sf, "lineitem"), "l_linenumber", "l_discount", color="l_returnflag")
+
+
+@register("scatter_nulls", _sample_sql("case when l_linenumber % 3 = 0 then l_linenumber end", "l_tax", "l_linestatus"))
+def scatter_nulls(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("x", F.expr("case when l_linenumber % 3 = 0 then l_linenumber end"))
+    return D.scatter_sample(li, "x", "l_tax", color="l_linestatus")
+
+
+@register("scatter_doubles", _sample_sql("l_discount", "l_tax", "cast(null as varchar)"))
+def scatter_doubles(spark, sf):
+    return D.scatter_sample(table(spark, sf, "lineitem").select("l_discount", "l_tax"), "l_discount", "l_tax")
+
+
 @register("describe_numeric", """
 select 'l_extendedprice' as "column", count(l_extendedprice) as n,
        count(*) filter (where l_extendedprice is null) as missing,
@@ -178,7 +206,7 @@ select 'l_extendedprice' as "column", count(l_extendedprice) as n,
        round(quantile_cont(l_extendedprice, 0.75), 4) as p75
 from lineitem""")
 def describe_numeric(spark, sf):
-    return finish(D.describe_numeric(stage(table(spark, sf, "lineitem")), "l_extendedprice"), 4)
+    return finish(D.describe_numeric(table(spark, sf, "lineitem"), "l_extendedprice"), 4)
 
 
 @register("describe_date", """

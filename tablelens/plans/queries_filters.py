@@ -8,8 +8,11 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tablelens.functions import scalar as S
+from tablelens.functions.columns import qcol
 from tablelens.operators import filters as FL
+from tablelens.operators import ingest as ING
 from tablelens.plans.catalog import finish, register, table
+from tablelens.sources import files as IO
 
 
 @register("filter_date", """
@@ -148,3 +151,53 @@ from orders order by o_orderkey nulls first, o_custkey nulls first, o_orderstatu
 def preview(spark, sf):
     from tablelens.sources.files import preview as pv
     return pv(table(spark, sf, "orders"), 10)
+
+
+@register("csv_infer", """
+select 'bigint double boolean string decimal(38,0) bigint string' as types, count(*) as rows,
+       cast(sum(l_orderkey) as bigint) as whole, round(sum(l_extendedprice), 2) as fraction,
+       count(*) filter (where l_linenumber % 2 = 0) as yes, min(length(' ' || l_shipmode)) as padded,
+       '9' || lpad(cast(max(l_orderkey) as varchar), 24, '0') as large,
+       count(*) filter (where l_linenumber % 3 <> 0) as present,
+       count(distinct 'line' || chr(10) || l_returnflag) as texts
+from (select *, l_returnflag as l_shipmode from lineitem)""")
+def csv_infer(spark, sf):
+    """T1b over text columns as a CSV reader gives them."""
+    text = table(spark, sf, "lineitem").selectExpr(
+        "cast(l_orderkey as string) as whole", "concat(' ', cast(l_extendedprice as string)) as fraction",
+        "if(l_linenumber % 2 = 0, 'True', 'FALSE') as flag", "concat(' ', l_returnflag) as padded",
+        "concat('9', lpad(cast(l_orderkey as string), 24, '0')) as large",
+        "if(l_linenumber % 3 = 0, 'NA', cast(l_linenumber as string)) as present",
+        "concat('line\\n', l_returnflag) as texts")
+    typed = IO.infer_types(text)
+    return finish(typed.agg(
+        F.lit(" ".join(t for _, t in typed.dtypes)).alias("types"), F.count(F.lit(1)).alias("rows"),
+        F.sum("whole").alias("whole"), F.sum("fraction").alias("fraction"), F.count_if("flag").alias("yes"),
+        F.min(F.length("padded")).alias("padded"), F.max("large").cast("string").alias("large"),
+        F.count("present").alias("present"), F.count_distinct("texts").alias("texts")))
+
+
+# Text layouts of one date column, each to be detected from all its values.
+_LAYOUTS = {"zulu": "yyyy-MM-dd'T'HH:mm:ss'Z'", "offset": "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "minutes": "yyyy-MM-dd HH:mm",
+            "slashes": "MM/dd/yyyy HH:mm", "dotted.name": "dd.MM.yyyy", "words": "MMMM d, yyyy"}
+
+
+@register("detect_dates", "\nunion all ".join(
+    f"select '{name}' as \"column\", strftime(min(o_orderdate), '%Y-%m-%d') as first, "
+    f"strftime(max(o_orderdate), '%Y-%m-%d') as last, count(o_orderdate) as parsed from orders" for name in _LAYOUTS)
+    + "\nunion all select 'mixed', null, null, 0")
+def detect_dates(spark, sf):
+    """One layout per column; a column with one other value is no date."""
+    o = table(spark, sf, "orders")
+    first = o.agg(F.min("o_orderkey")).collect()[0][0]
+    mixed = F.when(F.col("o_orderkey") == first, F.lit("n/k")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    text = o.select(*[F.date_format("o_orderdate", fmt).alias(name) for name, fmt in _LAYOUTS.items()],
+                    mixed.alias("mixed"))
+    found = {c: ING.detect_date_format(text, c) for c in text.columns}
+    dates = ING.coerce_dates(text, {c: fmt for c, fmt in found.items() if fmt})
+    figures = []
+    for c in text.columns:
+        d = qcol(c) if found[c] else F.lit(None).cast("timestamp_ntz")
+        figures.append(F.struct(F.lit(c).alias("column"), F.date_format(F.min(d), "yyyy-MM-dd").alias("first"),
+                                F.date_format(F.max(d), "yyyy-MM-dd").alias("last"), F.count(d).alias("parsed")))
+    return dates.agg(F.array(*figures).alias("r")).select(F.explode("r").alias("r")).select("r.*")

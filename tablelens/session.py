@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library expects. AQE re-plans joins and coalesces the many
@@ -63,55 +65,25 @@ def _is_local(spark: SparkSession) -> bool:
         return False
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a frame read from fewer splits than the cluster has cores
-    (a small file, one row group) over all cores before heavy reuse. On a
-    large input this is a no-op: it already has more partitions."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df._jdf.rdd().getNumPartitions()  # JVM side: no Python RDD wrapper
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave placement to the server
-        return df
-    if parts < target:
-        # Round-robin: even sizes whatever the values (a hash of the row would
-        # send a heavily duplicated row to one task). Spark sorts before a
-        # round-robin repartition, so a retried task after executor loss gets
-        # the same rows.
-        return df.repartition(target)
-    return df
-
-
-# Bases whose estimated size is above this are not cached by stage("auto"):
-# every operator reads only a few columns, and a columnar scan with pruning
-# is then cheaper than caching (and spilling) every column.
-PERSIST_MAX_BYTES = 10 * 1024 ** 3
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (file sizes for a scan)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no JVM handle (Spark Connect)
-        return None
-
-
-def stage(df: DataFrame, mode: str | None = "auto") -> DataFrame:
+def stage(df: DataFrame, mode: str | None = "persist") -> DataFrame:
     """Materialise a base frame that several jobs of one report re-read.
 
-    ``persist``: cached blocks, recomputed from the scan if an executor dies.
+    ``persist``: cached blocks, recomputed from the scan if an executor dies;
+    the caller unpersists them.
+    ``table``: written once as Parquet into the folder of
+    ``spark.checkpoint.dir`` and read from there, so a join runs once and later
+    jobs read only their columns (cleared by that folder's retention).
     ``checkpoint``: reliable copy in the checkpoint folder, lineage cut.
-    ``auto``: ``persist`` when the estimated size is at most
-    ``spark.tablelens.persistMaxBytes`` (default 10 GiB), else no caching.
-    ``None``: keep the lazy plan (every job rescans the source)."""
-    if mode == "auto":
-        limit = int(df.sparkSession.conf.get("spark.tablelens.persistMaxBytes", str(PERSIST_MAX_BYTES)))
-        size = estimated_bytes(df)
-        mode = "persist" if size is not None and size <= limit else None
+    ``None``: keep the lazy plan (every job rescans its columns)."""
     if mode is None:
         return df
-    df = spread(df)
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    folder = ensure_checkpoint_dir(df.sparkSession)
     if mode == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode != "table":
+        raise ValueError(f"unknown stage mode {mode!r}")
+    path = f"{folder.rstrip('/')}/tablelens-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

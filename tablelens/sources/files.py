@@ -3,11 +3,12 @@ inference, Parquet read, empty-table guard, CSV/Parquet write, preview."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions import rules as R
-
 from tablelens.functions.columns import is_supported, is_temporal, qcol
 
 # ---------------------------------------------------------------------------
@@ -26,47 +27,65 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_text_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    # A quoted line break can only be told from a record's end by reading from
+    # the file's start, so a file is one task; many files are read side by side.
     return (spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
-            .option("multiLine", False).csv(path))
+            .option("multiLine", True).option("escape", '"').csv(path))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO1/T1b: header CSV. Read as UTF-8, or as Latin-1 if any cell holds a
-    replacement character; NA words become null; a column becomes bigint,
-    double or boolean only if every non-missing value has that shape (one
-    aggregate decides all columns), else it stays text."""
+    """IO1/T1b: header CSV with quoted line breaks and doubled quotes. Read as
+    UTF-8, or as Latin-1 if any cell holds a replacement character; then
+    ``infer_types``. Every job parses the text again: for more than one, use
+    ``csv_to_parquet``."""
     df = _read_text_csv(spark, path, "UTF-8")
     if df.columns:
-        bad = F.lit(False)
-        for c in df.columns:
-            bad = bad | F.coalesce(qcol(c).contains("�"), F.lit(False))
+        bad = reduce(lambda a, b: a | b, [F.coalesce(qcol(c).contains("\ufffd"), F.lit(False)) for c in df.columns])
         if df.where(bad).limit(1).count() > 0:
             df = _read_text_csv(spark, path, "ISO-8859-1")
-    cleaned = df.select(*[F.when(~F.trim(qcol(c)).isin(NA_WORDS) & qcol(c).isNotNull(),
-                                 F.trim(qcol(c))).alias(c) for c in df.columns])
-    if not cleaned.columns:
-        return cleaned
+    return infer_types(df)
+
+
+def csv_to_parquet(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Parse a CSV once into Parquet at ``target`` (a shared folder) and read that."""
+    write_parquet(read_csv(spark, path), target)
+    return read_parquet(spark, target)
+
+
+def infer_types(text: DataFrame) -> DataFrame:
+    """Types of a frame of text columns. NA words become null; a column
+    becomes bigint (decimal(38,0) if a value needs it), double or boolean only
+    if every non-missing value has that shape (one aggregate decides all
+    columns), else it keeps its text as it stands, blanks included."""
+    if not text.columns:
+        return text
+    cleaned = text.select(*[F.when(~F.trim(qcol(c)).isin(NA_WORDS), qcol(c)).alias(c) for c in text.columns])
     aggs = []
     for i, c in enumerate(cleaned.columns):
-        v = qcol(c)
+        v = F.trim(qcol(c))
+        whole = F.when(v.rlike(INT_SHAPE), v)  # the casts see nothing else: a failed cast is dear
+        shapes = {"i": whole.isNotNull(), "l": whole.try_cast("long").isNotNull(),
+                  "d": whole.try_cast("decimal(38,0)").isNotNull(), "f": v.rlike(FLOAT_SHAPE),
+                  "b": F.lower(v).isin("true", "false")}
         aggs += [F.count(v).alias(f"n{i}"),
-                 F.bool_and(F.when(v.isNotNull(), v.rlike(INT_SHAPE))).alias(f"i{i}"),
-                 F.bool_and(F.when(v.isNotNull(), v.rlike(FLOAT_SHAPE))).alias(f"f{i}"),
-                 F.bool_and(F.when(v.isNotNull(), F.lower(v).isin("true", "false"))).alias(f"b{i}")]
+                 *[F.bool_and(F.when(v.isNotNull(), ok)).alias(f"{k}{i}") for k, ok in shapes.items()]]
     r = cleaned.agg(*aggs).collect()[0]
     out = []
     for i, c in enumerate(cleaned.columns):
-        v = qcol(c)
+        v = F.trim(qcol(c))
         if r[f"n{i}"] == 0:
-            out.append(v.cast("double").alias(c))  # all-missing column reads as float
-        elif r[f"i{i}"]:
-            out.append(v.try_cast("long").alias(c))
-        elif r[f"f{i}"]:
-            out.append(v.try_cast("double").alias(c))
+            typed = v.cast("double")  # all-missing column reads as float
+        elif r[f"i{i}"] and r[f"l{i}"]:
+            typed = v.try_cast("long")
+        elif r[f"i{i}"] and r[f"d{i}"]:
+            typed = v.try_cast("decimal(38,0)")
+        elif r[f"f{i}"] and not r[f"i{i}"]:
+            typed = v.try_cast("double")
         elif r[f"b{i}"]:
-            out.append((F.lower(v) == "true").alias(c))
+            typed = F.lower(v) == "true"
         else:
-            out.append(v.alias(c))
+            typed = qcol(c)
+        out.append(typed.alias(c))
     return cleaned.select(*out)
 
 

@@ -12,14 +12,14 @@ def _values(spark, vals, name="v"):
     return spark.createDataFrame([(None if v is None else float(v),) for v in vals], f"{name} double")
 
 
-@pytest.mark.parametrize("band_limit", [1_000_000, 50])
-def test_exact_quantiles_match_numpy(spark, band_limit):
-    # band_limit=50 forces the sketch + band path on 3 000 values
+@pytest.mark.parametrize("buckets", [1 << 14, 8])
+def test_exact_quantiles_match_numpy(spark, buckets):
+    # 8 buckets: no task gets more than 9 rows a band, over many rounds
     rng = np.random.default_rng(1)
     vals = np.concatenate([np.round(rng.normal(0, 10, 2000), 2), np.zeros(1000)])  # a hot value
     df = spark.createDataFrame([("a" if i % 3 else "b", float(v)) for i, v in enumerate(vals)], "k string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, "k", "v", probs, band_limit=band_limit)
+    got = exact_quantiles(df, "k", "v", probs, buckets=buckets)
     for key in ("a", "b"):
         sub = np.array([v for i, v in enumerate(vals) if ("a" if i % 3 else "b") == key])
         assert got[key]["n"] == len(sub)
@@ -113,7 +113,40 @@ def test_exact_quantiles_mixed_small_and_large_keys(spark):
     small = np.round(rng.normal(0, 1, 20), 3)
     rows = [("big", float(v)) for v in big] + [("small", float(v)) for v in small]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = exact_quantiles(df, "k", "v", [0.1, 0.5, 0.9], band_limit=50)
+    got = exact_quantiles(df, "k", "v", [0.1, 0.5, 0.9], buckets=16)
     for key, vals in (("big", big), ("small", small)):
         for p in (0.1, 0.5, 0.9):
             assert got[key][p] == pytest.approx(np.quantile(vals, p), abs=1e-9)
+
+
+def test_exact_quantiles_of_extreme_values(spark):
+    vals = [-math.inf, -1.7e308, -1.0, 0.0, 5e-324, 1e-323, 1.5e-323, 2e-323, 1.0, 1.0 + 2 ** -52, 1e18, 1.7e308,
+            math.inf]
+    df = spark.createDataFrame([("k", v) for v in vals] + [("one", 3.0), ("none", None)], "k string, v double")
+    probs = [i / (len(vals) - 1) for i in range(len(vals))]
+    got = exact_quantiles(df, "k", "v", probs, buckets=16)
+    assert [got["k"][p] for p in probs] == vals
+    assert got["one"][0.5] == 3.0 and "none" not in got
+
+
+def test_band_shuffle_is_bounded_by_the_buckets(spark, monkeypatch):
+    # 40,000 distinct values, quartiles far apart: a running sum never sees more than a band's buckets
+    from tablelens.operators import quantiles as Qn
+    seen = []
+    df = spark.range(40000).selectExpr("'k' as k", "cast(id * id as double) as v")
+    settle = Qn._settle
+    monkeypatch.setattr(Qn, "_settle", lambda f, o, t, band: (seen.append(band[3]), settle(f, o, t, band)))
+    got = exact_quantiles(df, "k", "v", [0.25, 0.5, 0.75], buckets=64)["k"]
+    for p in (0.25, 0.5, 0.75):
+        assert got[p] == pytest.approx(np.quantile(np.arange(40000.0) ** 2, p))
+    assert max(seen[6:]) < 40000 / 4  # each rank follows a band of its own, not one from 0.25 to 0.75
+
+
+def test_sample_without_key_is_uniform(spark, monkeypatch):
+    # 20 stores, a tenth without one, only few distinct rows: every store gets its share of the sample
+    df = spark.range(40000).selectExpr("if(id % 10 = 0, null, id % 20) as store", "cast(id % 4 as double) as y")
+    monkeypatch.setattr(D, "COPIES_PER_ROW", 300)
+    rows = [tuple(r) for r in D.scatter_sample(df, "store", "y", n=2000).collect()]
+    assert len(rows) == 2000 and rows == [tuple(r) for r in D.scatter_sample(df, "store", "y", n=2000).collect()]
+    share = pd.Series([r[0] for r in rows]).value_counts(dropna=False)
+    assert len(share) == 19 and share.drop(np.nan).between(60, 150).all() and 140 < share[np.nan] < 270

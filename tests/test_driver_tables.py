@@ -49,4 +49,4 @@ def test_report_on_odd_tables(spark, name):
     d = dashboard(spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
     res = collect_all(d.frames())
     assert res["kpis"][0]["label"] == "Total Records" and len(res["insights"]) > 0
-    d.base.unpersist()
+    d.release()

@@ -110,7 +110,7 @@ def test_quality_page(staff):
     assert {r["metric"] for r in res["summary"]} == {"Rows", "Columns", "Missing Cells", "Duplicate Rows",
                                                      "Health Score"}
     assert len(res["preview"]) == 10 and res["missing"] == []
-    d.base.unpersist()
+    d.release()
 
 
 def test_dashboard_approx_mode(staff):
@@ -120,4 +120,4 @@ def test_dashboard_approx_mode(staff):
     res = collect_all(d.frames())
     assert d.profile.roles["dept"] == "categorical" and res["kpis"][0]["value"] == 120
     assert any(r["section"] == "outliers" for r in res["insights"])
-    d.base.unpersist()
+    d.release()

@@ -47,36 +47,39 @@ def test_export_summary_rows(spark):
     assert rows["Rows"] == 3 and rows["Columns"] == 2 and rows["Duplicate Rows"] == 1 and rows["Missing Cells"] == 1
 
 
-def test_duplicates_without_broadcast(spark, monkeypatch):
-    # over the broadcast bound the exact pass groups all rows by value
-    monkeypatch.setattr(Q, "BROADCAST_HASHES", 0)
+def test_duplicates_with_any_join(spark):
+    # the join of the repeated hashes is AQE's choice: same rows with and without broadcast
     rows = [(i % 7, None if i % 5 == 0 else float(i % 3)) for i in range(100)]
     df = spark.createDataFrame(rows, "a long, b double")
-    pdf = pd.DataFrame(rows, columns=["a", "b"])
-    assert Q.duplicate_count(df).collect()[0]["dup_rows"] == int(pdf.duplicated().sum())
+    expected = int(pd.DataFrame(rows, columns=["a", "b"]).duplicated().sum())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            assert Q.duplicate_count(df).collect()[0]["dup_rows"] == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_stage_modes(spark):
     from tablelens.session import stage
     df = spark.range(1000).selectExpr("id", "id % 10 as k")
-    for mode in ("persist", "checkpoint", None):
+    for mode in ("persist", "checkpoint", "table", None):
         s = stage(df, mode)
-        assert s.count() == 1000 and s.rdd.getNumPartitions() >= 1
+        assert s.count() == 1000 and s.columns == ["id", "k"]
         if mode == "persist":
             s.unpersist()
     assert spark.conf.get("spark.checkpoint.dir")
 
 
-def test_stage_auto_uses_size_bound(spark):
-    from tablelens import session as S
-    df = spark.range(1000).selectExpr("id", "id % 10 as k")
-    assert S.estimated_bytes(df) > 0
-    s = S.stage(df, "auto")
-    assert s.storageLevel.useMemory or s.storageLevel.useDisk  # small: cached
-    s.unpersist()
-    spark.conf.set("spark.tablelens.persistMaxBytes", "1")
-    try:
-        big = S.stage(df.selectExpr("id + 1 as id"), "auto")
-        assert not big.storageLevel.useMemory and not big.storageLevel.useDisk  # over the bound: lazy
-    finally:
-        spark.conf.unset("spark.tablelens.persistMaxBytes")
+def test_caches_are_released(spark):
+    from tablelens.operators import breakdown as B
+    from tablelens.plans.report import collect_all, dashboard, quality_page
+    cached = spark.sparkContext._jsc.sc().getPersistentRDDs
+    before = cached().size()
+    df = spark.createDataFrame([(f"g{i % 5}", float(i % 17), i) for i in range(200)], "g string, v double, id long")
+    d = dashboard(df, persist="persist")
+    collect_all({**d.frames(), **quality_page(d)})
+    B.underserved(df, "g", "v").collect()
+    d.release()
+    assert cached().size() == before

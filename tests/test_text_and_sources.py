@@ -81,3 +81,16 @@ def test_command_line_on_a_csv(spark, capsys):
     assert out["profile"]["roles"] == {"order_date": "date", "region": "categorical", "revenue": "numeric"}
     assert out["kpis"][1]["label"] == "Total Revenue" and out["kpis"][1]["value"] == sum(100 + i for i in range(60))
     assert len(out["charts"]) > 0
+
+
+def test_csv_quotes_breaks_blanks_and_large_numbers(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="tl-csv-"), "in.csv")
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write('id,name,big,note\n1,"x ""q"" y",99999999999999999999, a\n2,"two\nlines",5,a\n')
+    df = IO.read_csv(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "name": "string", "big": "decimal(38,0)", "note": "string"}
+    rows = [tuple(r) for r in df.orderBy("id").collect()]
+    assert [(r[0], r[1], int(r[2]), r[3]) for r in rows] == [(1, 'x "q" y', 99999999999999999999, " a"),
+                                                            (2, "two\nlines", 5, "a")]
+    again = IO.csv_to_parquet(spark, path, os.path.join(tempfile.mkdtemp(prefix="tl-csv-"), "out"))
+    assert [tuple(r) for r in again.orderBy("id").collect()] == rows
