@@ -94,18 +94,26 @@ def _family_value(df: DataFrame, c: str) -> tuple[str, F.Column]:
     return out[0], F.when(present(df, c), out[1])
 
 
+# Kinds of column values, the characters of text numbers with their marks, and
+# the length above which other text is compared by its digest (65 characters).
+FAMILIES = {"l": "bigint", "d": "double", "s": "string"}
+NUMBER_CHARS = r"^[0-9eE.+,$€£¥%\s-]*$"
+DIGEST_CHARS = 64
+
+
 def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: bool = False,
                  rsd: float = 0.02) -> DataFrame:
     """One job for every supported column: (column, position, <meta fields>,
     rows, n, nunique, numeric_text, lo, hi); lo/hi are the numeric bounds
     (null for text; timestamps as microseconds).
 
-    Exact: columns are unpivoted (an Expand, no per-row arrays) into one
-    (column key, value) stream per value family (bigint, double, text) and
-    each stream is grouped by column; Spark plans each distinct count as one
-    shuffle of the distinct (column, value) pairs, repeats dropped on the map
-    side first. Per-column metadata (``meta``: name -> {field: literal}) is
-    attached by position from a literal array afterwards (no join).
+    One scan: columns are unpivoted (an Expand) into one stream of (column key,
+    bigint, double, text), of which the column's own kind is set; repeats are
+    dropped on the map side, one shuffle brings equal values together and a
+    second, small aggregate counts them per column. A text longer than
+    ``DIGEST_CHARS`` that cannot be a number stands in as its 256-bit SHA-2, so
+    no long text is shuffled. Per-column metadata (``meta``: name ->
+    {field: literal}) is attached by position from a literal array (no join).
     ``numeric_text``: every non-missing text value is a number once currency,
     percent and separator characters are removed (blank counts as missing).
     ``approx=True``: HyperLogLog sketches instead of exact distinct counts."""
@@ -113,33 +121,39 @@ def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: boo
     cols = df.columns  # positions count every column; only supported ones are read
     meta = meta or {}
     fields = sorted({f for m in meta.values() for f in m})
-    families: dict[str, list] = {}
+    texts, flat = [], {}
     for i, c in enumerate(cols):
         if is_supported(df, c):
-            fam, val = _family_value(df, c)
-            families.setdefault(fam, []).append((i, val))
-    parts = []
-    for fam, items in families.items():
-        wide = df.select(*[val.alias(f"c{i}") for i, val in items])
-        long_df = wide.unpivot([], [f"c{i}" for i, _ in items], "k", "v")
-        if fam == "s":
-            cleaned = F.regexp_replace(F.col("v"), MONEY_STRIP, "")
-            text_ok = F.bool_and(F.when(F.col("v").isNotNull(), (cleaned == "") | cleaned.rlike(NUMBER_SHAPE)))
-        else:
-            text_ok = F.lit(None).cast("boolean")
-        nd = F.approx_count_distinct("v", rsd) if approx else F.count_distinct("v")
-        lo = F.min("v").cast("double") if fam != "s" else F.lit(None).cast("double")
-        hi = F.max("v").cast("double") if fam != "s" else F.lit(None).cast("double")
-        parts.append(long_df.groupBy("k").agg(
-            F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), nd.alias("nunique"),
-            F.lit(fam == "s").alias("is_text"), text_ok.alias("text_ok"), lo.alias("lo"), hi.alias("hi")))
-    if not parts:
+            family, v = _family_value(df, c)
+            if family == "s":
+                texts.append(f"c{i}")
+                long_text = (F.length(v) > DIGEST_CHARS) & ~v.rlike(NUMBER_CHARS)
+                v = F.when(long_text, F.concat(F.lit("#"), F.sha2(v, 256))).otherwise(v)
+            flat[f"c{i}"] = [(v if family == f else F.lit(None)).cast(t).alias(f"{f}{i}") for f, t in FAMILIES.items()]
+    if not flat:
         return df.sparkSession.createDataFrame(
             [], "column string, position long, " + "".join(f"{f} string, " for f in fields)
             + "rows long, n long, nunique long, numeric_text boolean, lo double, hi double")
-    g = parts[0]
-    for p in parts[1:]:
-        g = g.unionByName(p)
+    keys = ", ".join("(" + ", ".join(f + k[1:] for f in FAMILIES) + f") AS {k}" for k in flat)
+    long_df = df.sparkSession.sql(
+        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS (({', '.join(FAMILIES)}) FOR k IN ({keys}))",
+        wide=df.select(*[v for parts in flat.values() for v in parts]))
+    size = F.coalesce(F.col("l").cast("double"), F.col("d"))
+    # The first letter ends the first test: no text is rewritten unless it may be a number.
+    cleaned = F.regexp_replace("s", MONEY_STRIP, "")
+    number = F.col("s").rlike(NUMBER_CHARS) & ((cleaned == "") | cleaned.rlike(NUMBER_SHAPE))
+    there = F.coalesce(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull(), F.lit(False))
+    figures = [F.bool_and(number).alias("text_ok"), F.min(size).alias("lo"), F.max(size).alias("hi")]
+    if approx:
+        g = long_df.groupBy("k").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(there).alias("n"),
+            F.approx_count_distinct(F.when(there, F.xxhash64("l", "d", "s")), rsd).alias("nunique"), *figures)
+    else:
+        same = long_df.groupBy("k", *FAMILIES).agg(F.count(F.lit(1)).alias("c"))
+        g = same.groupBy("k").agg(
+            F.sum("c").alias("rows"), F.coalesce(F.sum(F.when(there, F.col("c"))), F.lit(0)).alias("n"),
+            F.count_if(there).alias("nunique"), *figures)
+    g = g.withColumn("is_text", F.col("k").isin(texts) if texts else F.lit(False))
     # Column name and metadata by position: a literal array lookup, no join.
     from tablelens.functions.columns import struct_array_sql
     table = struct_array_sql([{"column": c, **{f: meta.get(c, {}).get(f) for f in fields}} for c in cols])

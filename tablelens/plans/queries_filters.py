@@ -4,14 +4,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from tablelens.functions import names as N
 from tablelens.functions import scalar as S
 from tablelens.functions.columns import qcol
 from tablelens.operators import filters as FL
 from tablelens.operators import ingest as ING
 from tablelens.plans.catalog import finish, register, table
+from tablelens.session import ensure_checkpoint_dir
 from tablelens.sources import files as IO
 
 
@@ -201,3 +204,46 @@ def detect_dates(spark, sf):
         figures.append(F.struct(F.lit(c).alias("column"), F.date_format(F.min(d), "yyyy-MM-dd").alias("first"),
                                 F.date_format(F.max(d), "yyyy-MM-dd").alias("last"), F.count(d).alias("parsed")))
     return dates.agg(F.array(*figures).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+@register("csv_round_trip", """
+select count(*) as rows, cast(sum(o_orderkey) as bigint) as keys, round(sum(o_totalprice), 2) as value,
+       count(distinct 'a "' || o_orderpriority || '"' || chr(10) || 'b, ') as notes,
+       cast(sum(length('a "' || o_orderpriority || '"' || chr(10) || 'b, ')) as bigint) as chars,
+       count(*) filter (where o_orderkey % 5 <> 0) as present from orders""")
+def csv_round_trip(spark, sf):
+    """IO3 then IO1: quotes, line breaks, commas, blanks and gaps come back as written."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-stage/{uuid.uuid4().hex}"
+    IO.write_csv(table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "o_totalprice", "concat('a \"', o_orderpriority, '\"\\n', 'b, ') as note",
+        "if(o_orderkey % 5 = 0, null, o_orderstatus) as gap"), path)
+    back = IO.read_csv(spark, path)
+    return finish(back.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"), F.sum("o_totalprice").alias("value"),
+        F.count_distinct("note").alias("notes"), F.sum(F.length("note")).alias("chars"), F.count("gap").alias("present")))
+
+
+@register("empty_guard", """
+select 'all' as part, count(*) = 0 as empty from orders
+union all select 'paid', count(*) = 0 from orders where o_totalprice > 0
+union all select 'refunded', count(*) = 0 from orders where o_totalprice < 0""")
+def empty_guard(spark, sf):
+    """IO2 over a table, a filter that keeps rows and one that keeps none."""
+    o = table(spark, sf, "orders")
+    parts = {"all": o, "paid": o.where("o_totalprice > 0"), "refunded": o.where("o_totalprice < 0")}
+    return spark.createDataFrame([(k, IO.is_empty(d)) for k, d in parts.items()], "part string, empty boolean")
+
+
+@register("name_tokens", """
+with n as (select distinct p_type || '_' || replace(initcap_name, ' ', '') || cast(p_size as varchar) || 'No' as name
+           from (select *, upper(p_brand[1]) || lower(p_brand[2:]) as initcap_name from part)),
+w as (select name, unnest(string_split_regex(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')),
+                                             '[^a-z0-9]+')) as word from n)
+select name, string_agg(distinct word, ' ' order by word) as words from w where word <> '' group by name""")
+def name_tokens(spark, sf):
+    """The words of names with separators, digits and inner capitals."""
+    name = F.concat("p_type", F.lit("_"), F.replace(F.concat(F.upper(F.substring("p_brand", 1, 1)),
+                                                             F.lower(F.expr("substring(p_brand, 2)"))), F.lit(" "), F.lit("")),
+                    F.col("p_size").cast("string"), F.lit("No"))
+    names = table(spark, sf, "part").select(name.alias("name")).distinct()
+    return names.select("name", F.concat_ws(" ", F.array_sort(N.tokens_expr(F.col("name")))).alias("words"))

@@ -96,7 +96,8 @@ def is_empty(df: DataFrame) -> bool:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """IO3: header CSV, one file per task (no single-writer bottleneck)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,16 +1,10 @@
-import os
-
 import pytest
 
 import __spark_entry__ as E
+from tablelens.plans.catalog import ORACLE, QUERIES
 from tests.oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.01"
-QUICK = ["line_monthly", "rolling3_monthly", "mom_trend_kpi_events", "bar_top15", "pareto15", "histogram30",
-         "box_by_category", "outliers", "corr_matrix", "duplicate_count", "health", "column_roles_sales",
-         "kpis_orders", "auto_charts", "risks", "answer_questions", "numbers_preserved", "apply_rerank",
-         "fmt_number", "extract_json"]
-
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
@@ -19,12 +13,9 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_sql_or_is_documented():
-    q, s = E.queries(), E.oracle_sql()
-    assert set(s) <= set(q)
-    assert set(q) - set(s) <= {"profile_json"}  # JSON text: key order is engine-specific
-
-
-NAMES = list(E.queries()) if os.environ.get("TABLELENS_FULL") else QUICK
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(QUERIES) <= set(E.queries())
+    assert set(QUERIES) - set(ORACLE) <= {"profile_json"}  # JSON text: key order is engine-specific
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +23,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    r = compare(spark, E.queries()[name], E.oracle_sql().get(name), SF, con)
+    r = compare(spark, QUERIES[name], ORACLE.get(name), SF, con)
     assert r["ok"] is not False, r
