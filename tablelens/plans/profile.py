@@ -49,7 +49,7 @@ def role_expr() -> F.Column:
     """Role of a column from its metadata row: ``kind`` ('temporal',
     'numeric', 'boolean', 'string', 'unsupported'), ``n`` non-missing values,
     ``nuniq`` distinct values, ``id_name`` (name has an id token), ``date_ok``
-    (date-named text whose first values parse) and ``numeric_text``. First
+    (date-named text whose values all parse) and ``numeric_text``. First
     matching rule wins."""
     k, n, u = F.col("kind"), F.col("n"), F.col("nuniq")
     id_name = F.col("id_name")
@@ -125,7 +125,7 @@ def role_frame(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """(column, position, rows, n, nuniq, role) for every column. One
     job computes counts, distinct counts and the numeric-text test for all
     columns (``quality.column_stats``); name tests ride along as literals.
-    Date-named text columns get a 50-row probe each first."""
+    Date-named text columns are tested as a whole first."""
     cols = df.columns
     kinds = {c: column_kind(df, c) for c in cols}
     date_ok = {c for c in cols if kinds[c] == "string" and N.matches(c, N.DATE_HINTS)
