@@ -91,6 +91,8 @@ def _link_groups(radius: int):
             busy = (n_table > 0) & (n_probe > 0) & (ends - starts > 2)
             if carry is not None:
                 busy[0] = True
+            if n_table[-1] and n_probe[-1]:  # its own probe may come with the next batch
+                busy[-1] = True
             links_a: list[int] = []
             links_b: list[int] = []
             for k in np.flatnonzero(busy).tolist():
