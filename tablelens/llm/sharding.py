@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stage
 
-#: Largest matrix (in numbers) that is sent to every executor; a larger one is joined by shuffle.
+#: Most numbers (of the matrix, of bucket starts) that are sent to every executor; more are joined by shuffle.
 BROADCAST_NUMBERS = 4_000_000
 #: Rows of a shard that one window group permutes, at most on average.
 ROWS_PER_BUCKET = 200_000
@@ -112,7 +112,9 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = 20) -> Dat
     starts = (dealt.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("n"))
               .withColumn(before, F.sum("n").over(Window.partitionBy("shard").orderBy(bucket)) - F.col("n"))
               .drop("n"))
+    if n_shards * n_buckets <= BROADCAST_NUMBERS:
+        starts = F.broadcast(starts)
     order = Window.partitionBy("shard", bucket).orderBy(F.xxhash64(F.lit(seed + 2), block, pos), block, pos)
     placed = dealt.withColumn("slot", F.row_number().over(order).cast("long") - 1)
-    return (placed.join(F.broadcast(starts), ["shard", bucket])
+    return (placed.join(starts, ["shard", bucket])
             .select(*[F.col(f"`{c}`") for c in cols], "shard", (F.col("slot") + F.col(before)).alias("slot")))
