@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from tablelens.llm import near_dedup, packing, quality, queries, secrets, toxicity
 from tablelens.llm.common import stage, table
 
+#: Column of a stage's verdicts; documents may have columns of any other name.
+OWN = "__tl_verdict"
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more."""
-    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir))
-    return scored.where("toxicity < 0.5").select(docs.columns)
+    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir), out_col=OWN)
+    return scored.where(F.col(OWN) < 0.5).select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or the classifier."""
-    return quality.judge(docs, queries.quality_model(spark, sf_dir)).where("quality.kept").select(docs.columns)
+    return quality.judge(docs, queries.quality_model(spark, sf_dir), out_col=OWN).where(F.col(OWN)["kept"]).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +32,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; their n_chars follow."""
-    masked = secrets.mask(secrets.find_secrets(docs))
+    masked = secrets.mask(secrets.find_secrets(docs, out_col=OWN), spans_col=OWN)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        masked = masked.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        masked = masked.withColumn("n_chars", F.when(F.size(OWN) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return masked.select(docs.columns)
 
 

@@ -18,10 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
     the session. Only a local session where it is unset gets a scratch folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if path:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
         return path.rstrip("/")
-    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

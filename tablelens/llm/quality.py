@@ -172,10 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_PROBABILITY = 50, 50, 0.5
 
 
-def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality`` (struct): the base counts, ``base_failed``,
+def judge(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "quality") -> DataFrame:
+    """``docs`` with ``out_col`` (struct): the base counts, ``base_failed``,
     ``probability`` (of good quality) and ``kept``. Whole texts; null counts as
-    no words, so it fails the base rules. Repeated rows are judged alike."""
+    no words, so it fails the base rules. Repeated rows are judged alike; a
+    column of that name is replaced; an empty table gives no rows."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double")
@@ -188,7 +189,7 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out.append((*base_counts(t, words), model.probability(t, words)))
             yield pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability"])
 
-    q = docs.withColumn("quality", rules(F.col(text_col)))
-    failed = (F.col("quality.n_words") < MIN_WORDS) | (100 * F.col("quality.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("quality.n_words"))
-    q = q.withColumn("quality", F.col("quality").withField("base_failed", failed))
-    return q.withColumn("quality", F.col("quality").withField("kept", ~F.col("quality.base_failed") & (F.col("quality.probability") >= MIN_PROBABILITY)))
+    q, out = docs.withColumn(out_col, rules(F.col(text_col))), F.col(out_col)
+    failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
+    q = q.withColumn(out_col, out.withField("base_failed", failed))
+    return q.withColumn(out_col, out.withField("kept", ~out["base_failed"] & (out["probability"] >= MIN_PROBABILITY)))

@@ -165,7 +165,7 @@ _SCAN = "base array<struct<start:int,kind:int,end:int,value:string>>, tokens arr
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``found`` (struct): the base spans and the candidate tokens
+    """``docs`` with ``__tl_found`` (struct): the base spans and the candidate tokens
     of each whole text; null counts as empty."""
     ship(docs.sparkSession)
 
@@ -177,15 +177,15 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"base": [[{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in b] for b in base],
                                 "tokens": [[{"start": s, "value": v} for s, v in c] for c in tokens]})
 
-    return docs.withColumn("found", find(F.col(text_col)))
+    return docs.withColumn("__tl_found", find(F.col(text_col)))
 
 
 def learn(found: DataFrame, per_kind: int = 2000, max_length: int = 128, margin: float = 1.0) -> Formats:
     """Automata from a bounded sample: of each kind the first ``per_kind``
     distinct strings by hash, cut to ``max_length`` characters in training only.
     No labelled credentials: no formats."""
-    base = found.select(F.explode("found.base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
-    plain = found.select(F.explode("found.tokens").alias("t")).select(F.lit(9).alias("kind"), F.col("t.value").alias("value"))
+    base = found.select(F.explode("__tl_found.base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
+    plain = found.select(F.explode("__tl_found.tokens").alias("t")).select(F.lit(9).alias("kind"), F.col("t.value").alias("value"))
     strings = {}
     for kind, rows in [(k, base.where(F.col("kind") == k)) for k in range(3)] + [(9, plain)]:
         rows = rows.select(F.substring("value", 1, max_length).alias("value")).distinct()
@@ -194,14 +194,14 @@ def learn(found: DataFrame, per_kind: int = 2000, max_length: int = 128, margin:
     return Formats([Automaton(s) for s in strings.values() if s], Automaton(ordinary) if ordinary else None, margin)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``secrets``: all spans (``start``, ``kind``, ``end``; code
+def find_secrets(docs: DataFrame, text_col: str = "text", keep_text: bool = True, out_col: str = "secrets") -> DataFrame:
+    """``docs`` with ``out_col``: all spans (``start``, ``kind``, ``end``; code
     points, end exclusive), sorted by start and kind. Base spans always stay;
     formats add spans of candidates. Null and empty texts have none; repeated
-    rows have the same ones; a column ``secrets`` or ``found`` is replaced. The
-    texts are read once; what was found in them is staged for learning, with the
+    rows have the same ones; a column of that name is replaced; an empty table
+    gives no rows. The texts are read once; what was found in them is staged for learning, with the
     other columns, but without the text unless it is kept."""
-    found = scan(docs.drop("secrets", "found"), text_col)
+    found = scan(docs.drop(out_col), text_col)
     found = stage(found if keep_text else found.drop(text_col), "secrets")
     formats = learn(found)
 
@@ -210,11 +210,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep_text: bool = True
         for tokens in batches:
             yield pd.Series([[int(formats.secret(t)) for t in ts] if ts is not None else [] for ts in tokens])
 
-    is_secret = secret(F.transform("found.tokens", lambda t: t["value"]))
-    base = F.transform("found.base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    more = F.transform(F.filter(F.arrays_zip(F.col("found.tokens").alias("t"), F.col("hit").alias("hit")), lambda x: x["hit"] == 1),
+    is_secret = secret(F.transform("__tl_found.tokens", lambda t: t["value"]))
+    base = F.transform("__tl_found.base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+    more = F.transform(F.filter(F.arrays_zip(F.col("__tl_found.tokens").alias("t"), F.col("__tl_hit").alias("hit")), lambda x: x["hit"] == 1),
                        lambda x: F.struct(x["t"]["start"].alias("start"), F.lit(3).alias("kind"), (x["t"]["start"] + F.length(x["t"]["value"])).alias("end")))
-    return (found.withColumn("hit", is_secret).withColumn("secrets", F.array_sort(F.concat(base, more))).drop("found", "hit"))
+    return found.withColumn("__tl_hit", is_secret).withColumn(out_col, F.array_sort(F.concat(base, more))).drop("__tl_found", "__tl_hit")
 
 
 def joined(spans: Column) -> Column:
@@ -222,14 +222,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def mask(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` (with ``secrets``) with the spans of ``text_col`` replaced by
+def mask(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", spans_col: str = "secrets") -> DataFrame:
+    """``docs`` (with ``spans_col``) with the spans of ``text_col`` replaced by
     ``mark``, overlapping ones together; texts without spans stay as they are."""
     span = "array<struct<start:int,end:int>>"
-    merged = F.aggregate("secrets", F.array().cast(span), lambda done, s: F.when(
+    merged = F.aggregate(spans_col, F.array().cast(span), lambda done, s: F.when(
         (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
         F.concat(F.slice(done, 1, F.size(done) - 1),
                  F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).cast(span))
     hidden = F.aggregate(F.reverse(merged), F.col(text_col), lambda t, s: F.overlay(t, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
-    return docs.withColumn(text_col, F.when(F.size("secrets") > 0, hidden).otherwise(F.col(text_col)))
+    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, hidden).otherwise(F.col(text_col)))

@@ -213,10 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1) of each whole text. Null and empty
-    texts get the curve's value for no hit; a column of that name is replaced;
-    repeated rows get equal scores."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """``docs`` with ``out_col`` (0 to 1): the toxicity of each whole text. Null
+    and empty texts get the curve's value for no hit; a column of that name is
+    replaced; repeated rows get equal scores; an empty table gives no rows."""
     ship(docs.sparkSession)
     weights, exceptions, curve = model.weights, model.exceptions, model.curve
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("toxicity", toxicity(F.col(text_col)))
+    return docs.withColumn(out_col, toxicity(F.col(text_col)))
 
 
 def held_out(doc_id: Column) -> Column:
