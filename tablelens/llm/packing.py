@@ -167,21 +167,23 @@ class WordTokenizer:
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
         """Words not met before. Latin-1 letters and ASCII signs after them are
         separate pieces, and the letters count in lower case."""
-        known, split, missing, stems = self.known.get, {}, {}, {}
+        known, split, parts_ids, missing, stems = self.known.get, {}, {}, [], []
         for x in words:
             m = self._plain.match(x)
             split[x] = parts = (m[1].lower(), *([m[2]] if m[2] else [])) if m else (x,)
-            if m and known(parts[0]) is None:
-                stems[parts[0]] = None
-            for p in parts[1:] if m else parts:
-                if known(p) is None:
-                    missing[p] = None
-        fresh = self._encode(list(missing))
-        fresh.update(self._stems(list(stems)) if self.direct else self._encode(list(stems)))
+            for i, p in enumerate(parts):
+                if p not in parts_ids:
+                    # held here, as the cache may start anew before the words are put together
+                    parts_ids[p] = ids = known(p)
+                    if ids is None:
+                        (stems if m and not i else missing).append(p)
+        fresh = self._encode(missing)
+        fresh.update(self._stems(stems) if self.direct else self._encode(stems))
         for p, ids in fresh.items():
             if len(p) <= 64:
                 self.known.put(p, ids)
-        return {x: b"".join([fresh[p] if p in fresh else known(p) for p in parts]) for x, parts in split.items()}
+        parts_ids.update(fresh)
+        return {x: b"".join([parts_ids[p] for p in parts]) for x, parts in split.items()}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
