@@ -97,7 +97,12 @@ def mom_trend_kpi(df: DataFrame, date_col: str, measure: str) -> DataFrame:
 
 def mom_trend_insight(df: DataFrame, date_col: str, measure: str) -> DataFrame:
     """The insight/chat form, (cur-prev)/(|prev|+1e-9)*100; needs 2 months."""
-    t = _last_two(monthly_sum(df, date_col, measure)).where(F.col("previous").isNotNull())
+    return mom_trend_of(monthly_sum(df, date_col, measure))
+
+
+def mom_trend_of(m: DataFrame) -> DataFrame:
+    """W6 over a ready dense series."""
+    t = _last_two(m).where(F.col("previous").isNotNull())
     pct = (F.col("value") - F.col("previous")) / (F.abs(F.col("previous")) + 1e-9) * 100
     return t.select("month", F.col("value").alias("current"), "previous",
                     pct.alias("pct"),
@@ -106,7 +111,11 @@ def mom_trend_insight(df: DataFrame, date_col: str, measure: str) -> DataFrame:
 
 def best_worst_month(df: DataFrame, date_col: str, measure: str, min_months: int = R.BEST_MONTH_MIN_MONTHS) -> DataFrame:
     """Highest and lowest month of the dense series (earliest on ties)."""
-    m = monthly_sum(df, date_col, measure)
+    return best_worst_month_of(monthly_sum(df, date_col, measure), min_months)
+
+
+def best_worst_month_of(m: DataFrame, min_months: int = R.BEST_MONTH_MIN_MONTHS) -> DataFrame:
+    """W7 over a ready dense series."""
     agg = m.agg(F.count(F.lit(1)).alias("n"),
                 F.min(F.struct(F.negative("value").alias("nv"), "month")).alias("hi"),
                 F.min(F.struct("value", "month")).alias("lo"))
@@ -120,7 +129,11 @@ def best_worst_month(df: DataFrame, date_col: str, measure: str, min_months: int
 
 def trajectory(df: DataFrame, date_col: str, measure: str, min_months: int = R.TRAJECTORY_MIN_MONTHS) -> DataFrame:
     """Least-squares slope of the dense series against 0..n-1."""
-    m = monthly_sum(df, date_col, measure)
+    return trajectory_of(monthly_sum(df, date_col, measure), min_months)
+
+
+def trajectory_of(m: DataFrame, min_months: int = R.TRAJECTORY_MIN_MONTHS) -> DataFrame:
+    """W8 over a ready dense series."""
     idx = m.select("value", (F.row_number().over(_ordered()) - 1).cast("double").alias("i"))
     return (idx.agg(F.count(F.lit(1)).alias("n_months"), F.regr_slope("value", "i").alias("slope"))
             .where(F.col("n_months") >= min_months)

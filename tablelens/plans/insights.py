@@ -1,5 +1,5 @@
 """Rule-based insight report (I1-I7, A18): every fact is a row
-``(section, ord, title, subject, metric, value)``.
+``(section, ord, title, subject, metric, value, body)``.
 
 The numbers come from Spark jobs over the table: the health row, the outlier
 table, the month series, aggregates of the category sums (leader, tail,
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import rules as R
+from tablelens.functions import scalar as S
 from tablelens.functions.columns import as_double, as_timestamp, qcol, scalars
 from tablelens.operators import breakdown as B
 from tablelens.operators import distribution as D
@@ -29,16 +30,59 @@ from tablelens.operators import monthly as M
 from tablelens.operators import quality as Q
 from tablelens.plans.profile import Profile
 
-SCHEMA = "section string, ord long, title string, subject string, metric string, value double"
-
-
-def _row(section, ord_, title, subject=None, metric=None, value=None) -> tuple:
+SCHEMA = "section string, ord long, title string, subject string, metric string, value double, body string, number double"
+
+#: Stands in a sentence for the row's number as C1 formats it.
+NUMBER = "\x01"
+
+# The report's sentences, without the bold marks of a page.
+BODY = {
+    "overview": "{rows:,} rows × {columns} cols",
+    "health": "Health {score}/100 · Grade {grade}",
+    "category": "{cat} · {number}",
+    "highest": "Max {primary}",
+    "coverage": "{n} date column(s)",
+    "columns": "{numeric} numeric / {categorical} categorical cols",
+    "gaps": "Missing: {missing_pct}% · Dupes: {dup_pct}%",
+    "leader": "{label} leads in {primary}, contributing {share:.1f}% of the total.",
+    "lowest": "{label} has the lowest total {primary}.",
+    "top3": "The top 3 {cat} values account for {share:.1f}% of total {primary}.",
+    "record": "Highest {primary} belongs to {label}.",
+    "relation": "{primary} is most correlated with {column} (r = {r:.3f}).",
+    "recent": "{primary} {direction} {pct:.1f}% in {month:%b %Y} vs the prior month.",
+    "best_month": "{month:%B %Y} recorded the highest {primary}.",
+    "weakest_month": "{month:%B %Y} recorded the lowest {primary}.",
+    "trajectory": "Across the full period, {primary} shows {article} {direction} trend.",
+    "missing": "Dataset has {missing_pct}% missing values overall. This can bias aggregates and KPI accuracy.",
+    "duplicates": "{dup_rows:,} duplicate rows detected ({dup_pct}% of data). Verify these aren't double-counted in totals.",
+    "volatility": "{n} outlier values in {column} ({pct}% of rows). Investigate before relying on averages.",
+    "extreme": "{column} has a maximum value ({number}) over {ratio:.0f}x the mean — a small number of extreme records "
+               "may be skewing totals.",
+    "dependency": "{label} accounts for over {share:.0f}% of total {primary} — performance is highly dependent on a "
+                  "single {cat}.",
+    "no_risk": "No significant data quality or concentration risks found in this dataset.",
+    "underserved": "{label} has a high average {primary} per record but low volume — there may be room to grow share here.",
+    "seasonal": "{month} shows the lowest average {primary} historically — a potential target for promotions.",
+    "no_chance": "Add more categorical or time-based columns for the engine to identify growth segments.",
+    "clean": "Impute or remove records with missing values ({missing_pct}% of cells) before deeper analysis.",
+    "deduplicate": "Review and remove the {dup_rows:,} duplicate rows to avoid inflated totals.",
+    "focus": "Double down on the best-performing {cat} segments identified above to maximize {primary}.",
+    "diversify": "Performance is concentrated in a single segment — consider strategies to diversify revenue sources.",
+    "monitor": "The dataset looks healthy. Continue tracking key metrics over time to catch emerging trends early.",
+}
+# End of fixed values.
+
+
+def _row(section, ord_, title, subject=None, metric=None, value=None, body=None, number=None, **facts) -> tuple:
+    """One fact; ``body`` names its sentence, filled with ``facts``."""
+    text = None if body is None else BODY[body].format(number=NUMBER, **facts)
     return (section, int(ord_), title, None if subject is None else str(subject), metric,
-            None if value is None else float(value))
+            None if value is None else float(value), text, None if number is None else float(number))
 
 
 def _frame(spark, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, SCHEMA)
+    facts = spark.createDataFrame(rows, SCHEMA)
+    return facts.withColumn("body", F.replace("body", F.lit(NUMBER), S.fmt_number(F.col("number")))).drop("number")
 
 
 @dataclass
@@ -145,22 +189,23 @@ def _mon(d, long: bool = False) -> str:
 # ------------------------------------------------------------------------ I1
 def executive_rows(ri: ReportInputs) -> list[tuple]:
     s, h, sec = ri.profile.schema, ri.health_row(), "executive_summary"
-    rows = [_row(sec, 1, "Dataset Overview", None, "rows", h["rows"]),
+    rows = [_row(sec, 1, "Dataset Overview", None, "rows", h["rows"], "overview", **h),
             _row(sec, 2, "Dataset Overview", None, "columns", h["columns"]),
-            _row(sec, 3, "Health Score", h["grade"], "score", h["score"])]
+            _row(sec, 3, "Health Score", h["grade"], "score", h["score"], "health", **h)]
     g = ri.group_facts()
     if g:
-        rows += [_row(sec, 4, "Best Category", g["top"][0], ri.cat, g["top"][1]),
-                 _row(sec, 5, "Worst Category", g["low"][0], ri.cat, g["low"][1])]
+        rows += [_row(sec, 4, "Best Category", g["top"][0], ri.cat, g["top"][1], "category", g["top"][1], cat=ri.cat),
+                 _row(sec, 5, "Worst Category", g["low"][0], ri.cat, g["low"][1], "category", g["low"][1], cat=ri.cat)]
     b = ri.base_facts()
     if ri.primary:
-        rows.append(_row(sec, 6, "Highest Value", ri.primary, "max", b.get("mx")))
+        rows.append(_row(sec, 6, "Highest Value", ri.primary, "max", b.get("mx"), "highest", primary=ri.primary))
     if ri.date and b.get("lo") is not None:
         rows.append(_row(sec, 7, "Date Coverage", f"{_mon(b['lo'])} → {_mon(b['hi'])}", "date_columns",
-                         len(s["date"])))
-    rows += [_row(sec, 8, "Key Observation", None, "numeric_columns", len(s["numeric"])),
+                         len(s["date"]), "coverage", n=len(s["date"])))
+    rows += [_row(sec, 8, "Key Observation", None, "numeric_columns", len(s["numeric"]), "columns",
+                  numeric=len(s["numeric"]), categorical=len(s["categorical"])),
              _row(sec, 9, "Key Observation", None, "categorical_columns", len(s["categorical"])),
-             _row(sec, 10, "Key Observation", None, "missing_pct", h["missing_pct"]),
+             _row(sec, 10, "Key Observation", None, "missing_pct", h["missing_pct"], "gaps", **h),
              _row(sec, 11, "Key Observation", None, "dup_pct", h["dup_pct"])]
     return rows
 
@@ -170,48 +215,39 @@ def business_rows(ri: ReportInputs) -> list[tuple]:
     s, sec, rows = ri.profile.schema, "business_insights", []
     g = ri.group_facts()
     if g:
-        total = g["total"]
-        rows.append(_row(sec, 1, "Best Category", g["top"][0], "share_pct",
-                         g["top"][1] / total * 100 if total else 0.0))
-        rows.append(_row(sec, 2, "Lowest Performance", g["low"][0], ri.primary, g["low"][1]))
+        total, own = g["total"], {"cat": ri.cat, "primary": ri.primary}
+        lead, t3 = ((x / total * 100 if total else 0.0) for x in (g["top"][1], g["t3"]))
+        rows += [_row(sec, 1, "Best Category", g["top"][0], "share_pct", lead, "leader", label=g["top"][0], share=lead, **own),
+                 _row(sec, 2, "Lowest Performance", g["low"][0], ri.primary, g["low"][1], "lowest", label=g["low"][0], **own)]
         if g["n"] >= 3:
-            rows.append(_row(sec, 3, "Concentration", ri.cat, "top3_share_pct",
-                             g["t3"] / total * 100 if total else 0.0))
+            rows.append(_row(sec, 3, "Concentration", ri.cat, "top3_share_pct", t3, "top3", share=t3, **own))
         top = ri.base_facts().get("top")
         if top is not None:
             label = top["label"]
-            rows.append(_row(sec, 4, "Top Record", None if label is None else label[:40], ri.primary,
-                             top["value"]))
+            rows.append(_row(sec, 4, "Top Record", label, ri.primary, top["value"], "record", label=str(label)[:40], **own))
     if len(s["numeric"]) >= 2 and ri.primary in s["numeric"]:
         sc = D.strongest_corr(ri.df, ri.primary, s["numeric"]).collect()
         if sc:
-            rows.append(_row(sec, 5, "Strongest Relationship", sc[0]["column"], "r", sc[0]["r"]))
+            rows.append(_row(sec, 5, "Strongest Relationship", sc[0]["column"], "r", sc[0]["r"], "relation",
+                             primary=ri.primary, **sc[0].asDict()))
     return rows
 
 
 # ------------------------------------------------------------------------ I3
-def _slope(values: list[float]) -> float:
-    """Least-squares slope of the values against 0..n-1."""
-    n = len(values)
-    mx, my = (n - 1) / 2, sum(values) / n
-    sxx = sum((i - mx) ** 2 for i in range(n))
-    return sum((i - mx) * (v - my) for i, v in enumerate(values)) / sxx
-
-
 def trend_rows(ri: ReportInputs) -> list[tuple]:
-    m, sec, rows = ri.month_rows(), "trend_analysis", []
-    if len(m) >= 2:
-        (last, cur), prev = m[-1], m[-2][1]
-        pct = (cur - prev) / (abs(prev) + 1e-9) * 100
-        rows.append(_row(sec, 1, "Recent Trend", _mon(last), "grew" if pct >= 0 else "fell", pct))
-    if len(m) >= 3:
-        best = min(m, key=lambda r: (-r[1], r[0]))   # earliest month on ties
-        worst = min(m, key=lambda r: (r[1], r[0]))
-        rows += [_row(sec, 2, "Best Month", _mon(best[0], True), "total", best[1]),
-                 _row(sec, 3, "Weakest Month", _mon(worst[0], True), "total", worst[1])]
-    if len(m) >= 4:
-        slope = _slope([v for _, v in m])
-        rows.append(_row(sec, 4, "Overall Trajectory", "upward" if slope > 0 else "downward", "slope", slope))
+    """W6, W7 and W8 over the report's month series."""
+    if ri.monthly is None:
+        return []
+    sec, own, rows = "trend_analysis", {"primary": ri.primary}, []
+    for r in M.mom_trend_of(ri.monthly).collect():
+        rows.append(_row(sec, 1, "Recent Trend", _mon(r["month"]), r["direction"], r["pct"], "recent",
+                         direction=r["direction"], pct=abs(r["pct"]), month=r["month"], **own))
+    for r in M.best_worst_month_of(ri.monthly).collect():
+        ord_, title, body = {"best": (2, "Best Month", "best_month"), "worst": (3, "Weakest Month", "weakest_month")}[r["kind"]]
+        rows.append(_row(sec, ord_, title, _mon(r["month"], True), "total", r["value"], body, month=r["month"], **own))
+    for r in M.trajectory_of(ri.monthly).collect():
+        rows.append(_row(sec, 4, "Overall Trajectory", r["direction"], "slope", r["slope"], "trajectory",
+                         direction=r["direction"], article="an" if r["direction"] == "upward" else "a", **own))
     return rows
 
 
@@ -219,22 +255,24 @@ def trend_rows(ri: ReportInputs) -> list[tuple]:
 def risk_rows(ri: ReportInputs) -> list[tuple]:
     h, sec, rows = ri.health_row(), "risk_detection", []
     if h["missing_pct"] > R.RISK_MISSING_PCT:
-        rows.append(_row(sec, 1, "Data Quality Risk", None, "missing_pct", h["missing_pct"]))
+        rows.append(_row(sec, 1, "Data Quality Risk", None, "missing_pct", h["missing_pct"], "missing", **h))
     if h["dup_pct"] > R.RISK_DUPLICATE_PCT:
-        rows.append(_row(sec, 2, "Duplicate Records", None, "dup_rows", h["dup_rows"]))
+        rows.append(_row(sec, 2, "Duplicate Records", None, "dup_rows", h["dup_rows"], "duplicates", **h))
     for o in ri.outlier_rows():
         if o["pct_of_rows"] > R.RISK_OUTLIER_PCT:
             rows.append(_row(sec, 10 + o["position"], f"Volatility in {o['column']}", o["column"], "pct_of_rows",
-                             o["pct_of_rows"]))
+                             o["pct_of_rows"], "volatility", n=o["iqr_outliers"], column=o["column"], pct=o["pct_of_rows"]))
         elif o["mean"] not in (0, None):
             ratio = abs(o["max"]) / (abs(o["mean"]) + R.EPSILON)
             if ratio > R.RISK_MAX_TO_MEAN and o["iqr_outliers"] > 0:
                 rows.append(_row(sec, 10 + o["position"], f"Extreme Value in {o['column']}", o["column"],
-                                 "max_to_mean", ratio))
+                                 "max_to_mean", ratio, "extreme", o["max"], column=o["column"], ratio=ratio))
     g = ri.group_facts()
     if g and g["total"] and g["top"][1] / g["total"] > R.RISK_LEADER_SHARE:
-        rows.append(_row(sec, 100, "Concentration Risk", g["top"][0], "share_pct", g["top"][1] / g["total"] * 100))
-    return rows or [_row(sec, 1, "No Major Risks Detected")]
+        share = g["top"][1] / g["total"] * 100
+        rows.append(_row(sec, 100, "Concentration Risk", g["top"][0], "share_pct", share, "dependency",
+                         label=g["top"][0], share=share, primary=ri.primary, cat=ri.cat))
+    return rows or [_row(sec, 1, "No Major Risks Detected", body="no_risk")]
 
 
 # ------------------------------------------------------------------------ I5
@@ -243,27 +281,29 @@ def opportunity_rows(ri: ReportInputs) -> list[tuple]:
     if ri.gsum is not None:
         u = B.underserved(ri.df, ri.cat, ri.primary).collect()
         if u:
-            rows.append(_row(sec, 1, "Under-served Segment", u[0]["label"], "avg", u[0]["avg_value"]))
+            rows.append(_row(sec, 1, "Under-served Segment", u[0]["label"], "avg", u[0]["avg_value"], "underserved",
+                             label=u[0]["label"], primary=ri.primary))
     if ri.date and ri.primary:
         sl = M.seasonal_low(ri.df, ri.date, ri.primary).collect()
         if sl:
-            rows.append(_row(sec, 2, "Seasonal Opportunity", sl[0]["month_name"], "avg", sl[0]["avg_value"]))
-    return rows or [_row(sec, 1, "No Clear Opportunities Surfaced")]
+            rows.append(_row(sec, 2, "Seasonal Opportunity", sl[0]["month_name"], "avg", sl[0]["avg_value"], "seasonal",
+                             month=sl[0]["month_name"], primary=ri.primary))
+    return rows or [_row(sec, 1, "No Clear Opportunities Surfaced", body="no_chance")]
 
 
 # ------------------------------------------------------------------------ I6
 def recommendation_rows(ri: ReportInputs, risks: list[tuple] | None = None) -> list[tuple]:
     h, sec, rows = ri.health_row(), "recommendations", []
     if h["missing_pct"] > R.RISK_MISSING_PCT:
-        rows.append(_row(sec, 1, "Clean Missing Data", None, "missing_pct", h["missing_pct"]))
+        rows.append(_row(sec, 1, "Clean Missing Data", None, "missing_pct", h["missing_pct"], "clean", **h))
     if h["dup_rows"] > 0:
-        rows.append(_row(sec, 2, "Deduplicate Records", None, "dup_rows", h["dup_rows"]))
+        rows.append(_row(sec, 2, "Deduplicate Records", None, "dup_rows", h["dup_rows"], "deduplicate", **h))
     if ri.primary and ri.cat:
-        rows.append(_row(sec, 3, "Focus on Top Performers", ri.cat))
+        rows.append(_row(sec, 3, "Focus on Top Performers", ri.cat, body="focus", cat=ri.cat, primary=ri.primary))
     risks = risks if risks is not None else risk_rows(ri)
     if any(r[2] == "Concentration Risk" for r in risks):
-        rows.append(_row(sec, 4, "Diversify Dependency"))
-    return (rows or [_row(sec, 1, "Keep Monitoring")])[:R.MAX_RECOMMENDATIONS]
+        rows.append(_row(sec, 4, "Diversify Dependency", body="diversify"))
+    return (rows or [_row(sec, 1, "Keep Monitoring", body="monitor")])[:R.MAX_RECOMMENDATIONS]
 
 
 # ----------------------------------------------------------- section frames
