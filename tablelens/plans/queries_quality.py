@@ -132,13 +132,25 @@ NUM_TEXT_SQL = ("(regexp_replace({c}, '[,$€£¥%\\s]', '', 'g') = '' or regexp
                 "regexp_replace({c}, '[,$€£¥%\\s]', '', 'g'), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?'))")
 
 
+def has_word(name: str, keywords) -> str:
+    """SQL: whether a whole word of a column name is one of ``keywords``."""
+    words = (f"string_split_regex(lower(regexp_replace('{name}', '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')")
+    return f"list_has_any({words}, [{', '.join(repr(k) for k in keywords)}])"
+
+
+def keyword_rank(name: str, keywords) -> str:
+    """SQL: number of the first keyword that is a word of the name, else null."""
+    whens = " ".join(f"when {has_word(name, [k])} then {i}" for i, k in enumerate(keywords))
+    return f"cast(case {whens} end as int)" if whens else "cast(null as int)"
+
+
 def roles_cte(src: str, fields) -> str:
-    """SQL for (column, position, n, nuniq, role): counts and text tests are
-    computed by SQL; name-token flags are metadata literals."""
+    """SQL for (column, position, n, nuniq, role): counts, text tests and name
+    words are computed by SQL."""
     parts = []
     for i, (c, dt) in enumerate(fields):
         kind = _kind(dt)
-        idn = "true" if N.matches(c, N.ID_HINTS) else "false"
+        idn = has_word(c, N.ID_HINTS)
         if kind == "unsupported":
             parts.append(f"select '{c}' as \"column\", cast({i} as bigint) as position, cast(0 as bigint) as n, "
                          f"cast(0 as bigint) as nuniq, 'unsupported' as role")
@@ -213,23 +225,33 @@ def column_roles_sales(spark, sf):
     return finish(P.column_roles(sales_wide(spark, sf)))
 
 
-def _primary_sql(src: str, fields, prefix: str = "with ") -> str:
-    """Keyword rank (metadata) first, then largest sum, then position."""
+def _primary_ctes(src: str, fields) -> str:
+    """Column sums, and keyword ranks of the names: ``kw`` by the general list,
+    ``t0``, ``t1``, ... by each template's."""
     sums, ranks = [], []
-    for i, (c, dt) in enumerate(fields):
+    for c, dt in fields:
         kind = _kind(dt)
         if kind == "numeric":
             sums.append(f"select '{c}' as \"column\", cast(sum({c}) as double) as s from {src}")
         elif kind == "string":
             sums.append(f"select '{c}' as \"column\", sum(try_cast(regexp_replace({c}, '[,$€£¥%\\s]', '', 'g') "
                         f"as double)) as s from {src}")
-        rk = next((j for j, kw in enumerate(N.PRIMARY_MEASURE_PRIORITY) if N.matches(c, [kw])), None)
-        ranks.append(f"select '{c}' as \"column\", {rk if rk is not None else 'null'} as kw")
-    return (prefix + roles_cte(src, fields) + ",\nsums as (" + "\nunion all\n".join(sums) + "),\nkw as ("
-            + "\nunion all\n".join(ranks) + """)
-select "column", case when kw is not null then 'keyword' else 'largest_sum' end as method
+        by_template = "".join(f", {keyword_rank(c, k)} as t{i}" for i, k in enumerate(N.TEMPLATE_HINTS.values()))
+        ranks.append(f"select '{c}' as \"column\", {keyword_rank(c, N.PRIMARY_MEASURE_PRIORITY)} as kw{by_template}")
+    return (roles_cte(src, fields) + ",\nsums as (" + "\nunion all\n".join(sums) + "),\nkw as ("
+            + "\nunion all\n".join(ranks) + ")")
+
+
+def _primary_pick(template: str = "null") -> str:
+    """Template rank first, then keyword rank, then largest sum, then position."""
+    return f"""select "column", case when {template} is not null then 'template' when kw is not null then 'keyword'
+  else 'largest_sum' end as method
 from roles join kw using ("column") left join sums using ("column") where role = 'numeric'
-order by kw asc nulls last, case when kw is null then s end desc nulls last, position limit 1""")
+order by {template} asc nulls last, kw asc nulls last, case when kw is null then s end desc nulls last, position limit 1"""
+
+
+def _primary_sql(src: str, fields, prefix: str = "with ") -> str:
+    return prefix + _primary_ctes(src, fields) + "\n" + _primary_pick("cast(null as int)")
 
 
 def _primary_fn(src_fn):
@@ -251,6 +273,19 @@ register("primary_measure_sales", _primary_sql("sales_wide", _sales_fields(),
                                                prefix="with " + SALES_WIDE_SQL.strip() + ",\n"))(
     _primary_fn(sales_wide))
 
+
+
+@register("primary_templates_sales", "with " + SALES_WIDE_SQL.strip() + ",\n" + _primary_ctes("sales_wide", _sales_fields())
+          + "\n" + "\nunion all\n".join(f"select '{t}' as template, * from ({_primary_pick(f't{i}')})"
+                                         for i, t in enumerate(N.TEMPLATE_HINTS)))
+def primary_templates_sales(spark, sf):
+    """P5: the primary measure under each template."""
+    df = sales_wide(spark, sf)
+    numeric = P.build_profile(df).schema["numeric"]
+    picks = [(t, *P.pick_primary_measure(df, numeric, t)) for t in N.TEMPLATE_HINTS]
+    return spark.createDataFrame(picks, "template string, column string, method string")
+
+
 _DTYPE = {"orders": ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"]}
 
 
@@ -264,9 +299,64 @@ def profile_columns(spark, sf):
     return finish(P.profile_columns(table(spark, sf, "orders")))
 
 
-@register("profile_json")
+def _semantic_cte(fields) -> str:
+    """(semantic_role, column) for every name that has a keyword of the role."""
+    return "m as (" + "\nunion all\n".join(
+        f"select '{role}' as semantic_role, '{c}' as \"column\" where {has_word(c, kws)}"
+        for c, _ in fields for role, kws in N.SEMANTIC_ROLE_HINTS.items()) + ")"
+
+
+_ROLE_ORDER = "case role when 'numeric' then 0 when 'categorical' then 1 when 'date' then 2 when 'id' then 3 else 4 end"
+
+
+def _profile_json_sql(src: str, dtypes: list[str]) -> str:
+    fields = _schema_of(src)
+    columns = "\nunion all\n".join(
+        f"""select 'dtype', {i}, '{c}', '{t}' union all
+select 'missing_pct', {i}, '{c}', cast(round(count(*) filter (where {c} is null) / count(*) * 100, 2) as varchar) from {src}"""
+        for i, ((c, _), t) in enumerate(zip(fields, dtypes)))
+    sample = "\nunion all\n".join(f"select 'sample', rk, '{c}', cast({c} as varchar) from first_rows" for c, _ in fields)
+    order = ", ".join(f"{c} nulls first" for c, _ in fields)
+    return f"""with {_primary_ctes(src, fields)},
+{_semantic_cte(fields)},
+first_rows as (select *, row_number() over (order by {order}) - 1 as rk from {src} order by {order} limit 10)
+select field, cast(position as bigint) as position, name, value from (
+select 'shape' as field, 0 as position, 'rows' as name, cast(count(*) as varchar) as value from {src}
+union all select 'shape', 0, 'columns', '{len(fields)}'
+union all select 'truncated_columns', 0, '', '0'
+union all select 'dataset_type', 0, '', case when count(*) filter (where role = 'date') > 0 then 'Time Series'
+  when count(*) filter (where role = 'categorical') > 0 then 'Cross-sectional'
+  when count(*) filter (where role = 'numeric') > 0 then 'Numeric Only' else 'Unstructured' end from roles
+union all select 'primary_measure', 0, '', "column" from ({_primary_pick("cast(null as int)")})
+union all {columns}
+union all select 'schema', row_number() over (partition by role order by position) - 1, role, "column" from roles
+  where role in ('numeric', 'categorical', 'date', 'id', 'boolean')
+union all select 'semantic_roles', row_number() over (partition by semantic_role order by {_ROLE_ORDER}, position) - 1,
+  semantic_role, "column" from m join roles using ("column") where role in ('numeric', 'categorical', 'date', 'id', 'boolean')
+union all {sample})"""
+
+
+_PROFILE_JSON = ("shape map<string,string>, dataset_type string, columns array<struct<name:string,dtype:string,missing_pct:double>>, "
+                 "schema map<string,array<string>>, semantic_roles map<string,array<string>>, primary_measure string, "
+                 "sample_rows array<map<string,string>>, truncated_columns string")
+
+
+@register("profile_json", _profile_json_sql("events", ["bigint", "timestamp_ntz", "bigint", "string", "double", "string"]))
 def profile_json(spark, sf):
-    return P.profile_json(table(spark, sf, "orders"))
+    """The fields of the JSON summary, parsed back from its text."""
+    doc = P.profile_json(table(spark, sf, "events")).select(F.from_json("json", _PROFILE_JSON).alias("d")).select("d.*")
+    out = doc.select(F.lit("shape").alias("field"), F.lit(0).alias("position"), F.explode("shape").alias("name", "value"))
+    for c in ("dataset_type", "primary_measure", "truncated_columns"):
+        out = out.unionByName(doc.select(F.lit(c).alias("field"), F.lit(0).alias("position"), F.lit("").alias("name"), F.col(c).alias("value")))
+    cols = doc.select(F.posexplode("columns").alias("position", "c"))
+    for c in ("dtype", "missing_pct"):
+        out = out.unionByName(cols.select(F.lit(c).alias("field"), "position", F.col("c.name").alias("name"),
+                                          F.col(f"c.{c}").cast("string").alias("value")))
+    for c in ("schema", "semantic_roles"):
+        lists = doc.select(F.explode(c).alias("name", "list")).select("name", F.posexplode("list").alias("position", "value"))
+        out = out.unionByName(lists.select(F.lit(c).alias("field"), "position", "name", "value"))
+    sample = doc.select(F.posexplode("sample_rows").alias("position", "row")).select("position", F.explode("row").alias("name", "value"))
+    return finish(out.unionByName(sample.select(F.lit("sample").alias("field"), "position", "name", "value")))
 
 
 # -------------------------------------------------------------------- ingest
@@ -320,16 +410,10 @@ def normalize_missing(spark, sf):
 
 def _semantic_sql() -> str:
     fields = _sales_fields()
-    lits = []
-    for c, _ in fields:
-        for role, kws in N.SEMANTIC_ROLE_HINTS.items():
-            if N.matches(c, kws):
-                lits.append(f"select '{role}' as semantic_role, '{c}' as \"column\"")
-    order = "case role when 'numeric' then 0 when 'categorical' then 1 when 'date' then 2 when 'id' then 3 else 4 end"
-    return (with_sales(roles_cte("sales_wide", fields) + ",\nm as (" + "\nunion all\n".join(lits) + ")") + f"""
-select semantic_role, cast(row_number() over (partition by semantic_role order by {order}, position) as bigint) as rank,
+    return with_sales(roles_cte("sales_wide", fields) + ",\n" + _semantic_cte(fields)) + f"""
+select semantic_role, cast(row_number() over (partition by semantic_role order by {_ROLE_ORDER}, position) as bigint) as rank,
        "column"
-from m join roles using ("column") where role in ('numeric', 'categorical', 'date', 'id', 'boolean')""")
+from m join roles using ("column") where role in ('numeric', 'categorical', 'date', 'id', 'boolean')"""
 
 
 @register("semantic_roles_sales", _semantic_sql())
