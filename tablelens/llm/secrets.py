@@ -3,15 +3,19 @@
 Grammar inference: the strings that the base patterns label as credentials (of
 each kind) form a prefix tree over character classes; states whose outgoing
 frequencies are statistically compatible (Hoeffding bound) are merged into a
-probabilistic automaton. A second automaton learns ordinary long tokens. Every
-candidate token of the texts is scored by how much likelier the credential
-formats make it than the ordinary one.
+probabilistic automaton. A second automaton learns ordinary words: shorter runs of
+the same characters, drawn from all texts by occurrence, so that no candidate is
+its own measure, however many credentials of one format there are. Every candidate
+token of the texts is scored by how much likelier the credential formats make it
+than the ordinary one.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,6 +65,28 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     return out
 
 
+#: Places of a text at which an ordinary word is drawn.
+PLACES = 16
+_TAIL, _HEAD = re.compile(r"[A-Za-z0-9+/_.=-]*\Z"), re.compile(r"[A-Za-z0-9+/_.=-]*")
+
+
+def words(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[float, str]]:
+    """(rank, word): the runs of token characters, shorter than a candidate and
+    touching no base span, at random places of the text. A copy has the same
+    ones; a rank is a uniform random number."""
+    out = []
+    if text:
+        draw = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))).random
+        for _ in range(PLACES):
+            at, rank = int(draw() * len(text)), draw()
+            left = _TAIL.search(text[max(0, at - MIN_TOKEN):at])[0]
+            word = left + _HEAD.match(text[at:at + MIN_TOKEN])[0]
+            a, b = at - len(left), at - len(left) + len(word)
+            if at < b and len(word) < MIN_TOKEN and not any(s < b and a < e for s, _, e, _ in base):
+                out.append((rank, word))
+    return out
+
+
 def symbols(token: str) -> str:
     """Character classes: digit, hex and other letters of either case, signs."""
     return token.translate(_CLASSES)
@@ -135,11 +161,12 @@ class Automaton:
                     todo.append((self.next[a][c], t))
 
     def score(self, token: str, classes: str) -> float:
-        """Log likelihood per character; what was never seen costs as one in a thousand."""
+        """Log likelihood per character, given that the token goes on; what was
+        never seen costs as one in a thousand."""
         at, total = 0, 0.0
         for c in classes:
             here = self.count[at] if at is not None else {}
-            n = sum(here.values())
+            n = sum(here.values()) - here.get(_END, 0)
             p = (here.get(c, 0) + 0.001 * max(n, 1)) / (1.01 * max(n, 1))
             total += math.log(p / _SIZE.get(c, 1))
             at = self.next[at].get(c, at) if at is not None else None
@@ -161,12 +188,12 @@ class Formats:
         return max(a.score(token, classes) for a in self.credentials) - self.ordinary.score(token, classes) > self.margin
 
 
-_SCAN = "base array<struct<start:int,kind:int,end:int,value:string>>, tokens array<struct<start:int,value:string>>"
+_SCAN = "base array<struct<start:int,kind:int,end:int,value:string>>, tokens array<struct<start:int,value:string>>, words array<struct<rank:double,value:string>>"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__tl_found`` (struct): the base spans and the candidate tokens
-    of each whole text; null counts as empty."""
+    of each whole text, and some of its words; null counts as empty."""
     ship(docs.sparkSession)
 
     @F.pandas_udf(_SCAN)
@@ -175,23 +202,30 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             base = [base_spans(t or "") for t in texts]
             tokens = [candidates(t or "", b) for t, b in zip(texts, base)]
             yield pd.DataFrame({"base": [[{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in b] for b in base],
-                                "tokens": [[{"start": s, "value": v} for s, v in c] for c in tokens]})
+                                "tokens": [[{"start": s, "value": v} for s, v in c] for c in tokens],
+                                "words": [[{"rank": r, "value": w} for r, w in words(t or "", b)] for t, b in zip(texts, base)]})
 
     return docs.withColumn("__tl_found", find(F.col(text_col)))
 
 
-def learn(found: DataFrame, per_kind: int = 2000, max_length: int = 128, margin: float = 1.0) -> Formats:
-    """Automata from a bounded sample: of each kind the first ``per_kind``
-    distinct strings by hash, cut to ``max_length`` characters in training only.
-    No labelled credentials: no formats."""
+def learn(found: DataFrame, per_kind: int = 2000, max_length: int = 128, margin: float = 1.0, ordinary: int = 10_000) -> Formats:
+    """Automata from bounded samples: of each kind the first ``per_kind``
+    distinct strings by hash, cut to ``max_length`` characters in training only,
+    and the first ``ordinary`` words by rank (copies of a text count once). A
+    format holds in swapped case too. No labelled credentials: no formats. Only where the texts hold no words do the
+    candidates stand for them."""
     base = found.select(F.explode("__tl_found.base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
-    plain = found.select(F.explode("__tl_found.tokens").alias("t")).select(F.lit(9).alias("kind"), F.col("t.value").alias("value"))
-    strings = {}
-    for kind, rows in [(k, base.where(F.col("kind") == k)) for k in range(3)] + [(9, plain)]:
-        rows = rows.select(F.substring("value", 1, max_length).alias("value")).distinct()
-        strings[kind] = [symbols(r[0]) for r in rows.orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()]
-    ordinary = strings.pop(9)
-    return Formats([Automaton(s) for s in strings.values() if s], Automaton(ordinary) if ordinary else None, margin)
+    cut_to = lambda rows: rows.select(F.substring("value", 1, max_length).alias("value")).distinct()
+    first = lambda rows: [r[0] for r in cut_to(rows).orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()]
+    credentials = [strings for k in range(3) if (strings := first(base.where(F.col("kind") == k)))]
+    if not credentials:
+        return Formats([], None, margin)
+    drawn = found.select(F.explode("__tl_found.words").alias("w")).select("w.rank", "w.value").distinct()
+    plain = [r["value"] for r in drawn.orderBy("rank", "value").limit(ordinary).collect()]
+    plain = plain or first(found.select(F.explode("__tl_found.tokens").alias("t")).select("t.value"))
+    credentials += [[v.swapcase() for v in strings] for strings in credentials]
+    automata = [Automaton([symbols(v) for v in strings]) for strings in [*credentials, plain] if strings]
+    return Formats(automata[:len(credentials)], automata[-1] if plain else None, margin)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", keep_text: bool = True, out_col: str = "secrets") -> DataFrame:

@@ -161,6 +161,23 @@ def test_secrets(spark):
     assert formats.secret("9f8e7d6c5b4a39281706f5e4d3c2b1a0") and not formats.secret("internationalizations")
 
 
+def test_secrets_of_a_common_format(spark):
+    """Hundreds of distinct keys without a key word, among few long words."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("etaoinshrdlucmfw", k=r.randint(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(30))
+    upper = lambda: "%040X" % r.getrandbits(160)
+    base64 = lambda: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40))
+    texts = [f"{prose()} token={base64()} {prose()} {'%040x' % r.getrandbits(160)}" for _ in range(100)]
+    keys = [upper() for _ in range(400)] + [base64() for _ in range(400)]
+    texts += [f"{prose()} {k} {prose()}" for k in keys] + [f"{prose()} internationalizations {prose()}" for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.secrets if s.kind == 3] for r in secrets.find_secrets(docs).collect()}
+    hits = [found[100 + i] == [k] for i, k in enumerate(keys)]
+    assert sum(hits[:400]) >= 390 and sum(hits[400:]) >= 390, (sum(hits[:400]), sum(hits[400:]))
+    assert not any(found[i] for i in range(900, 920))
+
+
 def test_warc(spark):
     big = "x" * 1500
     pages = spark.createDataFrame([(1, "http://a/ b", big), (2, None, big), (3, "u", None), (None, "u", "tiny"), (5, "u", "tiny")], "page_id long, url string, html string")
