@@ -54,37 +54,84 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_SPACE = r"^\s+|\s+$"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, where the value's expression stands only once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, its segments ``.`` and ``..`` resolved."""
+    def fold(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done)
+                           .when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
+        ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, ends), "/"))
+
+    return F.when(path.rlike(r"/\.\.?(/|$)"), _let(F.split(path, "/"), fold)).otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """The url that equal addresses share: scheme and host in lower case, no fragment."""
-    whole = F.substring_index(url, "#", 1)
-    at = F.instr(whole, "://")
-    stop = F.length(F.substring_index(F.substr(whole, at + 3), "/", 1)) + at + 2
-    return F.when(at > 0, F.concat(F.translate(F.substr(whole, F.lit(1), stop), *_ASCII), F.substr(whole, stop + 1)))
+    """The url that equal addresses share: scheme and host in lower case, no
+    fragment, an empty path as ``/``, no dot segments; null without ``scheme://``."""
+    def parts(whole: Column) -> Column:
+        start = F.regexp_extract(whole, _SCHEME + "//[^/?]*", 0)
+        return _let(start, lambda start: F.when(start != "", F.concat(F.translate(start, *_ASCII), _let(F.substr(whole, F.length(start) + 1), rest))))
+
+    def rest(rest: Column) -> Column:
+        return _let(F.substring_index(rest, "?", 1), lambda path: F.concat(
+            F.when(path == "", "/").otherwise(_without_dots(path)), F.substr(rest, F.length(path) + 1)))
+
+    return _let(F.substring_index(F.regexp_replace(url, _SPACE, ""), "#", 1), parts)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as an address, where it is relative from the url ``base``."""
+    def whole(base: Column, target: Column) -> Column:
+        origin = F.regexp_extract(base, "^[^/]*//[^/]*", 0)
+        return (F.when(target.rlike(_SCHEME + "//"), target).when(target.rlike(_SCHEME), F.lit(None))
+                .when(target.startswith("//"), F.concat(F.substring_index(base, "//", 1), target))
+                .when(target.startswith("/"), F.concat(origin, target))
+                .when(target.startswith("?"), F.concat(F.substring_index(base, "?", 1), target))
+                .when(target.startswith("#"), base)
+                .otherwise(F.concat(F.regexp_extract(base, "(?s)^[^?]*/", 0), target)))
+
+    return address(_let(address(base), lambda b: _let(target, lambda t: whole(b, t))))
+
+
+_LINK, _META, _BASE = (rf"(?is)<{tag}\b[^>]*>" for tag in ("link", "meta", "base"))
+_WAIT = r"(?is)^\s*(?:[\d.]+(?:\s*[;,]|\s)\s*(?:url\s*=\s*)?|url\s*=\s*)(?:\"([^\"]*)|'([^']*)|(.*))"
+
+
+def _groups(text: Column, pattern: str) -> Column:
+    return F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
 
 
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-_URL = r"(?is)\burl\s*=\s*([^\"'>\s;]+)"
+def _value(tag: Column, name: str) -> Column:
+    """Value of the attribute, empty where the tag has none."""
+    value = _groups(tag, rf"(?is)(?<![\w-]){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+    return F.replace(F.regexp_replace(value, _SPACE, ""), F.lit("&amp;"), F.lit("&"))
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a``, ``b``: addresses of a page and of what its canonical link or
-    refresh redirect names. Relative targets are taken from the page's host."""
+    """``a``, ``b``: addresses of a page and of what its canonical links and
+    refresh redirects name. Relative targets are taken from the page's url, or
+    from the base its html names."""
     html = F.col(html_col)
     # most pages have neither; a plain search spares them the patterns
     some = pages.select(F.col(url_col).alias("url"), html.alias("html")).where(
         F.col("url").isNotNull() & (html.rlike("(?i)canonical") | html.rlike("(?i)http-equiv")))
-    canonical = F.regexp_extract("html", _LINK, 0)
-    href = F.concat(*[F.regexp_extract(canonical, _HREF, i) for i in (1, 2, 3)])
-    refresh = F.regexp_extract(F.regexp_extract("html", _META, 0), _URL, 1)
-    rows = some.select("url", F.explode(F.array(href, refresh)).alias("target")).where("target != ''")
-    target = F.replace(F.trim("target"), F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract("url", r"^[^:]+://[^/?#]*", 0)
-    scheme = F.regexp_extract("url", r"^([^:]+):", 1)
-    whole = (F.when(F.instr(target, "://") > 0, target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-             .when(target.startswith("/"), F.concat(origin, target)))
-    return rows.select(address(F.col("url")).alias("a"), address(whole).alias("b")).dropna()
+    links = F.filter(F.regexp_extract_all("html", F.lit(_LINK), 0), lambda t: F.array_contains(F.split(F.lower(_value(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(F.regexp_extract_all("html", F.lit(_META), 0), lambda t: F.lower(_value(t, "http-equiv")) == "refresh")
+    targets = F.concat(F.transform(links, lambda t: _value(t, "href")),
+                       F.transform(metas, lambda t: F.regexp_replace(_groups(_value(t, "content"), _WAIT), _SPACE, "")))
+    base = _value(F.regexp_extract("html", _BASE, 0), "href")
+    base = F.when(base != "", resolved(F.col("url"), base))
+    rows = some.select("url", F.coalesce(base, "url").alias("base"), F.explode(targets).alias("target")).where("target != ''")
+    return rows.select(address(F.col("url")).alias("a"), resolved(F.col("base"), F.col("target")).alias("b")).dropna()
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

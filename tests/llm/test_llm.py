@@ -210,3 +210,24 @@ def test_urls(spark):
     assert [got[i].verdict for i in range(1, 9)] == ["block", "block", "allow", "allow", "allow", "allow", "allow", "block"]
     assert got[3].blocked_alias and got[4].rule == "example.net/en/" and got[5].host == "" and got[6].path == ""
     assert urlfilter.judge(pages.limit(0), RULES).count() == 0
+
+
+def test_link_forms(spark):
+    """Every form of a target and of the tags that name it."""
+    named = {"page2.html": "http://a.com/d/e/page2.html", "./x": "http://a.com/d/e/x", "../x": "http://a.com/d/x", "../../../x/.": "http://a.com/x/",
+             "?id=3": "http://a.com/d/e/p.html?id=3", "/go?u=http://x.net/": "http://a.com/go?u=http://x.net/", "go?u=http://x.net/": "http://a.com/d/e/go?u=http://x.net/",
+             "//B.com/y": "http://b.com/y", "HTTPS://B.com": "https://b.com/", "http://b.com?z": "http://b.com/?z", "/p#f": "http://a.com/p", "#f": "#"}
+    tags = [(f'<link rel="canonical" href="{t}">', {u}) for t, u in named.items()]
+    tags += [(f"<meta http-equiv=refresh content=\"0; url='{t}'\">", {u}) for t, u in named.items()]
+    tags += [('<link href=/1 rel="alternate canonical"><LINK REL=canonical HREF=/2>', {"http://a.com/1", "http://a.com/2"}),
+             ('<link rel="non-canonical" href="/1"><link rel=icon href=/canonical>', set()),
+             ('<meta http-equiv="Refresh" content="5;URL=/a;b"><meta content="0, /c" http-equiv=refresh>', {"http://a.com/a;b", "http://a.com/c"}),
+             ('<meta http-equiv="refresh" content="30"><link rel=canonical href="javascript:x">', set()),
+             ('<base href="/base/"><link rel=canonical href=z>', {"http://a.com/base/z"})]
+    urls = [f"http://a.com/d/e/p.html?q={i}" for i in range(len(tags))]
+    edges = urlfilter.link_edges(spark.createDataFrame([(u, t[0]) for u, t in zip(urls, tags)], "url string, html string")).collect()
+    for url, (html, expected) in zip(urls, tags):
+        assert {r.b for r in edges if r.a == url} == {url if u == "#" else u for u in expected}, html
+    pages = spark.createDataFrame([(1, "http://a.com", '<link rel=canonical href="x/y">'), (2, "http://a.com/x/y", ""),
+                                   (3, "http://a.com/", "<meta http-equiv=refresh content='0;url=http://b.net/'>")], "page_id long, url string, html string")
+    assert {r.id: r.verdict for r in urlfilter.judge(pages, [urlfilter.Rule("net/", "block")]).collect()} == {1: "block", 2: "block", 3: "block"}
