@@ -31,7 +31,6 @@ ROLL = 64 << 20
 #: Duplicate payloads whose list goes to every executor; beyond, it is joined by shuffle.
 BROADCAST_PAYLOADS = 200_000
 _STEP = 1 << 20
-_MAX_HEADER = 1 << 20
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -84,7 +83,7 @@ def parse(data: bytes) -> list[dict]:
 def _parse_one(data: bytes, at: int) -> tuple[dict, int]:
     if not _VERSION.match(data, at):
         raise BadRecord("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + _MAX_HEADER)
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise BadRecord("header without end")
     fields = {}
@@ -139,9 +138,13 @@ def _member(w: _Window, pos: int) -> tuple[list[dict], int]:
             if len(parts) == 1 and not parts[0].startswith(b"WARC/1."[:len(parts[0])]):
                 raise BadRecord("no version line")
         return parse(b"".join(parts)), at - len(z.unused_data)
-    head = w.at(pos, _MAX_HEADER)
-    stop = head.find(b"\r\n\r\n")
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,12})\s*\r\n", head[:stop + 2]) if stop >= 0 and _VERSION.match(head) else None
+    n = _STEP
+    head = w.at(pos, n)
+    whole = _VERSION.match(head)
+    while whole and (stop := head.find(b"\r\n\r\n")) < 0 and len(head) == n:
+        n *= 2  # a url may be of any length
+        head = w.at(pos, n)
+    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,12})\s*\r\n", head[:stop + 2]) if whole and stop >= 0 else None
     if not m:
         raise BadRecord("neither member nor version line")
     rec, n = _parse_one(w.at(pos, stop + 4 + int(m[1]) + 4), 0)

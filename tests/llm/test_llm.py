@@ -200,6 +200,24 @@ def test_warc(spark):
         assert [n for _, n, r, _ in out if r is None] == [len(bad), 4, 30]
 
 
+def test_warc_long_url(spark):
+    """A header of any length is read back, from members and from plain records."""
+    import hashlib
+    import io
+    url = "data:text/plain," + "0123456789" * 200_000
+    pages = spark.createDataFrame([(1, "u", "a"), (2, url, "b"), (3, "u", "c")], "page_id long, url string, html string")
+    rows = {r.id: r for r in warc.round_trip(pages, with_payload=True).collect()}
+    assert set(rows) == {"1", "2", "3"} and rows["2"].gap is None and rows["2"].url == url and rows["2"].payload == b"b"
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    data = b"".join(warc.record(i, u, b"p", hashlib.sha1(b"p").hexdigest()) for i, u in enumerate(["u", url, "u"]))
+    out = list(warc.salvage(File(data)))
+    assert [gap for *_, gap in out] == [None] * 3 and out[1][2]["fields"]["warc-target-uri"] == url
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="%s">'
     pages = spark.createDataFrame([
