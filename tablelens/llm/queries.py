@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc
+from . import bpe, exact_dedup, merkle, near_dedup, packing, quality, secrets, sharding, simhash, toxicity, urlfilter, warc, whitening
 from .common import table
 
 
@@ -100,6 +100,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"),
+                       "whitened", "explained", "identity_error")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    record = lambda n: merkle.record_digest([F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", record(F.col("n_chars")).alias("leaf"),
+                         F.when(hit, record(F.try_add(F.col("n_chars"), F.lit(1)))).alias("tampered"))
+    rows = merkle.manifest(leaves, "lang", "doc_id", "leaf")
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof_left"), F.col("proof_right")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof_left"), F.col("proof_right")).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_urls, op5_fingerprints, op6_near_dedup,
-                                op7_toxicity, op8_secrets, op9_warc, op10_sharding)}
+                                op7_toxicity, op8_secrets, op9_warc, op10_sharding, op11_whitening, op12_exact_dedup, op13_merkle)}
 ORACLE: dict[str, str] = {}
