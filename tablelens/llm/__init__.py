@@ -1,3 +1,3 @@
 """Operators of a training-data pipeline: packing, byte-level BPE, quality
-rules, URL filters, fingerprints, near-duplicates, toxicity, secrets, WARC and
-sharding. Nothing else in the library imports this subpackage."""
+rules, URL filters, fingerprints, near-duplicates, toxicity, secrets, WARC,
+sharding, whitening, exact duplicates and Merkle manifests. Nothing else in the library imports this subpackage."""

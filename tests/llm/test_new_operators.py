@@ -1,0 +1,225 @@
+"""Whitening, exact duplicates and the Merkle manifest against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from pyspark.sql import functions as F
+from tablelens.llm import exact_dedup, merkle, queries, whitening
+
+SF = "/root/testdata/sf0.001"
+H = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+
+def read(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+# ------------------------------------------------------------------ whitening
+def brute(vectors):
+    """(distinct x vectors, exact covariance as floats)."""
+    fit = sorted({tuple(math.floor(64 * c) + 1000000 for c in v) for v in vectors})
+    n, d = len(fit), len(fit[0])
+    sums = [sum(x[i] for x in fit) for i in range(d)]
+    cov = np.array([[(n * sum(x[i] * x[j] for x in fit) - sums[i] * sums[j]) / n ** 2 for j in range(d)] for i in range(d)])
+    return fit, sums, cov
+
+
+def check_whitening(rows, vectors, k=16):
+    fit, sums, cov = brute([v for _, v in vectors])
+    n, d = len(fit), len(sums)
+    values = np.linalg.eigvalsh(cov)[::-1]
+    k = min(k, d)
+    got = {}
+    for r in rows:
+        got.setdefault(r[0], []).append(r)
+    assert sum(map(len, got.values())) == k * len(vectors)
+    byx, white = {}, {}
+    for i, v in vectors:
+        x = [math.floor(64 * c) + 1000000 for c in v]
+        mine = sorted(got[i], key=lambda r: r.component)[:k]
+        assert [r.component for r in mine] == list(range(1, k + 1)) and {r.n for r in mine} == {n}
+        assert {int(r.deviation) for r in mine} == {sum((n * a - s) ** 2 for a, s in zip(x, sums))}
+        byx.setdefault(tuple(x), mine)
+        white[tuple(x)] = [r.whitened for r in mine]
+        for r, e in zip(mine, values):
+            assert r.explained == pytest.approx(e / np.trace(cov), rel=1e-9)
+    w = np.array([white[x] for x in fit])
+    assert np.abs(w.T @ w / n - np.eye(k)).max() < 1e-9
+    # the projections carry the covariance: x's covariance with component c is e_c times its unit eigenvector
+    centred = np.array([[a - s / n for a, s in zip(x, sums)] for x in fit])
+    load = centred.T @ w / n
+    assert np.allclose(cov @ load, load * values[:k], atol=1e-8)
+    assert {r.identity_error <= 1e-9 for r in rows} == {True} and len({r.identity_error for r in rows}) == 1
+
+
+def test_op11(spark):
+    rows = queries.op11_whitening(spark, SF).collect()
+    check_whitening(rows, [(r["vec_id"], r["embedding"]) for r in read("embeddings") if r["embedding"]])
+    assert rows[0].__fields__ == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+
+
+def test_scatter_is_exact():
+    rng = np.random.default_rng(1)
+    for high in (1, 2, 100, 1 << 20, 1 << 45):
+        x = rng.integers(0, high, (333, 5))
+        x[:, 2] = 0
+        widths = [int(c.max()).bit_length() for c in x.T]
+        want = [[sum(int(a) * int(b) for a, b in zip(x[:, i], x[:, j])) for j in range(5)] for i in range(5)]
+        got = whitening.scatter(x, widths)
+        assert all(int(got[i, j]) == want[i][j] for i in range(5) for j in range(i, 5))
+
+
+def test_whitening_of_odd_rows(spark):
+    rnd = random.Random(4)
+    good = [[rnd.gauss(0, 1) * (j + 1) for j in range(4)] for _ in range(60)]
+    good[1] = good[0]
+    rows = [(i, v, "x") for i, v in enumerate(good)] + [(100 + i, good[0], "x") for i in range(200)]  # a hot vector
+    bad = [None, [], [1.0, None, 2.0, 3.0], [1.0, float("nan"), 0.0, 0.0], [float("inf")] * 4, [1e300] * 4, [1.0, 2.0]]
+    schema = "vec_id long, embedding array<double>, n string"
+    odd = spark.createDataFrame(rows + [(1000 + i, v, "x") for i, v in enumerate(bad)], schema)
+    out = whitening.whiten(odd).withColumnRenamed("id", "vec_id").collect()
+    check_whitening(out, [(i, v) for i, v, _ in rows])
+    assert whitening.whiten(odd.limit(0)).count() == 0
+    one = whitening.whiten(spark.createDataFrame([(None, [1.5, 2.0], "x"), (None, [1.5, 2.0], "y")], schema)).collect()
+    assert [(r.id, r.whitened, r.explained, r.n, int(r.deviation)) for r in one] == [(None, 0.0, 0.0, 1, 0)] * 4
+    # wide values: sums beyond 64 bits stay exact
+    wide = [(i, [rnd.uniform(-1, 1) * 2 ** 44, rnd.uniform(-1, 1)]) for i in range(50)]
+    got = {(r.id, r.component): int(r.deviation) for r in whitening.whiten(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).collect()}
+    fit, sums, _ = brute([v for _, v in wide])
+    for i, v in wide:
+        x = [math.floor(64 * c) + 1000000 for c in v]
+        assert got[i, 1] == sum((len(fit) * a - s) ** 2 for a, s in zip(x, sums))
+
+
+# ----------------------------------------------------------- exact duplicates
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def check_exact(rows, docs):
+    """``docs``: (id, text) of every row."""
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(normal(t), []).append(i)
+    low = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = Counter((i, low[normal(t)], len(groups[normal(t)]), H(normal(t))) for i, t in docs)
+    assert Counter((r[0], r.keep_id, r.group_size, r.text_sha256) for r in rows) == want
+    assert Counter(r.text_sha256 for r in rows if r.kept) == Counter(map(H, groups))
+    assert all(r[0] == r.keep_id for r in rows if r.kept)
+
+
+def test_op12(spark):
+    check_exact(queries.op12_exact_dedup(spark, SF).collect(), [(d["doc_id"], d["text"]) for d in read("documents")])
+
+
+@pytest.mark.parametrize("bits", [128, 2])
+def test_exact_duplicates_odd_rows_and_collisions(spark, bits):
+    long = "word \t\n" * 50_000
+    docs = [(5, None), (3, ""), (9, " "), (8, "\t\r\n"), (7, long), (2, " ".join(["word"] * 50_000) + "  "), (None, "a b"), (4, "a  b"), (4, "a b"),
+            (None, None), (None, "only"), (1, "a\xa0b"), (6, "a b "), (10, "é"), (11, "é")] + [(100 + i, "hot\ttext") for i in range(3000)]
+    df = spark.createDataFrame([(*d, "x", "x", "x") for d in docs], "doc_id long, text string, h0 string, uid string, n string")
+    check_exact(exact_dedup.exact_duplicates(df, bits=bits).collect(), docs)
+    assert exact_dedup.exact_duplicates(df.limit(0), bits=bits).count() == 0
+
+
+def test_exact_duplicates_of_text_ids(spark, monkeypatch):
+    docs = [("b", "x"), ("a", "x"), ("", "y"), ("c", "z")]
+    df = spark.createDataFrame(docs, "`an id` string, `a.text` string")
+    check_exact(exact_dedup.exact_duplicates(df, "an id", "a.text").collect(), docs)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)  # all texts compared
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 1)
+    check_exact(exact_dedup.exact_duplicates(df, "an id", "a.text").collect(), docs)
+
+
+# -------------------------------------------------------------------- manifest
+def up(nodes, fanout):
+    """(root, proofs as lists of (left, right))."""
+    proofs, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for p, i in zip(proofs, at):
+            s = i - i % fanout
+            p.append(("".join(nodes[s:i]), "".join(nodes[i + 1:s + fanout])))
+        nodes = [H("".join(nodes[i:i + fanout])) for i in range(0, len(nodes), fanout)]
+        at = [i // fanout for i in at]
+    return nodes[0], proofs
+
+
+def whole_tree(rows, fanout):
+    """(run, order, leaf) -> {leaf: (subroot, root, proof)} for distinct leaves."""
+    key = lambda v: (v is not None, (v or "").encode() if not isinstance(v, int) else v)
+    runs = {}
+    for run, order, leaf in rows:
+        runs.setdefault(run, []).append(((order is not None, order if order is not None else 0), leaf))
+    subs = {r: up([leaf for _, leaf in sorted(v)], fanout) for r, v in runs.items()}
+    names = sorted(subs, key=key)
+    root, tops = up([subs[r][0] for r in names], fanout)
+    return {leaf: (subs[r][0], root, subs[r][1][i] + top) for r, top in zip(names, tops) for i, (_, leaf) in enumerate(sorted(runs[r]))}
+
+
+@pytest.mark.parametrize("fanout, levels", [(2, 0), (2, 12), (3, 1)])
+def test_manifest(spark, fanout, levels):
+    rows, n = [], 0
+    for run, size in ((None, 7), ("", 1), ("en", 53), ("é", 26), ("zz", 2), ("a", 128)):
+        for _ in range(size):
+            rows.append((run, (n * 37) % 1009 if n % 50 else None, H(f"leaf {n}"), "x", n))
+            n += 1
+    df = spark.createDataFrame(rows, "lang string, doc_id long, leaf string, root string, node long")
+    want = whole_tree([r[:3] for r in rows], fanout)
+    out = merkle.manifest(df, "lang", "doc_id", "leaf", fanout, levels)
+    out = out.withColumn("again", merkle.fold(F.col("leaf"), F.col("proof_left"), F.col("proof_right")))
+    out = out.withColumn("digest", merkle.proof_digest(F.col("proof_left"), F.col("proof_right"))).collect()
+    assert len(out) == len(rows) == len({r.node for r in out})
+    for r in out:
+        subroot, root, proof = want[r.leaf]
+        assert (r.subroot, r.root, list(zip(r.proof_left, r.proof_right))) == (subroot, root, proof)
+        assert r.again == root and r.digest == H("".join(a + b for a, b in proof))
+    assert merkle.manifest(df.limit(0), "lang", "doc_id", "leaf", fanout, levels).count() == 0
+
+
+def test_manifest_of_repeated_and_lone_rows(spark):
+    same = spark.range(300).select(F.lit("en").alias("lang"), F.lit(None).cast("long").alias("doc_id"), F.lit(H("x")).alias("leaf"))
+    rows = merkle.manifest(same, "lang", "doc_id", "leaf", 2, 3).collect()
+    root, proofs = up([H("x")] * 300, 2)
+    assert {r.root for r in rows} == {root} and sorted(r.pos for r in rows) == list(range(300))
+    assert all(list(zip(r.proof_left, r.proof_right)) == proofs[r.pos] for r in rows)
+    one = merkle.manifest(same.limit(1), "lang", "doc_id", "leaf").collect()
+    assert [(r.subroot, r.root, r.proof_left, r.proof_right) for r in one] == [(H("x"), H("x"), [], [])]
+
+
+def encoded(v):
+    return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+
+def test_op13(spark):
+    docs = {d["doc_id"]: d for d in read("documents")}
+    record = lambda d, more=0: H("".join(encoded(v) for v in (
+        d["doc_id"], d["source"], d["lang"], None if d["n_chars"] is None else d["n_chars"] + more, d["text"])))
+    leaves = {i: record(d) for i, d in docs.items()}
+    want = whole_tree([(d["lang"], i, leaves[i]) for i, d in docs.items()], 2)
+    rows = queries.op13_merkle(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    hits = 0
+    for r in rows:
+        subroot, root, proof = want[leaves[r.doc_id]]
+        hit = zlib.crc32(str(r.doc_id).encode()) % 7 == 0
+        node = record(docs[r.doc_id], 1) if hit else r.leaf
+        for a, b in proof:
+            node = H(a + node + b)
+        assert (r.leaf, r.subroot, r.root, r.proof_sha256) == (leaves[r.doc_id], subroot, root, H("".join(a + b for a, b in proof)))
+        assert (r.folded_root, r.verified) == (node, node == root)
+        hits += not r.verified
+    assert hits > 0
+
+
+def test_records_with_nulls(spark):
+    rows = [(None, None), (1, ""), (2, "é😀"), (None, "x" * 1_000_000)]
+    out = spark.createDataFrame(rows, "a long, b string").select("a", "b", merkle.record_digest([F.col("a"), F.col("b")]).alias("h")).collect()
+    assert all(r.h == H(encoded(r.a) + encoded(r.b)) for r in out)
