@@ -3,7 +3,7 @@ casts and ratios. All are plain Spark expressions (no UDF)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,3 +109,13 @@ def struct_array_sql(rows: list[dict]) -> str:
     one call per value."""
     return "array(" + ", ".join(
         "named_struct(" + ", ".join(f"'{k}', {sql_literal(v)}" for k, v in r.items()) + ")" for r in rows) + ")"
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few driver rows as a local relation: reading them starts no job, unlike
+    rows that ``createDataFrame`` distributes."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    columns = list(zip(*rows)) or [()] * len(schema)
+    kinds = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds), schema)

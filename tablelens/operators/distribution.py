@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions import rules as R
-from tablelens.functions.columns import as_double, as_timestamp, present, qcol
+from tablelens.functions.columns import as_double, as_timestamp, present, qcol, sql_literal
 from tablelens.operators.breakdown import category_frequency
-from tablelens.operators.quantiles import column_quantiles, exact_quantiles
+from tablelens.operators.comoments import correlations
+from tablelens.operators.quantiles import bounds_of, brackets, column_quantiles, exact_quantiles, sketch
 
 
 # --------------------------------------------------------------------------- A7
@@ -136,7 +137,9 @@ def outliers(df: DataFrame, cols: Sequence[str], max_cols: int | None = None, mi
     """A10: per numeric column (all, or the first ``max_cols``; at least ``min_values``
     values): IQR-fence and |z|>3 outlier counts, min/max/mean/std (2 dp) and
     the IQR outliers as a percent of the column's values (2 dp).
-    ``exact=False``: sketch quartiles (one pass instead of two)."""
+    Three scans in all: figures with
+    sketches, quartiles counted inside their brackets, outliers (``exact=False``:
+    sketch quartiles, two)."""
     cols = list(cols)[:max_cols]
     spark = df.sparkSession
     empty = spark.createDataFrame([], "column string, position long, iqr_outliers long, "
@@ -145,66 +148,45 @@ def outliers(df: DataFrame, cols: Sequence[str], max_cols: int | None = None, mi
     if not cols:
         return empty
     vals = [as_double(df, c) for c in cols]
-    aggs = []
-    for i, v in enumerate(vals):
-        real = F.when(~F.isnan(v), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.count(real).alias(f"r{i}"), F.min(real).alias(f"lo{i}"), F.max(real).alias(f"hi{i}")]
-    st = df.agg(*aggs).collect()[0]
-    keep = [i for i in range(len(cols)) if st[f"n{i}"] >= min_values and st[f"r{i}"] > 0]
+    probs, at = [0.25, 0.75], range(len(cols))
+    figures = [f for i, v in enumerate(vals) for f in (F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"))]
+    if exact:  # counts, bounds and the brackets of the quartiles come with the same scan
+        row = df.agg(*figures, *[sketch(v).alias(f"k{i}") for i, v in enumerate(vals)])
+        row = row.select("*", *[brackets(F.col(f"k{i}"), probs).alias(f"b{i}") for i in at]).drop(*[f"k{i}" for i in at])
+    else:
+        row = df.agg(*figures, *[F.struct(F.count(v), F.array(F.min(v), F.max(v))).alias(f"b{i}") for i, v in enumerate(vals)])
+    st = row.collect()[0]
+    bounds = {c: bounds_of(st[f"b{i}"]) for i, c in enumerate(cols)}
+    keep = [i for i, c in enumerate(cols) if bounds[c][0] >= max(1, min_values)]
     if not keep:
         return empty
-    q = column_quantiles(df, [cols[i] for i in keep], [0.25, 0.75],
-                         bounds={cols[i]: (st[f"r{i}"], st[f"lo{i}"], st[f"hi{i}"]) for i in keep}, exact=exact)
-    counts = []
+    q = column_quantiles(df, [cols[i] for i in keep], probs, exact=exact, bounds=bounds)
+    # all but the two counts is known by now; SQL text, as every Column made in Python is a call into the JVM
+    number = lambda x: "cast(null as double)" if x is None else f"cast('{x!r}' as double)"
+    counts, rows = [], []
     for i in keep:
-        v, d = vals[i], q[cols[i]]
+        (n, low, high, _), mean, std, d = bounds[cols[i]], st[f"m{i}"], st[f"s{i}"], q[cols[i]]
         q1, q3 = d[0.25], d[0.75]
-        lo, hi = q1 - R.IQR_FACTOR * (q3 - q1), q3 + R.IQR_FACTOR * (q3 - q1)
-        mean, std = st[f"m{i}"], st[f"s{i}"]
-        z = F.abs((v - F.lit(mean)) / (F.lit(std) + F.lit(R.EPSILON))) if std is not None else F.lit(None)
-        counts.append(F.struct(
-            F.lit(cols[i]).alias("column"), F.lit(i).cast("long").alias("position"),
-            F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias("iqr_outliers"),
-            F.count_if(z > R.Z_CUT).alias("zscore_outliers"),
-            F.round(F.min(v), 2).alias("min"), F.round(F.max(v), 2).alias("max"),
-            F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"),
-            F.round(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))) / F.count(v) * 100, 2)
-            .alias("pct_of_rows"),
-            F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3")))
-    return df.agg(F.array(*counts).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+        lo, hi = number(q1 - R.IQR_FACTOR * (q3 - q1)), number(q3 + R.IQR_FACTOR * (q3 - q1))
+        spread = number(None if std is None else std + R.EPSILON)
+        counts += [F.expr(f"count_if(v{i} < {lo} or v{i} > {hi}) as o{i}"),
+                   F.expr(f"count_if(abs((v{i} - {number(mean)}) / {spread}) > {R.Z_CUT}) as z{i}")]
+        rows.append(f"named_struct('column', {sql_literal(cols[i])}, 'position', {i}L, 'iqr_outliers', o{i}, 'zscore_outliers', z{i}, "
+                    f"'min', round({number(low)}, 2), 'max', round({number(high)}, 2), 'mean', round({number(mean)}, 2), 'std', round({number(std)}, 2), "
+                    f"'pct_of_rows', round(o{i} / {n}L * 100, 2), 'q1', {number(q1)}, 'q3', {number(q3)})")
+    return df.select(*[vals[i].alias(f"v{i}") for i in keep]).agg(*counts).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 # -------------------------------------------------------------------------- A11
-def _corr_long(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(p, r) for each pair index p: pairwise-complete Pearson r, null when
-    a side is constant over the shared rows. Columns are projected to double
-    once, pairs are exploded to rows and grouped by pair id: the aggregate
-    stays three functions whatever the number of pairs (small generated
-    code, partial aggregation in every task)."""
-    names = sorted({c for pr in pairs for c in pr}, key=lambda c: df.columns.index(c))
-    slot = {c: f"v{i}" for i, c in enumerate(names)}
-    v = df.select(*[as_double(df, c).alias(slot[c]) for c in names])
-    items = ", ".join(
-        f"named_struct('p', {p}, 'a', CASE WHEN {slot[b]} IS NOT NULL THEN {slot[a]} END, "
-        f"'b', CASE WHEN {slot[a]} IS NOT NULL THEN {slot[b]} END)" for p, (a, b) in enumerate(pairs))
-    long_df = v.selectExpr(f"explode(array({items})) AS x").select("x.*")
-    g = long_df.groupBy("p").agg(F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"),
-                                 F.stddev_pop("b").alias("sb"))
-    return g.select("p", F.try_divide(F.col("cov"), F.col("sa") * F.col("sb")).alias("r"))
-
-
 def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson r for every pair i < j of ``cols``."""
     cols = list(cols)
-    spark = df.sparkSession
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    meta = spark.createDataFrame([(p, cols[i], cols[j], i, j) for p, (i, j) in enumerate(pairs)],
-                                 "p int, col_a string, col_b string, pos_a long, pos_b long")
+    pairs = [(cols[i], cols[j], i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    meta = df.sparkSession.createDataFrame(pairs, "col_a string, col_b string, pos_a long, pos_b long")
     if not pairs:
-        return meta.select("col_a", "col_b", "pos_a", "pos_b", F.lit(None).cast("double").alias("r"))
-    r = _corr_long(df, [(cols[i], cols[j]) for i, j in pairs])  # one row per pair
-    return meta.join(F.broadcast(r), "p", "left").select("col_a", "col_b", "pos_a", "pos_b", "r")
+        return meta.withColumn("r", F.lit(None).cast("double"))
+    r = correlations(df, cols).where("a < b").select(F.col("a").cast("long").alias("pos_a"), F.col("b").cast("long").alias("pos_b"), "r")
+    return meta.join(F.broadcast(r), ["pos_a", "pos_b"], "left").select(*meta.columns, "r")  # one row per pair
 
 
 def corr_top(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
@@ -219,10 +201,9 @@ def strongest_corr(df: DataFrame, primary: str, cols: Sequence[str]) -> DataFram
     spark = df.sparkSession
     if not others:
         return spark.createDataFrame([], "column string, r double")
-    meta = spark.createDataFrame([(i, c) for i, c in enumerate(others)], "p int, column string")
-    r = _corr_long(df, [(primary, c) for c in others])
-    return (meta.join(F.broadcast(r), "p").where(F.col("r").isNotNull() & ~F.isnan("r"))
-            .orderBy(F.abs("r").desc(), "p").limit(1).select("column", "r"))
+    names = F.array(*[F.lit(c) for c in others])
+    r = correlations(df, [primary, *others], firsts=[0]).where((F.col("b") > 0) & F.col("r").isNotNull() & ~F.isnan("r"))
+    return r.orderBy(F.abs("r").desc(), "b").limit(1).select(F.element_at(names, F.col("b")).alias("column"), "r")
 
 
 # -------------------------------------------------------------------------- A21

@@ -110,7 +110,12 @@ def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: boo
     One scan: columns are unpivoted (an Expand) into one stream of (column key,
     bigint, double, text), of which the column's own kind is set; repeats are
     dropped on the map side, one shuffle brings equal values together and a
-    second, small aggregate counts them per column. A text longer than
+    second, small aggregate counts them per column. Integers, dates, timestamps
+    and booleans go as bitmaps: a value is a bit in the 64-bit word of its 64
+    neighbours, words are merged by OR in every task, so a dense column sends one
+    word instead of up to 64 values and a sparse one no more than its values; the
+    set bits are the distinct count. (Plain hash aggregation: the 4 KB bitmaps of
+    Spark's own functions would sort every row and be ruinous on sparse columns.) A text longer than
     ``DIGEST_CHARS`` that cannot be a number stands in as its 256-bit SHA-2, so
     no long text is shuffled. Per-column metadata (``meta``: name ->
     {field: literal}) is attached by position from a literal array (no join).
@@ -125,34 +130,44 @@ def column_stats(df: DataFrame, meta: dict[str, dict] | None = None, approx: boo
     for i, c in enumerate(cols):
         if is_supported(df, c):
             family, v = _family_value(df, c)
+            bit = F.lit(None)
             if family == "s":
                 texts.append(f"c{i}")
                 long_text = (F.length(v) > DIGEST_CHARS) & ~v.rlike(NUMBER_CHARS)
                 v = F.when(long_text, F.concat(F.lit("#"), F.sha2(v, 256))).otherwise(v)
+            elif family == "l" and not approx:
+                bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
+                v = F.shiftright(v, 6)
             flat[f"c{i}"] = [(v if family == f else F.lit(None)).cast(t).alias(f"{f}{i}") for f, t in FAMILIES.items()]
+            flat[f"c{i}"].append(bit.cast("long").alias(f"b{i}"))
     if not flat:
         return df.sparkSession.createDataFrame(
             [], "column string, position long, " + "".join(f"{f} string, " for f in fields)
             + "rows long, n long, nunique long, numeric_text boolean, lo double, hi double")
-    keys = ", ".join("(" + ", ".join(f + k[1:] for f in FAMILIES) + f") AS {k}" for k in flat)
+    parts = [*FAMILIES, "b"]
+    keys = ", ".join("(" + ", ".join(f + k[1:] for f in parts) + f") AS {k}" for k in flat)
     long_df = df.sparkSession.sql(
-        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS (({', '.join(FAMILIES)}) FOR k IN ({keys}))",
-        wide=df.select(*[v for parts in flat.values() for v in parts]))
-    size = F.coalesce(F.col("l").cast("double"), F.col("d"))
+        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS (({', '.join(parts)}) FOR k IN ({keys}))",
+        wide=df.select(*[v for vs in flat.values() for v in vs]))
     # The first letter ends the first test: no text is rewritten unless it may be a number.
     cleaned = F.regexp_replace("s", MONEY_STRIP, "")
     number = F.col("s").rlike(NUMBER_CHARS) & ((cleaned == "") | cleaned.rlike(NUMBER_SHAPE))
     there = F.coalesce(F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull(), F.lit(False))
-    figures = [F.bool_and(number).alias("text_ok"), F.min(size).alias("lo"), F.max(size).alias("hi")]
+    text_ok = F.bool_and(number).alias("text_ok")
     if approx:
+        size = F.coalesce(F.col("l").cast("double"), F.col("d"))
         g = long_df.groupBy("k").agg(
             F.count(F.lit(1)).alias("rows"), F.count_if(there).alias("n"),
-            F.approx_count_distinct(F.when(there, F.xxhash64("l", "d", "s")), rsd).alias("nunique"), *figures)
+            F.approx_count_distinct(F.when(there, F.xxhash64("l", "d", "s")), rsd).alias("nunique"),
+            text_ok, F.min(size).alias("lo"), F.max(size).alias("hi"))
     else:
-        same = long_df.groupBy("k", *FAMILIES).agg(F.count(F.lit(1)).alias("c"))
+        same = long_df.groupBy("k", *FAMILIES).agg(F.count(F.lit(1)).alias("c"), F.bit_or("b").alias("bits"))
+        first = F.expr("cast(shiftleft(l, 6) | (length(bin(bits)) - length(trim(TRAILING '0' FROM bin(bits)))) as double)")
+        last = F.expr("cast(shiftleft(l, 6) | (length(bin(bits)) - 1) as double)")
         g = same.groupBy("k").agg(
             F.sum("c").alias("rows"), F.coalesce(F.sum(F.when(there, F.col("c"))), F.lit(0)).alias("n"),
-            F.count_if(there).alias("nunique"), *figures)
+            F.coalesce(F.sum(F.when(there, F.coalesce(F.bit_count("bits"), F.lit(1)))), F.lit(0)).cast("long").alias("nunique"),
+            text_ok, F.min(F.coalesce(first, "d")).alias("lo"), F.max(F.coalesce(last, "d")).alias("hi"))
     g = g.withColumn("is_text", F.col("k").isin(texts) if texts else F.lit(False))
     # Column name and metadata by position: a literal array lookup, no join.
     from tablelens.functions.columns import struct_array_sql

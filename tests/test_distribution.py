@@ -150,3 +150,46 @@ def test_sample_without_key_is_uniform(spark, monkeypatch):
     assert len(rows) == 2000 and rows == [tuple(r) for r in D.scatter_sample(df, "store", "y", n=2000).collect()]
     share = pd.Series([r[0] for r in rows]).value_counts(dropna=False)
     assert len(share) == 19 and share.drop(np.nan).between(60, 150).all() and 140 < share[np.nan] < 270
+
+
+def test_correlations_merge_over_tasks_and_large_offsets(spark):
+    # values near 1e9 with a small spread, holes, a column constant where another is present, an empty one
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, 4000)
+    pdf = pd.DataFrame({"a": 1e9 + base, "b": -3e9 + 0.5 * base + rng.normal(0, 1, 4000), "c": rng.normal(0, 1e-3, 4000) + np.arange(4000) * 1e6,
+                        "part": np.where(np.arange(4000) < 1000, 7.1, base), "none": np.full(4000, np.nan), "k": np.full(4000, 0.1)})
+    pdf.loc[::3, "b"] = np.nan
+    pdf["few"] = np.where(np.arange(4000) < 1000, base, np.nan)
+    df = spark.createDataFrame(pdf).repartition(13)
+    want = pdf.corr()
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in D.corr_pairs(df, list(pdf)).collect()}
+    assert len(got) == 21
+    for (x, y), r in got.items():
+        if {x, y} & {"none", "k"} or {x, y} == {"part", "few"}:
+            assert r is None, (x, y)
+        else:
+            assert r == pytest.approx(want.loc[x, y], abs=1e-6), (x, y)
+    assert D.strongest_corr(df, "a", list(pdf)).collect()[0]["column"] == "few"
+    empty = D.corr_pairs(df.limit(0), ["a", "b"]).collect()
+    assert [(r["col_a"], r["col_b"], r["r"]) for r in empty] == [("a", "b", None)]
+
+
+def test_wide_correlations_are_one_scan_without_expand(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    wide = li.selectExpr(*[f"l_extendedprice * {i % 7} + l_quantity * {i} + l_tax as w{i}" for i in range(200)])
+    pairs = D.corr_pairs(wide, wide.columns)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Expand" not in plan and "Generate" not in plan
+    assert pairs.where("r is not null").count() == 200 * 199 // 2
+
+
+def test_quantiles_survive_a_sketch_that_misses(spark, monkeypatch):
+    # brackets of no width seldom hold the rank: later rounds find it
+    from tablelens.operators import quantiles as Qn
+    monkeypatch.setattr(Qn, "SKETCH_SIZE", 8)
+    vals = np.random.default_rng(2).normal(0, 100, 30000)
+    df = spark.createDataFrame(pd.DataFrame({"k": "x", "v": vals}))
+    for reach in (1e-4, 0.02):
+        monkeypatch.setattr(Qn, "RANK_ERROR", reach)
+        got = exact_quantiles(df, "k", "v", [0.01, 0.25, 0.5, 0.51, 0.75])["x"]
+        assert got["n"] == 30000 and all(got[p] == pytest.approx(np.quantile(vals, p), abs=1e-9) for p in (0.01, 0.25, 0.5, 0.51, 0.75))

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pandas as pd
 import pytest
 
@@ -83,3 +85,22 @@ def test_caches_are_released(spark):
     B.underserved(df, "g", "v").collect()
     d.release()
     assert cached().size() == before
+
+
+def test_distinct_counts_by_bitmap(spark):
+    # dense, sparse 64-bit, negative, date, timestamp, boolean, null and hot integer columns
+    import random
+    rnd = random.Random(5)
+    edge = [-2 ** 63, 2 ** 63 - 1, -1, 0, 63, 64, -64, -65]
+    rows = [(i // 3, edge[i] if i < len(edge) else rnd.randrange(-2 ** 63, 2 ** 63), -(i % 500), None, i % 2 == 0, 7 if i % 3 else i,
+             dt.date(1969, 12, 1) + dt.timedelta(days=i % 90), dt.datetime(1960, 1, 1) + dt.timedelta(seconds=i // 2)) for i in range(3000)]
+    names = ["dense", "sparse", "neg", "none", "flag", "hot", "day", "at"]
+    df = spark.createDataFrame(rows, "dense long, sparse long, neg int, none long, flag boolean, hot short, day date, at timestamp_ntz")
+    got = {r["column"]: r for r in Q.column_stats(df).collect()}
+    for i, c in enumerate(names):
+        vals = [r[i] for r in rows if r[i] is not None]
+        assert (got[c]["rows"], got[c]["n"], got[c]["nunique"]) == (3000, len(vals), len(set(vals))), c
+        if c in ("dense", "sparse", "neg", "hot"):
+            assert (got[c]["lo"], got[c]["hi"]) == (float(min(vals)), float(max(vals))), c
+    assert got["none"]["lo"] is None and (got["flag"]["lo"], got["flag"]["hi"]) == (0.0, 1.0)
+    assert got["day"]["lo"] == -31.0 and got["at"]["lo"] == (dt.datetime(1960, 1, 1) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)
