@@ -65,17 +65,20 @@ def ship(spark: SparkSession) -> None:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """Texts (``t``), labels (``y``) and ids' hashes (``k``) of at most
-    ``per_class`` labels of 0 and of 1 each (the first by hash of the id), and the
+    ``per_class`` labelled ids of 0 and of 1 each (the first by hash of the id), and the
     number of all labels by class. The ids are drawn from ``labels`` alone, so
     only that bounded list is sent to the documents; no text is shuffled but the
-    sampled ones. Null labels and ids are left out."""
+    sampled ones. An id counts once a class, however often ``labels`` repeats it;
+    of the rows that share a drawn id the text with the smallest hash stands for
+    all (each task sends one). Null labels and ids are left out."""
     rows = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and i is not null")
-    rows = rows.withColumn("k", F.xxhash64(F.col("i").cast("string")))
     total = dict(rows.groupBy("y").count().collect())
+    rows = rows.distinct().withColumn("k", F.xxhash64(F.col("i").cast("string")))
     parts = [rows.where(F.col("y") == y).orderBy("k", "i").limit(per_class) for y in (0, 1)]
     drawn = cut(parts[0].unionByName(parts[1]))
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return cut(texts.join(F.broadcast(drawn), "i").select("t", "y", "k").repartition(24, "k")), total
+    one = texts.join(F.broadcast(drawn), "i").groupBy("i", "y", "k").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    return cut(one.select("t", "y", "k").repartition(24, "k")), total
 
 
 def partitions(spark: SparkSession) -> int:

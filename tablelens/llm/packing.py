@@ -23,7 +23,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .caches import Bounded
 from .common import cut, ship
 
 
@@ -127,12 +126,18 @@ class WordTokenizer:
     _control = re.compile("[\x1c-\x1f]")
     _plain = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
-    def __init__(self, path: str, cache: int = 350_000):
+    def __init__(self, path: str, cache: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = Bounded(cache)
+        # two generations: when the young one is full it becomes the old one, from which
+        # words that are met again come back, so frequent words stay
+        self.limit, self.known, self.old = max(1, cache // 2), {}, {}
         self._letters: dict[int, str] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self._bytes = [struct.pack("<I", i) for i in range(size)]
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are remembered here
         probe = ["the", "abandoned", "être", "größe", "señor", "x", "çà", "internationally"]
         self.direct = self._stems(probe) == self._encode(probe)
 
@@ -140,7 +145,7 @@ class WordTokenizer:
         """Ids of plain stems straight from the library's model, without the
         steps that leave a lower-case Latin-1 word as it is."""
         from tokenizers import pre_tokenizers
-        level, letters, tokenize = None, self._letters, self.tokenizer.model.tokenize
+        level, letters, tokenize, code = None, self._letters, self.tokenizer.model.tokenize, self._bytes
         out = {}
         for x in stems:
             y = x
@@ -150,7 +155,7 @@ class WordTokenizer:
                         level = level or pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
                         letters[ord(c)] = level.pre_tokenize_str(c)[0][0]
                 y = x.translate(letters)
-            out[x] = struct.pack(f"<{len(t)}I", *[i.id for i in t]) if (t := tokenize(y)) else b""
+            out[x] = b"".join([code[i.id] for i in tokenize(y)])
         return out
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
@@ -165,43 +170,47 @@ class WordTokenizer:
         return out
 
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Words not met before. Latin-1 letters and ASCII signs after them are
-        separate pieces, and the letters count in lower case."""
-        known, split, parts_ids, missing, stems = self.known.get, {}, {}, [], []
-        for x in words:
-            m = self._plain.match(x)
-            split[x] = parts = (m[1].lower(), *([m[2]] if m[2] else [])) if m else (x,)
-            for i, p in enumerate(parts):
-                if p not in parts_ids:
-                    # held here, as the cache may start anew before the words are put together
-                    parts_ids[p] = ids = known(p)
-                    if ids is None:
-                        (stems if m and not i else missing).append(p)
-        fresh = self._encode(missing)
-        fresh.update(self._stems(stems) if self.direct else self._encode(stems))
-        for p, ids in fresh.items():
-            if len(p) <= 64:
-                self.known.put(p, ids)
-        parts_ids.update(fresh)
-        return {x: b"".join([parts_ids[p] for p in parts]) for x, parts in split.items()}
+        """Words not met before, and their parts. Latin-1 letters and ASCII signs
+        after them are separate pieces, and the letters count in lower case."""
+        plain = {x: x.lower() for x in words if x.isascii() and x.isalpha()}
+        split, odd, parts, tails = {}, [], set(plain.values()), set()
+        if len(plain) < len(words):
+            for x in words:
+                if x not in plain:
+                    if m := self._plain.match(x):
+                        split[x] = stem, tail = m[1].lower(), m[2]
+                        parts.add(stem)
+                        tails.add(tail)
+                    else:
+                        odd.append(x)
+        known = [self.known, self.old]
+        out = {p: t[p] for t in known for p in (parts | tails) & t.keys()}
+        stems = [p for p in parts if p not in out]
+        out.update(self._stems(stems) if self.direct else self._encode(stems))
+        out.update(self._encode([*odd, *[p for p in tails if p and p not in out]]))
+        out[""] = b""
+        for x, low in plain.items():
+            out[x] = out[low]
+        for x, (stem, tail) in split.items():
+            out[x] = out[stem] + out[tail]
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        get = self.known.get
         words = [[] if self._control.search(t) else t.split() for t in texts]
-        found = [[get(x) for x in w] for w in words]
-        fresh = self._fresh(list({x: None for w, f in zip(words, found) if None in f for x, y in zip(w, f) if y is None}))
-        out = []
-        for t, w, f in zip(texts, words, found):
-            if not w and t:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            elif None in f:
-                out.append(b"".join([fresh[x] if y is None else y for x, y in zip(w, f)]))
-            else:
-                out.append(b"".join(f))
-        for x, ids in fresh.items():
-            if len(x) <= 64:
-                self.known.put(x, ids)
+        missing = set().union(*words).difference(self.known)
+        back = missing & self.old.keys()
+        fresh = self._fresh(list(missing - back))
+        self.known.update({x: self.old[x] for x in back})
+        self.known.update(fresh)
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, w)) if w or not t else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+               for t, w in zip(texts, words)]
+        for x in fresh:
+            if len(x) > 64:
+                del self.known[x]
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
         return out
 
 

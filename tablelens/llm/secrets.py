@@ -6,8 +6,12 @@ frequencies are statistically compatible (Hoeffding bound) are merged into a
 probabilistic automaton. A second automaton learns ordinary words: shorter runs of
 the same characters, drawn from all texts by occurrence, so that no candidate is
 its own measure, however many credentials of one format there are. Every candidate
-token of the texts is scored by how much likelier the credential formats make it
-than the ordinary one.
+token of the texts, of any length that a labelled credential may have, is scored
+by how much likelier the credential formats make it than the ordinary one; a short
+one must make up in likelihood what it lacks in length.
+
+The texts are read twice, once to learn and once to judge; both passes are linear
+in a text, whatever the number of its spans.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,9 +37,10 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "format")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Shortest candidate token. It must not exceed MIN_ACCESS and MIN_HEX.
-MIN_TOKEN = 20
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_TOKEN)
+#: Length from which evidence per character is enough; shorter tokens need the evidence of as long a one.
+FULL_LENGTH = 20
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min(MIN_ACCESS, MIN_HEX))
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_VALUE)
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 _LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (MIN_ACCESS - 4))
 
@@ -54,15 +60,31 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """Long runs of token characters that touch no base span, end dots cut."""
-    out = []
-    for run in _RUN.finditer(text):
+class Covered:
+    """Whether a stretch touches a base span: sorted, joined spans, bisected."""
+
+    def __init__(self, base: list[tuple[int, int, int, str]]):
+        self.starts, self.ends = [], []
+        for a, _, b, _ in base:
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, str]]:
+    """Runs of token characters that touch no base span, end dots cut, of at
+    least the length of the shortest labelled credential."""
+    covered = Covered(base)
+    for run in _TOKEN.finditer(text):
         token = run[0].rstrip(".")
-        a, b = run.start(), run.start() + len(token)
-        if len(token) >= MIN_TOKEN and not any(s < b and a < e for s, _, e, _ in base):
-            out.append((a, token))
-    return out
+        if len(token) >= MIN_VALUE and not covered.touches(run.start(), run.start() + len(token)):
+            yield run.start(), token
 
 
 #: Places of a text at which an ordinary word is drawn.
@@ -71,18 +93,19 @@ _TAIL, _HEAD = re.compile(r"[A-Za-z0-9+/_.=-]*\Z"), re.compile(r"[A-Za-z0-9+/_.=
 
 
 def words(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[float, str]]:
-    """(rank, word): the runs of token characters, shorter than a candidate and
-    touching no base span, at random places of the text. A copy has the same
+    """(rank, word): the runs of token characters, shorter than ``FULL_LENGTH``
+    and touching no base span, at random places of the text. A copy has the same
     ones; a rank is a uniform random number."""
     out = []
     if text:
+        covered = Covered(base)
         draw = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))).random
         for _ in range(PLACES):
             at, rank = int(draw() * len(text)), draw()
-            left = _TAIL.search(text[max(0, at - MIN_TOKEN):at])[0]
-            word = left + _HEAD.match(text[at:at + MIN_TOKEN])[0]
+            left = _TAIL.search(text[max(0, at - FULL_LENGTH):at])[0]
+            word = left + _HEAD.match(text[at:at + FULL_LENGTH])[0]
             a, b = at - len(left), at - len(left) + len(word)
-            if at < b and len(word) < MIN_TOKEN and not any(s < b and a < e for s, _, e, _ in base):
+            if at < b and len(word) < FULL_LENGTH and not covered.touches(a, b):
                 out.append((rank, word))
     return out
 
@@ -140,8 +163,6 @@ class Automaton:
                     if abs(self.count[a].get(c, 0) / na - self.count[b].get(c, 0) / nb) >= bound:
                         return False
             todo += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c]]
-            if len(todo) > 100_000:
-                return False
         return True
 
     def _merge(self, r: int, b: int, red: list[int]) -> None:
@@ -160,7 +181,7 @@ class Automaton:
                 elif self.next[a][c] != t:
                     todo.append((self.next[a][c], t))
 
-    def score(self, token: str, classes: str) -> float:
+    def score(self, classes: str) -> float:
         """Log likelihood per character, given that the token goes on; what was
         never seen costs as one in a thousand."""
         at, total = 0, 0.0
@@ -170,7 +191,7 @@ class Automaton:
             p = (here.get(c, 0) + 0.001 * max(n, 1)) / (1.01 * max(n, 1))
             total += math.log(p / _SIZE.get(c, 1))
             at = self.next[at].get(c, at) if at is not None else None
-        return total / max(1, len(token))
+        return total / max(1, len(classes))
 
 
 @dataclass
@@ -180,49 +201,67 @@ class Formats:
     credentials: list[Automaton]
     ordinary: Automaton | None
     margin: float = 1.0
+    #: Verdicts by class string; texts share these by the thousand.
+    known: dict[str, bool] = field(default_factory=dict)
 
     def secret(self, token: str) -> bool:
         if not self.credentials or self.ordinary is None:
             return False
         classes = symbols(token)
-        return max(a.score(token, classes) for a in self.credentials) - self.ordinary.score(token, classes) > self.margin
+        verdict = self.known.get(classes)
+        if verdict is None:
+            lead = max(a.score(classes) for a in self.credentials) - self.ordinary.score(classes)
+            verdict = lead * len(classes) > self.margin * max(len(classes), FULL_LENGTH)
+            if len(classes) <= 64 and len(self.known) < 500_000:
+                self.known[classes] = verdict
+        return verdict
 
 
-_SCAN = "base array<struct<start:int,kind:int,end:int,value:string>>, tokens array<struct<start:int,value:string>>, words array<struct<rank:double,value:string>>"
+_SCAN = "base array<struct<kind:int,value:string>>, words array<struct<rank:double,value:string>>"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__tl_found`` (struct): the base spans and the candidate tokens
-    of each whole text, and some of its words; null counts as empty."""
+    """What there is to learn from in each whole text: the credentials that the
+    base patterns label (``base``) and some of its words; null counts as empty."""
     ship(docs.sparkSession)
 
     @F.pandas_udf(_SCAN)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             base = [base_spans(t or "") for t in texts]
-            tokens = [candidates(t or "", b) for t, b in zip(texts, base)]
-            yield pd.DataFrame({"base": [[{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in b] for b in base],
-                                "tokens": [[{"start": s, "value": v} for s, v in c] for c in tokens],
+            yield pd.DataFrame({"base": [[{"kind": k, "value": v} for _, k, _, v in b if len(v) <= LONGEST] for b in base],
                                 "words": [[{"rank": r, "value": w} for r, w in words(t or "", b)] for t, b in zip(texts, base)]})
 
-    return docs.withColumn("__tl_found", find(F.col(text_col)))
+    return docs.select(find(F.col(text_col)).alias("found")).select("found.*")
+
 
+#: Longest string that trains an automaton, and characters of all that train one (a bound on the prefix tree).
+LONGEST, CHARACTERS = 4096, 250_000
 
-def learn(found: DataFrame, per_kind: int = 2000, max_length: int = 128, margin: float = 1.0, ordinary: int = 10_000) -> Formats:
-    """Automata from bounded samples: of each kind the first ``per_kind``
-    distinct strings by hash, cut to ``max_length`` characters in training only,
-    and the first ``ordinary`` words by rank (copies of a text count once). A
-    format holds in swapped case too. No labelled credentials: no formats. Only where the texts hold no words do the
-    candidates stand for them."""
-    base = found.select(F.explode("__tl_found.base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
-    cut_to = lambda rows: rows.select(F.substring("value", 1, max_length).alias("value")).distinct()
-    first = lambda rows: [r[0] for r in cut_to(rows).orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()]
-    credentials = [strings for k in range(3) if (strings := first(base.where(F.col("kind") == k)))]
+
+def learn(found: DataFrame, per_kind: int = 2000, margin: float = 1.0, ordinary: int = 10_000) -> Formats:
+    """Automata from bounded samples of whole strings: of each kind the first
+    ``per_kind`` distinct strings by hash (of at most ``LONGEST`` characters each and
+    ``CHARACTERS`` together), and the first ``ordinary`` words by rank (copies of a
+    text count once). A format holds in swapped case too. No labelled
+    credentials, or no words: no formats."""
+    base = found.select(F.explode("base").alias("b")).select(F.col("b.kind").alias("kind"), F.col("b.value").alias("value"))
+
+    def first(kind: int) -> list[str]:
+        rows = base.where(F.col("kind") == kind).select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(per_kind)
+        out, left = [], CHARACTERS
+        for (value,) in rows.toLocalIterator():
+            left -= len(value)
+            if left < 0 and out:
+                break
+            out.append(value)
+        return out
+
+    credentials = [strings for k in range(3) if (strings := first(k))]
     if not credentials:
         return Formats([], None, margin)
-    drawn = found.select(F.explode("__tl_found.words").alias("w")).select("w.rank", "w.value").distinct()
+    drawn = found.select(F.explode("words").alias("w")).select("w.rank", "w.value").distinct()
     plain = [r["value"] for r in drawn.orderBy("rank", "value").limit(ordinary).collect()]
-    plain = plain or first(found.select(F.explode("__tl_found.tokens").alias("t")).select("t.value"))
     credentials += [[v.swapcase() for v in strings] for strings in credentials]
     automata = [Automaton([symbols(v) for v in strings]) for strings in [*credentials, plain] if strings]
     return Formats(automata[:len(credentials)], automata[-1] if plain else None, margin)
@@ -233,22 +272,24 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep_text: bool = True
     points, end exclusive), sorted by start and kind. Base spans always stay;
     formats add spans of candidates. Null and empty texts have none; repeated
     rows have the same ones; a column of that name is replaced; an empty table
-    gives no rows. The texts are read once; what was found in them is staged for learning, with the
-    other columns, but without the text unless it is kept."""
-    found = scan(docs.drop(out_col), text_col)
-    found = stage(found if keep_text else found.drop(text_col), "secrets")
-    formats = learn(found)
+    gives no rows. Only the labelled credentials and drawn words of the texts are
+    staged for learning; without ``keep_text`` the text is left out of the result."""
+    docs = docs.drop(out_col)
+    formats = learn(stage(scan(docs, text_col), "secrets"))
 
-    @F.pandas_udf("array<int>")
-    def secret(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for tokens in batches:
-            yield pd.Series([[int(formats.secret(t)) for t in ts] if ts is not None else [] for ts in tokens])
+    @F.pandas_udf("array<struct<start:int,kind:int,end:int>>")
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                base = base_spans(t or "")
+                found = [(a, k, b) for a, k, b, _ in base]
+                found += [(a, 3, a + len(token)) for a, token in candidates(t or "", base) if formats.secret(token)]
+                out.append([{"start": a, "kind": k, "end": b} for a, k, b in sorted(found)])
+            yield pd.Series(out)
 
-    is_secret = secret(F.transform("__tl_found.tokens", lambda t: t["value"]))
-    base = F.transform("__tl_found.base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    more = F.transform(F.filter(F.arrays_zip(F.col("__tl_found.tokens").alias("t"), F.col("__tl_hit").alias("hit")), lambda x: x["hit"] == 1),
-                       lambda x: F.struct(x["t"]["start"].alias("start"), F.lit(3).alias("kind"), (x["t"]["start"] + F.length(x["t"]["value"])).alias("end")))
-    return found.withColumn("__tl_hit", is_secret).withColumn(out_col, F.array_sort(F.concat(base, more))).drop("__tl_found", "__tl_hit")
+    marked = docs.withColumn(out_col, spans(F.col(text_col)))
+    return marked if keep_text else marked.drop(text_col)
 
 
 def joined(spans: Column) -> Column:
@@ -256,14 +297,25 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def hide(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with the sorted spans replaced; overlapping ones by one mark."""
+    pieces, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            pieces += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*pieces, text[at:]])
+
+
 def mask(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", spans_col: str = "secrets") -> DataFrame:
     """``docs`` (with ``spans_col``) with the spans of ``text_col`` replaced by
     ``mark``, overlapping ones together; texts without spans stay as they are."""
-    span = "array<struct<start:int,end:int>>"
-    merged = F.aggregate(spans_col, F.array().cast(span), lambda done, s: F.when(
-        (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1),
-                 F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).cast(span))
-    hidden = F.aggregate(F.reverse(merged), F.col(text_col), lambda t, s: F.overlay(t, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
-    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, hidden).otherwise(F.col(text_col)))
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def hidden(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([hide(t, list(zip(a, b)), mark) if t is not None and a is not None and len(a) else t for t, a, b in zip(texts, starts, ends)], dtype=object)
+
+    some = F.size(spans_col) > 0
+    given = [F.when(some, F.col(text_col)), F.when(some, F.transform(spans_col, lambda s: s["start"])), F.when(some, F.transform(spans_col, lambda s: s["end"]))]
+    return docs.withColumn(text_col, F.when(some, hidden(*given)).otherwise(F.col(text_col)))

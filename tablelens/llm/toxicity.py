@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, ship
+from .common import cut, labelled_sample, ship
 
 # fixed values: look-alikes of Latin letters, and digits and signs that stand for letters
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛѡвкмнтгαβεικνορτυχ", "aeopcyxijshdqwbkmhtraeeiknoptux"))
@@ -99,7 +100,14 @@ def measure(folded: str, automaton) -> tuple[float, int]:
         elif w > best.get(at, 0.0):
             best[at] = w
     if spared:
-        best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
+        starts, ends = [], []
+        for a, b in sorted(spared):
+            if starts and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        best = {at: w for at, w in best.items() if (i := bisect_right(starts, at)) == 0 or at >= ends[i - 1]}
     return sum(best.values()), words
 
 
@@ -136,11 +144,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2) -
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          per_class: int = 1500, min_docs: int = 4, min_share: float = 0.015, max_terms: int = 2000, exceptions: list[str] | None = None) -> Model:
+          per_class: int = 1500, min_docs: int = 4, chance: float = 0.05, exceptions: list[str] | None = None) -> Model:
     """Learn from the documents that ``labels`` marks outside the held-out fifth.
-    The sample is bounded by ``per_class`` rows of each class, whatever their
-    number. A term must stand in ``min_docs`` and ``min_share`` of the sampled
-    toxic rows. Rows without a label are left out; without two classes nothing
+    The sample is bounded by ``per_class`` ids of each class, whatever their
+    number. A term must stand in ``min_docs`` of the sampled toxic rows, and so
+    much oftener there than in clean ones that among all terms tested less than
+    ``chance`` one would by luck (Chernoff bound of the binomial tail). So the rarer
+    the toxic rows of a sample, the fewer of them a term needs. Rows without a label are left out; without two classes nothing
     is learned and the score is the share of ones. ``exceptions``: phrases to
     spare beside those learned (neighbouring words that the term shows mostly in
     clean rows)."""
@@ -158,11 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 terms = sorted(terms_of(fold(batch.column(0)[i].as_py())))
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([batch.column(1)[i].as_py()] * len(terms), pa.int32())], ["term", "y"])
 
-    least = max(min_docs, math.ceil(min_share * n[1]))
     counts = (sample.select("t", "y").mapInArrow(count_terms, "term string, y int").groupBy("term")
-              .agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where(F.col("bad") >= least))
+              .agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where(F.col("bad") >= min_docs))
+    counts = cut(counts)
+    tested, base = counts.count(), n[1] / (n[0] + n[1])
+    both = F.col("bad") + F.col("good")
+    surprise = F.col("bad") * F.log(F.col("bad") / (both * base)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - base)))).otherwise(0.0)
+    sure = surprise >= math.log(max(1, tested) / chance)
     odds = F.log((F.col("bad") + 0.05) / (n[1] + 0.1)) - F.log((F.col("good") + 0.05) / (n[0] + 0.1))
-    best = (counts.withColumn("w", odds).where("w > 2").orderBy((F.col("bad") * F.col("w")).desc(), "term").limit(max_terms).collect())
+    best = (counts.withColumn("w", odds).where((F.col("w") > 2) & sure).collect())
     model = Model(exceptions=[fold(e) for e in exceptions or []])
     child: dict[str, int] = {}
     for r in best:
@@ -197,9 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     phrases = (sample.select("t", "y").mapInArrow(contexts, "term string, y int").groupBy("term")
                .agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-               .where((F.col("good") >= min_docs) & (F.col("good") / n[0] > 4 * F.col("bad") / n[1]))
-               .orderBy(F.col("good").desc(), "term").limit(max_terms).collect())
-    model.exceptions += [r.term for r in phrases]
+               .where((F.col("good") >= min_docs) & (F.col("good") / n[0] > 4 * F.col("bad") / n[1])).collect())
+    model.exceptions += sorted(r.term for r in phrases)
     spared = model.exceptions
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
