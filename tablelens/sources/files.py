@@ -53,13 +53,14 @@ def csv_to_parquet(spark: SparkSession, path: str, target: str) -> DataFrame:
 
 
 def infer_types(text: DataFrame) -> DataFrame:
-    """Types of a frame of text columns. NA words become null; a column
+    """Types of a frame of text columns. Cells that are an NA word as they
+    stand (padded ones and blanks are text) become null; a column
     becomes bigint (decimal(38,0) if a value needs it), double or boolean only
     if every non-missing value has that shape (one aggregate decides all
     columns), else it keeps its text as it stands, blanks included."""
     if not text.columns:
         return text
-    cleaned = text.select(*[F.when(~F.trim(qcol(c)).isin(NA_WORDS), qcol(c)).alias(c) for c in text.columns])
+    cleaned = text.select(*[F.when(~qcol(c).isin(NA_WORDS), qcol(c)).alias(c) for c in text.columns])
     aggs = []
     for i, c in enumerate(cleaned.columns):
         v = F.trim(qcol(c))
