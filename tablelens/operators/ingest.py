@@ -91,21 +91,28 @@ def layout_shape(fmt: str) -> str:
     return "^" + "".join(FIELD_SHAPES[field] if field else re.escape(char) for field, char in parts) + "$"
 
 
+def detect_date_formats(df: DataFrame, cols: list[str]) -> dict[str, str]:
+    """{column: first layout under which every non-null value parses}, for
+    the columns that have one. One aggregate decides all columns: a value's
+    possible layouts are the bits of a mask, and masks are merged by AND."""
+    if not cols:
+        return {}
+    aggs = []
+    for i, c in enumerate(cols):
+        v = qcol(c).cast("string")
+        mask = F.lit(0).cast("long")
+        for k, fmt in enumerate(DATE_FORMATS):
+            # Parsing sees only texts of the layout's shape: a failed parse is dear.
+            fits = F.try_to_timestamp(F.when(v.rlike(layout_shape(fmt)), v), F.lit(fmt)).isNotNull()
+            mask = mask + F.when(fits, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+        aggs.append(F.bit_and(F.when(v.isNotNull(), mask)).alias(f"m{i}"))
+    r = df.agg(*aggs).collect()[0]
+    return {c: DATE_FORMATS[(m & -m).bit_length() - 1] for i, c in enumerate(cols) if (m := r[f"m{i}"])}
+
+
 def detect_date_format(df: DataFrame, col: str) -> str | None:
-    """First layout under which every non-null value of the column parses;
-    None if no layout fits them all."""
-    s = df.select(qcol(col).cast("string").alias("v")).where(F.col("v").isNotNull())
-    # Parsing sees only texts of the layout's shape: a failed parse is dear.
-    checks = [F.bool_and(F.try_to_timestamp(F.when(F.col("v").rlike(layout_shape(fmt)), F.col("v")), F.lit(fmt))
-                         .isNotNull()).alias(f"f{i}")
-              for i, fmt in enumerate(DATE_FORMATS)]
-    r = s.agg(F.count(F.lit(1)).alias("n"), *checks).collect()[0]
-    if not r["n"]:
-        return None
-    for i, fmt in enumerate(DATE_FORMATS):
-        if r[f"f{i}"]:
-            return fmt
-    return None
+    """T3 for one column; None if no layout fits all values."""
+    return detect_date_formats(df, [col]).get(col)
 
 
 def date_value(c, fmt: str) -> F.Column:

@@ -10,6 +10,8 @@ key and broadcast joins here are bounded by the calendar span, not by data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,26 @@ def mom_trend_kpi(df: DataFrame, date_col: str, measure: str) -> DataFrame:
         F.when(ok, raw >= 0).alias("trend_up"))
 
 
+def mom_trends_kpi(df: DataFrame, date_col: str, measures: Sequence[str]) -> DataFrame:
+    """W5 for several measures from one scan: (i, trend_pct, trend_up), i the
+    measure's place. All measures are columns of one sum by month; what follows
+    has one row per month and measure."""
+    sums = [f for i, c in enumerate(measures) for f in (F.sum(as_double(df, c)).alias(f"v{i}"), F.count(as_double(df, c)).alias(f"n{i}"))]
+    months = df.groupBy(F.last_day(as_date(df, date_col)).alias("month")).agg(*sums).where("month is not null")
+    each = ", ".join(f"named_struct('i', {i}, 'value', v{i}, 'n', n{i})" for i in range(len(measures)))
+    w = Window.partitionBy("i").orderBy("month")
+    t = (months.selectExpr("month", f"inline(array({each}))").where("n > 0")
+         .select("i", "month", "value", F.lag("month").over(w).alias("before"), F.lag("value").over(w).alias("own"),
+                 F.lead("month").over(w).alias("after")).where("after is null"))
+    # a gap month before the last one counts 0; a first month has none before
+    adjacent = F.col("before") == F.last_day(F.add_months(F.trunc("month", "MM"), -1))
+    previous = F.when(adjacent, F.col("own")).when(F.col("before").isNotNull(), F.lit(0.0))
+    t = t.withColumn("previous", previous)
+    raw = (F.col("value") - F.col("previous")) / F.abs(F.col("previous")) * 100
+    ok = F.col("previous").isNotNull() & (F.abs(F.col("previous")) >= 1e-9)
+    return t.select("i", F.when(ok, F.round(raw, 1)).alias("trend_pct"), F.when(ok, raw >= 0).alias("trend_up"))
+
+
 def mom_trend_insight(df: DataFrame, date_col: str, measure: str) -> DataFrame:
     """The insight/chat form, (cur-prev)/(|prev|+1e-9)*100; needs 2 months."""
     return mom_trend_of(monthly_sum(df, date_col, measure))

@@ -11,14 +11,13 @@ job for the month-over-month trends of all measures (W5). The cards are rows of
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import rules as R
 from tablelens.functions.columns import as_double, as_timestamp, is_numeric, qcol
-from tablelens.operators.monthly import mom_trend_kpi
+from tablelens.operators.monthly import mom_trends_kpi
 from tablelens.plans.profile import Profile
 
 
@@ -103,12 +102,10 @@ def duties(df: DataFrame, profile: Profile) -> Duties:
 
 def _trends(df: DataFrame, date_col: str | None, measures: list[str]) -> dict[str, tuple]:
     """{measure: (percent, up)} of the last month against the one before (W5):
-    one job for all measures."""
+    one scan for all measures."""
     if not date_col or not measures:
         return {}
-    frames = [mom_trend_kpi(df, date_col, c).select(F.lit(i).alias("i"), "trend_pct", "trend_up")
-              for i, c in enumerate(measures)]
-    return {measures[r["i"]]: (r["trend_pct"], r["trend_up"]) for r in reduce(DataFrame.unionByName, frames).collect()}
+    return {measures[r["i"]]: (r["trend_pct"], r["trend_up"]) for r in mom_trends_kpi(df, date_col, measures).collect()}
 
 
 # ---------------------------------------------------------------------------

@@ -1,10 +1,10 @@
 """Profiling (P1, P3-P6, P8): column roles, business meanings, primary
 measure, per-column profile and the capped JSON summary.
 
-Cost: one aggregate for the numeric-text test over all text columns, one
-50-row probe per date-named text column, and one distinct-count pass
-(``quality.distinct_counts``) for all columns together. The decisions
-themselves are made on the driver over one small row per column.
+Cost: one aggregate for the date layouts of all date-named text columns (if
+there are any) and one pass (``quality.column_stats``) for all columns
+together. The decisions themselves are made on the driver over one small row
+per column.
 """
 
 from __future__ import annotations
@@ -121,15 +121,19 @@ def pick_primary_measure(df: DataFrame, numeric_cols: list[str], template: str |
     return (best or numeric_cols[0]), "largest_sum"
 
 
-def role_frame(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+def date_layouts(df: DataFrame) -> dict[str, str]:
+    """{date-named text column: its layout}, for those whose values all have one."""
+    return I.detect_date_formats(df, [c for c in df.columns if column_kind(df, c) == "string" and N.matches(c, N.DATE_HINTS)])
+
+
+def role_frame(df: DataFrame, approx_distinct: bool = False, layouts: dict[str, str] | None = None) -> DataFrame:
     """(column, position, rows, n, nuniq, role) for every column. One
     job computes counts, distinct counts and the numeric-text test for all
     columns (``quality.column_stats``); name tests ride along as literals.
     Date-named text columns are tested as a whole first."""
     cols = df.columns
     kinds = {c: column_kind(df, c) for c in cols}
-    date_ok = {c for c in cols if kinds[c] == "string" and N.matches(c, N.DATE_HINTS)
-               and I.detect_date_format(df, c) is not None}
+    date_ok = date_layouts(df) if layouts is None else layouts
     meta = {c: {"kind": kinds[c], "id_name": N.matches(c, N.ID_HINTS), "date_ok": c in date_ok} for c in cols}
     st = column_stats(df, meta, approx=approx_distinct).withColumnRenamed("nunique", "nuniq")
     out = st.select("column", "position", "rows", "n", "nuniq", role_expr().alias("role"), "lo", "hi")
@@ -150,7 +154,8 @@ def role_frame(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
 def build_profile(df: DataFrame, template: str | None = None, approx_distinct: bool = False) -> Profile:
     """P1+P3+P4+P6 in one call (the role frame has one row per column)."""
     cols = df.columns
-    rf = {r["column"]: r for r in role_frame(df, approx_distinct).collect()}
+    layouts = date_layouts(df)
+    rf = {r["column"]: r for r in role_frame(df, approx_distinct, layouts).collect()}
     rows = max([int(r["rows"]) for r in rf.values()], default=0)
     if rows == 0 and cols:
         rows = df.count()
@@ -169,10 +174,7 @@ def build_profile(df: DataFrame, template: str | None = None, approx_distinct: b
     else:
         dtype = "Unstructured"
     numeric_text = [c for c in schema["numeric"] if is_string(df, c)]
-    date_formats = {}
-    for c in schema["date"]:
-        if is_string(df, c):
-            date_formats[c] = I.detect_date_format(df, c)
+    date_formats = {c: layouts[c] for c in schema["date"] if c in layouts}
     bounds = {c: (rf[c]["lo"], rf[c]["hi"]) for c in cols
               if c in rf and is_numeric(df, c) and rf[c]["lo"] is not None}
     return Profile(roles=roles, schema=schema, semantic_roles=semantic_roles(schema), rows=rows,

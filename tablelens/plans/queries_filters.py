@@ -157,12 +157,13 @@ def preview(spark, sf):
 
 
 @register("csv_infer", """
-select 'bigint double boolean string decimal(38,0) bigint string' as types, count(*) as rows,
+select 'bigint double boolean string decimal(38,0) bigint string string string' as types, count(*) as rows,
        cast(sum(l_orderkey) as bigint) as whole, round(sum(l_extendedprice), 2) as fraction,
        count(*) filter (where l_linenumber % 2 = 0) as yes, min(length(' ' || l_shipmode)) as padded,
        '9' || lpad(cast(max(l_orderkey) as varchar), 24, '0') as large,
        count(*) filter (where l_linenumber % 3 <> 0) as present,
-       count(distinct 'line' || chr(10) || l_returnflag) as texts
+       count(distinct 'line' || chr(10) || l_returnflag) as texts,
+       count(*) as padded_na, count(*) filter (where l_linenumber % 3 <> 0) as blanks
 from (select *, l_returnflag as l_shipmode from lineitem)""")
 def csv_infer(spark, sf):
     """T1b over text columns as a CSV reader gives them."""
@@ -171,13 +172,16 @@ def csv_infer(spark, sf):
         "if(l_linenumber % 2 = 0, 'True', 'FALSE') as flag", "concat(' ', l_returnflag) as padded",
         "concat('9', lpad(cast(l_orderkey as string), 24, '0')) as large",
         "if(l_linenumber % 3 = 0, 'NA', cast(l_linenumber as string)) as present",
-        "concat('line\\n', l_returnflag) as texts")
+        "concat('line\\n', l_returnflag) as texts",
+        "if(l_linenumber % 2 = 0, ' NA ', l_returnflag) as padded_na",
+        "case l_linenumber % 3 when 0 then 'null' when 1 then '  ' else l_returnflag end as blanks")
     typed = IO.infer_types(text)
     return finish(typed.agg(
         F.lit(" ".join(t for _, t in typed.dtypes)).alias("types"), F.count(F.lit(1)).alias("rows"),
         F.sum("whole").alias("whole"), F.sum("fraction").alias("fraction"), F.count_if("flag").alias("yes"),
         F.min(F.length("padded")).alias("padded"), F.max("large").cast("string").alias("large"),
-        F.count("present").alias("present"), F.count_distinct("texts").alias("texts")))
+        F.count("present").alias("present"), F.count_distinct("texts").alias("texts"),
+        F.count("padded_na").alias("padded_na"), F.count("blanks").alias("blanks")))
 
 
 # Text layouts of one date column, each to be detected from all its values.
@@ -196,7 +200,7 @@ def detect_dates(spark, sf):
     mixed = F.when(F.col("o_orderkey") == first, F.lit("n/k")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     text = o.select(*[F.date_format("o_orderdate", fmt).alias(name) for name, fmt in _LAYOUTS.items()],
                     mixed.alias("mixed"))
-    found = {c: ING.detect_date_format(text, c) for c in text.columns}
+    found = {**dict.fromkeys(text.columns), **ING.detect_date_formats(text, text.columns)}
     dates = ING.coerce_dates(text, {c: fmt for c, fmt in found.items() if fmt})
     figures = []
     for c in text.columns:

@@ -27,3 +27,9 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, QUERIES[name], ORACLE.get(name), SF, con)
     assert r["ok"] is not False, r
+
+
+def test_entry_survives_operators_that_cannot_be_imported(monkeypatch):
+    import sys
+    monkeypatch.setitem(sys.modules, "tablelens.llm.queries", None)  # importing it raises ImportError
+    assert set(E.queries()) == set(QUERIES) and set(E.oracle_sql()) == set(ORACLE)

@@ -121,3 +121,21 @@ def test_dashboard_approx_mode(staff):
     assert d.profile.roles["dept"] == "categorical" and res["kpis"][0]["value"] == 120
     assert any(r["section"] == "outliers" for r in res["insights"])
     d.release()
+
+
+def test_trends_of_all_measures_from_one_scan(spark):
+    import datetime as dt
+
+    from tablelens.operators.monthly import mom_trend_kpi, mom_trends_kpi
+    day = dt.date
+    rows = [(day(2024, 1, 5), 1.0, 5.0, None, 2.0), (day(2024, 1, 20), 3.0, None, None, 0.0), (day(2024, 3, 31), 6.0, 7.0, 4.0, None),
+            (day(2024, 4, 1), -2.0, None, None, None), (None, 9.0, 9.0, 9.0, 9.0), (day(2024, 2, 29), None, None, None, -2.0)]
+    df = spark.createDataFrame(rows, "d date, a double, b double, c double, z double")
+    measures = ["a", "b", "c", "z"]
+    got = {measures[r["i"]]: (r["trend_pct"], r["trend_up"]) for r in mom_trends_kpi(df, "d", measures).collect()}
+    for c in measures:  # each as from its own dense series: a gap month counts 0
+        one = mom_trend_kpi(df, "d", c).collect()
+        assert got[c] == (one[0]["trend_pct"], one[0]["trend_up"]), c
+    assert got["a"] == (-133.3, False) and got["b"] == (None, None) and got["z"] == (-200.0, False)
+    plan = mom_trends_kpi(df, "d", measures)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Union" not in plan

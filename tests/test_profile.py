@@ -74,3 +74,13 @@ def test_empty_and_all_null(spark):
     assert p.rows == 0 and p.roles == {"a": None, "b": None} and p.dataset_type == "Unstructured"
     nulls = spark.createDataFrame([(1, None), (2, None)], "a long, b string")
     assert P.build_profile(nulls).roles["b"] is None
+
+
+def test_date_layouts_of_all_columns_by_one_mask(spark):
+    df = spark.createDataFrame([("2024-01-31", "31/01/2024", "Jan 5, 2024", "x", None), ("2024-02-29", "01/02/2024", None, "2024-01-01", None)],
+                               "a string, b string, c string, d string, e string")
+    assert I.detect_date_formats(df, df.columns) == {"a": "yyyy-MM-dd", "b": "dd/MM/yyyy", "c": "MMM d, yyyy"}
+    assert I.detect_date_formats(df, []) == {} and I.detect_date_formats(df.limit(0), ["a"]) == {}
+    # a value that two layouts fit keeps both until another decides
+    both = spark.createDataFrame([("01/02/2024",), ("13/02/2024",)], "a string")
+    assert I.detect_date_format(both, "a") == "dd/MM/yyyy" and I.detect_date_format(both.limit(1), "a") in ("MM/dd/yyyy", "dd/MM/yyyy")

@@ -94,3 +94,9 @@ def test_csv_quotes_breaks_blanks_and_large_numbers(spark):
                                                             (2, "two\nlines", 5, "a")]
     again = IO.csv_to_parquet(spark, path, os.path.join(tempfile.mkdtemp(prefix="tl-csv-"), "out"))
     assert [tuple(r) for r in again.orderBy("id").collect()] == rows
+
+
+def test_padded_na_words_and_blanks_are_text(spark):
+    df = IO.infer_types(spark.createDataFrame([(" NA ", "1"), ("  ", "NA"), ("q", ""), ("NA", " 2 ")], "a string, n string"))
+    assert dict(df.dtypes) == {"a": "string", "n": "bigint"}
+    assert [r["a"] for r in df.collect()] == [" NA ", "  ", "q", None] and [r["n"] for r in df.collect()] == [1, None, None, 2]
