@@ -3,13 +3,12 @@ inference, Parquet read, empty-table guard, CSV/Parquet write, preview."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions import rules as R
 from tablelens.functions.columns import is_supported, is_temporal, qcol
+from tablelens.sources.csv_records import read_lines, read_records
 
 # ---------------------------------------------------------------------------
 # Text read as missing in a CSV cell (the default NA words of
@@ -26,24 +25,29 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _read_text_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    # A quoted line break can only be told from a record's end by reading from
-    # the file's start, so a file is one task; many files are read side by side.
+#: Quoted line breaks, doubled quotes; the rest as Spark reads a CSV.
+CSV_OPTIONS = {"multiLine": "true", "escape": '"'}
+
+
+def _one_task_per_file(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return (spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .options(**CSV_OPTIONS).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """IO1/T1b: header CSV with quoted line breaks and doubled quotes. Read as
-    UTF-8, or as Latin-1 if any cell holds a replacement character; then
-    ``infer_types``. Every job parses the text again: for more than one, use
-    ``csv_to_parquet``."""
-    df = _read_text_csv(spark, path, "UTF-8")
-    if df.columns:
-        bad = reduce(lambda a, b: a | b, [F.coalesce(qcol(c).contains("\ufffd"), F.lit(False)) for c in df.columns])
-        if df.where(bad).limit(1).count() > 0:
-            df = _read_text_csv(spark, path, "ISO-8859-1")
-    return infer_types(df)
+    UTF-8, or as Latin-1 if a line is not valid UTF-8; then ``infer_types``.
+    Files are read in byte ranges side by side (``csv_records``); files whose only
+    line ends are lone carriage returns are one task each. Every job parses the
+    text again: for more than one, use ``csv_to_parquet``."""
+    lines = read_lines(spark, path)
+    seen = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("line")).alias("bad"),
+                     F.count_if(F.regexp_like("line", F.lit(r"\r[^\n]"))).alias("returns")).first()
+    latin = bool(seen["bad"])
+    plain = _one_task_per_file(spark, path, "ISO-8859-1" if latin else "UTF-8")
+    if not plain.columns or (seen["returns"] and seen["n"] <= len(plain.inputFiles())):
+        return infer_types(plain)
+    return infer_types(read_records(spark, path, plain.columns, CSV_OPTIONS, latin))
 
 
 def csv_to_parquet(spark: SparkSession, path: str, target: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tablelens.operators import text as X
@@ -100,3 +101,43 @@ def test_padded_na_words_and_blanks_are_text(spark):
     df = IO.infer_types(spark.createDataFrame([(" NA ", "1"), ("  ", "NA"), ("q", ""), ("NA", " 2 ")], "a string, n string"))
     assert dict(df.dtypes) == {"a": "string", "n": "bigint"}
     assert [r["a"] for r in df.collect()] == [" NA ", "  ", "q", None] and [r["n"] for r in df.collect()] == [1, None, None, 2]
+
+
+def test_csv_in_byte_ranges_equals_one_task_and_pandas(spark):
+    """Quoted breaks, doubled and stray quotes, blank lines and short records, with
+    a range's edge at every place of the text. With CRLF the cells are those of
+    pandas, which keeps a quoted CRLF (Spark's whole-file reader makes it a line feed)."""
+    text = ('id,"na\nme",note\n1,plain,x\n2,"two\nlines, ""q""\n\nend",y\n\n3,5" pipe,z\n'
+            '4,"",""\n5,"""open\n,""\n""",u\n6,"a\nb","c\nd"\n7,"long\n1\n2\n3\n4\n5\n6\n7\n8\n9\n",k\n8,short\n9,é,"last\n"')
+    d = tempfile.mkdtemp(prefix="tl-csv-")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, body in [("lf", text), ("crlf", text.replace("\n", "\r\n"))]:
+        path = os.path.join(d, f"{name}.csv")
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.write(body)
+        cells = pd.read_csv(path, dtype=str, keep_default_na=False, na_values=[""])
+        want = [tuple(None if pd.isna(c) else c for c in r) for r in cells.itertuples(index=False)]
+        assert len(want) == 9
+        if name == "lf":
+            assert [tuple(c or None for c in r) for r in IO._one_task_per_file(spark, path, "UTF-8").orderBy("id").collect()] == want
+        try:
+            for size in (3, 5, 17, 64, 4096):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+                columns = ["id", "na\nme", "note"]
+                got = IO.read_records(spark, path, columns, IO.CSV_OPTIONS).orderBy("id").collect()
+                assert [tuple(c or None for c in r) for r in got] == want, (name, size)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_csv_folder_has_a_header_per_file_and_lone_returns_still_read(spark):
+    d = tempfile.mkdtemp(prefix="tl-csv-")
+    for i in range(3):
+        with open(os.path.join(d, f"{i}.csv"), "w", newline="") as f:
+            f.write(f'a,b\n{i},"x\ny"\n{i + 10},z\n')
+    assert sorted(tuple(r) for r in IO.read_csv(spark, d).collect()) == [
+        (0, "x\ny"), (1, "x\ny"), (2, "x\ny"), (10, "z"), (11, "z"), (12, "z")]
+    path = os.path.join(tempfile.mkdtemp(prefix="tl-csv-"), "mac.csv")
+    with open(path, "w", newline="") as f:
+        f.write("a,b\r1,2\r3,4\r")
+    assert sorted(tuple(r) for r in IO.read_csv(spark, path).collect()) == [(1, 2), (3, 4)]
