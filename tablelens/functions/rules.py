@@ -63,3 +63,7 @@ FILTER_MAX_VALUES = 100
 MAX_RECOMMENDATIONS = 6
 # End of fixed values.
 # ---------------------------------------------------------------------------
+
+# Density curves (own choice): bins under the kernel, places of the curve.
+DENSITY_BINS = 200
+DENSITY_POINTS = 100

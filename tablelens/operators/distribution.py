@@ -9,6 +9,7 @@ into one aggregate over all columns, so k columns cost one scan, not k.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -109,18 +110,25 @@ def box_columns(df: DataFrame, cols: Sequence[str], top: int = 2, exact: bool =
 
 
 # -------------------------------------------------------------------------- A8b
-def violin_bins(df: DataFrame, x: str, y: str, k: int = R.TOP_VIOLIN, bins: int = R.HISTOGRAM_BINS) -> DataFrame:
-    """Per-category ``bins``-bin histograms of ``y`` (each over its own
-    min..max) for the ``k`` most frequent categories; the density curve is
-    drawn by the client from these counts."""
+def _violin_counts(df: DataFrame, x: str, y: str, k: int, bins: int) -> tuple[DataFrame, DataFrame]:
+    """Rows per (label, bin), and per label of the ``k`` most frequent ones the
+    bounds (mn, mx), count n and deviation sd of ``y``."""
     top = category_frequency(df, x, k).select(F.col("label").alias("_k"))
     long_df = (df.join(F.broadcast(top), qcol(x).cast("string") == F.col("_k"), "left_semi")
                .select(qcol(x).cast("string").alias("label"), as_double(df, y).alias("v"))
                .where(F.col("v").isNotNull()))
-    b = long_df.groupBy("label").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
+    b = long_df.groupBy("label").agg(F.min("v").alias("mn"), F.max("v").alias("mx"),
+                                     F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"))
     counts = (long_df.join(F.broadcast(b), "label")
               .groupBy("label", _bin_expr(F.col("v"), F.col("mn"), F.col("mx"), bins).alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
+    return counts, b
+
+
+def violin_bins(df: DataFrame, x: str, y: str, k: int = R.TOP_VIOLIN, bins: int = R.HISTOGRAM_BINS) -> DataFrame:
+    """Per-category ``bins``-bin histograms of ``y`` (each over its own
+    min..max) for the ``k`` most frequent categories."""
+    counts, b = _violin_counts(df, x, y, k, bins)
     nb = F.when(F.col("mx") > F.col("mn"), F.lit(bins)).otherwise(F.lit(1))
     spine = b.select("label", "mn", "mx",
                      F.explode(F.sequence(F.lit(1).cast("long"), nb.cast("long"))).alias("bin"))
@@ -131,6 +139,27 @@ def violin_bins(df: DataFrame, x: str, y: str, k: int = R.TOP_VIOLIN, bins: int
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
+def violin_density(df: DataFrame, x: str, y: str, k: int = R.TOP_VIOLIN, bins: int = R.DENSITY_BINS,
+                   points: int = R.DENSITY_POINTS) -> DataFrame:
+    """The Gaussian kernel density of ``y`` for the ``k`` most frequent
+    categories, as (label, point, x, density) at ``points`` even places from two
+    bandwidths below the minimum to two above the maximum. The bandwidth is
+    1.059 sd n^(-1/5); the kernel is laid over the counts of ``bins`` bins, so
+    rows are read for the counts only and the curve costs bins x points a
+    category. A category with one distinct value has no curve and is left out."""
+    counts, b = _violin_counts(df, x, y, k, bins)
+    shape = b.where("mx > mn").select("label", "mn", "mx", "n", (1.059 * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"))
+    width = (F.col("mx") - F.col("mn")) / bins
+    cells = (counts.join(F.broadcast(shape), "label")  # at most k rows
+             .select("label", "mn", "mx", "n", "h", "count", (F.col("mn") + (F.col("bin") - 0.5) * width).alias("at"))
+             .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))))
+    low, high = F.col("mn") - 2 * F.col("h"), F.col("mx") + 2 * F.col("h")
+    cells = cells.withColumn("x", low + F.col("point") * ((high - low) / (points - 1)))
+    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("at")) / F.col("h"), F.lit(2)))
+    return (cells.groupBy("label", F.col("point").cast("long").alias("point"))
+            .agg(F.min("x").alias("x"), F.sum(F.col("count") * kernel / (F.col("n") * F.col("h") * (2 * math.pi) ** 0.5)).alias("density")))
+
+
 # -------------------------------------------------------------------------- A10
 def outliers(df: DataFrame, cols: Sequence[str], max_cols: int | None = None, min_values: int = R.OUTLIER_MIN_VALUES,
              exact: bool = True) -> DataFrame:
@@ -211,7 +240,8 @@ COPIES_PER_ROW = 100_000  # copies of one point numbered by one task row
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, key: str | None = None, color: str | None = None,
-                   n: int = R.SAMPLE_ROWS, seed: int = R.SAMPLE_SEED, max_colors: int | None = R.MAX_COLORS) -> DataFrame:
+                   n: int = R.SAMPLE_ROWS, seed: int = R.SAMPLE_SEED, max_colors: int | None = R.MAX_COLORS,
+                   file: str | None = None) -> DataFrame:
     """A repeatable uniform sample of ``n`` rows. The colour is kept only
     if the sample has at most ``max_colors`` distinct values (None: always).
 
@@ -220,12 +250,19 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: str | None = None, color:
     their copies numbered, and every copy is ordered by the md5 of its columns
     (nulls as ``~``), its number and the seed, so repeated, null or plain
     floating-point rows are as likely as any other and need no key. Each task
-    keeps its ``n`` best rows (TakeOrderedAndProject)."""
+    keeps its ``n`` best rows (TakeOrderedAndProject).
+
+    ``file``: ``df`` holds rows of Parquet files, filtered or projected but not
+    joined, exploded or united, so a row is known by its file (this expression,
+    as a rule ``_metadata.file_path``) and its place there: no key, no shuffle."""
     shown = [qcol(x).alias("x"), qcol(y).alias("y")]
     shown.append(qcol(color).cast("string").alias("color") if color else F.lit(None).cast("string").alias("color"))
     if key:
         rows = df.select(qcol(key).alias("key"), *shown,
                          F.md5(F.concat(qcol(key).cast("string"), F.lit(str(seed)))).alias("_h"))
+    elif file:
+        place = F.concat_ws("|", F.expr(file), F.col("_metadata.row_index").cast("string"), F.lit(str(seed)))
+        rows = df.select(*shown, F.md5(place).alias("_h"))
     else:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         last = F.col("_n") - 1

@@ -127,6 +127,25 @@ def violin_bins(spark, sf):
     return finish(D.violin_bins(table(spark, sf, "part"), "p_type", "p_retailprice", 6, 30), 4)
 
 
+@register("violin_density", """
+with g as (select cast(p_type as varchar) as label, count(*) as count from part
+           where p_type is not null group by 1),
+top as (select label from g order by count desc, label asc limit 6),
+l as (select cast(p_type as varchar) as label, cast(p_retailprice as double) as v from part
+      where p_type in (select label from top) and p_retailprice is not null),
+b as (select label, min(v) as mn, max(v) as mx, count(*) as n, 1.059 * stddev_samp(v) * pow(count(*), -0.2) as h
+      from l group by 1 having max(v) > min(v)),
+c as (select label, least(floor((v - mn) * 200 / (mx - mn)) + 1, 200) as bin, count(*) as count
+      from l join b using (label) group by 1, 2),
+p as (select label, mn, mx, n, h, cast(g.point as bigint) as point,
+             mn - 2 * h + g.point * ((mx - mn + 4 * h) / 99) as x from b, generate_series(0, 99) as g(point))
+select label, point, round(min(x), 4) as x,
+       round(sum(c.count * exp(-0.5 * pow((x - (mn + (bin - 0.5) * ((mx - mn) / 200))) / h, 2)) / (n * h * sqrt(2 * pi()))), 8) as density
+from p join c using (label) group by label, point""")
+def violin_density(spark, sf):
+    return finish(D.violin_density(table(spark, sf, "part"), "p_type", "p_retailprice", 6, 200, 100), 4, density=8)
+
+
 def _corr_sql(src: str, cols: list[str]) -> str:
     parts = []
     for i in range(len(cols)):
@@ -185,6 +204,16 @@ def scatter_repeated(spark, sf):
     return D.scatter_sample(table(spark, sf, "lineitem"), "l_linenumber", "l_discount", color="l_returnflag")
 
 
+@register("scatter_by_place", """
+with r as (select *, row_number() over () - 1 as place from lineitem),
+s as (select l_quantity as x, l_extendedprice as y, l_returnflag as color from r where l_discount > 0.02
+      order by md5('lineitem.parquet|' || cast(place as varchar) || '|42') limit 2000)
+select x, y, color from s""")
+def scatter_by_place(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_discount > 0.02")
+    return D.scatter_sample(li, "l_quantity", "l_extendedprice", color="l_returnflag", file="_metadata.file_name")
+
+
 @register("scatter_nulls", _sample_sql("case when l_linenumber % 3 = 0 then l_linenumber end", "l_tax", "l_linestatus"))
 def scatter_nulls(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("x", F.expr("case when l_linenumber % 3 = 0 then l_linenumber end"))

@@ -193,3 +193,28 @@ def test_quantiles_survive_a_sketch_that_misses(spark, monkeypatch):
         monkeypatch.setattr(Qn, "RANK_ERROR", reach)
         got = exact_quantiles(df, "k", "v", [0.01, 0.25, 0.5, 0.51, 0.75])["x"]
         assert got["n"] == 30000 and all(got[p] == pytest.approx(np.quantile(vals, p), abs=1e-9) for p in (0.01, 0.25, 0.5, 0.51, 0.75))
+
+
+def test_violin_density_is_near_the_kernel_density_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(10, 2, 800), "b": rng.gamma(2.0, 3.0, 500)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("flat", 1.0)] * 5 + [(None, 2.0), ("a", None)]
+    got = D.violin_density(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()
+    assert {r["label"] for r in got} == {"a", "b"}
+    for k, vs in values.items():
+        h = 1.059 * vs.std(ddof=1) * len(vs) ** -0.2
+        curve = sorted((r["x"], r["density"]) for r in got if r["label"] == k)
+        assert len(curve) == 100 and abs(curve[0][0] - (vs.min() - 2 * h)) < 1e-9 and abs(curve[-1][0] - (vs.max() + 2 * h)) < 1e-9
+        exact = [np.exp(-0.5 * ((x - vs) / h) ** 2).sum() / (len(vs) * h * np.sqrt(2 * np.pi)) for x, _ in curve]
+        assert np.abs(np.array(exact) - [y for _, y in curve]).max() < 0.01 * max(exact)
+
+
+def test_scatter_sample_by_place_needs_no_shuffle_and_is_fair(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20_000).selectExpr("id % 4 as x", "cast(id as double) as y").repartition(5).write.parquet(path)
+    df = spark.read.parquet(path).where("y >= 0")
+    s = D.scatter_sample(df, "x", "y", n=2000, file="_metadata.file_path")
+    assert "Exchange hash" not in s._jdf.queryExecution().executedPlan().toString()
+    ys = [r["y"] for r in s.collect()]
+    assert len(set(ys)) == 2000 and ys == [r["y"] for r in s.collect()]
+    assert abs(np.mean(ys) - 10_000) < 4 * 20_000 / np.sqrt(12 * 2000)
