@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -44,14 +44,31 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, *_ASCII), F.substr(rest, F.length(host) + 1)
 
 
-def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """Struct of the longest rule that fits (ties: allow first), else null."""
-    out = None
-    for r in sorted(rules, key=lambda r: (-len(r.rule), r.verdict)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        named = F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"))
-        out = F.when(fits, named) if out is None else out.when(fits, named)
-    return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """``rule``, ``verdict``, ``rule_host``, ``rule_path`` of each rule."""
+    return spark.createDataFrame([(r.rule, r.verdict, r.host, r.path) for r in dict.fromkeys(rules)],
+                                 "rule string, verdict string, rule_host string, rule_path string")
+
+
+def with_best_rule(rows: DataFrame, rules: DataFrame, longest: int) -> DataFrame:
+    """``rows`` (with ``host`` and ``path``) plus ``best``: a struct of the longest
+    rule that fits (ties: allow first, then the smaller text), else null.
+
+    Each distinct host looks its suffixes up in the rules, grouped by host; a
+    host so found carries its rules, longest first, and is joined back to the
+    rows, whose paths choose. The plan does not grow with the rules, and only
+    hosts with a rule are on the smaller side. ``longest``: characters of the
+    longest rule host; longer suffixes of a host are not looked up."""
+    order = F.struct(F.negative(F.length("rule")).alias("order"), "verdict", "rule", F.col("rule_path").alias("path"))
+    by_host = rules.groupBy("rule_host").agg(F.collect_list(order).alias("fit"))
+    tail = F.right("host", F.lit(longest + 1))  # a longer one that is left is no rule's host
+    dots = F.length(tail) - F.length(F.replace(tail, F.lit("."), F.lit("")))
+    suffixes = F.expr("transform(sequence(1, dots + 1), i -> substring_index(tail, '.', -i))")
+    found = (rows.select("host").distinct().select("host", tail.alias("tail"), dots.alias("dots"))
+             .select("host", F.explode(suffixes).alias("rule_host"))
+             .join(by_host, "rule_host").groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("fit"))).alias("fit")))
+    first = F.get(F.filter("fit", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
+    return rows.join(found, "host", "left").withColumn("best", F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict"))).drop("fit")
 
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -145,14 +162,16 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     page or no edge leaves the rules alone."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), address(F.col(url_col)).alias("node"))
-    rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    known, longest = rule_table(pages.sparkSession, rules), max((len(r.host) for r in rules), default=0)
+    rows = with_best_rule(rows, known, longest)
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")).dropna())
     edges = cut(edges.distinct())
     roots = components(edges)
     h, p = split_url(F.col("node"))
-    blocked = roots.where(best_rule(h, p, rules)["verdict"] == "block").select("root").distinct()
+    ruled = with_best_rule(roots.select("root", h.alias("host"), p.alias("path")), known, longest)
+    blocked = ruled.where(F.col("best.verdict") == "block").select("root").distinct()
     aliases = roots.join(blocked, "root", "left_semi").select("node", F.lit(True).alias("blocked_alias"))
     return (rows.join(aliases, "node", "left")
             .select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("blocked_alias", F.lit(False)).alias("blocked_alias"),
