@@ -15,6 +15,7 @@ per block and draws blocks x shards numbers.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,8 +25,11 @@ from .common import partitions, stage
 
 #: Most numbers (of the matrix, of bucket starts) that are sent to every executor; more are joined by shuffle.
 BROADCAST_NUMBERS = 4_000_000
-#: Rows of a shard that one window group permutes, at most on average.
+#: Rows and bytes of a shard that one window group permutes, at most on average.
 ROWS_PER_BUCKET = 200_000
+BYTES_PER_BUCKET = 8 << 20
+#: Bytes that a task of the exchange reads, about.
+BYTES_PER_TASK = 64 << 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -80,20 +84,24 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = 20) -> Dat
     repeated rows are rows like any other, so no key can be hot. An empty input
     gives no rows. Input columns called ``shard`` or ``slot`` are replaced.
     The input is staged once with its block and its place there, so retries
-    and re-reads see the same blocks."""
+    and re-reads see the same blocks. Window groups and tasks of the exchange are
+    sized by the bytes of the texts, so long rows do not swell a task."""
     spark = df.sparkSession
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     df = df.drop("shard", "slot")
     cols = df.columns
-    block, pos, key, cum, bucket, before = (f"__tl_{x}" for x in ("block", "pos", "key", "cum", "bucket", "before"))
+    block, pos, key, cum, bucket, before, size = (f"__tl_{x}" for x in ("block", "pos", "key", "cum", "bucket", "before", "size"))
+    texts = [F.coalesce(F.octet_length(df[f"`{f.name}`"]), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    octets = reduce(lambda a, b: a + b, texts, F.lit(8 * len(cols)).cast("long"))
     # local permutation: a random key per row, sorted inside the block
-    local = (df.select(*[df[f"`{c}`"] for c in cols], F.spark_partition_id().alias(block), F.rand(seed).alias(key))
+    local = (df.select(*[df[f"`{c}`"] for c in cols], octets.alias(size), F.spark_partition_id().alias(block), F.rand(seed).alias(key))
              .sortWithinPartitions(key).drop(key)
              .withColumn(pos, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     staged = stage(local, "shards")
 
-    per_block = sorted((r[0], r[1]) for r in staged.groupBy(block).count().collect())
+    found = staged.groupBy(block).agg(F.count(F.lit(1)), F.sum(size)).collect()
+    per_block, total = sorted((r[0], r[1]) for r in found), sum(r[2] for r in found)
     rows = sum(n for _, n in per_block)
     sizes = shard_sizes(rows, n_shards)
     matrix = communication_matrix([n for _, n in per_block], sizes, seed)
@@ -103,7 +111,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = 20) -> Dat
     if len(per_block) * n_shards <= BROADCAST_NUMBERS:
         limits = F.broadcast(limits)
 
-    n_buckets = max(1, math.ceil(rows / n_shards / ROWS_PER_BUCKET), math.ceil(2 * partitions(spark) / n_shards))
+    n_buckets = max(1, math.ceil(rows / n_shards / ROWS_PER_BUCKET), math.ceil(total / n_shards / BYTES_PER_BUCKET), math.ceil(2 * partitions(spark) / n_shards))
     dealt = (staged.join(limits, block)
              .withColumn("shard", F.size(F.filter(cum, lambda c: c <= F.col(pos))))
              .withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), block, pos), F.lit(n_buckets)))
@@ -115,6 +123,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = 20) -> Dat
     if n_shards * n_buckets <= BROADCAST_NUMBERS:
         starts = F.broadcast(starts)
     order = Window.partitionBy("shard", bucket).orderBy(F.xxhash64(F.lit(seed + 2), block, pos), block, pos)
-    placed = dealt.withColumn("slot", F.row_number().over(order).cast("long") - 1)
+    tasks = max(partitions(spark), math.ceil(total / BYTES_PER_TASK))
+    placed = dealt.drop(size).repartition(tasks, "shard", bucket).withColumn("slot", F.row_number().over(order).cast("long") - 1)
     return (placed.join(starts, ["shard", bucket])
             .select(*[F.col(f"`{c}`") for c in cols], "shard", (F.col("slot") + F.col(before)).alias("slot")))

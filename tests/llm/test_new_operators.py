@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
-from tablelens.llm import exact_dedup, merkle, queries, whitening
+from tablelens.llm import exact_dedup, merkle, queries, sharding, urlfilter, whitening
 
 SF = "/root/testdata/sf0.001"
 H = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -297,3 +297,39 @@ def test_sample_is_bounded_by_ids(spark):
     sample, total = labelled_sample(docs, labels, "doc_id", "text", "toxic", 2)
     rows = sample.collect()
     assert sorted(r.y for r in rows) == [0, 1, 1] and total == {0: 50, 1: 150}
+
+
+def test_url_rules_by_host_suffix_in_any_number(spark):
+    rng = np.random.default_rng(9)
+    hosts = [f"h{i % 20000}.{'abc'[i % 3]}.example" for i in range(100_000)]
+    rules = [urlfilter.Rule(f"{h}/{'p' * (i % 4)}", "allow" if i % 5 == 0 else "block") for i, h in enumerate(hosts)]
+    rules += [urlfilter.Rule("example/", "allow"), urlfilter.Rule("b.example/x", "block"), urlfilter.Rule("/", "block")]
+    urls = [f"http://{'www.' * int(rng.integers(0, 3))}h{int(rng.integers(0, 25000))}.{'abcd'[int(rng.integers(0, 4))]}.example/{'px'[int(rng.integers(0, 2))] * int(rng.integers(0, 5))}"
+            for _ in range(400)]
+    urls += [None, "", "no scheme", "http://example", "http://EXAMPLE/", "http://xexample/", "http://b..example/x", "http://a.", "http://a./",
+             "http://" + "a." * 300_000 + "b.example/x", "http:///x"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id int, url string, html string")
+    got = {r.id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
+    by_host = {}
+    for r in rules:
+        by_host.setdefault(r.host, set()).add(r)
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1].split("#")[0].split("?")[0] if u and "://" in u else ""
+        host = rest.split("/")[0].lower()
+        path = rest[len(host):]
+        at = [0, *[j + 1 for j, c in enumerate(host) if c == "." and len(host) - j < 40]]
+        fit = [r for j in at for r in by_host.get(host[j:], ()) if path.startswith(r.path)]
+        best = min(fit, key=lambda r: (-len(r.rule), r.verdict, r.rule), default=None)
+        assert got[i] == ((best.rule, best.verdict) if best else (None, "allow")), u
+    assert len(got) == len(urls) and {r.verdict for r in urlfilter.judge(pages, []).collect()} == {"allow"}
+
+
+def test_shards_are_sized_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BYTES_PER_BUCKET", 20_000)
+    monkeypatch.setattr(sharding, "BYTES_PER_TASK", 10_000)
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('x', cast(id as int)) as text", "cast(null as binary) as size")
+    out = sharding.shuffle_into_shards(docs, 3)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "size", "shard", "slot"] and {r.doc_id for r in rows} == set(range(600))
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(3) for i in range(200)]
+    assert all(len(r.text) == r.doc_id for r in rows) and out.rdd.getNumPartitions() >= 18
