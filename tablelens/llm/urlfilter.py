@@ -44,13 +44,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, *_ASCII), F.substr(rest, F.length(host) + 1)
 
 
+#: Join tasks that the rows of one host are dealt to.
+HOST_PARTS = 16
+
+
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """``rule``, ``verdict``, ``rule_host``, ``rule_path`` of each rule."""
     return spark.createDataFrame([(r.rule, r.verdict, r.host, r.path) for r in dict.fromkeys(rules)],
                                  "rule string, verdict string, rule_host string, rule_path string")
 
 
-def with_best_rule(rows: DataFrame, rules: DataFrame, longest: int) -> DataFrame:
+def with_best_rule(rows: DataFrame, rules: DataFrame, longest: int, spread: str) -> DataFrame:
     """``rows`` (with ``host`` and ``path``) plus ``best``: a struct of the longest
     rule that fits (ties: allow first, then the smaller text), else null.
 
@@ -58,7 +62,8 @@ def with_best_rule(rows: DataFrame, rules: DataFrame, longest: int) -> DataFrame
     host so found carries its rules, longest first, and is joined back to the
     rows, whose paths choose. The plan does not grow with the rules, and only
     hosts with a rule are on the smaller side. ``longest``: characters of the
-    longest rule host; longer suffixes of a host are not looked up."""
+    longest rule host; longer suffixes of a host are not looked up. Rows of a host
+    are dealt by the column ``spread``, so one with a third of all rows is no hot task."""
     order = F.struct(F.negative(F.length("rule")).alias("order"), "verdict", "rule", F.col("rule_path").alias("path"))
     by_host = rules.groupBy("rule_host").agg(F.collect_list(order).alias("fit"))
     tail = F.right("host", F.lit(longest + 1))  # a longer one that is left is no rule's host
@@ -67,8 +72,11 @@ def with_best_rule(rows: DataFrame, rules: DataFrame, longest: int) -> DataFrame
     found = (rows.select("host").distinct().select("host", tail.alias("tail"), dots.alias("dots"))
              .select("host", F.explode(suffixes).alias("rule_host"))
              .join(by_host, "rule_host").groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("fit"))).alias("fit")))
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(HOST_PARTS)).cast("int"))
     first = F.get(F.filter("fit", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
-    return rows.join(found, "host", "left").withColumn("best", F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict"))).drop("fit")
+    best = F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict"))
+    return rows.join(found, ["host", "part"], "left").withColumn("best", best).drop("fit", "part")
 
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -163,14 +171,14 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), address(F.col(url_col)).alias("node"))
     known, longest = rule_table(pages.sparkSession, rules), max((len(r.host) for r in rules), default=0)
-    rows = with_best_rule(rows, known, longest)
+    rows = with_best_rule(rows, known, longest, "id")
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")).dropna())
     edges = cut(edges.distinct())
     roots = components(edges)
     h, p = split_url(F.col("node"))
-    ruled = with_best_rule(roots.select("root", h.alias("host"), p.alias("path")), known, longest)
+    ruled = with_best_rule(roots.select("root", "node", h.alias("host"), p.alias("path")), known, longest, "node")
     blocked = ruled.where(F.col("best.verdict") == "block").select("root").distinct()
     aliases = roots.join(blocked, "root", "left_semi").select("node", F.lit(True).alias("blocked_alias"))
     return (rows.join(aliases, "node", "left")
