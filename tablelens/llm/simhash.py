@@ -15,6 +15,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, partitions
 
@@ -123,17 +124,36 @@ def _range_bucket(k: Column, cuts: list[int]) -> Column:
     return full * step + F.when(full < len(groups), above(rest)).otherwise(F.lit(0))
 
 
+def order_hint(ids: Column, kind: T.DataType) -> Column:
+    """A long that never falls where ``ids`` rise: numbers and times cut to whole
+    ones, of texts and bytes the first seven bytes. Null: the smallest long."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # seven bytes and a zero behind keep the number positive
+        k = F.conv(F.rpad(F.hex(F.substring(ids.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    elif isinstance(kind, (T.DateType, T.TimestampNTZType)):  # local times by day: an hour may be skipped in a zone
+        k = F.unix_date(ids.cast("date")).cast("long")
+    elif isinstance(kind, T.TimestampType):
+        k = F.unix_micros(ids)
+    elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        bound = F.lit(float(1 << 62))
+        k = F.greatest(F.least(ids.cast("double"), bound), -bound).cast("long")
+    else:
+        k = ids.cast("long")
+    return F.coalesce(k, F.lit(-(1 << 63)).cast("long"))
+
+
 def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Each document with the text of the next one in descending id order
     (after the last: the first): ``uid`` and ``next_uid`` (long), ``id``,
-    ``text``, ``next_text``. Null texts are empty. Null ids come last, equal ids
-    are ordered by text hash. An empty input gives no rows.
+    ``text``, ``next_text``. Ids of any type that Spark orders (texts by bytes).
+    Null texts are empty. Null ids come last, equal ids are ordered by text hash. An
+    empty input gives no rows.
 
     The ids are cut into ranges at approximate quantiles; each range gets a
     copy of the first row of the range after it, so one exchange and a window
     per range suffice."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("k"),
+    base = docs.select(order_hint(F.col(id_col), docs.schema[id_col].dataType).alias("k"),
                        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(2, buckets or 4 * partitions(spark))
     cuts = base.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).first()[0] or []
@@ -150,7 +170,7 @@ def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (rows.withColumn("g", F.explode(F.when(F.col("k") == F.col("mark.first"), F.array(home, guard))
                                            .otherwise(F.array(home))))
             .select("k", "id", "text", "own", "g.b", "g.guard"))
-    w = Window.partitionBy("b").orderBy("guard", F.col("k").desc(), F.xxhash64("text"))
+    w = Window.partitionBy("b").orderBy("guard", F.col("k").desc(), F.col("id").desc_nulls_last(), F.xxhash64("text"))
     at = lambda b, r: F.shiftleft(b.cast("long"), 40) + r
     rows = rows.withColumn("r", F.row_number().over(w))
     rows = rows.withColumn("uid", F.when(F.col("guard") == 0, at(F.col("b"), F.col("r"))).otherwise(at(F.col("own"), F.lit(1))))

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
-from tablelens.llm import exact_dedup, merkle, queries, sharding, urlfilter, whitening
+from tablelens.llm import exact_dedup, merkle, queries, sharding, simhash, urlfilter, whitening
 
 SF = "/root/testdata/sf0.001"
 H = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -333,3 +333,18 @@ def test_shards_are_sized_by_bytes(spark, monkeypatch):
     assert out.columns == ["doc_id", "text", "size", "shard", "slot"] and {r.doc_id for r in rows} == set(range(600))
     assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(3) for i in range(200)]
     assert all(len(r.text) == r.doc_id for r in rows) and out.rdd.getNumPartitions() >= 18
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "timestamp", "binary", "decimal(30,2)"])
+def test_next_text_follows_ids_of_any_type(spark, kind):
+    of = {"string": "case when id % 3 = 0 then concat('same-prefix-', id) else cast(id * 7919 % 1000 as string) end", "double": "id / 4 - 20",
+          "date": "date_add(date'1960-01-01', cast(id * 97 as int))", "timestamp": "timestamp_micros(id * 1000003 - 5000000)",
+          "binary": "unhex(hex(id * 65537))", "decimal(30,2)": "cast(id as decimal(30,2)) * 100000000000000000000 / 3"}[kind]
+    docs = spark.range(150).selectExpr(f"cast(case when id > 0 then {of} end as {kind}) as doc_id", "concat('t', id) as text")
+    docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    rows = docs.collect()
+    key = (lambda v: v.encode()) if kind == "string" else (lambda v: v)
+    order = sorted((r for r in rows if r.doc_id is not None), key=lambda r: key(r.doc_id), reverse=True)
+    texts = [r.text for r in order + [r for r in rows if r.doc_id is None]]
+    got = {r.text: r.next_text for r in simhash.next_texts(docs, buckets=7).collect()}
+    assert got == {t: texts[(i + 1) % len(texts)] for i, t in enumerate(texts)}
