@@ -34,18 +34,27 @@ def _one_task_per_file(spark: SparkSession, path: str, encoding: str) -> DataFra
             .options(**CSV_OPTIONS).csv(path))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+#: A file from this size on is read in byte ranges: finding the records costs some
+#: 20 times the work of parsing, so it pays only with hundreds of tasks.
+RANGED_BYTES = 32 << 30
+
+
+def read_csv(spark: SparkSession, path: str, ranged: bool | None = None) -> DataFrame:
     """IO1/T1b: header CSV with quoted line breaks and doubled quotes. Read as
-    UTF-8, or as Latin-1 if a line is not valid UTF-8; then ``infer_types``.
-    Files are read in byte ranges side by side (``csv_records``); files whose only
-    line ends are lone carriage returns are one task each. Every job parses the
-    text again: for more than one, use ``csv_to_parquet``."""
+    UTF-8, or as Latin-1 if a line is not valid UTF-8; then ``infer_types``. A file
+    is one task, or, if one has ``RANGED_BYTES`` (``ranged``: always or never), all
+    are read in byte ranges side by side (``csv_records``); files whose only line
+    ends are lone carriage returns are one task each. Every job parses the text
+    again: for more than one, use ``csv_to_parquet``."""
     lines = read_lines(spark, path)
     seen = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("line")).alias("bad"),
                      F.count_if(F.regexp_like("line", F.lit(r"\r[^\n]"))).alias("returns")).first()
     latin = bool(seen["bad"])
     plain = _one_task_per_file(spark, path, "ISO-8859-1" if latin else "UTF-8")
-    if not plain.columns or (seen["returns"] and seen["n"] <= len(plain.inputFiles())):
+    if ranged is None:
+        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+        ranged = (largest or 0) >= RANGED_BYTES
+    if not ranged or not plain.columns or (seen["returns"] and seen["n"] <= len(plain.inputFiles())):
         return infer_types(plain)
     return infer_types(read_records(spark, path, plain.columns, CSV_OPTIONS, latin))
 

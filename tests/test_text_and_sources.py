@@ -135,9 +135,10 @@ def test_csv_folder_has_a_header_per_file_and_lone_returns_still_read(spark):
     for i in range(3):
         with open(os.path.join(d, f"{i}.csv"), "w", newline="") as f:
             f.write(f'a,b\n{i},"x\ny"\n{i + 10},z\n')
-    assert sorted(tuple(r) for r in IO.read_csv(spark, d).collect()) == [
-        (0, "x\ny"), (1, "x\ny"), (2, "x\ny"), (10, "z"), (11, "z"), (12, "z")]
+    for ranged in (None, True):
+        assert sorted(tuple(r) for r in IO.read_csv(spark, d, ranged).collect()) == [
+            (0, "x\ny"), (1, "x\ny"), (2, "x\ny"), (10, "z"), (11, "z"), (12, "z")]
     path = os.path.join(tempfile.mkdtemp(prefix="tl-csv-"), "mac.csv")
     with open(path, "w", newline="") as f:
         f.write("a,b\r1,2\r3,4\r")
-    assert sorted(tuple(r) for r in IO.read_csv(spark, path).collect()) == [(1, 2), (3, 4)]
+    assert sorted(tuple(r) for r in IO.read_csv(spark, path, True).collect()) == [(1, 2), (3, 4)]
