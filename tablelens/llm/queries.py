@@ -62,13 +62,14 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+    rows = simhash.document_fingerprints(table(spark, sf_dir, "documents"), asked=F.col("id") % 20 == 0)
     c = F.col
     return rows.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
                        F.concat(simhash.hex16(c("f0")), simhash.hex16(c("f1"))).alias("fingerprint"),
                        F.concat(simhash.hex16(c("e0")), simhash.hex16(c("e1"))).alias("edited_fingerprint"),
                        simhash.likeness([c("f0"), c("f1")], [c("e0"), c("e1")]).alias("near_edited"),
-                       simhash.likeness([c("f0"), c("f1")], [c("x0"), c("x1")]).alias("near_next"))
+                       simhash.likeness([c("f0"), c("f1")], [c("x0"), c("x1")]).alias("near_next"),
+                       "near_rows", "near_id")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

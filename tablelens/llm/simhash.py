@@ -10,8 +10,10 @@ on it. Weights of a document must stay below 2^31 in total.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 from itertools import combinations
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,62 +76,130 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a, b)])
 
 
-def block_tables(fps: DataFrame, words: list[str], radius: int, blocks: int) -> DataFrame:
-    """One row per fingerprint and permuted table: the ``blocks - radius``
-    blocks that stand in front form ``key``. Two fingerprints within
-    ``radius`` bits agree on all of them in at least one table."""
-    if not 0 <= radius < blocks:
-        raise ValueError("blocks must exceed the radius")
-    width = 64 * len(words) // blocks
-    def block(i: int) -> list[Column]:
-        out, start = [], i * width
-        end = 64 * len(words) if i == blocks - 1 else start + width
+def _blocks(words: list[Column], blocks: int) -> list[list[Column]]:
+    """The ``blocks`` runs of neighbouring bits of the 64-bit ``words``, each as
+    the parts that lie in one word; the last block takes what is left over."""
+    bits = 64 * len(words)
+    width, out = bits // blocks, []
+    for i in range(blocks):
+        start, end, parts = i * width, bits if i == blocks - 1 else (i + 1) * width, []
         while start < end:
-            at, stop = start % 64, min(end, (start // 64 + 1) * 64)
+            stop = min(end, (start // 64 + 1) * 64)
             n = stop - start
             mask = -1 if n == 64 else (1 << n) - 1
-            out.append(F.shiftrightunsigned(F.col(words[start // 64]), at).bitwiseAND(F.lit(mask).cast("long")))
+            parts.append(F.shiftrightunsigned(words[start // 64], start % 64).bitwiseAND(F.lit(mask).cast("long")))
             start = stop
-        return out
-    tables = [F.struct(F.lit(t).alias("table"), F.xxhash64(*[c for i in front for c in block(i)]).alias("key"))
-              for t, front in enumerate(combinations(range(blocks), blocks - radius))]
+        out.append(parts)
+    return out
+
+
+def _fronts(radius: int, blocks: int) -> list[tuple[int, ...]]:
+    """The blocks that stand in front in each permuted table."""
+    if not 0 <= radius < blocks:
+        raise ValueError("blocks must exceed the radius")
+    return list(combinations(range(blocks), blocks - radius))
+
+
+def block_tables(fps: DataFrame, words: list[str], radius: int, blocks: int) -> DataFrame:
+    """One row per fingerprint and permuted table: the ``blocks - radius``
+    blocks that stand in front form ``key``. Two fingerprints within
+    ``radius`` bits agree on all of them in at least one table."""
+    fronts, parts = _fronts(radius, blocks), _blocks([F.col(w) for w in words], blocks)
+    tables = [F.struct(F.lit(t).alias("table"), F.xxhash64(*[c for i in front for c in parts[i]]).alias("key"))
+              for t, front in enumerate(fronts)]
     return fps.select("*", F.explode(F.array(*tables)).alias("t")).select(*fps.columns, "t.table", "t.key")
 
 
-def near_fingerprints(fps: DataFrame, words: list[str], queries: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+#: Rows of one table and key that a query is compared with in one place; more are split.
+HEAVY = 2_000
+#: Heavy keys that are sent to every executor; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def near_fingerprints(fps: DataFrame, words: list[str], queries: DataFrame, radius: int = 3, blocks: int = 4,
+                      carry: list[str] | None = None) -> DataFrame:
     """For the stated ``queries`` (frames of the same ``words`` columns) all
     fingerprints of ``fps`` within ``radius`` bits, by permuted block tables
     and a check of the whole distance: ``q_<word>``, ``<word>``, ``distance``.
     Both sides are reduced to distinct fingerprints first, so groups of copies
-    cost one row. Null words match nothing; an empty side gives no rows."""
+    cost one row; with ``carry`` (columns of ``fps`` to return) ``fps`` has one row a
+    fingerprint already. Null words match nothing; an empty side gives no rows.
+
+    A pair is returned from the first table in which it meets, so none needs to
+    be made distinct. A key with more than HEAVY rows is split: its rows are
+    dealt to parts and its queries go to each part."""
+    carry = carry or []
+    base = fps.select(*words, *carry).dropna(subset=words)
+    right = block_tables(cut(base if carry else base.distinct()), words, radius, blocks)
     left = block_tables(queries.select(*words).dropna().distinct(), words, radius, blocks)
     left = left.select("table", "key", *[F.col(w).alias(f"q_{w}") for w in words])
-    right = block_tables(fps.select(*words).dropna().distinct(), words, radius, blocks)
+    heavy = cut(right.groupBy("table", "key").count().where(F.col("count") > HEAVY)
+                .select("table", "key", F.ceil(F.col("count") / HEAVY).cast("long").alias("parts")))
+    n_heavy, zero, at = heavy.count(), F.lit(0).cast("long"), ["table", "key"]
+    if n_heavy:
+        few = F.broadcast(heavy) if n_heavy <= BROADCAST_KEYS else heavy
+        deal = F.coalesce(F.pmod(F.xxhash64(*words), F.col("parts")), zero)
+        right = right.join(few, at, "left").withColumn("part", deal).drop("parts")
+        left = left.join(few, at, "left").withColumn("part", F.explode(F.sequence(zero, F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        at = [*at, "part"]
+    same = [reduce(lambda a, b: a & b, [p == 0 for p in parts])
+            for parts in _blocks([F.col(f"q_{w}").bitwiseXOR(F.col(w)) for w in words], blocks)]
+    first = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [same[i] for i in front]), F.lit(t))
+                         for t, front in enumerate(_fronts(radius, blocks))])
     d = distance([F.col(f"q_{w}") for w in words], [F.col(w) for w in words])
-    return (left.join(right, (left["table"] == right["table"]) & (left["key"] == right["key"]) & (d <= radius))
-            .select(*[f"q_{w}" for w in words], *words, d.alias("distance")).distinct())
+    return (left.join(right, at).where((d <= radius) & (first == F.col("table")))
+            .select(*[f"q_{w}" for w in words], *words, *carry, d.alias("distance")))
+
+
+#: Parts over which rows with one fingerprint are dealt in a join.
+DEALT = 16
+
+
+def near_rows(rows: DataFrame, words: list[str], uid: str, id_col: str, asked: Column, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """For each row that is ``asked`` (null: not): its ``uid``, the number
+    ``near_rows`` of rows whose fingerprint is within ``radius`` bits (itself
+    included) and their smallest id ``near_id`` (null if all are null). Equal
+    fingerprints are counted first, so copies are searched for once. Nothing
+    asked or no rows: no rows."""
+    asked = F.coalesce(asked, F.lit(False))
+    classes = cut(rows.groupBy(*words).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("low"), F.max(asked).alias("asked")))
+    found = (near_fingerprints(classes, words, classes.where("asked"), radius, blocks, ["n", "low"])
+             .groupBy(*[F.col(f"q_{w}").alias(w) for w in words])
+             .agg(F.sum("n").alias("near_rows"), F.min("low").alias("near_id"))
+             .withColumn("deal", F.explode(F.array(*[F.lit(i).cast("long") for i in range(DEALT)]))))
+    mine = rows.where(asked).select(uid, *words, F.pmod(F.xxhash64(uid), F.lit(DEALT).cast("long")).alias("deal"))
+    return mine.join(found, [*words, "deal"]).select(uid, "near_rows", "near_id")
 
 
-def _range_bucket(k: Column, cuts: list[int]) -> Column:
-    """Number of the descending ``cuts`` above ``k``, in two steps, so that a
+#: The smallest long.
+_LEAST = -(1 << 63)
+
+
+def _point(k, h) -> Column:
+    return F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h"))
+
+
+def _range_bucket(at: Column, cuts: list[tuple[int, int]]) -> Column:
+    """Number of the descending ``cuts`` above ``at``, in two steps, so that a
     row costs about twice the root of their number."""
     if not cuts:
         return F.lit(0)
     step = max(1, math.isqrt(len(cuts)))
     groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    above = lambda xs: F.size(F.filter(xs, lambda c: k < c))
-    full = above(longs([g[-1] for g in groups]))  # groups that lie above k as a whole
-    rest = F.get(F.array(*[longs(g) for g in groups]), full)
+    points = lambda xs: F.array(*[_point(*x) for x in xs])
+    above = lambda xs: F.size(F.filter(xs, lambda c: at < c))
+    full = above(points([g[-1] for g in groups]))  # groups that lie above as a whole
+    rest = F.get(F.array(*[points(g) for g in groups]), full)
     return full * step + F.when(full < len(groups), above(rest)).otherwise(F.lit(0))
 
 
-def order_hint(ids: Column, kind: T.DataType) -> Column:
+def order_hint(ids: Column, kind: T.DataType, skip: int = 0) -> Column:
     """A long that never falls where ``ids`` rise: numbers and times cut to whole
-    ones, of texts and bytes the first seven bytes. Null: the smallest long."""
+    ones, of texts and bytes seven bytes after the first ``skip``, which all
+    share. Null: the smallest long."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
         # seven bytes and a zero behind keep the number positive
-        k = F.conv(F.rpad(F.hex(F.substring(ids.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        k = F.conv(F.rpad(F.hex(F.substring(ids.cast("binary"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
     elif isinstance(kind, (T.DateType, T.TimestampNTZType)):  # local times by day: an hour may be skipped in a zone
         k = F.unix_date(ids.cast("date")).cast("long")
     elif isinstance(kind, T.TimestampType):
@@ -142,6 +212,10 @@ def order_hint(ids: Column, kind: T.DataType) -> Column:
     return F.coalesce(k, F.lit(-(1 << 63)).cast("long"))
 
 
+#: Bytes of text that weigh as much as a row where the ranges are cut.
+BYTES_PER_COUNT = 16 << 10
+
+
 def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Each document with the text of the next one in descending id order
     (after the last: the first): ``uid`` and ``next_uid`` (long), ``id``,
@@ -149,25 +223,40 @@ def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts are empty. Null ids come last, equal ids are ordered by text hash. An
     empty input gives no rows.
 
-    The ids are cut into ranges at approximate quantiles; each range gets a
-    copy of the first row of the range after it, so one exchange and a window
-    per range suffice."""
-    spark = docs.sparkSession
-    base = docs.select(order_hint(F.col(id_col), docs.schema[id_col].dataType).alias("k"),
+    The ids are cut into ranges at approximate quantiles of the bytes; an id
+    that fills ranges by itself is cut by text hash as well (rows with one id and
+    one text stay together). Each range gets a copy of the first row of the range
+    after it, so one exchange and a window per range suffice."""
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    skip = 0
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        low, high = (bytes(x or b"") for x in docs.agg(F.min(F.col(id_col).cast("binary")), F.max(F.col(id_col).cast("binary"))).first())
+        skip = len(commonprefix([low, high]))
+    base = docs.select(order_hint(F.col(id_col), kind, skip).alias("k"),
                        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(2, buckets or 4 * partitions(spark))
-    cuts = base.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    own = _range_bucket(F.col("k"), cuts)
-    firsts = dict(base.select(own.alias("b"), "k").groupBy("b").agg(F.max("k")).collect())
+    weighed = base.select("k", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / BYTES_PER_COUNT).cast("int"))))
+    found = Counter(weighed.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).first()[0] or [])
+    often = [k for k, m in found.items() if m > 1]
+    single = [r["k"] for r in base.where(F.col("k").isin(often)).groupBy("k")
+              .agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("id").alias("n"), F.count(F.lit(1)).alias("all"))
+              .where("a is null or (a = b and n = all)").select("k").collect()] if often else []
+    # rows run by falling id and rising text hash, so the hash is negated
+    h = F.when(F.col("k").isin(single), F.bitwise_not(F.xxhash64("text"))) if single else F.lit(None)
+    base = base.withColumn("h", F.coalesce(h, F.lit(0)).cast("long"))
+    inner = [(k, _LEAST + j * ((1 << 64) // found[k])) for k in single for j in range(1, found[k])]
+    cuts = sorted({(k, _LEAST) for k in found} | set(inner), reverse=True)
+    here = F.struct("k", "h")
+    own = _range_bucket(here, cuts)
+    firsts = dict(base.select(own.alias("b"), here.alias("at")).groupBy("b").agg(F.max("at")).collect())
     order = sorted(firsts) or [0]
     before = {b: order[i - 1] for i, b in enumerate(order)}  # the range that needs a copy of b's first row
-    marks = F.array(*[F.struct(F.lit(firsts.get(b)).cast("long").alias("first"), F.lit(before.get(b, 0)).alias("before"))
+    marks = F.array(*[F.struct(_point(*firsts.get(b, (None, None))).alias("first"), F.lit(before.get(b, 0)).alias("before"))
                       for b in range(order[-1] + 1)])
     rows = base.withColumn("own", own).withColumn("mark", F.get(marks, F.col("own")))
     home = F.struct(F.col("own").alias("b"), F.lit(0).alias("guard"))
     guard = F.struct(F.col("mark.before").alias("b"), F.lit(1).alias("guard"))
-    rows = (rows.withColumn("g", F.explode(F.when(F.col("k") == F.col("mark.first"), F.array(home, guard))
+    rows = (rows.withColumn("g", F.explode(F.when(here == F.col("mark.first"), F.array(home, guard))
                                            .otherwise(F.array(home))))
             .select("k", "id", "text", "own", "g.b", "g.guard"))
     w = Window.partitionBy("b").orderBy("guard", F.col("k").desc(), F.col("id").desc_nulls_last(), F.xxhash64("text"))
@@ -194,11 +283,13 @@ def pair_terms(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     return one.select(*keep, pairs("h", lambda a, b: F.xxhash64(a, b)), pairs("n", lambda a, b: a + b))
 
 
-def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked: Column | None = None,
+                          radius: int = 3, blocks: int = 4) -> DataFrame:
     """For each document: ``id``, ``n_chars``, ``edited_sha256`` and the
     128-bit fingerprints of its text (``f0, f1``), of its edited text (``e0,
     e1``: the last third replaced by the start of the next document) and of the
-    next document (``x0, x1``).
+    next document (``x0, x1``). With ``asked`` (a condition on ``id``) also the
+    ``near_rows`` and ``near_id`` of the documents it holds for, null for others.
 
     Terms are pairs of neighbouring words; a pair votes once per occurrence
     with the capped length of its words. Null and empty texts have the
@@ -215,7 +306,10 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = fps.where("kind = 0").drop("kind")
     edited = fps.where("kind = 1").select("uid", F.col("f0").alias("e0"), F.col("f1").alias("e1"))
     following = own.select(F.col("uid").alias("next_uid"), F.col("f0").alias("x0"), F.col("f1").alias("x1"))
-    return own.join(edited, "uid").join(following, "next_uid").drop("uid", "next_uid")
+    rows = own.join(edited, "uid")
+    if asked is not None:
+        rows = rows.join(near_rows(own, ["f0", "f1"], "uid", "id", asked, radius, blocks), "uid", "left")
+    return rows.join(following, "next_uid").drop("uid", "next_uid")
 
 
 def likeness(a: list[Column], b: list[Column]) -> Column:

@@ -147,7 +147,10 @@ def _member(w: _Window, pos: int) -> tuple[list[dict], int]:
     m = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,12})\s*\r\n", head[:stop + 2]) if whole and stop >= 0 else None
     if not m:
         raise BadRecord("neither member nor version line")
-    rec, n = _parse_one(w.at(pos, stop + 4 + int(m[1]) + 4), 0)
+    n = stop + 4 + int(m[1])
+    if w.at(pos + n, 4) != b"\r\n\r\n":  # a damaged length must not load the rest of the file
+        raise BadRecord("block of another length")
+    rec, n = _parse_one(w.at(pos, n + 4), 0)
     return [rec], pos + n
 
 

@@ -1,6 +1,7 @@
 """Whitening, exact duplicates and the Merkle manifest against plain Python."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
-from tablelens.llm import exact_dedup, merkle, queries, sharding, simhash, urlfilter, whitening
+from tablelens.llm import exact_dedup, merkle, queries, sharding, simhash, urlfilter, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 H = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -348,3 +349,70 @@ def test_next_text_follows_ids_of_any_type(spark, kind):
     texts = [r.text for r in order + [r for r in rows if r.doc_id is None]]
     got = {r.text: r.next_text for r in simhash.next_texts(docs, buckets=7).collect()}
     assert got == {t: texts[(i + 1) % len(texts)] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_text_where_one_id_fills_the_table(spark, kind):
+    """Rows of one id are cut by text hash: no range holds them all."""
+    rows = [(7 if i % 3 else 1000 + i, f"t{i % 997}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "i long, text string").selectExpr(f"cast(i as {kind}) as doc_id", "text")
+    out = simhash.next_texts(docs, buckets=16).collect()
+    uids = {r.uid: r for r in out}
+    assert len(uids) == len(out) == 3000 and {r.next_uid for r in out} == set(uids)
+    assert max(Counter(r.uid >> 40 for r in out).values()) < 600
+    assert all(uids[r.next_uid].text == r.next_text for r in out)
+    at, seen = out[0].uid, []
+    for _ in out:  # the chain runs through all rows, equal ids side by side
+        seen.append(uids[at].id)
+        at = uids[at].next_uid
+    assert at == out[0].uid and sum(a != b for a, b in zip(seen, seen[1:] + seen[:1])) == len(set(seen))
+
+
+def test_next_text_ranges_by_bytes(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('x', cast(if(id < 40, 400000, 10) as int)) as text")
+    out = simhash.next_texts(docs, buckets=20).selectExpr("shiftright(uid, 40) as b", "length(text) as n").collect()
+    size = Counter()
+    for r in out:
+        size[r.b] += r.n
+    assert len(out) == 400 and max(size.values()) <= 4 * 400_000
+
+
+@pytest.mark.parametrize("radius, blocks, heavy", [(3, 4, 2000), (3, 4, 5), (2, 5, 5), (0, 1, 2000)])
+def test_near_rows(spark, monkeypatch, radius, blocks, heavy):
+    """Block tables against brute force, with copies, nulls and keys that many rows share."""
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    rnd = random.Random(radius)
+    base = [(rnd.getrandbits(64) - 2**63, rnd.getrandbits(64) - 2**63) for _ in range(60)]
+    near = [tuple(w ^ ((1 << rnd.randrange(63)) if rnd.random() < 0.7 else 0) for w in base[rnd.randrange(4)]) for _ in range(120)]
+    fps = base + near + base[:5] * 8
+    rows = [(i, None if i % 17 == 5 else i, *f) for i, f in enumerate(fps)] + [(999, 40, None, 1)]
+    df = spark.createDataFrame(rows, "uid long, id long, f0 long, f1 long")
+    got = {r.uid: (r.near_rows, r.near_id) for r in simhash.near_rows(df, ["f0", "f1"], "uid", "id", F.col("id") % 4 == 0, radius, blocks).collect()}
+    bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b))
+    want = {}
+    for u, i, *f in rows[:-1]:
+        if i is not None and i % 4 == 0:
+            hits = [j for _, j, *g in rows[:-1] if bits(f, g) <= radius]
+            want[u] = (len(hits), min((j for j in hits if j is not None), default=None))
+    assert got == want
+    assert simhash.near_rows(df.limit(0), ["f0", "f1"], "uid", "id", F.col("id") % 4 == 0, radius, blocks).count() == 0
+
+
+def test_damaged_length_is_not_read(spark):
+    """A plain record whose length is wrong is refused before its block is read."""
+
+    class File(io.BytesIO):
+        most = 0
+
+        def size(self):
+            return len(self.getvalue())
+
+        def read(self, n=-1):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    recs = [warc.record(i, "u", b"p%d" % i, hashlib.sha1(b"p%d" % i).hexdigest()) for i in range(3)]
+    bad = re.sub(rb"(?i)(content-length: )", rb"\g<1>99999999", recs[1], count=1)
+    file = File(recs[0] + bad + recs[2])
+    out = list(warc.salvage(file))
+    assert [r["payload"] for _, _, r, _ in out if r] == [b"p0", b"p2"] and file.most <= 1 << 20

@@ -191,6 +191,8 @@ def test_op5(spark, docs):
         assert int(r.fingerprint, 16) == fps[r.doc_id] and int(r.edited_fingerprint, 16) == fingerprint(edited)
         assert r.near_edited == pytest.approx(like(fps[r.doc_id], fingerprint(edited)))
         assert r.near_next == pytest.approx(like(fps[r.doc_id], fps[following[r.doc_id]]))
+        near = [d for d, f in fps.items() if (f ^ fps[r.doc_id]).bit_count() <= 3] if r.doc_id % 20 == 0 else []
+        assert (r.near_rows, r.near_id) == ((len(near), min(near)) if near else (None, None))
 
 
 def test_op6(spark, docs):
