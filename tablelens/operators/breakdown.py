@@ -27,6 +27,15 @@ def group_sum(df: DataFrame, x: str, y: str) -> DataFrame:
             .agg(F.coalesce(F.sum(as_double(df, y)), F.lit(0.0)).alias("value")))
 
 
+def group_figures(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(label string, value double, n long): sum and number of the measure's
+    values for every non-null key."""
+    v = as_double(df, y)
+    return (df.where(qcol(x).isNotNull())
+            .groupBy(qcol(x).cast("string").alias("label"))
+            .agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("value"), F.count(v).alias("n")))
+
+
 def group_count(df: DataFrame, x: str) -> DataFrame:
     """(label, count) value counts, null keys dropped."""
     return (df.where(qcol(x).isNotNull())
@@ -136,23 +145,22 @@ def underserved(df: DataFrame, x: str, y: str, min_count: int = R.UNDERSERVED_MI
     """Groups with at least ``min_count`` rows whose count is below the
     median group count and whose mean is above the median group mean; the one
     with the highest mean (smallest key on ties)."""
-    from tablelens.operators.quantiles import exact_quantiles
-    v = as_double(df, y)
-    g = (df.where(qcol(x).isNotNull())
-         .groupBy(qcol(x).cast("string").alias("label"))
-         .agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.count(v).alias("n"))
-         .where(F.col("n") >= min_count)
-         .withColumn("avg_value", F.col("total") / F.col("n")))
-    g = g.persist()  # read by the median jobs and by the final filter
+    g = group_figures(df, x, y).persist()  # read by the median jobs and by the final filter
     try:
-        long_df = g.select(F.lit("n").alias("key"), F.col("n").cast("double").alias("val")).unionByName(
-            g.select(F.lit("avg").alias("key"), F.col("avg_value").alias("val")))
-        med = exact_quantiles(long_df, "key", "val", [0.5])
-        rows = []
-        if "n" in med:
-            below, above = F.col("n") < F.lit(med["n"][0.5]), F.col("avg_value") > F.lit(med["avg"][0.5])
-            rows = (g.where(below & above).orderBy(F.col("avg_value").desc(), F.col("label").asc()).limit(1)
-                    .select("label", F.col("n").cast("long"), "avg_value").collect())
+        return underserved_of(g, min_count)
     finally:
         g.unpersist()
-    return df.sparkSession.createDataFrame(rows, "label string, n long, avg_value double")
+
+
+def underserved_of(figures: DataFrame, min_count: int = R.UNDERSERVED_MIN_COUNT) -> DataFrame:
+    """A19 over ready ``group_figures``, which are read several times."""
+    from tablelens.operators.quantiles import exact_quantiles
+    g = figures.where(F.col("n") >= min_count).withColumn("avg_value", F.col("value") / F.col("n"))
+    long_df = g.select(F.lit("n").alias("key"), F.col("n").cast("double").alias("val")).unionByName(
+        g.select(F.lit("avg").alias("key"), F.col("avg_value").alias("val")))
+    med, rows = exact_quantiles(long_df, "key", "val", [0.5]), []
+    if "n" in med:
+        below, above = F.col("n") < F.lit(med["n"][0.5]), F.col("avg_value") > F.lit(med["avg"][0.5])
+        rows = (g.where(below & above).orderBy(F.col("avg_value").desc(), F.col("label").asc()).limit(1)
+                .select("label", F.col("n").cast("long"), "avg_value").collect())
+    return figures.sparkSession.createDataFrame(rows, "label string, n long, avg_value double")

@@ -43,6 +43,7 @@ def facts(ri: ReportInputs) -> dict:
     category sums, the last month-over-month change, the first outlier column
     and the table shape."""
     s = ri.profile.schema
+    ri.prefetch(["outlier_rows", "health_row", "group_facts", "month_rows"])
     h = ri.health_row()
     f = {"rows": h.get("rows"), "cols": h.get("columns"), "best_label": None, "best_value": None,
          "second_label": None, "worst_label": None, "worst_value": None, "trend_pct": None,

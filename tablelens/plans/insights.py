@@ -10,13 +10,18 @@ numeric column, one row per month, top-k rows), so the sections, whose rules
 are "missing over 5 %", "leader over half the total", "no risk found", are
 assembled from them on the driver into a report of a few dozen rows.
 
-Shared inputs are built once per report by ``report_inputs`` and reused by
-every section (and by the rule-based answers).
+Facts are named: each is one bounded result, found once per report by the first
+section (or rule-based answer) that asks for it. What a section needs is found by
+concurrent jobs first (``ReportInputs.prefetch``), so that small results do not wait
+for each other. Group figures and the month series are cached frames that
+several facts read.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,15 +90,19 @@ def _frame(spark, rows: list[tuple]) -> DataFrame:
     return facts.withColumn("body", F.replace("body", F.lit(NUMBER), S.fmt_number(F.col("number")))).drop("number")
 
 
+#: Facts found side by side.
+THREADS = 4
+
+
 @dataclass
 class ReportInputs:
     df: DataFrame
     profile: Profile
-    health: DataFrame
-    outliers: DataFrame
-    gsum: DataFrame | None
-    monthly: DataFrame | None
-    _memo: dict = field(default_factory=dict)
+    cache: bool = True
+    exact: bool = True
+    _memo: dict[str, Future] = field(default_factory=dict)
+    _lock: Lock = field(default_factory=Lock)
+    _cached: list[DataFrame] = field(default_factory=list)
 
     @property
     def cat(self):
@@ -108,33 +117,93 @@ class ReportInputs:
         return self.profile.schema["date"][0] if self.profile.schema["date"] else None
 
     def _once(self, key, fn):
-        if key not in self._memo:
-            self._memo[key] = fn()
-        return self._memo[key]
+        """The first caller finds the fact; others wait for it."""
+        with self._lock:
+            mine = key not in self._memo
+            fact = self._memo.setdefault(key, Future())
+        if mine:
+            try:
+                fact.set_result(fn())
+            except BaseException as e:
+                fact.set_exception(e)
+        return fact.result()
+
+    def _keep(self, frame: DataFrame) -> DataFrame:
+        if self.cache:
+            with self._lock:
+                self._cached.append(frame.cache())
+        return frame
+
+    # -- frames that several facts read --------------------------------------
+    def groups(self) -> DataFrame | None:
+        """``group_figures`` of the primary measure by the first category."""
+        return self._once("groups frame", lambda: self._keep(B.group_figures(self.df, self.cat, self.primary))
+                          if self.primary and self.cat else None)
+
+    def monthly(self) -> DataFrame | None:
+        return self._once("months frame", lambda: self._keep(M.monthly_sum(self.df, self.date, self.primary))
+                          if self.primary and self.date else None)
 
     # -- bounded results, each computed once per report ---------------------
     def health_row(self) -> dict:
-        return self._once("health", lambda: scalars(self.health))
+        return self._once("health", lambda: scalars(Q.health(self.df)))
 
     def outlier_rows(self) -> list:
-        return self._once("outliers", lambda: self.outliers.orderBy("position").collect())
+        """``exact=False``: sketch quartiles (one pass, for very large tables)."""
+        return self._once("outliers", lambda: D.outliers(self.df, self.profile.schema["numeric"], exact=self.exact)
+                          .orderBy("position").collect())
 
     def month_rows(self) -> list:
         """(month, value) of the dense month series, one row per month."""
-        return self._once("months", lambda: [] if self.monthly is None else
-                          [(r["month"], r["value"]) for r in self.monthly.orderBy("month").collect()])
+        return self._once("months", lambda: [] if self.monthly() is None else
+                          [(r["month"], r["value"]) for r in self.monthly().orderBy("month").collect()])
+
+    def trend_facts(self) -> list:
+        """(kind, month, value, direction) of W6, W7 and W8 over the month series: one job."""
+        def run():
+            m = self.monthly()
+            if m is None:
+                return []
+            none = F.lit(None)
+            recent = M.mom_trend_of(m).select(F.lit("recent").alias("kind"), "month", F.col("pct").alias("value"), "direction")
+            ends = M.best_worst_month_of(m).select("kind", "month", "value", none.cast("string").alias("direction"))
+            slope = M.trajectory_of(m).select(F.lit("trajectory").alias("kind"), none.cast("date").alias("month"),
+                                              F.col("slope").alias("value"), "direction")
+            found = {r["kind"]: r for r in recent.unionByName(ends).unionByName(slope).collect()}
+            return [found[k] for k in ("recent", "best", "worst", "trajectory") if k in found]
+        return self._once("trends", run)
+
+    def strongest(self) -> list:
+        """A18, of at least two numeric columns."""
+        s = self.profile.schema
+        return self._once("strongest", lambda: D.strongest_corr(self.df, self.primary, s["numeric"]).collect()
+                          if len(s["numeric"]) >= 2 and self.primary in s["numeric"] else [])
+
+    def underserved(self) -> list:
+        return self._once("underserved", lambda: [] if self.groups() is None else B.underserved_of(self.groups()).collect())
+
+    def seasonal_low(self) -> list:
+        return self._once("seasonal", lambda: M.seasonal_low(self.df, self.date, self.primary).collect()
+                          if self.date and self.primary else [])
+
+    def prefetch(self, facts: list[str]) -> None:
+        """Find the named facts by concurrent jobs, the longest first."""
+        with ThreadPoolExecutor(max_workers=THREADS) as pool:
+            for found in [pool.submit(getattr(self, f)) for f in facts]:
+                found.result()
 
     def group_facts(self) -> dict:
         """Leader, runner-up, tail, group count, total and top-3 sum of the
         category sums (a three-row top-k and one aggregate)."""
         def run():
-            if self.gsum is None:
+            g = self.groups()
+            if g is None:
                 return {}
-            top3 = self.gsum.orderBy(F.col("value").desc(), F.col("label").asc()).limit(3).collect()
+            top3 = g.orderBy(F.col("value").desc(), F.col("label").asc()).limit(3).collect()
             if not top3:
                 return {}
-            a = scalars(self.gsum.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
-                                      F.min(F.struct("value", "label")).alias("lo")))
+            a = scalars(g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
+                              F.min(F.struct("value", "label")).alias("lo")))
             return {"n": a["n"], "total": a["total"], "top": (top3[0]["label"], top3[0]["value"]),
                     "second": top3[1]["label"] if len(top3) > 1 else None,
                     "low": (a["lo"]["label"], a["lo"]["value"]), "t3": sum(r["value"] for r in top3)}
@@ -142,9 +211,8 @@ class ReportInputs:
 
     def release(self) -> None:
         """Drop the cached inputs; the facts read so far stay."""
-        for frame in (self.health, self.outliers, self.gsum, self.monthly):
-            if frame is not None:
-                frame.unpersist()
+        while self._cached:
+            self._cached.pop().unpersist()
 
     def base_facts(self) -> dict:
         """One aggregate over the rows: maximum of the primary measure, first
@@ -166,20 +234,11 @@ class ReportInputs:
 
 
 def report_inputs(df: DataFrame, profile: Profile, cache: bool = True, exact: bool = True) -> ReportInputs:
-    """Shared frames of a report; small ones are cached (recomputed from
-    lineage if a cached block is lost). ``exact=False``: sketch quartiles
-    for the outlier table (one pass, for very large tables)."""
-    health = Q.health(df)
-    outl = D.outliers(df, profile.schema["numeric"], exact=exact)
-    s = profile.schema
-    p = profile.primary_measure
-    gsum = B.group_sum(df, s["categorical"][0], p) if (p and s["categorical"]) else None
-    monthly = M.monthly_sum(df, s["date"][0], p) if (p and s["date"]) else None
-    if cache:
-        health, outl = health.cache(), outl.cache()
-        gsum = gsum.cache() if gsum is not None else None
-        monthly = monthly.cache() if monthly is not None else None
-    return ReportInputs(df, profile, health, outl, gsum, monthly)
+    """What the sections of a report share; nothing runs yet. ``cache``: the group
+    figures and the month series are cached (recomputed from lineage if a cached
+    block is lost). ``exact=False``: sketch quartiles for the outlier table (one
+    pass, for very large tables)."""
+    return ReportInputs(df, profile, cache, exact)
 
 
 def _mon(d, long: bool = False) -> str:
@@ -212,7 +271,7 @@ def executive_rows(ri: ReportInputs) -> list[tuple]:
 
 # ------------------------------------------------------------------------ I2
 def business_rows(ri: ReportInputs) -> list[tuple]:
-    s, sec, rows = ri.profile.schema, "business_insights", []
+    sec, rows = "business_insights", []
     g = ri.group_facts()
     if g:
         total, own = g["total"], {"cat": ri.cat, "primary": ri.primary}
@@ -225,29 +284,26 @@ def business_rows(ri: ReportInputs) -> list[tuple]:
         if top is not None:
             label = top["label"]
             rows.append(_row(sec, 4, "Top Record", label, ri.primary, top["value"], "record", label=str(label)[:40], **own))
-    if len(s["numeric"]) >= 2 and ri.primary in s["numeric"]:
-        sc = D.strongest_corr(ri.df, ri.primary, s["numeric"]).collect()
-        if sc:
-            rows.append(_row(sec, 5, "Strongest Relationship", sc[0]["column"], "r", sc[0]["r"], "relation",
-                             primary=ri.primary, **sc[0].asDict()))
+    for r in ri.strongest():
+        rows.append(_row(sec, 5, "Strongest Relationship", r["column"], "r", r["r"], "relation", primary=ri.primary, **r.asDict()))
     return rows
 
 
 # ------------------------------------------------------------------------ I3
 def trend_rows(ri: ReportInputs) -> list[tuple]:
     """W6, W7 and W8 over the report's month series."""
-    if ri.monthly is None:
-        return []
     sec, own, rows = "trend_analysis", {"primary": ri.primary}, []
-    for r in M.mom_trend_of(ri.monthly).collect():
-        rows.append(_row(sec, 1, "Recent Trend", _mon(r["month"]), r["direction"], r["pct"], "recent",
-                         direction=r["direction"], pct=abs(r["pct"]), month=r["month"], **own))
-    for r in M.best_worst_month_of(ri.monthly).collect():
-        ord_, title, body = {"best": (2, "Best Month", "best_month"), "worst": (3, "Weakest Month", "weakest_month")}[r["kind"]]
-        rows.append(_row(sec, ord_, title, _mon(r["month"], True), "total", r["value"], body, month=r["month"], **own))
-    for r in M.trajectory_of(ri.monthly).collect():
-        rows.append(_row(sec, 4, "Overall Trajectory", r["direction"], "slope", r["slope"], "trajectory",
-                         direction=r["direction"], article="an" if r["direction"] == "upward" else "a", **own))
+    for r in ri.trend_facts():
+        kind, month, value, direction = r
+        if kind == "recent":
+            rows.append(_row(sec, 1, "Recent Trend", _mon(month), direction, value, "recent",
+                             direction=direction, pct=abs(value), month=month, **own))
+        elif kind == "trajectory":
+            rows.append(_row(sec, 4, "Overall Trajectory", direction, "slope", value, "trajectory",
+                             direction=direction, article="an" if direction == "upward" else "a", **own))
+        else:
+            ord_, title, body = {"best": (2, "Best Month", "best_month"), "worst": (3, "Weakest Month", "weakest_month")}[kind]
+            rows.append(_row(sec, ord_, title, _mon(month, True), "total", value, body, month=month, **own))
     return rows
 
 
@@ -278,16 +334,12 @@ def risk_rows(ri: ReportInputs) -> list[tuple]:
 # ------------------------------------------------------------------------ I5
 def opportunity_rows(ri: ReportInputs) -> list[tuple]:
     sec, rows = "opportunities", []
-    if ri.gsum is not None:
-        u = B.underserved(ri.df, ri.cat, ri.primary).collect()
-        if u:
-            rows.append(_row(sec, 1, "Under-served Segment", u[0]["label"], "avg", u[0]["avg_value"], "underserved",
-                             label=u[0]["label"], primary=ri.primary))
-    if ri.date and ri.primary:
-        sl = M.seasonal_low(ri.df, ri.date, ri.primary).collect()
-        if sl:
-            rows.append(_row(sec, 2, "Seasonal Opportunity", sl[0]["month_name"], "avg", sl[0]["avg_value"], "seasonal",
-                             month=sl[0]["month_name"], primary=ri.primary))
+    for u in ri.underserved():
+        rows.append(_row(sec, 1, "Under-served Segment", u["label"], "avg", u["avg_value"], "underserved",
+                         label=u["label"], primary=ri.primary))
+    for m in ri.seasonal_low():
+        rows.append(_row(sec, 2, "Seasonal Opportunity", m["month_name"], "avg", m["avg_value"], "seasonal",
+                         month=m["month_name"], primary=ri.primary))
     return rows or [_row(sec, 1, "No Clear Opportunities Surfaced", body="no_chance")]
 
 
@@ -307,36 +359,43 @@ def recommendation_rows(ri: ReportInputs, risks: list[tuple] | None = None) -> l
 
 
 # ----------------------------------------------------------- section frames
-def _section(ri: ReportInputs, rows) -> DataFrame:
+#: The facts of each section, those that take longest first.
+RISK_FACTS = ["outlier_rows", "health_row", "group_facts"]
+CHANCE_FACTS = ["underserved", "seasonal_low"]
+BUSINESS_FACTS = ["strongest", "group_facts", "base_facts"]
+
+
+def _section(ri: ReportInputs, rows, facts: list[str]) -> DataFrame:
     """The frame of one section; the report's cached inputs are released."""
     try:
+        ri.prefetch(facts)
         return _frame(ri.df.sparkSession, rows(ri))
     finally:
         ri.release()
 
 
 def executive_summary(ri: ReportInputs) -> DataFrame:
-    return _section(ri, executive_rows)
+    return _section(ri, executive_rows, ["health_row", "group_facts", "base_facts"])
 
 
 def business_insights(ri: ReportInputs) -> DataFrame:
-    return _section(ri, business_rows)
+    return _section(ri, business_rows, BUSINESS_FACTS)
 
 
 def trend_analysis(ri: ReportInputs) -> DataFrame:
-    return _section(ri, trend_rows)
+    return _section(ri, trend_rows, ["trend_facts"])
 
 
 def risks(ri: ReportInputs) -> DataFrame:
-    return _section(ri, risk_rows)
+    return _section(ri, risk_rows, RISK_FACTS)
 
 
 def opportunities(ri: ReportInputs) -> DataFrame:
-    return _section(ri, opportunity_rows)
+    return _section(ri, opportunity_rows, CHANCE_FACTS)
 
 
 def recommendations(ri: ReportInputs) -> DataFrame:
-    return _section(ri, recommendation_rows)
+    return _section(ri, recommendation_rows, RISK_FACTS)
 
 
 # ------------------------------------------------------------------------ I7
@@ -344,7 +403,8 @@ def insight_report(df: DataFrame, profile: Profile, ri: ReportInputs | None = No
                    exact: bool = True) -> DataFrame:
     """All sections plus the health figures and the outlier table, as one
     frame with a ``section`` column."""
-    return _section(ri or report_inputs(df, profile, exact=exact), report_rows)
+    facts = dict.fromkeys(["outlier_rows", "underserved", "health_row", "trend_facts", *CHANCE_FACTS, *BUSINESS_FACTS])
+    return _section(ri or report_inputs(df, profile, exact=exact), report_rows, list(facts))
 
 
 def report_rows(ri: ReportInputs) -> list[tuple]:
