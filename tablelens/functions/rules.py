@@ -42,6 +42,7 @@ TOP_FUNNEL = 8            # stages in a funnel
 TOP_PARETO = 15           # bars in a Pareto chart
 TOP_BOX = 8               # categories in a box chart
 TOP_VIOLIN = 6            # categories in a violin chart
+MANY_LABELS = 1_000_000   # categories from which charts find the top ones by buckets
 HISTOGRAM_BINS = 30
 ROLLING_MONTHS = 3
 SAMPLE_ROWS = 2000        # points in a scatter chart

@@ -12,6 +12,8 @@ Ties are broken by the key ascending, which makes every result deterministic.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,51 @@ def _top(g: DataFrame, n: int, by: str = "value") -> DataFrame:
         Window.orderBy(F.col(by).desc(), F.col("label").asc())).cast("long"))
 
 
-def bar_top(df: DataFrame, x: str, y: str, n: int = R.TOP_BAR) -> DataFrame:
-    """A1: top ``n`` categories by summed measure."""
-    return _top(group_sum(df, x, y), n)
+#: Buckets of labels, and how many of the fullest are counted first, per wanted label.
+TOP_BUCKETS, TOP_FIRST = 1 << 16, 4
+
+
+def _of_many(df: DataFrame, x: str, y: str | None, n: int, buckets: int = TOP_BUCKETS) -> DataFrame:
+    """The rows of ``df`` that can hold the ``n`` largest groups of ``x`` (by sum of
+    ``y``, else by count), for columns with far too many labels to shuffle.
+
+    Labels are hashed into ``buckets``; one pass sums each bucket's positive values
+    (or counts its rows), which no label in it can exceed. A second pass finds the
+    exact groups of the fullest buckets; their ``n``-th figure is one that the answer
+    reaches, so only buckets whose bound is not below it can hold another label of the
+    answer. The result is exact whatever the data: where half of the buckets qualify
+    (flat columns) all rows are returned. The driver holds one number a bucket."""
+    bucket = F.pmod(F.xxhash64(qcol(x).cast("string")), F.lit(buckets)).cast("int")
+    rows = df.where(qcol(x).isNotNull())
+    most = F.coalesce(F.sum(F.greatest(as_double(df, y), F.lit(0.0))), F.lit(0.0)) if y else F.count(F.lit(1)).cast("double")
+    bounds = sorted(((r["m"], r["b"]) for r in rows.groupBy(bucket.alias("b")).agg(most.alias("m")).collect()), reverse=True)
+
+    def within(ids: list[int]) -> DataFrame:
+        chosen = df.sparkSession.createDataFrame([(i,) for i in ids], "_b int")
+        return rows.join(F.broadcast(chosen), bucket == chosen["_b"], "left_semi")
+
+    first = [b for _, b in bounds[:TOP_FIRST * n]]
+    if not first or 2 * len(first) > len(bounds):
+        return rows
+    groups = group_sum(within(first), x, y) if y else group_count(within(first), x).withColumnRenamed("count", "value")
+    reached = [r["value"] for r in groups.orderBy(F.col("value").desc()).limit(n).collect()]
+    if len(reached) < n or not math.isfinite(reached[-1]):
+        return rows
+    slack = 1e-6 * abs(reached[-1])  # sums of doubles depend on their order
+    ids = [b for m, b in bounds if m >= reached[-1] - slack]
+    return rows if 2 * len(ids) > len(bounds) else within(ids)
+
+
+def bar_top(df: DataFrame, x: str, y: str, n: int = R.TOP_BAR, many: bool = False) -> DataFrame:
+    """A1: top ``n`` categories by summed measure. ``many``: there are so many
+    categories that only those that can be among the top are to be shuffled (two
+    more scans, same rows)."""
+    return _top(group_sum(_of_many(df, x, y, n) if many else df, x, y), n)
 
 
-def category_frequency(df: DataFrame, x: str, n: int = R.TOP_FREQUENCY) -> DataFrame:
-    """A2: the ``n`` most frequent values (count desc, value asc)."""
-    return _top(group_count(df, x), n, by="count")
+def category_frequency(df: DataFrame, x: str, n: int = R.TOP_FREQUENCY, many: bool = False) -> DataFrame:
+    """A2: the ``n`` most frequent values (count desc, value asc); ``many`` as in ``bar_top``."""
+    return _top(group_count(_of_many(df, x, None, n) if many else df, x), n, by="count")
 
 
 def share(df: DataFrame, x: str, y: str | None = None, n: int = R.TOP_SHARE) -> DataFrame:
@@ -134,10 +173,11 @@ def top_record(df: DataFrame, x: str, y: str) -> DataFrame:
                                                   F.col("m.value").alias("value"))
 
 
-def top_k_members(df: DataFrame, x: str, k: int) -> DataFrame:
+def top_k_members(df: DataFrame, x: str, k: int, many: bool = False) -> DataFrame:
     """rows whose ``x`` is one of the ``k`` most frequent values. The
-    top-k frame has k rows, so it is broadcast into a left-semi join."""
-    top = category_frequency(df, x, k).select(F.col("label").alias("_k"))
+    top-k frame has k rows, so it is broadcast into a left-semi join. ``many`` as
+    in ``bar_top``."""
+    top = category_frequency(df, x, k, many).select(F.col("label").alias("_k"))
     return df.join(F.broadcast(top), qcol(x).cast("string") == F.col("_k"), "left_semi")
 
 

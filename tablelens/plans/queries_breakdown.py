@@ -34,6 +34,25 @@ def category_frequency(spark, sf):
     return finish(B.category_frequency(table(spark, sf, "part"), "p_type", 15))
 
 
+@register("top_words", """
+with w as (select unnest(string_split(text, ' ')) as word from documents),
+g as (select word as label, count(*) as count from w where word <> '' group by 1),
+""" + _top_sql(25, "count") + """
+select label, count, rank from top""")
+def top_words(spark, sf):
+    """A2 over a column of very many labels: the words of all documents."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''")
+    return finish(B.category_frequency(words, "word", 25, many=True))
+
+
+@register("bar_top_many", "with " + _gsum("lineitem", "l_orderkey", "l_extendedprice - 20000") + "," + _top_sql(15) + """
+select label, round(value, 2) as value, rank from top""")
+def bar_top_many(spark, sf):
+    """A1 over a column of very many labels, with a measure of both signs."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_extendedprice") - 20000).alias("margin"))
+    return finish(B.bar_top(lines, "l_orderkey", "margin", 15, many=True))
+
+
 @register("share_sum", "with " + _gsum("orders", "o_orderpriority", "o_totalprice") + "," + _top_sql(10)
           + """
 select label, round(value, 2) as value, rank, round(value * 100 / sum(value) over (), 6) as pct

@@ -54,3 +54,24 @@ def test_underserved(spark):
     r = B.underserved(df, "k", "v").collect()
     # counts 10, 6, 3, 3 -> median 4.5; means 1, 2, 9, 1 -> median 1.5
     assert [(x["label"], x["n"]) for x in r] == [("small", 3)]
+
+
+@pytest.mark.parametrize("shape", ["skewed", "flat", "negative", "few", "infinite"])
+def test_top_of_many_labels(spark, shape):
+    """Bucket bounds never change the rows, and skewed columns keep few of them."""
+    label = {"few": "id % 3"}.get(shape, "case when id % 3 > 0 then id % 11 else id end")
+    label = "id" if shape == "flat" else label
+    value = {"negative": "-1.5 - id % 7", "infinite": "if(id = 5, double('inf'), 1)"}.get(shape, "if(id % 5 = 0, -2, id % 13)")
+    df = spark.range(30_000).selectExpr(f"if(id % 101 = 0, null, {label}) as k", f"cast(if(id % 17 = 0, null, {value}) as double) as v")
+    for y in ("v", None):
+        run = (lambda many: B.bar_top(df, "k", y, 7, many)) if y else (lambda many: B.category_frequency(df, "k", 7, many))  # noqa: B023
+        assert sorted(map(tuple, run(True).collect())) == sorted(map(tuple, run(False).collect()))
+    if shape == "skewed":
+        assert B._of_many(df, "k", None, 7).select("k").distinct().count() < 200
+    assert B.category_frequency(df.limit(0), "k", 7, True).count() == 0
+
+
+def test_members_of_many_labels(spark):
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, id % 5 * 2, id) as k", "id as _b")
+    got = B.top_k_members(df, "k", 3, many=True)
+    assert got.columns == ["k", "_b"] and sorted(got.collect()) == sorted(B.top_k_members(df, "k", 3).collect())
