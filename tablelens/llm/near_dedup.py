@@ -42,6 +42,19 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in flips) for r in range(radius + 1) for flips in combinations(range(width), r)]
 
 
+#: A probe row that is shuffled costs as much as comparing it with so many table rows.
+COMPARES_PER_PROBE = 50
+
+
+def best_segments(n: int, bits: int, radius: int) -> int:
+    """3 segments, or 2 where ``n`` fingerprints make the compares of 3 dearer than
+    the many more probes of 2 (at 64 bits and radius 4 from about 10^9 on)."""
+    def cost(segments: int) -> float:
+        balls = [(w, len(ball(w, r))) for _, w, r in segments_of(bits, radius, segments) if r >= 0]
+        return sum(probes * (1 + n / 2 ** w / COMPARES_PER_PROBE) for w, probes in balls)
+    return min((3, 2), key=cost)
+
+
 def _forest(p: np.ndarray, t: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Spanning forest of the links between probes ``p`` and table rows ``t``."""
     a: list[int] = []
@@ -113,18 +126,18 @@ def _link_groups(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, fp: str = "fp", radius: int = 4, bits: int = 64, segments: int = 3) -> DataFrame:
+def near_links(fps: DataFrame, fp: str = "fp", radius: int = 4, bits: int = 64, segments: int | None = None) -> DataFrame:
     """Links (``a``, ``b``, longs) that connect the same fingerprints as all
     pairs within ``radius`` bits would. ``fp``: long; null and repeated ones are
     left out first.
 
     ``segments`` sets the trade between probes per fingerprint and rows per
-    table value, not the result: about bits / log2(fingerprints) is best. A
+    table value, not the result (default: by the number of fingerprints). A
     value with more than HEAVY table rows is split: its table rows are dealt to
     blocks, and its probes go to each block."""
     ship(fps.sparkSession)
     base = cut(fps.select(F.col(fp).alias("fp")).dropna().distinct())
-    parts = segments_of(bits, radius, segments)
+    parts = segments_of(bits, radius, segments or best_segments(base.count(), bits, radius))
     value = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
     own = [F.struct(F.lit(i).alias("s"), value(s, w).alias("v")) for i, (s, w, r) in enumerate(parts) if r >= 0]
     table = base.select("fp", F.explode(F.array(*own)).alias("x")).select("fp", "x.s", "x.v")
@@ -173,7 +186,7 @@ def document_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                    radius: int = 4, segments: int = 3, uid_col: str | None = None) -> DataFrame:
+                    radius: int = 4, segments: int | None = None, uid_col: str | None = None) -> DataFrame:
     """``id``, ``uid``, ``fp``, ``component_id`` (the smallest id reachable over
     links of at most ``radius`` differing bits, the document's own included) and
     ``keeper`` (the ``uid`` of a row that has it). Null ids are never the

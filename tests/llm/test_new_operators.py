@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
-from tablelens.llm import exact_dedup, merkle, queries, sharding, simhash, urlfilter, warc, whitening
+from tablelens.llm import exact_dedup, merkle, near_dedup, queries, sharding, simhash, urlfilter, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 H = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -416,3 +416,29 @@ def test_damaged_length_is_not_read(spark):
     file = File(recs[0] + bad + recs[2])
     out = list(warc.salvage(file))
     assert [r["payload"] for _, _, r, _ in out if r] == [b"p0", b"p2"] and file.most <= 1 << 20
+
+
+def test_segments_set_the_cost_and_not_the_result(spark):
+    assert near_dedup.best_segments(10**6, 64, 4) == near_dedup.best_segments(10**8, 64, 4) == 3
+    assert near_dedup.best_segments(10**11, 64, 4) == 2
+    rnd = random.Random(6)
+    base = [rnd.getrandbits(64) for _ in range(300)]
+    fps = base + [b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(7))) for b in base]
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
+
+    def groups(links):
+        root = {f: f for f in fps}
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for a, b in links:
+            root[find(a)] = find(b)
+        out = {}
+        for f in fps:
+            out.setdefault(find(f), set()).add(f)
+        return {frozenset(g) for g in out.values()}
+    want = groups((a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4)
+    for segments in (None, 2, 3):
+        links = near_dedup.near_links(df, "fp", 4, 64, segments).collect()
+        assert groups((r.a % 2**64, r.b % 2**64) for r in links) == want
